@@ -6,7 +6,7 @@ import importlib
 
 from ledgerloom.catalog import registry
 
-MODULES = ("finance",)
+MODULES = ("finance", "cleaning")
 
 
 def _load():

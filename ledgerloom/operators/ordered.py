@@ -70,36 +70,35 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str =
                     (numbered["_local"] + F.coalesce(carry["_before"], F.lit(0))).alias(out)))
 
 
-def scan_within(df: DataFrame, keys: list[str], order: list[str], piece: Column,
+def scan_within(df: DataFrame, keys: list[str], order: list[str], piece: str,
                 sums: dict[str, Column] | None = None,
-                lasts: dict[str, Column] | None = None) -> DataFrame:
+                lasts: dict[str, Column] | None = None, inclusive: bool = True) -> DataFrame:
     """Running sums and last-non-null values along ``order`` inside each key.
 
-    ``piece`` cuts a key into consecutive bounded stretches (for instance
-    ``page div 256``); it must rise with ``order``.  Each stretch is scanned on its
-    own; stretches exchange one summary row.  Both windows and the final join use
-    (keys, piece), so the big side is shuffled once.
+    ``piece`` names a column that cuts a key into consecutive bounded stretches (for
+    instance ``page div 256``); it must rise with ``order``.  Each stretch is scanned
+    on its own; stretches exchange one summary row.  Both windows and the final join
+    use (keys, piece).  The input is read twice, so hand in narrow rows of a written
+    table and join the result back.  With ``inclusive=False`` the current row is left out.
     """
     sums, lasts = sums or {}, lasts or {}
-    d = df.withColumn("_piece", piece)
-    for name, c in {**sums, **lasts}.items():
-        d = d.withColumn(f"_v_{name}", c)
+    end = Window.currentRow if inclusive else -1
+    here = Window.partitionBy(*keys, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    back = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*order)
-    summary = d.groupBy(*keys, "_piece").agg(
+    d = df.select("*", *[c.alias(f"_v_{n}") for n, c in {**sums, **lasts}.items()])
+    summary = d.groupBy(*keys, piece).agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in lasts])
-    back = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys, "_piece",
+        *keys, piece,
         *[F.sum(f"_t_{n}").over(back).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in lasts])
-    here = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
     local = d.select(
-        "*",
+        *df.columns,
         *[F.sum(f"_v_{n}").over(here).alias(f"_l_{n}") for n in sums],
         *[F.last(f"_v_{n}", ignorenulls=True).over(here).alias(f"_l_{n}") for n in lasts])
-    joined = local.join(carry, [*keys, "_piece"], "left")
+    joined = local.join(carry, [*keys, piece], "left")
     return joined.select(
         *df.columns,
         *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
