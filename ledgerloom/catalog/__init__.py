@@ -6,7 +6,7 @@ import importlib
 
 from ledgerloom.catalog import registry
 
-MODULES = ("finance", "cleaning")
+MODULES = ("finance", "cleaning", "retrieval")
 
 
 def _load():
