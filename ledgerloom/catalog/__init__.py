@@ -6,7 +6,7 @@ import importlib
 
 from ledgerloom.catalog import registry
 
-MODULES = ("finance", "cleaning", "retrieval")
+MODULES = ("finance", "cleaning", "retrieval", "research")
 
 
 def _load():

@@ -42,7 +42,8 @@ def metric_struct(value: Column, status: Column, unit: str, formula: str,
 
 
 def plain_number(c) -> Column:
-    """A double as plain decimal text: 25.0, 31.25, 1500000000000.0."""
+    """A double as plain decimal text: 25.0, 31.25, 0.0005, 1500000000000.0."""
     d = col(c).cast("double")
-    big = F.regexp_replace(F.format_string("%.6f", d), r"(\.\d+?)0+$", "$1")
-    return F.when(F.abs(d) >= 1e7, big).otherwise(d.cast("string"))
+    fixed = F.regexp_replace(F.format_string("%.6f", d), r"(\.\d+?)0+$", "$1")
+    size = F.abs(d)
+    return F.when((size < 1e16) & ((size >= 1e7) | ((size < 1e-3) & (size > 0))), fixed).otherwise(d.cast("string"))
