@@ -6,7 +6,7 @@ import importlib
 
 from ledgerloom.catalog import registry
 
-MODULES = ("finance", "cleaning", "retrieval", "research")
+MODULES = ("finance", "cleaning", "retrieval", "research", "market", "filings")
 
 
 def _load():
