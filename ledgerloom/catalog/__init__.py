@@ -6,7 +6,7 @@ import importlib
 
 from ledgerloom.catalog import registry
 
-MODULES = ("finance", "cleaning", "retrieval", "research", "market", "filings", "news", "discovery")
+MODULES = ("finance", "cleaning", "retrieval", "research", "market", "filings", "news", "discovery", "jobs")
 
 
 def _load():

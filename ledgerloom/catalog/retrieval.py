@@ -273,31 +273,6 @@ def document_chunks(spark, folder):
     ).where(F.size("embedding") > 0)
 
 
-def _answers(spark, folder):
-    q = questions(spark, folder).select(
-        F.col("question_id").alias("query_id"), "question", X.classify_question("question").alias("question_type"),
-        X.expand_query("question").alias("query_used"), F.expr("concat('src', conv_id % 20)").alias("company"))
-    asked = q.withColumn("query_vector", V.embed_fn("query_used"))
-    hits = R.retrieve(asked, document_chunks(spark, folder), REQUESTED)
-    return q, hits, X.context_blocks(hits)
-
-
-@query("answer_record")
-def answer_record(spark, folder):
-    q, hits, blocks = _answers(spark, folder)
-    return X.answer_record(q, hits, blocks, REQUESTED).select(
-        "query_id", "question_type", "query_used", "route", "answer", "confidence", "tier", "chunks_retrieved",
-        "chunks_used", "evidence_sufficient")
-
-
-@query("prompt_text")
-def prompt_text(spark, folder):
-    q, _, blocks = _answers(spark, folder)
-    joined = q.join(X.build_context(blocks), "query_id", "left")
-    return X.prompt_text(joined, X.templates(spark)).select(
-        "query_id", "template_used", F.length("prompt").alias("size"), F.md5("prompt").alias("digest"))
-
-
 # --- embedding table ----------------------------------------------------------
 
 @query("hash_text", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
