@@ -22,8 +22,14 @@ def read_landing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
             .option("pathGlobFilter", glob).load(path))
 
 
-def scan_documents(files: DataFrame) -> DataFrame:
-    """File type by suffix, else by the first bytes; unusable files stay as failed rows."""
+def scan_documents(files: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """File type by suffix, else by the first bytes; unusable files stay as failed rows.
+
+    The binaryFile source leaves files of length zero out.  With ``expected`` (``path``)
+    they, and files that are not there at all, become failed rows too.
+    """
+    if expected is not None:
+        files = expected.select("path").distinct().join(files, "path", "left")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     suffix = F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1))
     head = F.substring("content", 1, 16).cast("string")
