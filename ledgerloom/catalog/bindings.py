@@ -16,17 +16,21 @@ from ledgerloom.tables import table
 
 def yearly_totals(spark: SparkSession, folder: str) -> DataFrame:
     """One row per supplier and year; partial sums meet in a single shuffle."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    def whole(c):
+        """Nearest whole number; floor stays in primitive arithmetic, round() would not."""
+        return F.floor(c + 0.5)
+
+    cents = whole(F.col("l_extendedprice") * 100)
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("year"))
-        .agg(F.sum(F.round(net * 10000).cast("long")).alias("net_u"),
+        .agg(F.sum(whole(net * 10000)).alias("net_u"),
              F.sum(cents).alias("list_u"),
              F.sum(F.col("l_quantity").cast("long")).alias("qty"),
              F.sum(F.when(F.col("l_returnflag") == "R", cents).otherwise(F.lit(0))).alias("ret_u"),
              F.sum(F.when(F.col("l_linestatus") == "O", cents).otherwise(F.lit(0))).alias("open_u"),
-             F.sum(F.round(net * F.col("l_tax") * 1000000).cast("long")).alias("tax_u"),
+             F.sum(whole(net * F.col("l_tax") * 1000000)).alias("tax_u"),
              F.count(F.lit(1)).alias("n"))
     )
 

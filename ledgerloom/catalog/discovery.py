@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog.registry import query
 from ledgerloom.functions import urls as U
 from ledgerloom.operators import discovery as D
+from ledgerloom.session import materialize
 from ledgerloom.tables import table
 
 LINKS = (
@@ -268,7 +269,7 @@ def crawl(spark, folder):
     """Crawled pages with their canonical URL, and investor pages: the first page of every site."""
     a = anchors(spark, folder).withColumn("page", U.canonicalize_url("page_url"))
     first = ir_pages(spark, folder).groupBy("site").agg(F.min_by("url", "page_id").alias("url")).withColumn("url", U.canonicalize_url("url"))
-    return first, a.drop("site")
+    return first, materialize(a.drop("site"), "anchors")
 
 
 SUBPAGE_SQL = f"""{DOC_SQL}, fp AS (SELECT site, {canon('arg_min(url, page_id)')} AS page FROM ip GROUP BY site),

@@ -334,12 +334,10 @@ def format_evidence(spark, folder):
     return E.format_evidence(evidence_chunks(spark, folder), "report_id").select("report_id", F.md5("text").alias("digest"))
 
 
-@query("format_news", f"""WITH {NEWS_SQL}, t AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY doc_id) AS i, title FROM nw)
-SELECT ticker, md5(string_agg('  - ' || title || ' (day ' || i || ')' || CASE WHEN title <> '' THEN chr(10) || '    ' || left(title, 200) ELSE '' END, chr(10) ORDER BY i)) AS digest FROM t WHERE i <= 10 GROUP BY ticker""")
+@query("format_news", f"""WITH {NEWS_SQL}, t AS (SELECT ticker, doc_id, row_number() OVER (PARTITION BY ticker ORDER BY doc_id) AS i, title FROM nw)
+SELECT ticker, md5(string_agg('  - ' || title || ' (day ' || doc_id || ')' || CASE WHEN title <> '' THEN chr(10) || '    ' || left(title, 200) ELSE '' END, chr(10) ORDER BY i)) AS digest FROM t WHERE i <= 10 GROUP BY ticker""")
 def format_news(spark, folder):
-    from pyspark.sql import Window
-    n = company_news(spark, folder).withColumn("summary", F.col("title")).withColumn("date", F.concat(
-        F.lit("day "), F.row_number().over(Window.partitionBy("ticker").orderBy("pos")).cast("string")))
+    n = company_news(spark, folder).withColumn("summary", F.col("title")).withColumn("date", F.concat(F.lit("day "), "pos"))
     return E.format_news(n, "ticker").select("ticker", F.md5("text").alias("digest"))
 
 

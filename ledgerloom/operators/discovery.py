@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ledgerloom.functions import text as T
 from ledgerloom.functions.urls import canonicalize_url, query_param, same_domain
 from ledgerloom.operators.ordered import first_per_key, top_per_key
+from ledgerloom.session import materialize
 
 # Fixed values of the discovery rules.
 BLOCK_SIGNS = ("access denied", "are you a human", "captcha", "unusual traffic", "please verify you are a human",
@@ -213,7 +214,7 @@ def ranked_candidates(channels: list[DataFrame], fetched: DataFrame) -> DataFram
         c = c.select(*CANDIDATE, F.lit(i).alias("channel"))
         union = c if union is None else union.unionByName(c)
     unique = first_per_key(union, ["site", "url"], [F.col("channel"), F.col("pos"), F.col("text")])
-    unique = unique.withColumn("own", same_domain("url", "site"))
+    unique = materialize(unique.withColumn("own", same_domain("url", "site")), "candidates")
     has_own = unique.groupBy("site").agg(F.max("own").alias("_any"))
     usable = unique.join(has_own, "site").where(F.col("own") | ~F.col("_any"))
     first = top_per_key(usable, ["site"], [F.col("channel"), F.col("pos"), F.col("url")], MAX_SCORED, "n")
@@ -294,7 +295,7 @@ def discover_documents(ir_pages: DataFrame, anchors: DataFrame) -> DataFrame:
     """Documents of every site: IR page first, then its subpages; unique URLs, best 50.
 
     ``ir_pages``: site, url (canonical); ``anchors``: links of all crawled pages with
-    ``page`` (canonical URL of the page).
+    ``page`` (canonical URL of the page).  The links are read twice: hand in a written table.
     """
     first = ir_pages.select("site", F.col("url").alias("page"), F.lit(0).alias("visit"))
     ir_anchors = anchors.join(first.select("site", "page"), "page")

@@ -110,17 +110,18 @@ def claim_evidence_join(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(
             F.col("pos").alias("at"), number_tokens("text").alias("numbers"), long_words("text").alias("words"),
             F.substring("text", 1, 200).alias("snippet")))).alias("chunks"))
-    keyed = claims.select(*CLAIM_KEY, number_tokens("text").alias("numbers"), long_words("text").alias("words"))
-    met = keyed.join(packs, "report_id")
+    met = claims.withColumns({"_numbers": number_tokens("text"), "_words": long_words("text")}).join(packs, "report_id", "left")
 
     def supports(chunk):
-        return (F.arrays_overlap(F.col("numbers"), chunk["numbers"])
-                | (F.size(F.array_intersect(F.col("words"), chunk["words"])) >= 3))
+        return (F.arrays_overlap(F.col("_numbers"), chunk["numbers"])
+                | (F.size(F.array_intersect(F.col("_words"), chunk["words"])) >= 3))
 
     hit = F.try_element_at(F.filter("chunks", supports), F.lit(1))
-    found = met.select(*CLAIM_KEY, hit.alias("hit")).where("hit is not null")
-    first = found.groupBy(*CLAIM_KEY).agg(F.min_by("hit.snippet", "hit.at").alias("chunk_snippet"))
-    return claims.join(first, CLAIM_KEY, "left")
+    rest = [c for c in claims.columns if c not in CLAIM_KEY]
+    # Rows of a report are together after the join, so this grouping moves nothing.
+    first = met.withColumn("hit", hit).groupBy(*CLAIM_KEY).agg(
+        F.first(F.struct(*rest)).alias("r"), F.min_by("hit.snippet", "hit.at").alias("chunk_snippet"))
+    return first.select(*CLAIM_KEY, "r.*", "chunk_snippet").select(*claims.columns, "chunk_snippet")
 
 
 def claim_metric_match(claims: DataFrame, values: DataFrame) -> DataFrame:

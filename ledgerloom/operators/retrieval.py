@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.ordered import top_per_key
+from ledgerloom.session import materialize
 
 QUERY_BLOCK_BYTES = 32 << 20
+BLOCKS_PER_JOB = 16
 FILTERS = ("company", "year", "doc_type", "section", "document_id")
 HIT_COLUMNS = ("chunk_id", "document_id", "company", "year", "doc_type", "section", "subsection",
                "page_start", "page_end", "text", "token_count", "has_heading", "contains_table", "quality_score")
@@ -149,7 +151,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
     slim = pool.select("chunk_id", "embedding", *FILTERS)
     id_type = q.schema["query_id"].dataType.simpleString()
     blocks = max(1, math.ceil(size["n"] * (size["dim"] * 8 + 256) / block_bytes))
-    found = None
+    found, pending, searched = None, 0, set()
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         block = part.toPandas()
@@ -159,15 +161,24 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
         companies = block["company"].dropna().unique().tolist()
         if not size["open"] and len(companies) <= 500:
             rows = rows.where(F.col("company").isin(companies))
+            searched.update(companies)
         hits = rows.mapInPandas(_score_batches(block, top_k),
                                 f"query_id {id_type}, chunk_id string, raw double")
+        if pending == BLOCKS_PER_JOB:
+            # Keeps the plan small when the query table is very large.
+            found, pending = materialize(found, "hits"), 0
         found = hits if found is None else found.unionByName(hits)
+        pending += 1
     ranked = top_per_key(found, ["query_id"], [F.desc("raw"), F.asc("chunk_id")], top_k, "rank")
-    scored = ranked.select("query_id", "rank", F.round("raw", 4).alias("score"), "chunk_id")
+    # At most top_k narrow rows per query: written once, so that no later step searches again
+    # and the join below knows their real size.
+    scored = materialize(ranked.select("query_id", "rank", F.round("raw", 4).alias("score"), "chunk_id"), "hits")
     if min_score > 0:
         scored = scored.where(F.col("score") >= min_score)
-    return scored.join(vectors.select(*HIT_COLUMNS), "chunk_id").select(
-        "query_id", "rank", "score", *HIT_COLUMNS)
+    payload = vectors.select(*HIT_COLUMNS)
+    if not size["open"] and 0 < len(searched) <= 500:
+        payload = payload.where(F.col("company").isin(sorted(searched)))
+    return scored.join(payload, "chunk_id").select("query_id", "rank", "score", *HIT_COLUMNS)
 
 
 def relevance_tier(score) -> Column:
@@ -193,21 +204,23 @@ def deduplicate_hits(hits: DataFrame, keys: list[str] | None = None) -> DataFram
     A query has at most the search depth of hits, so the fold runs over a short array.
     """
     keys = keys or ["query_id"]
-    slim = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("rank").alias("rank"), F.col("chunk_id").alias("id"),
-        F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("prefix")))).alias("h"))
+    rest = [c for c in hits.columns if c not in keys]
+    row = F.struct(F.col("rank").alias("_rank"), F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("_prefix"), *rest)
+    listed = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(row), lambda a, b: a["_rank"] - b["_rank"]).alias("h"))
     start = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("prefixes"),
                      F.array().cast("array<int>").alias("ranks"))
 
     def step(acc, x):
-        seen = F.array_contains(acc["ids"], x["id"]) | F.array_contains(acc["prefixes"], x["prefix"])
+        seen = F.array_contains(acc["ids"], x["chunk_id"]) | F.array_contains(acc["prefixes"], x["_prefix"])
         return F.when(seen, acc).otherwise(F.struct(
-            F.concat(acc["ids"], F.array(x["id"])).alias("ids"),
-            F.concat(acc["prefixes"], F.array(x["prefix"])).alias("prefixes"),
-            F.concat(acc["ranks"], F.array(x["rank"])).alias("ranks")))
-
-    kept = slim.select(*keys, F.explode(F.aggregate("h", start, step, lambda a: a["ranks"])).alias("rank"))
-    return hits.join(kept, [*keys, "rank"], "left_semi")
+            F.concat(acc["ids"], F.array(x["chunk_id"])).alias("ids"),
+            F.concat(acc["prefixes"], F.array(x["_prefix"])).alias("prefixes"),
+            F.concat(acc["ranks"], F.array(x["_rank"])).alias("ranks")))
+
+    kept = F.aggregate("h", start, step, lambda a: a["ranks"])
+    chosen = listed.select(*keys, kept.alias("k"), "h").select(
+        *keys, F.inline(F.filter("h", lambda x: F.array_contains(F.col("k"), x["_rank"]))))
+    return chosen.select(*hits.columns)
 
 
 def renumber(hits: DataFrame, keys: list[str] | None = None) -> DataFrame:

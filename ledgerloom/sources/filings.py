@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.ordered import first_per_key, last_per_key, top_per_key
+from ledgerloom.session import materialize
 
 ARCHIVES = "https://www.sec.gov/Archives/edgar/data"
 # Form types and the document types they become.
@@ -188,7 +189,8 @@ def select_filings(annual: DataFrame, announcements: DataFrame, payloads: DataFr
         "scrip", F.col("_rn").cast("long").alias("pos"), "attachment", F.concat(F.lit("FY-"), "year", F.lit("_Annual-Report.pdf")).alias("file_name"),
         F.lit("Filing").alias("title"), F.lit("").alias("category"), F.lit("").alias("subcategory"), F.col("attachment").alias("news_id"),
         F.lit("").alias("disseminated_at"))
-    a = with_payload(a).withColumn("kind", F.lit(KINDS[0]))
+    # Each kind is read several times below (seen attachments, result), hence the written stages.
+    a = materialize(with_payload(a).withColumn("kind", F.lit(KINDS[0])), "annual")
 
     n = announcements.withColumns({
         "attachment": clean_attachment_name(F.coalesce("ATTACHMENTNAME", F.lit(""))), "title": headline(), "disseminated_at": when,
@@ -202,7 +204,8 @@ def select_filings(annual: DataFrame, announcements: DataFrame, payloads: DataFr
 
     q = n.where((F.col("category") == "Result") & (F.col("filed_on") >= F.date_sub(F.lit(as_of), quarterly_days)))
     q = q.withColumn("file_name", unique_file_name("disseminated_at", "title", "attachment"))
-    q = _cut(with_payload(unseen(q, a)), quarterly_limit).withColumn("kind", F.lit(KINDS[1]))
+    q = _cut(materialize(with_payload(unseen(q, a)), "candidates"), quarterly_limit).withColumn("kind", F.lit(KINDS[1]))
+    q = materialize(q, "quarterly")
 
     lowered = F.lower("category")
     m = n.where((F.col("filed_on") >= F.date_sub(F.lit(as_of), announcement_days)) & (lowered != "result")
@@ -210,7 +213,7 @@ def select_filings(annual: DataFrame, announcements: DataFrame, payloads: DataFr
     m = m.withColumn("file_name", unique_file_name(
         "disseminated_at", F.concat_ws("-", F.coalesce(T.truthy("subcategory"), F.lit("General")), "title"), "attachment"))
     seen = a.select("scrip", "attachment").unionByName(q.select("scrip", "attachment"))
-    m = _cut(with_payload(unseen(m, seen)), announcement_limit).withColumn("kind", F.lit(KINDS[2]))
+    m = _cut(materialize(with_payload(unseen(m, seen)), "candidates"), announcement_limit).withColumn("kind", F.lit(KINDS[2]))
 
     every = a.unionByName(q).unionByName(m)
     return every.withColumns({
