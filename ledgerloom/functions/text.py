@@ -42,16 +42,18 @@ def keep_lines(c, keep) -> Column:
 
 
 def any_keyword(text: Column, keywords) -> Column:
-    """Does any keyword occur in ``text`` as a substring?"""
-    return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(text, k))
-
-
-def any_pattern(text: Column, patterns) -> Column:
-    """Does any regular expression match somewhere in ``text``?"""
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | text.rlike(pattern)
-    return hit
+    """Does any keyword occur in ``text`` as a substring?
+
+    The text is bound as the one element of an array, so that what computes it runs once
+    and not once per keyword; a null text has no keyword.
+    """
+    def found(t):
+        hit = F.lit(False)
+        for k in keywords:
+            hit = hit | F.contains(t, F.lit(k))
+        return hit
+
+    return F.coalesce(F.exists(F.array(text), found), F.lit(False))
 
 
 def truthy(c) -> Column:

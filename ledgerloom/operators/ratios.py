@@ -7,7 +7,6 @@ asked for), so all of them are computed in a single pass inside code generation.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,122 +26,97 @@ FINANCIAL_COLUMNS = (
 CATEGORIES = ("profitability", "liquidity", "solvency", "cash_flow", "efficiency", "valuation")
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
-
-
-def _or0(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0.0))
-
-
-def _cash_after_capex() -> Column:
-    return _c("operating_cash_flow") - F.coalesce(F.abs("capital_expenditure"), F.lit(0.0))
-
-
-def _net_of_cash(base: Column) -> Column:
-    return base + _or0("total_debt") - _or0("cash_and_equivalents")
+CASH_AFTER_CAPEX = "operating_cash_flow - coalesce(abs(capital_expenditure), 0D)"
+NET_OF_CASH = "market_cap + coalesce(total_debt, 0D) - coalesce(cash_and_equivalents, 0D)"
+EV_OR_SUPPLIED = f"coalesce(enterprise_value, {NET_OF_CASH})"
+WORKING_CAPITAL = "current_assets - current_liabilities"
+# Known tax share, else what net income leaves of operating income, else a fixed share.
+TAX_RATE = """CASE WHEN pretax_income <> 0 AND tax_provision <> 0 THEN tax_provision / pretax_income
+ WHEN net_income IS NOT NULL AND operating_income <> 0 THEN greatest(0D, 1 - net_income / operating_income) ELSE 0.25D END"""
+AFTER_TAX = f"operating_income * (1 - {TAX_RATE})"
+INVESTED = "total_equity + total_debt - coalesce(cash_and_equivalents, 0D)"
 
 
 @dataclass(frozen=True)
 class Metric:
+    """A metric as SQL over the wide table: ``num / den``, or the amount ``num`` alone.
+
+    ``den`` None marks an amount.  One parsed expression per metric keeps the plan cheap
+    to build; Catalyst shares what the metrics have in common.
+    """
+
     name: str
     category: str
     unit: str
     formula: str
-    parts: Callable[[], tuple[Column, Column, dict[str, Column]]]
+    num: str
+    den: str | None = None
+    inputs: tuple[tuple[str, str], ...] | None = None
+
+    @property
+    def factor(self) -> str:
+        return "100D" if self.unit == "%" else "1D"
+
+    def sql(self, with_inputs: bool = False) -> str:
+        n, d = f"({self.num})", f"({self.den})"
+        if self.den is None:
+            value, status = n, f"CASE WHEN {n} IS NULL THEN '{N.MISSING}' ELSE '{N.COMPUTED}' END"
+        else:
+            value = f"CASE WHEN {d} <> 0 THEN {n} / {d} * {self.factor} END"
+            status = (f"CASE WHEN {n} IS NULL OR {d} IS NULL THEN '{N.MISSING}' WHEN {d} = 0 THEN '{N.ZERO_DIVISION}' "
+                      f"ELSE '{N.COMPUTED}' END")
+        fields = f"'value', round({value}, 4), 'unit', '{self.unit}', 'formula', '{self.formula}', 'status', {status}"
+        if with_inputs:
+            named = self.inputs or ((self.num, self.num), (self.den, self.den))
+            fields += ", 'inputs', map(" + ", ".join(f"'{k}', cast({e} as double)" for k, e in named) + ")"
+        return f"named_struct({fields})"
 
     def column(self, with_inputs: bool = False) -> Column:
-        value, status, inputs = self.parts()
-        return N.metric_struct(value, status, self.unit, self.formula,
-                               inputs if with_inputs else None)
-
-
-def _simple(name, category, unit, formula, num, den):
-    def parts():
-        value, status = N.ratio(_c(num), _c(den), 100.0 if unit == "%" else 1.0)
-        return value, status, {num: _c(num), den: _c(den)}
-    return Metric(name, category, unit, formula, parts)
-
-
-def _custom(name, category, unit, formula, num, den, inputs):
-    def parts():
-        value, status = N.ratio(num(), den(), 100.0 if unit == "%" else 1.0)
-        return value, status, {k: f() for k, f in inputs.items()}
-    return Metric(name, category, unit, formula, parts)
-
-
-def _amount(name, category, formula, amount, required, inputs):
-    def parts():
-        missing = _c(required).isNull()
-        value = F.when(~missing, amount())
-        status = F.when(missing, N.MISSING).otherwise(N.COMPUTED)
-        return value, status, {k: f() for k, f in inputs.items()}
-    return Metric(name, category, "$", formula, parts)
-
-
-def roic_parts():
-    """Return on invested capital with the tax-rate fall-backs."""
-    oi, ni = _c("operating_income"), _c("net_income")
-    pretax, tax = _c("pretax_income"), _c("tax_provision")
-    known_rate = (pretax.isNotNull() & (pretax != 0) & tax.isNotNull() & (tax != 0))
-    rate = (F.when(known_rate, tax / pretax)
-            .when(ni.isNotNull() & (oi != 0), F.greatest(F.lit(0.0), 1 - ni / oi))
-            .otherwise(F.lit(0.25)))
-    after_tax = oi * (1 - rate)
-    invested = _c("total_equity") + _c("total_debt") - _or0("cash_and_equivalents")
-    value, status = N.ratio(after_tax, invested, 100.0)
-    return value, status, {"nopat": F.round(after_tax, 2), "invested_capital": F.round(invested, 2),
-                           "tax_rate": F.round(rate, 4)}
+        return F.expr(self.sql(with_inputs))
 
 
+_FCF_INPUT = ("fcf", f"round({CASH_AFTER_CAPEX}, 2)")
 METRICS: tuple[Metric, ...] = (
-    _simple("gross_margin", "profitability", "%", "Gross Profit / Revenue × 100", "gross_profit", "revenue"),
-    _simple("operating_margin", "profitability", "%", "Operating Income / Revenue × 100", "operating_income", "revenue"),
-    _simple("net_margin", "profitability", "%", "Net Income / Revenue × 100", "net_income", "revenue"),
-    _simple("ebitda_margin", "profitability", "%", "EBITDA / Revenue × 100", "ebitda", "revenue"),
-    _simple("roe", "profitability", "%", "Net Income / Total Equity × 100", "net_income", "total_equity"),
-    _simple("roa", "profitability", "%", "Net Income / Total Assets × 100", "net_income", "total_assets"),
-    Metric("roic", "profitability", "%", "NOPAT / Invested Capital × 100", roic_parts),
-    _simple("current_ratio", "liquidity", "x", "Current Assets / Current Liabilities", "current_assets", "current_liabilities"),
-    _custom("quick_ratio", "liquidity", "x", "(Current Assets − Inventory) / Current Liabilities",
-            lambda: _c("current_assets") - _or0("inventory"), lambda: _c("current_liabilities"),
-            {"current_assets": lambda: _c("current_assets"), "inventory": lambda: _or0("inventory"),
-             "current_liabilities": lambda: _c("current_liabilities")}),
-    _simple("cash_ratio", "liquidity", "x", "Cash & Equivalents / Current Liabilities", "cash_and_equivalents", "current_liabilities"),
-    _simple("debt_to_equity", "solvency", "x", "Total Debt / Total Equity", "total_debt", "total_equity"),
-    _simple("debt_to_assets", "solvency", "x", "Total Debt / Total Assets", "total_debt", "total_assets"),
-    _simple("interest_coverage", "solvency", "x", "Operating Income / Interest Expense", "operating_income", "interest_expense"),
-    _simple("equity_multiplier", "solvency", "x", "Total Assets / Total Equity", "total_assets", "total_equity"),
-    _amount("free_cash_flow", "cash_flow", "Operating Cash Flow − CapEx", _cash_after_capex, "operating_cash_flow",
-            {"operating_cash_flow": lambda: _c("operating_cash_flow"),
-             "capital_expenditure": lambda: F.coalesce(F.abs("capital_expenditure"), F.lit(0.0))}),
-    _simple("ocf_ratio", "cash_flow", "x", "Operating Cash Flow / Net Income", "operating_cash_flow", "net_income"),
-    _custom("capex_to_revenue", "cash_flow", "%", "|CapEx| / Revenue × 100",
-            lambda: F.abs("capital_expenditure"), lambda: _c("revenue"),
-            {"capital_expenditure": lambda: F.abs("capital_expenditure"), "revenue": lambda: _c("revenue")}),
-    _custom("cash_conversion", "cash_flow", "%", "FCF / Net Income × 100", _cash_after_capex, lambda: _c("net_income"),
-            {"fcf": lambda: F.round(_cash_after_capex(), 2), "net_income": lambda: _c("net_income")}),
-    _custom("fcf_yield", "cash_flow", "%", "FCF / Market Cap × 100", _cash_after_capex, lambda: _c("market_cap"),
-            {"fcf": lambda: F.round(_cash_after_capex(), 2), "market_cap": lambda: _c("market_cap")}),
-    _simple("asset_turnover", "efficiency", "x", "Revenue / Total Assets", "revenue", "total_assets"),
-    _simple("inventory_turnover", "efficiency", "x", "Cost of Revenue / Inventory", "cost_of_revenue", "inventory"),
-    _simple("receivables_turnover", "efficiency", "x", "Revenue / Accounts Receivable", "revenue", "accounts_receivable"),
-    _custom("working_capital_turnover", "efficiency", "x", "Revenue / (Current Assets − Current Liabilities)",
-            lambda: _c("revenue"), lambda: _c("current_assets") - _c("current_liabilities"),
-            {"revenue": lambda: _c("revenue"),
-             "working_capital": lambda: _c("current_assets") - _c("current_liabilities")}),
-    _simple("payables_turnover", "efficiency", "x", "Cost of Revenue / Accounts Payable", "cost_of_revenue", "accounts_payable"),
-    _simple("pe_ratio", "valuation", "x", "Share Price / EPS", "share_price", "eps"),
-    _custom("ev_to_ebitda", "valuation", "x", "Enterprise Value / EBITDA",
-            lambda: F.coalesce(_c("enterprise_value"), _net_of_cash(_c("market_cap"))), lambda: _c("ebitda"),
-            {"enterprise_value": lambda: F.coalesce(_c("enterprise_value"), _net_of_cash(_c("market_cap"))),
-             "ebitda": lambda: _c("ebitda")}),
-    _simple("price_to_book", "valuation", "x", "Market Cap / Total Equity", "market_cap", "total_equity"),
-    _amount("enterprise_value", "valuation", "Market Cap + Total Debt − Cash", lambda: _net_of_cash(_c("market_cap")), "market_cap",
-            {"market_cap": lambda: _c("market_cap"), "total_debt": lambda: _or0("total_debt"),
-             "cash_and_equivalents": lambda: _or0("cash_and_equivalents")}),
-    _simple("dividend_yield", "valuation", "%", "Dividend Per Share / Share Price × 100", "dividend_per_share", "share_price"),
-    _simple("price_to_sales", "valuation", "x", "Market Cap / Revenue", "market_cap", "revenue"),
+    Metric("gross_margin", "profitability", "%", "Gross Profit / Revenue × 100", "gross_profit", "revenue"),
+    Metric("operating_margin", "profitability", "%", "Operating Income / Revenue × 100", "operating_income", "revenue"),
+    Metric("net_margin", "profitability", "%", "Net Income / Revenue × 100", "net_income", "revenue"),
+    Metric("ebitda_margin", "profitability", "%", "EBITDA / Revenue × 100", "ebitda", "revenue"),
+    Metric("roe", "profitability", "%", "Net Income / Total Equity × 100", "net_income", "total_equity"),
+    Metric("roa", "profitability", "%", "Net Income / Total Assets × 100", "net_income", "total_assets"),
+    Metric("roic", "profitability", "%", "NOPAT / Invested Capital × 100", AFTER_TAX, INVESTED,
+           (("nopat", f"round({AFTER_TAX}, 2)"), ("invested_capital", f"round({INVESTED}, 2)"), ("tax_rate", f"round({TAX_RATE}, 4)"))),
+    Metric("current_ratio", "liquidity", "x", "Current Assets / Current Liabilities", "current_assets", "current_liabilities"),
+    Metric("quick_ratio", "liquidity", "x", "(Current Assets − Inventory) / Current Liabilities",
+           "current_assets - coalesce(inventory, 0D)", "current_liabilities",
+           (("current_assets", "current_assets"), ("inventory", "coalesce(inventory, 0D)"), ("current_liabilities", "current_liabilities"))),
+    Metric("cash_ratio", "liquidity", "x", "Cash & Equivalents / Current Liabilities", "cash_and_equivalents", "current_liabilities"),
+    Metric("debt_to_equity", "solvency", "x", "Total Debt / Total Equity", "total_debt", "total_equity"),
+    Metric("debt_to_assets", "solvency", "x", "Total Debt / Total Assets", "total_debt", "total_assets"),
+    Metric("interest_coverage", "solvency", "x", "Operating Income / Interest Expense", "operating_income", "interest_expense"),
+    Metric("equity_multiplier", "solvency", "x", "Total Assets / Total Equity", "total_assets", "total_equity"),
+    Metric("free_cash_flow", "cash_flow", "$", "Operating Cash Flow − CapEx", CASH_AFTER_CAPEX, None,
+           (("operating_cash_flow", "operating_cash_flow"), ("capital_expenditure", "coalesce(abs(capital_expenditure), 0D)"))),
+    Metric("ocf_ratio", "cash_flow", "x", "Operating Cash Flow / Net Income", "operating_cash_flow", "net_income"),
+    Metric("capex_to_revenue", "cash_flow", "%", "|CapEx| / Revenue × 100", "abs(capital_expenditure)", "revenue",
+           (("capital_expenditure", "abs(capital_expenditure)"), ("revenue", "revenue"))),
+    Metric("cash_conversion", "cash_flow", "%", "FCF / Net Income × 100", CASH_AFTER_CAPEX, "net_income",
+           (_FCF_INPUT, ("net_income", "net_income"))),
+    Metric("fcf_yield", "cash_flow", "%", "FCF / Market Cap × 100", CASH_AFTER_CAPEX, "market_cap",
+           (_FCF_INPUT, ("market_cap", "market_cap"))),
+    Metric("asset_turnover", "efficiency", "x", "Revenue / Total Assets", "revenue", "total_assets"),
+    Metric("inventory_turnover", "efficiency", "x", "Cost of Revenue / Inventory", "cost_of_revenue", "inventory"),
+    Metric("receivables_turnover", "efficiency", "x", "Revenue / Accounts Receivable", "revenue", "accounts_receivable"),
+    Metric("working_capital_turnover", "efficiency", "x", "Revenue / (Current Assets − Current Liabilities)", "revenue", WORKING_CAPITAL,
+           (("revenue", "revenue"), ("working_capital", WORKING_CAPITAL))),
+    Metric("payables_turnover", "efficiency", "x", "Cost of Revenue / Accounts Payable", "cost_of_revenue", "accounts_payable"),
+    Metric("pe_ratio", "valuation", "x", "Share Price / EPS", "share_price", "eps"),
+    Metric("ev_to_ebitda", "valuation", "x", "Enterprise Value / EBITDA", EV_OR_SUPPLIED, "ebitda",
+           (("enterprise_value", EV_OR_SUPPLIED), ("ebitda", "ebitda"))),
+    Metric("price_to_book", "valuation", "x", "Market Cap / Total Equity", "market_cap", "total_equity"),
+    Metric("enterprise_value", "valuation", "$", "Market Cap + Total Debt − Cash", NET_OF_CASH, None,
+           (("market_cap", "market_cap"), ("total_debt", "coalesce(total_debt, 0D)"), ("cash_and_equivalents", "coalesce(cash_and_equivalents, 0D)"))),
+    Metric("dividend_yield", "valuation", "%", "Dividend Per Share / Share Price × 100", "dividend_per_share", "share_price"),
+    Metric("price_to_sales", "valuation", "x", "Market Cap / Revenue", "market_cap", "revenue"),
 )
 
 BY_NAME = {m.name: m for m in METRICS}
@@ -160,10 +134,9 @@ def single_metric(fin: DataFrame, name: str, keys: list[str], with_inputs: bool
 
 def compute_all(fin: DataFrame, keys: list[str], with_inputs: bool = False) -> DataFrame:
     """Long form: one row per company-year and metric, in catalogue order."""
-    rows = F.array(*[
-        F.struct(F.lit(m.category).alias("category"), F.lit(i).alias("pos"),
-                 F.lit(m.name).alias("metric"), m.column(with_inputs).alias("m"))
-        for i, m in enumerate(METRICS)])
+    rows = F.expr("array(" + ", ".join(
+        f"named_struct('category', '{m.category}', 'pos', {i}, 'metric', '{m.name}', 'm', {m.sql(with_inputs)})"
+        for i, m in enumerate(METRICS)) + ")")
     return (fin.select(*keys, F.inline(rows))
             .select(*keys, "category", "pos", "metric", "m.*"))
 
