@@ -241,7 +241,8 @@ def merge_undersized(spark, folder):
 
 @query("chunk_document")
 def chunk_document(spark, folder):
-    return K.chunk_document(C.clean_document(document_pages(spark, folder)))
+    pages = document_pages(spark, folder)
+    return K.chunk_document(C.clean_document(pages), page_rows=pages)
 
 
 @query("quality_score", """SELECT doc_id, round(least(1::DOUBLE, greatest(0::DOUBLE, 0.7::DOUBLE
@@ -259,6 +260,14 @@ def quality_score(spark, folder):
     return d.select("doc_id", K.quality_score().alias("quality_score"))
 
 
+@query("chunk_text")
+def chunk_text(spark, folder):
+    """The chunker as a table function called from SQL."""
+    K.register(spark)
+    K.page_blocks(C.clean_document(document_pages(spark, folder))).createOrReplaceTempView("page_blocks")
+    return spark.sql("SELECT document_id, chunk_no, section, token_count, md5(text) AS digest FROM chunk_text(TABLE(page_blocks) PARTITION BY document_id ORDER BY page)")
+
+
 @query("chunk_huge_document")
 def chunk_huge_document(spark, folder):
     """The way for documents too long for one task, taken here for every document."""

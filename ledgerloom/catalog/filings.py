@@ -259,23 +259,49 @@ def exchange_filings(spark, folder):
     news = o.selectExpr("o_custkey AS scrip", "o_orderkey AS pos", "to_date(o_orderdate) AS filed_on", "cast(o_orderkey as string) AS NEWSID",
                         "if(o_orderkey % 10 = 1, 'Annual  Report out', o_orderpriority) AS HEADLINE", "cast(null as string) AS NEWSSUB", f"{CATEGORY} AS CATEGORYNAME", "'Sub' AS SUBCATNAME",
                         f"{ATT} AS ATTACHMENTNAME", "if(o_orderkey % 7 = 0, '0', '1') AS PDFFLAG", "date_format(o_orderdate, 'yyyy-MM-dd') AS DissemDT", "'' AS DT_TM", "'' AS NEWS_DT")
-    payloads = o.selectExpr("o_custkey AS scrip", "concat('A', o_orderkey % 17, '.pdf') AS attachment").distinct().where("crc32(encode(concat(scrip, attachment), 'utf-8')) % 5 <> 0").withColumn("bytes", F.expr("scrip + 800"))
+    payloads = o.selectExpr("o_custkey AS scrip", "o_orderkey % 17 AS n").distinct().where("(scrip * 31 + n * 7) % 5 <> 0").selectExpr(
+        "scrip", "concat('A', n, '.pdf') AS attachment", "scrip + 800 AS bytes")
     return S.select_filings(annual, news, payloads, AS_OF, 2, 1, 2, 365)
 
 
-@query("select_filings")
+def _cut_sql(source, limit):
+    return f"""SELECT * FROM (SELECT *, coalesce(sum(CAST(saved AS INTEGER)) OVER (PARTITION BY scrip ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source}) WHERE before < {limit}"""
+
+
+CHOICE_SQL = f"""pay AS (SELECT DISTINCT o_custkey AS scrip, 'A' || (o_orderkey % 17) || '.pdf' AS attachment FROM orders WHERE (o_custkey * 31 + o_orderkey % 17 * 7) % 5 <> 0),
+ay AS (SELECT o_custkey AS scrip, CAST(year(o_orderdate) AS VARCHAR) AS year, 'A' || (max(o_orderkey) % 17) || '.pdf' AS attachment FROM orders GROUP BY ALL),
+an AS (SELECT scrip, attachment, 'FY-' || year || '_Annual-Report.pdf' AS file_name, 'Filing' AS headline, (scrip, attachment) IN (SELECT (scrip, attachment) FROM pay) AS saved
+ FROM (SELECT *, row_number() OVER (PARTITION BY scrip ORDER BY year DESC) AS rn FROM ay) WHERE rn <= 2),
+nw AS (SELECT o_custkey AS scrip, o_orderkey AS pos, o_orderdate, {CATEGORY} AS category, CASE WHEN o_orderkey % 10 = 1 THEN 'Annual Report out' ELSE o_orderpriority END AS headline,
+ 'A' || (o_orderkey % 13) || '.pdf' AS attachment FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0),
+q0 AS (SELECT scrip, attachment, min(pos) AS pos FROM nw WHERE category = 'Result' AND CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 900 AND (scrip, attachment) NOT IN (SELECT (scrip, attachment) FROM an) GROUP BY ALL),
+q1 AS (SELECT *, (scrip, attachment) IN (SELECT (scrip, attachment) FROM pay) AS saved FROM q0), q2 AS ({_cut_sql('q1', 1)}),
+m0 AS (SELECT scrip, attachment, min(pos) AS pos FROM nw WHERE category <> 'Result' AND CAST(o_orderdate AS DATE) >= DATE '{AS_OF}' - 365 AND NOT (headline = 'Annual Report out' AND category = 'Company Update')
+ AND (scrip, attachment) NOT IN (SELECT (scrip, attachment) FROM an) AND (scrip, attachment) NOT IN (SELECT (scrip, attachment) FROM q2) GROUP BY ALL),
+m1 AS (SELECT *, (scrip, attachment) IN (SELECT (scrip, attachment) FROM pay) AS saved FROM m0), m2 AS ({_cut_sql('m1', 2)}),
+nm AS (SELECT scrip, pos, headline, strftime(o_orderdate, '%Y-%m-%d') || '_' AS d, replace(headline, ' ', '-') AS sl, replace(attachment, '.pdf', '') AS st FROM nw),
+ch AS (SELECT scrip, 'annual_reports' AS kind, attachment, file_name, headline, saved FROM an
+ UNION ALL SELECT q2.scrip, 'quarterly_reports', attachment, d || sl || '_' || st || '.pdf', headline, saved FROM q2 JOIN nm ON nm.scrip = q2.scrip AND nm.pos = q2.pos
+ UNION ALL SELECT m2.scrip, 'announcements', attachment, d || 'Sub-' || sl || '_' || st || '.pdf', headline, saved FROM m2 JOIN nm ON nm.scrip = m2.scrip AND nm.pos = m2.pos)"""
+
+
+@query("select_filings", f"WITH {CHOICE_SQL} SELECT *, CASE WHEN saved THEN scrip + 800 ELSE 0 END AS bytes FROM ch")
 def select_filings(spark, folder):
-    """Checked against a direct walk over the rows in the tests; here the whole table runs."""
     return exchange_filings(spark, folder).select("scrip", "kind", "attachment", "file_name", "headline", "saved", "bytes")
 
 
-@query("filing_counts")
+@query("filing_counts", f"""WITH {CHOICE_SQL} SELECT scrip, count(*) FILTER (saved AND kind = 'annual_reports') AS annual_reports, count(*) FILTER (saved AND kind = 'quarterly_reports') AS quarterly_reports,
+ count(*) FILTER (saved AND kind = 'announcements') AS announcements, CAST(count(*) FILTER (saved) * (scrip + 800) AS BIGINT) AS total_bytes FROM ch GROUP BY scrip""")
 def filing_counts(spark, folder):
     return S.filing_counts(exchange_filings(spark, folder), ["scrip"])
 
 
-@query("write_manifest", """SELECT c_mktsegment || '-' || c_nationkey AS folder, CAST(c_nationkey AS VARCHAR) AS scrip, count(*) AS annual_reports, count(*) FILTER (c_custkey % 3 = 0) AS total_bytes FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY ALL
-UNION ALL SELECT DISTINCT c_mktsegment || '-' || c_nationkey, c_mktsegment, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM customer WHERE c_nationkey % 5 = 0""")
+MANIFEST_SQL = """SELECT c_mktsegment || '-' || c_nationkey AS folder, CAST(c_nationkey AS VARCHAR) AS scrip, count(*) AS annual_reports, count(*) FILTER (c_custkey % 3 = 0) AS total_bytes FROM customer WHERE c_nationkey % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT DISTINCT c_mktsegment || '-' || c_nationkey, c_mktsegment, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM customer WHERE c_nationkey % 5 = 0"""
+
+
+@query("read_manifests", MANIFEST_SQL)
+@query("write_manifest", MANIFEST_SQL)
 def write_manifest(spark, folder):
     """Manifests written per folder and read back with the list of all folders."""
     c = table(spark, folder, "customer")

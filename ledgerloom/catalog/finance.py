@@ -274,9 +274,12 @@ def market_comparison(spark, folder):
     return wide.unpivot(KEYS, ["price", "market_cap", "pe_ratio", "price_to_book", "dividend_yield"], "metric", "value")
 
 
-@query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL} SELECT year, metric,
- max(value) FILTER (company = 1) AS "1", max(value) FILTER (company = 2) AS "2", max(value) FILTER (company = 3) AS "3"
- FROM long GROUP BY year, metric""")
+YEARS = list(range(1995, 2002))
+
+
+@query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL} SELECT company, metric, {', '.join(f'max(value) FILTER (year = {y}) AS "{y}"' for y in YEARS)}
+ FROM long GROUP BY company, metric""")
 def peer_matrix(spark, folder):
+    """The matrix form with fiscal years as the compared columns, for every company."""
     long = ratios.compute_all(financials(spark, folder), KEYS)
-    return peers.peer_matrix(long, ["year", "metric"], "company", [1, 2, 3])
+    return peers.peer_matrix(long, ["company", "metric"], "year", YEARS)

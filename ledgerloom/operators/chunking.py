@@ -45,40 +45,51 @@ def estimate_tokens(c) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(T.col(c)) / 4).cast("int"))
 
 
-def heading_score(line: Column) -> Column:
-    """struct(level, confidence) of one line; level 0 is no heading."""
-    s = T.strip(line)
+def _heading_rule(s: Column) -> Column:
+    """Number of the heading rule a trimmed line meets, null for none."""
     size = F.length(s)
     prefixed = F.startswith(s, F.lit("ITEM ")) | F.startswith(s, F.lit("PART ")) | F.startswith(s, F.lit("SECTION "))
+    out = F.when((size == 0) | (size > 120) | ((size > 80) & ~prefixed), F.lit(None).cast("int"))
+    for i, (_, pattern, _) in enumerate(HEADING_RULES):
+        out = out.when(s.rlike(pattern), i)
+    return out
 
-    def score(level, confidence):
-        return F.struct(F.lit(level).alias("level"), F.lit(confidence).alias("confidence"))
 
-    none = score(0, 0.0)
-    out = F.when((size == 0) | (size > 120) | ((size > 80) & ~prefixed), none)
-    for level, pattern, confidence in HEADING_RULES:
-        out = out.when(s.rlike(pattern), score(level, float(confidence)))
-    return out.otherwise(none)
+def _of_rule(rule: Column, field: int, otherwise) -> Column:
+    values = F.array(*[F.lit(r[field]) for r in HEADING_RULES])
+    return F.coalesce(F.get(values, rule), F.lit(otherwise))
+
+
+def heading_score(line: Column) -> Column:
+    """struct(level, confidence) of one line; level 0 is no heading."""
+    rule = _heading_rule(T.strip(line))
+    return F.struct(_of_rule(rule, 0, 0).alias("level"), _of_rule(rule, 2, 0.0).alias("confidence"))
+
+
+def _looks_tabular(s: Column) -> Column:
+    return ((F.length(s) - F.length(F.translate(s, "|", "")) >= 2)
+            | (F.regexp_count(s, F.lit(NUMBER_GROUP)) >= 3)
+            | (F.regexp_count(s, F.lit(r"(?U)\S+\s{3,}")) >= 2))
 
 
 def is_table_row(line: Column) -> Column:
     s = T.strip(line)
-    return (s != "") & (
-        (F.length(s) - F.length(F.translate(s, "|", "")) >= 2)
-        | (F.regexp_count(s, F.lit(NUMBER_GROUP)) >= 3)
-        | (F.regexp_count(s, F.lit(r"(?U)\S+\s{3,}")) >= 2))
+    return (s != "") & _looks_tabular(s)
 
 
 def _page_blocks(c) -> Column:
     """Blocks inside one page: array of struct(kind, level, text), and edge kinds."""
-    def classify(line):
-        s = T.strip(line)
-        head = heading_score(line)
-        kind = (F.when(s == "", "blank").when(head["confidence"] >= HEADING_CONFIDENCE, "heading")
-                .when(is_table_row(line), "table").otherwise("paragraph"))
-        return F.struct(kind.alias("kind"), head["level"].alias("level"), s.alias("s"))
-
-    lines = F.transform(T.lines_of(c), classify)
+    # Bound step by step, so that no line is trimmed or searched more than once.
+    trimmed = F.transform(T.lines_of(c), T.strip)
+    ruled = F.transform(trimmed, lambda s: F.struct(s.alias("s"), _heading_rule(s).alias("rule")))
+
+    def classify(x):
+        heading = _of_rule(x["rule"], 2, 0.0) >= HEADING_CONFIDENCE
+        kind = (F.when(x["s"] == "", "blank").when(heading, "heading")
+                .when(_looks_tabular(x["s"]), "table").otherwise("paragraph"))
+        return F.struct(kind.alias("kind"), _of_rule(x["rule"], 0, 0).alias("level"), x["s"].alias("s"))
+
+    lines = F.transform(ruled, classify)
     block = "struct<kind:string,level:int,text:string>"
     start = F.struct(
         F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast("string").alias("kind"),
@@ -447,11 +458,15 @@ def _chunk_in_pieces(paged: DataFrame) -> DataFrame:
             .select("document_id", F.col("chunk_no").cast("long").alias("chunk_no"), *_CHUNK_COLUMNS))
 
 
-def chunk_document(pages: DataFrame, text: str = "clean_text",
-                   whole_document_pages: int = WHOLE_DOCUMENT_PAGES) -> DataFrame:
-    """Final chunks of all documents with ids numbered in document order."""
+def chunk_document(pages: DataFrame, text: str = "clean_text", whole_document_pages: int = WHOLE_DOCUMENT_PAGES,
+                   page_rows: DataFrame | None = None) -> DataFrame:
+    """Final chunks of all documents with ids numbered in document order.
+
+    ``page_rows`` is a cheaper table with one row per page to count, when ``pages`` is
+    the result of much work.
+    """
     paged = page_blocks(pages, text)
-    huge = (pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    huge = ((pages if page_rows is None else page_rows).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > whole_document_pages).select("document_id"))
     if huge.isEmpty():
         chunks = _chunk_whole(paged)
@@ -464,6 +479,28 @@ def chunk_document(pages: DataFrame, text: str = "clean_text",
         *_CHUNK_COLUMNS, quality_score().alias("quality_score"))
 
 
+class _ChunkText:
+    """Table function: page rows of one document in, chunks out."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def eval(self, row):
+        self.rows.append(row.asDict(recursive=True))
+
+    def terminate(self):
+        number = 0
+        for chunk in _document_chunks(self.rows):
+            if chunk["n_chunks"] == 1 or chunk["token_count"] >= 30 or len(chunk["text"].strip()) >= 100:
+                number += 1
+                yield (self.rows[0]["document_id"], number, *[chunk[c] for c in _CHUNK_COLUMNS])
+
+
+def register(spark) -> None:
+    """``chunk_text`` for SQL: ``SELECT * FROM chunk_text(TABLE(page_blocks) PARTITION BY document_id ORDER BY page)``."""
+    spark.udtf.register("chunk_text", F.udtf(_ChunkText, returnType=f"document_id string, chunk_no long, {_CHUNK_FIELDS}"))
+
+
 def chunk_summary(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     """Totals per document and its distinct level 1-2 headings in order of first use."""
     totals = chunks.groupBy("document_id").agg(

@@ -109,38 +109,40 @@ def patterns_per_document(repeated: DataFrame) -> DataFrame:
 
 
 def fix_broken_lines(c) -> Column:
-    """Join lines cut by the page width, as a fold over the lines of one page.
+    """Join lines cut by the page width."""
+    return _join_broken(F.transform(T.lines_of(c), lambda line: F.struct(line.alias("line"), T.strip(line).alias("s"))))
+
+
+def _join_broken(lines: Column) -> Column:
+    """Fold over the lines (struct of line and trimmed line) of one page.
 
     The number groups of a joined line add up, because a continuation starts with a
     letter; so the fold carries a count instead of searching the joined text again.
     """
-    def describe(line):
-        s = T.strip(line)
-        groups = F.regexp_count(s, F.lit(NUMBER_GROUP))
-        table = F.contains(s, F.lit("|")) | (groups >= 3)
-        joins = (s.rlike(r"^\p{IsLowercase}") & ~s.rlike(HEADING_LINE) & ~s.rlike(BULLET_LINE) & ~table)
-        return F.struct(line.alias("line"), s.alias("s"), groups.alias("groups"),
-                        F.contains(s, F.lit("|")).alias("pipe"), joins.alias("joins"))
-
-    described = F.transform(T.lines_of(c), describe)
+    counted = F.transform(lines, lambda x: F.struct(
+        x["line"].alias("line"), x["s"].alias("s"), F.regexp_count(x["s"], F.lit(NUMBER_GROUP)).alias("groups"),
+        F.contains(x["s"], F.lit("|")).alias("pipe")))
+
+    def continues(x):
+        return (x["s"].rlike(r"^\p{IsLowercase}") & (x["groups"] < 3) & ~x["pipe"]
+                & ~x["s"].rlike(HEADING_LINE) & ~x["s"].rlike(BULLET_LINE))
+
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"),
                      F.lit(0).alias("groups"), F.lit(False).alias("pipe"))
 
     def step(acc, x):
         cur = T.rstrip(acc["cur"])
         merge = F.coalesce(
-            x["joins"] & ~acc["pipe"] & (acc["groups"] < 3) & (F.length(T.strip(cur)) >= 20)
+            ~acc["pipe"] & (acc["groups"] < 3) & continues(x) & (F.length(T.strip(acc["cur"])) >= 20)
             & ~cur.rlike(r"[.!?;:]$"), F.lit(False))
         glued = F.when(F.endswith(cur, F.lit("-")), F.concat(F.substring(cur, F.lit(1), F.length(cur) - 1), x["s"])
                        ).otherwise(F.concat(cur, F.lit(" "), x["s"]))
-        done = F.when(merge | acc["cur"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(acc["cur"])))
-        return F.struct(
-            done.alias("done"), F.when(merge, glued).otherwise(x["line"]).alias("cur"),
-            F.when(merge, acc["groups"] + x["groups"]).otherwise(x["groups"]).alias("groups"),
-            F.when(merge, acc["pipe"]).otherwise(x["pipe"]).alias("pipe"))
-
-    return F.aggregate(described, start, step,
+        merged = F.struct(acc["done"].alias("done"), glued.alias("cur"), (acc["groups"] + x["groups"]).alias("groups"), acc["pipe"].alias("pipe"))
+        done = F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
+        fresh = F.struct(done.alias("done"), x["line"].alias("cur"), x["groups"].alias("groups"), x["pipe"].alias("pipe"))
+        return F.when(merge, merged).otherwise(fresh)
+
+    return F.aggregate(counted, start, step,
                        lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["cur"])), "\n"))
 
 
@@ -149,11 +151,29 @@ def normalize_paragraphs(c) -> Column:
 
 
 def clean_page(c, headers, footers) -> Column:
-    """The nine steps in order, for text already in NFC form or to be brought to it."""
-    out = normalize_unicode(c)
-    out = normalize_whitespace(remove_xbrl_artifacts(remove_control_characters(out)))
-    out = remove_repeated_lines(remove_repeated_lines(out, headers), footers)
-    return normalize_paragraphs(fix_broken_lines(remove_page_numbers(out)))
+    """The nine steps for one page.
+
+    The steps between control characters and line repair look at one line at a time, so
+    they are one pass over the lines: white space first, then one test for lines to drop.
+    """
+    none = F.array().cast("array<string>")
+    repeated = F.concat(F.coalesce(T.col(headers), none), F.coalesce(T.col(footers), none))
+    text = remove_control_characters(normalize_unicode(c))
+    spaced = F.transform(T.lines_of(text), lambda line: T.rstrip(F.regexp_replace(F.translate(line, "\t", " "), " {2,}", " ")))
+    lines = F.transform(spaced, lambda line: F.struct(line.alias("line"), T.strip(line).alias("s")))
+
+    def stays(x):
+        dropped = (x["s"].rlike(ARTIFACT_LINE) | x["s"].rlike(PAGE_NUMBER_LINE)
+                   | F.array_contains(repeated, F.regexp_replace(x["s"], r"(?U)\d+", "#")))
+        return (x["s"] == "") | ~dropped
+
+    return normalize_paragraphs(_join_broken(_or_blank(F.filter(lines, stays))))
+
+
+def _or_blank(lines: Column) -> Column:
+    """A page that lost all its lines is one blank line."""
+    blank = F.array(F.struct(F.lit("").alias("line"), F.lit("").alias("s")))
+    return F.when(F.size(lines) == 0, blank).otherwise(lines)
 
 
 def clean_document(pages: DataFrame) -> DataFrame:

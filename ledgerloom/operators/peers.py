@@ -25,7 +25,7 @@ def compare_peers(long: DataFrame, group: list[str], position: str) -> DataFrame
 
 
 def peer_matrix(long: DataFrame, rows: list[str], company: str, companies: list) -> DataFrame:
-    """Metric by company matrix for a named, hence bounded, set of companies."""
+    """Metric matrix with one column per named company (or year), a set the caller bounds."""
     return long.groupBy(*rows).pivot(company, companies).agg(F.first("value"))
 
 

@@ -198,6 +198,10 @@ def test_chunks_equal_a_direct_walk(spark):
         got = {r.chunk_id: (r.section, r.subsection, r.page_start, r.page_end, r.text, r.token_count, r.has_heading, r.contains_table)
                for r in K.chunk_document(pages, whole_document_pages=limit).collect()}
         assert got == want, limit
+    K.register(spark)
+    K.page_blocks(pages).createOrReplaceTempView("page_blocks_test")
+    rows = spark.sql("SELECT * FROM chunk_text(TABLE(page_blocks_test) PARTITION BY document_id ORDER BY page)").collect()
+    assert {f"{r.document_id}_chunk_{r.chunk_no:03d}": r.text for r in rows} == {k: v[4] for k, v in want.items()}
 
 
 def test_blocks_run_over_pages(spark):
