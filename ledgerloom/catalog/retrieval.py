@@ -16,6 +16,7 @@ from ledgerloom.operators import context as X
 from ledgerloom.operators import embedding as E
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators.chunking import estimate_tokens
+from ledgerloom.session import materialize
 from ledgerloom.tables import table
 
 TOP_K = 5
@@ -262,15 +263,15 @@ def route_evidence(spark, folder):
 
 
 def document_chunks(spark, folder):
-    """Every document as a chunk with its own text embedding."""
+    """Every document as a chunk with its own text embedding, as a written vector table."""
     d = table(spark, folder, "documents")
-    return d.select(
+    return materialize(d.select(
         F.format_string("doc%08d", "doc_id").alias("chunk_id"), F.concat(F.lit("D"), "doc_id").alias("document_id"),
         F.upper("source").alias("company"), F.lit(2024).alias("year"), F.lit("annual_report").alias("doc_type"),
         F.col("lang").alias("section"), F.lit(None).cast("string").alias("subsection"), F.lit(1).alias("page_start"),
         F.lit(1).alias("page_end"), "text", estimate_tokens("text").alias("token_count"), F.lit(False).alias("has_heading"),
         F.lit(False).alias("contains_table"), F.lit(0.85).alias("quality_score"), V.embed_fn("text").alias("embedding")
-    ).where(F.size("embedding") > 0)
+    ).where(F.size("embedding") > 0), "chunks")
 
 
 # --- embedding table ----------------------------------------------------------

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
@@ -84,49 +86,76 @@ def score_threshold(hits: DataFrame, min_score: float) -> DataFrame:
     return hits.where(F.col("score") >= min_score) if min_score > 0 else hits
 
 
+class _Best:
+    """Best ``k`` (score, chunk id) of one query; equal scores keep the smaller ids."""
+
+    __slots__ = ("scores", "ids", "k")
+
+    def __init__(self, k: int):
+        self.k, self.scores, self.ids = k, np.empty(0), np.empty(0, dtype=str)
+
+    def floor(self) -> float:
+        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        floor = self.floor()
+        if len(scores) > self.k:
+            floor = max(floor, np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+        take = np.flatnonzero(scores >= floor)
+        if len(take):
+            both, names = np.concatenate([self.scores, scores[take]]), np.concatenate([self.ids, ids[take]])
+            order = np.lexsort((names, -both))[:self.k]
+            self.scores, self.ids = both[order], names[order]
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1, norms)
+
+
 def _score_batches(block: pd.DataFrame, k: int):
-    """mapInPandas function: best k rows per query of one task."""
+    """mapInArrow function: best k rows per query of one task.
+
+    Queries with the same filters share one mask and one matrix product per batch.
+    """
     groups = []
     wanted = block[list(FILTERS)].astype(object).where(block[list(FILTERS)].notna(), None)
     for values, index in wanted.groupby(list(FILTERS), dropna=False, sort=False).indices.items():
         matrix = np.array(block["query_vector"].iloc[index].tolist(), dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        groups.append(({f: v for f, v in zip(FILTERS, values) if not pd.isna(v)}, index,
-                       matrix / np.where(norms == 0, 1, norms)))
-    ids = block["query_id"].to_numpy()
+        groups.append(({f: v for f, v in zip(FILTERS, values) if not pd.isna(v)}, index, _unit_rows(matrix)))
+    ids = block["query_id"].to_list()
+    dim = len(block["query_vector"].iloc[0])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.DataFrame] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [_Best(k) for _ in ids]
         for batch in batches:
-            if batch.empty:
+            sized = pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), dim), False)
+            batch = batch.filter(sized)
+            if not batch.num_rows:
                 continue
-            v = np.array(batch["embedding"].tolist(), dtype=np.float64)
-            norms = np.linalg.norm(v, axis=1, keepdims=True)
-            v = v / np.where(norms == 0, 1, norms)
-            chunk_ids = batch["chunk_id"].to_numpy()
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            v = _unit_rows(flat.astype(np.float64).reshape(-1, dim))
+            chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=str)
             for filters, index, matrix in groups:
-                mask = np.ones(len(batch), dtype=bool)
-                for f, value in filters.items():
-                    mask &= (batch[f] == value).fillna(False).to_numpy(dtype=bool)
-                rows = np.flatnonzero(mask)
-                if not len(rows):
-                    continue
+                rows = np.arange(len(v))
+                if filters:
+                    mask = np.ones(len(v), dtype=bool)
+                    for f, value in filters.items():
+                        column = batch.column(f)
+                        same = pc.equal(column, pa.scalar(value, type=column.type))
+                        mask &= pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+                    rows = np.flatnonzero(mask)
+                    if not len(rows):
+                        continue
                 scores = matrix @ v[rows].T
+                names, tops = chunk_ids[rows], scores.max(axis=1)
                 for i, q in enumerate(index):
-                    s = scores[i]
-                    if len(s) > k:
-                        # Keep everything that ties with the k-th score.
-                        floor = np.partition(s, len(s) - k)[len(s) - k]
-                        take = np.flatnonzero(s >= floor)
-                    else:
-                        take = np.arange(len(s))
-                    found = pd.DataFrame({"raw": s[take], "chunk_id": chunk_ids[rows[take]]})
-                    held = best.get(q)
-                    both = found if held is None else pd.concat([held, found], ignore_index=True)
-                    best[q] = both.sort_values(["raw", "chunk_id"], ascending=[False, True]).head(k)
-        for q, frame in best.items():
-            yield pd.DataFrame({"query_id": [ids[q]] * len(frame), "chunk_id": frame["chunk_id"].to_numpy(),
-                                "raw": frame["raw"].to_numpy()})
+                    if tops[i] >= best[q].floor():
+                        best[q].offer(scores[i], names)
+        found = [(ids[q], c, s) for q, held in enumerate(best) for c, s in zip(held.ids.tolist(), held.scores.tolist())]
+        if found:
+            query_ids, names, raw = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(names), pa.array(raw)], ["query_id", "chunk_id", "raw"])
 
     return run
 
@@ -162,8 +191,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
         if not size["open"] and len(companies) <= 500:
             rows = rows.where(F.col("company").isin(companies))
             searched.update(companies)
-        hits = rows.mapInPandas(_score_batches(block, top_k),
-                                f"query_id {id_type}, chunk_id string, raw double")
+        hits = rows.mapInArrow(_score_batches(block, top_k), f"query_id {id_type}, chunk_id string, raw double")
         if pending == BLOCKS_PER_JOB:
             # Keeps the plan small when the query table is very large.
             found, pending = materialize(found, "hits"), 0
@@ -239,15 +267,20 @@ def assemble_context(hits: DataFrame, keys: list[str] | None = None) -> DataFram
 
 def retrieve(queries: DataFrame, vectors: DataFrame, top_k: int = 10, min_score: float = 0.0,
              do_rerank: bool = True, do_deduplicate: bool = True) -> DataFrame:
-    """Search, drop short texts, re-rank, de-duplicate, trim and put in reading order."""
-    hits = vector_search(queries, vectors, search_depth(top_k), min_score, MIN_TOKENS)
-    hits = renumber(min_text_filter(hits))
+    """Search, drop short texts, re-rank, de-duplicate, trim and put in reading order.
+
+    The texts of all candidates are written once; ordering works on their openings and
+    only the kept hits get their text back.
+    """
+    found = materialize(min_text_filter(vector_search(queries, vectors, search_depth(top_k), min_score, MIN_TOKENS)), "found")
+    hits = renumber(found.withColumn("text", F.substring("text", 1, 200)))
     if do_rerank:
         hits = rerank(hits)
     if do_deduplicate:
         hits = deduplicate_hits(hits)
-    hits = renumber(hits).where(F.col("rank") <= top_k)
-    return assemble_context(hits).withColumn("relevance", relevance_tier("score"))
+    hits = assemble_context(renumber(hits).where(F.col("rank") <= top_k)).withColumn("relevance", relevance_tier("score"))
+    columns = hits.columns
+    return hits.drop("text").join(found.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"]).select(*columns)
 
 
 def filters_applied(queries: DataFrame) -> Column:
