@@ -161,7 +161,7 @@ def _yoy_sql(c):
  SELECT company, count(*) - 1 AS n_years, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS years,
   string_agg(CAST(CAST(round(revenue * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY year) AS revenue_cents,
   min_by(revenue, year) AS r0, max_by(revenue, year) AS r1, min_by(net_income, year) AS i0, max_by(net_income, year) AS i1,
-  coalesce(round(sum({_yoy_sql('revenue')}), 2), 0) AS revenue_growth_total FROM prev GROUP BY company)
+  CAST(coalesce(sum(CAST(round({_yoy_sql('revenue')} * 10000) AS BIGINT)), 0) AS BIGINT) AS revenue_growth_total FROM prev GROUP BY company)
 SELECT company, n_years, years, revenue_cents,
  CASE WHEN r0 <> 0 AND r1 <> 0 THEN {CAGR_SQL.format(s='r0', e='r1', n='n_years')} END AS revenue_cagr,
  CASE WHEN i0 > 0 AND i1 <> 0 THEN {CAGR_SQL.format(s='i0', e='i1', n='n_years')} END AS net_income_cagr,
@@ -175,7 +175,7 @@ def compute_trends(spark, folder):
         F.array_join(F.transform("series", lambda x: F.round(x["revenue"] * 100).cast("long").cast("string")), ",").alias("revenue_cents"),
         F.col("revenue_cagr.value").alias("revenue_cagr"), F.col("net_income_cagr.value").alias("net_income_cagr"),
         F.col("net_income_cagr.status").alias("net_income_status"),
-        F.round(F.aggregate("yoy_growth", F.lit(0.0), lambda a, x: a + F.coalesce(x["revenue_growth"], F.lit(0.0))), 2)
+        F.aggregate("yoy_growth", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.round(x["revenue_growth"] * 10000).cast("long"), F.lit(0)))
         .alias("revenue_growth_total"))
 
 
@@ -226,24 +226,25 @@ def formula_registry(spark, folder):
             .select("category", "metric", "unit", "computed", "total"))
 
 
+# Whole hundredths, so that a total does not depend on the order of its terms.
+_HUNDREDTHS = "CAST(sum(CAST(round(round({}, 2) * 100) AS BIGINT)) AS BIGINT)"
+
+
 @query("chart_series", f"""WITH {FIN_SQL}, pts AS (SELECT company, year, coalesce(revenue, 0) AS revenue,
  round(coalesce(net_income, 0) / coalesce(nullif(revenue, 0), 1) * 100, 2) AS nm,
  round(coalesce(net_income, 0) / coalesce(nullif(total_equity, 0), 1) * 100, 2) AS roe,
  round(coalesce(operating_cash_flow, 0) - abs(coalesce(capital_expenditure, 0)), 2) AS fcf FROM fin)
-SELECT company, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS labels, round(sum(revenue), 2) AS revenue_total,
- round(sum(nm), 2) AS net_margin_total, round(sum(roe), 2) AS roe_total,
- round(sum(fcf), 1) AS free_cash_flow_total, round(max_by(nm, year), 2) AS last_net_margin FROM pts GROUP BY company""")
+SELECT company, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS labels, {_HUNDREDTHS.format('revenue')} AS revenue_total,
+ {_HUNDREDTHS.format('nm')} AS net_margin_total, {_HUNDREDTHS.format('roe')} AS roe_total,
+ {_HUNDREDTHS.format('fcf')} AS free_cash_flow_total, max_by(nm, year) AS last_net_margin FROM pts GROUP BY company""")
 def chart_series(spark, folder):
     s = peers.chart_series(financials(spark, folder))
 
-    def total(name, digits=2, inner=None):
-        x = F.transform(name, lambda v: F.round(v, inner)) if inner else F.col(name)
-        return F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), digits)
+    def total(name):
+        return F.aggregate(name, F.lit(0).cast("long"), lambda a, v: a + F.round(F.round(v, 2) * 100).cast("long")).alias(f"{name}_total")
 
-    return s.select("company", F.array_join("labels", ",").alias("labels"), total("revenue").alias("revenue_total"),
-                    total("net_margin").alias("net_margin_total"), total("roe").alias("roe_total"),
-                    total("free_cash_flow", 1, 2).alias("free_cash_flow_total"),
-                    F.round(F.element_at("net_margin", -1), 2).alias("last_net_margin"))
+    return s.select("company", F.array_join("labels", ",").alias("labels"), total("revenue"), total("net_margin"), total("roe"),
+                    total("free_cash_flow"), F.element_at("net_margin", -1).alias("last_net_margin"))
 
 
 @query("format_metrics", f"""WITH {FIN_SQL}, {LONG_SQL}, lines AS (SELECT company, year, category, pos,

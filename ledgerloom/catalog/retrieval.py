@@ -196,7 +196,7 @@ def build_context(spark, folder):
 
 
 CONF_SQL = f"""{CONTEXT_SQL},
-cf0 AS (SELECT f.query_id, round(sum(CAST(round(score * 10000) AS BIGINT)) / count(*) / 10000, 12) AS m, max(score) AS b, max(chunks_used) AS chunks_used
+cf0 AS (SELECT f.query_id, CAST(sum(CAST(round(score * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000 AS m, max(score) AS b, max(chunks_used) AS chunks_used
   FROM fin_hits f JOIN cx USING (query_id) WHERE position <= chunks_used GROUP BY f.query_id),
 cf AS (SELECT *, round(least(1, 0.5::DOUBLE * m + 0.3::DOUBLE * least(1, chunks_used / {REQUESTED}) + 0.2::DOUBLE * CASE WHEN b >= 0.5 THEN least(1, b) ELSE b / 0.5::DOUBLE * 0.5::DOUBLE END), 2) AS confidence FROM cf0)"""
 TIER_SQL = "CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'insufficient' END"

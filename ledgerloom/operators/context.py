@@ -133,7 +133,9 @@ def confidence(hits: DataFrame, contexts: DataFrame, requested: int, order: str
     """Confidence per question, from the first ``chunks_used`` hits in retrieval order."""
     keys = keys or ["query_id"]
     used = hits.join(contexts.select(*keys, "chunks_used"), keys).where(F.col(order) <= F.col("chunks_used"))
-    g = used.groupBy(*keys).agg(F.avg("score").alias("_mean"), F.max("score").alias("_best"),
+    # Scores have four decimals; whole units make the mean independent of row order.
+    units = F.round(F.col("score") * 10000).cast("long")
+    g = used.groupBy(*keys).agg((F.sum(units) / F.count(units) / 10000).alias("_mean"), F.max("score").alias("_best"),
                                 F.max("chunks_used").alias("chunks_used"))
     made = confidence_columns(F.col("_mean"), F.col("_best"), F.col("chunks_used"), F.lit(requested))
     return g.select(*keys, "chunks_used", *[c.alias(n) for n, c in made.items()])

@@ -42,7 +42,9 @@ def section_rows(sections: DataFrame, bucket_counts: DataFrame, report_facts: Da
 
 def report_rollup(rows: DataFrame) -> DataFrame:
     """Per report: sections generated and failed, and the mean confidence of the generated ones."""
-    mean = F.avg(F.when(F.col("generated"), F.col("confidence")))
+    # Confidences have two decimals; whole hundredths make the mean independent of row order.
+    hundredths = F.when(F.col("generated"), F.round(F.col("confidence") * 100).cast("long"))
+    mean = F.try_divide(F.sum(hundredths), F.count(hundredths)) / 100
     return rows.groupBy("report_id").agg(
         F.count_if("generated").alias("sections_generated"), F.count_if(~F.col("generated")).alias("sections_failed"),
         F.sum("evidence_count").alias("evidence_total"),
