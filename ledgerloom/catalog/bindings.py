@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerloom.tables import table
 
 
+def cents(name: str):
+    """A column cut to two decimals by the same arithmetic in both engines; at a tie their
+    round() may differ."""
+    return F.floor(F.col(name) * 100 + 0.5) / 100
+
+
+def cents_sql(name: str) -> str:
+    return f"floor({name} * 100 + 0.5::DOUBLE) / 100"
+
+
 def yearly_totals(spark: SparkSession, folder: str) -> DataFrame:
     """One row per supplier and year; partial sums meet in a single shuffle."""
     def whole(c):

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.catalog.bindings import FIN_SQL, financials
+from ledgerloom.catalog.bindings import FIN_SQL, cents, cents_sql, financials
 from ledgerloom.catalog.registry import query
 from ledgerloom.operators import registry as G
 from ledgerloom.session import shared_dir
@@ -85,11 +85,11 @@ def extraction_summary(spark, folder):
     return D.extraction_summary(pages, scanned).select("document_id", "file_type", "success", "total_pages")
 
 
-@query("json_statement_to_text", f"""WITH {FIN_SQL} SELECT company, year, 'Period: ' || year || '-12-31' || chr(10) || 'Total Revenue: ' || format('{{:,.2f}}', round(revenue, 2)) || chr(10)
- || CASE WHEN ebitda IS NULL THEN '' ELSE 'Ebitda 2X R&D: ' || format('{{:,.2f}}', round(ebitda, 2)) || chr(10) END || 'Source Name: filed' || chr(10) || 'Line Count: ' || format('{{:,.2f}}', shares_outstanding / 10) AS text FROM fin""")
+@query("json_statement_to_text", f"""WITH {FIN_SQL} SELECT company, year, 'Period: ' || year || '-12-31' || chr(10) || 'Total Revenue: ' || format('{{:,.2f}}', {cents_sql('revenue')}) || chr(10)
+ || CASE WHEN ebitda IS NULL THEN '' ELSE 'Ebitda 2X R&D: ' || format('{{:,.2f}}', {cents_sql('ebitda')}) || chr(10) END || 'Source Name: filed' || chr(10) || 'Line Count: ' || format('{{:,.2f}}', shares_outstanding / 10) AS text FROM fin""")
 def json_statement_to_text(spark, folder):
-    fin = financials(spark, folder).selectExpr("company", "year", """concat('{"period":"', year, '-12-31","total_revenue":', cast(round(revenue, 2) as decimal(20,2)), ',"ebitda_2x_r&d":',
-          coalesce(cast(cast(round(ebitda, 2) as decimal(20,2)) as string), 'null'), ',"source_name":"filed","line_count":', cast(shares_outstanding / 10 as int), '}') AS json""")
+    fin = financials(spark, folder).selectExpr("company", "year", """concat('{"period":"', year, '-12-31","total_revenue":', cast(floor(revenue * 100 + 0.5D) / 100 as decimal(20,2)), ',"ebitda_2x_r&d":',
+          coalesce(cast(cast(floor(ebitda * 100 + 0.5D) / 100 as decimal(20,2)) as string), 'null'), ',"source_name":"filed","line_count":', cast(shares_outstanding / 10 as int), '}') AS json""")
     return fin.select("company", "year", D.json_statement_to_text("json").alias("text"))
 
 
@@ -185,7 +185,7 @@ def sec_stored_files(spark, folder):
     return S.sec_stored_files(filings, payloads).select("cik", "kind", "file_name", "headline", "category", "news_id", "bytes", "saved")
 
 
-@query("xbrl_company_facts", f"""WITH {FIN_SQL} SELECT 'T' || company AS cik, 'us-gaap' AS taxonomy, 'Revenues' AS concept, 'USD' AS unit, year || '-12-31' AS "end", round(revenue, 2) AS val, CAST(year AS INTEGER) AS fy, '10-K' AS form FROM fin
+@query("xbrl_company_facts", f"""WITH {FIN_SQL} SELECT 'T' || company AS cik, 'us-gaap' AS taxonomy, 'Revenues' AS concept, 'USD' AS unit, year || '-12-31' AS "end", {cents_sql('revenue')} AS val, CAST(year AS INTEGER) AS fy, '10-K' AS form FROM fin
 UNION ALL SELECT 'T' || company, 'dei', 'Shares', 'shares', year || '-06-30', shares_outstanding, CAST(year AS INTEGER), '10-Q' FROM fin""")
 def xbrl_company_facts(spark, folder):
     """Company-facts documents with one point per fiscal year of two concepts."""
@@ -194,7 +194,7 @@ def xbrl_company_facts(spark, folder):
         return F.struct(F.concat("year", F.lit(end)).alias("end"), value.alias("val"), F.col("year").alias("fy"), F.lit(form).alias("form"))
     def body(points, unit):
         return F.struct(F.lit("x").alias("label"), F.create_map(F.lit(unit), points).alias("units"))
-    g = fin.groupBy("company").agg(F.collect_list(point("-12-31", F.round("revenue", 2), "10-K")).alias("r"),
+    g = fin.groupBy("company").agg(F.collect_list(point("-12-31", cents("revenue"), "10-K")).alias("r"),
                                    F.collect_list(point("-06-30", F.col("shares_outstanding"), "10-Q")).alias("s"))
     raw = g.select(F.concat(F.lit("T"), "company").alias("cik"), F.to_json(F.struct(F.create_map(
         F.lit("us-gaap"), F.create_map(F.lit("Revenues"), body(F.col("r"), "USD")),

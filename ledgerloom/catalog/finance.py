@@ -227,13 +227,13 @@ def formula_registry(spark, folder):
 
 
 # Whole hundredths, so that a total does not depend on the order of its terms.
-_HUNDREDTHS = "CAST(sum(CAST(round(round({}, 2) * 100) AS BIGINT)) AS BIGINT)"
+_HUNDREDTHS = "CAST(sum(CAST(round({} * 100) AS BIGINT)) AS BIGINT)"
 
 
 @query("chart_series", f"""WITH {FIN_SQL}, pts AS (SELECT company, year, coalesce(revenue, 0) AS revenue,
  round(coalesce(net_income, 0) / coalesce(nullif(revenue, 0), 1) * 100, 2) AS nm,
  round(coalesce(net_income, 0) / coalesce(nullif(total_equity, 0), 1) * 100, 2) AS roe,
- round(coalesce(operating_cash_flow, 0) - abs(coalesce(capital_expenditure, 0)), 2) AS fcf FROM fin)
+ coalesce(operating_cash_flow, 0) - abs(coalesce(capital_expenditure, 0)) AS fcf FROM fin)
 SELECT company, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS labels, {_HUNDREDTHS.format('revenue')} AS revenue_total,
  {_HUNDREDTHS.format('nm')} AS net_margin_total, {_HUNDREDTHS.format('roe')} AS roe_total,
  {_HUNDREDTHS.format('fcf')} AS free_cash_flow_total, max_by(nm, year) AS last_net_margin FROM pts GROUP BY company""")
@@ -241,7 +241,7 @@ def chart_series(spark, folder):
     s = peers.chart_series(financials(spark, folder))
 
     def total(name):
-        return F.aggregate(name, F.lit(0).cast("long"), lambda a, v: a + F.round(F.round(v, 2) * 100).cast("long")).alias(f"{name}_total")
+        return F.aggregate(name, F.lit(0).cast("long"), lambda a, v: a + F.round(v * 100).cast("long")).alias(f"{name}_total")
 
     return s.select("company", F.array_join("labels", ",").alias("labels"), total("revenue"), total("net_margin"), total("roe"),
                     total("free_cash_flow"), F.element_at("net_margin", -1).alias("last_net_margin"))

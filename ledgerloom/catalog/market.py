@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.catalog.bindings import FIN_SQL, financials
+from ledgerloom.catalog.bindings import FIN_SQL, cents, cents_sql, financials
 from ledgerloom.catalog.registry import query
 from ledgerloom.operators import ratios
 from ledgerloom.sources import market as M
@@ -129,11 +129,11 @@ PERIODS = [str(y) for y in range(1995, 2002)]
 ITEMS = {"Total Revenue ": "revenue", " Net Income": "net_income", "EBITDA": "ebitda", "Operating Cash Flow": "operating_cash_flow"}
 
 
-@query("statement_records", f"WITH {FIN_SQL} SELECT 'T' || company AS ticker, CAST(year AS VARCHAR) AS period, round(revenue, 2) AS total_revenue, round(net_income, 2) AS net_income, round(ebitda, 2) AS ebitda, round(operating_cash_flow, 2) AS operating_cash_flow FROM fin")
+@query("statement_records", f"WITH {FIN_SQL} SELECT 'T' || company AS ticker, CAST(year AS VARCHAR) AS period, {cents_sql('revenue')} AS total_revenue, {cents_sql('net_income')} AS net_income, {cents_sql('ebitda')} AS ebitda, {cents_sql('operating_cash_flow')} AS operating_cash_flow FROM fin")
 def statement_records(spark, folder):
     fin = financials(spark, folder)
     rows = fin.select(F.concat(F.lit("T"), "company").alias("ticker"), F.col("year").cast("string").alias("year"), F.inline(F.array(*[
-        F.struct(F.lit(item).alias("line_item"), F.coalesce(F.col(c), F.lit(float("nan"))).alias("value")) for item, c in ITEMS.items()])))
+        F.struct(F.lit(item).alias("line_item"), F.coalesce(cents(c), F.lit(float("nan"))).alias("value")) for item, c in ITEMS.items()])))
     wide = rows.groupBy("ticker", "line_item").pivot("year", PERIODS).agg(F.first("value"))
     return M.statement_records(wide, PERIODS, ["total_revenue", "net_income", "ebitda", "operating_cash_flow"])
 
