@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, chat, decontam, packing, pii, quality, sharding, simhash, warc
+from ledgerloom.llm import ann, chat, decontam, packing, pii, quality, repeats, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_near_items")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -75,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    own = {f.__name__: f for f in (op1_chat_formatting, op2_simhash, op3_pii, op4_decontamination, op6_sharding,
+    own = {f.__name__: f for f in (op1_chat_formatting, op2_simhash, op3_pii, op4_decontamination, op5_suffix_dedup, op6_sharding,
                                    op7_quality, op8_nearest, op9_warc, op10_packing)}
     return own | {"pipeline": corpus_pipeline.run}
 
