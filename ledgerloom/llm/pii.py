@@ -19,11 +19,11 @@ handled one by one; further columns stay in `find_spans`.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.names import fresh
+
 # Kinds in their order, with the form in which each is searched.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -92,46 +92,36 @@ def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
     return F.round(F.lit(0.4 if kind == "email" else 0.8) + near, 1)
 
 
-def _spans(kind: str, rank: int, matches: Column, starts: Column) -> Column:
+def _starts(matches: Column, gaps: Column) -> Column:
+    """A zero, then the start of each match: all characters of gaps and matches before it."""
+    steps = F.transform(matches, lambda _, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0)))
+    added = F.aggregate(steps, F.array(F.lit(0)), lambda at, s: F.concat(at, F.array(F.element_at(at, -1) + s)))
+    return F.when(F.size(matches) > 0, added).otherwise(F.array().cast("array<int>"))
+
+
+def _spans(kind: str, rank: int, text: Column, matches: Column, starts: Column) -> Column:
     """Confirmed spans of a kind; a match starts at the entry behind its own in starts."""
     pairs = F.transform(matches, lambda v, i: F.struct(F.get(starts, i + 1).alias("start"), v.alias("value")))
     kept = F.filter(pairs, lambda p: confirmed(kind, p["value"]))
     end = lambda p: p["start"] + F.length(p["value"])
     return F.transform(kept, lambda p: F.struct(
         p["start"].alias("start"), F.lit(rank).alias("rank"), end(p).alias("end"), F.lit(kind).alias("kind"), p["value"].alias("value"),
-        _score(kind, F.col("_body"), p["start"], end(p)).alias("score")))
-
-
-def _step(matches: Column, gaps: Column, _: Column, i: Column) -> Column:
-    """Characters from the start of the match before, or of the text, to the start of match i."""
-    return F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0))
+        _score(kind, text, p["start"], end(p)).alias("score")))
 
 
 def find_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """df with an array of spans (start, rank, end, kind, value, score), by start, then kind."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """df with an array of spans (start, rank, end, kind, value, score), by start, then kind; out replaces a column of that name."""
+    body = fresh(df, "_body")
+    name = {(part, kind): fresh(df, f"_{part}_{kind}") for part in ("matches", "gaps", "starts") for kind in KINDS}
     empty = F.array().cast("array<string>")
-    df = df.withColumn("_body", body)
-    found, gaps, starts = {}, {}, {}
-    for kind, pattern in PATTERNS.items():
-        hint = F.col("_body").contains("@") if kind == "email" else F.col("_body").rlike(HINT[kind])
-        found[f"_m_{kind}"] = F.when(hint, F.regexp_extract_all("_body", F.lit(pattern), F.lit(0))).otherwise(empty)
-    df = df.withColumns(found)
-    for kind, pattern in PATTERNS.items():
-        gaps[f"_g_{kind}"] = F.when(F.size(f"_m_{kind}") > 0, F.split("_body", pattern, -1)).otherwise(empty)
-    df = df.withColumns(gaps)
-    for kind in KINDS:
-        m, g = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
-        steps = F.transform(m, partial(_step, m, g))
-        starts[f"_s_{kind}"] = F.when(F.size(m) > 0, F.aggregate(
-            steps, F.array(F.lit(0)), lambda at, s: F.concat(at, F.array(F.element_at(at, -1) + s)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumns(starts)
-    lists = []
-    for rank, kind in enumerate(KINDS):
-        m, s = F.col(f"_m_{kind}"), F.col(f"_s_{kind}")
-        lists.append(F.when(F.size(m) > 0, _spans(kind, rank, m, s)).otherwise(F.array().cast(f"array<{SPAN}>")))
-    df = df.withColumn(out, F.array_sort(F.concat(*lists)))
-    return df.drop("_body", *found, *gaps, *starts)
+    df = df.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    hint = {k: F.col(body).contains("@") if k == "email" else F.col(body).rlike(HINT[k]) for k in KINDS}
+    df = df.withColumns({name["matches", k]: F.when(hint[k], F.regexp_extract_all(body, F.lit(p), F.lit(0))).otherwise(empty) for k, p in PATTERNS.items()})
+    df = df.withColumns({name["gaps", k]: F.when(F.size(name["matches", k]) > 0, F.split(body, p, -1)).otherwise(empty) for k, p in PATTERNS.items()})
+    df = df.withColumns({name["starts", k]: _starts(F.col(name["matches", k]), F.col(name["gaps", k])) for k in KINDS})
+    lists = [F.when(F.size(name["matches", k]) > 0, _spans(k, rank, F.col(body), F.col(name["matches", k]), F.col(name["starts", k])))
+             .otherwise(F.array().cast(f"array<{SPAN}>")) for rank, k in enumerate(KINDS)]
+    return df.withColumn(out, F.array_sort(F.concat(*lists))).drop(body, *name.values())
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.names import fresh
+
 SAMPLE = 20_000
 TREES = 24
 DEPTH = 3
@@ -91,7 +93,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     """Statistics and labels of at most sample documents that are not held out."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.select("doc_id", "text").join(known, "doc_id")).select("doc_id", "stats", "label")
+    # At most sample rows of two numbers: small enough to send to every task, so that no text is shuffled.
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("doc_id", "stats", "label")
     # A document that stands in many rows is one example.
     rows = rows.groupBy("doc_id").agg(F.min("stats").alias("stats"), F.max("label").alias("label")).toPandas().sort_values("doc_id")
     x = np.array(rows["stats"].tolist(), float).reshape(len(rows), len(STATISTICS))
@@ -196,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(*training_rows(docs, labels, label, sample))
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """docs with stats and score (0 to 1: how likely the label is 1)."""
-    return statistics(docs).withColumn("score", score(train(docs, labels, label, sample)))
+def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, out: str = "score") -> DataFrame:
+    """docs with a score (0 to 1: how likely the label is 1), which replaces a column of that name."""
+    stats = fresh(docs, "_stats")
+    return statistics(docs, out=stats).withColumn(out, score(train(docs, labels, label, sample), stats)).drop(stats)
