@@ -9,7 +9,8 @@ windows have equal anchors at equal distances, and only windows with the same an
 Windows one after the other with the same anchor are one segment: (hash of the anchor, hash of the
 segment, document, place), 32 bytes for some 35 bytes of text, is all that is shuffled at first.
 * Segments equal to an earlier one are repeated as a whole; this is what exact and near copies mostly
-  consist of, however many there are.
+  consist of, however many there are.  Those that a task knows from its own texts are marked before
+  the shuffle and dealt out evenly, so a line that stands everywhere sends one row per task and place.
 * Segments whose anchor has no other content anywhere are unique.
 * The others, the different contents around one anchor, are sorted as suffixes.
 
@@ -52,6 +53,8 @@ CHUNK = 1 << 18
 TAG_BITS = 17
 SORTED_TOGETHER = 2048
 NO_ID = -(1 << 63)
+AGAIN = np.int64(-(1 << 63))
+SEEN = 1 << 18
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -110,10 +113,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def all_segments(texts: DataFrame) -> DataFrame:
-    """key, seg, doc, packed of every segment of every text; long texts are worked through in chunks."""
+    """key, seg, doc, packed of every segment of every text; long texts are worked through in chunks.
+
+    A negative packed is a segment that the task has met at an earlier place; its key is only there to deal it out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, {}
         for batch in batches:
             doc, tag, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for i in range(batch.num_rows):
@@ -123,12 +129,12 @@ def all_segments(texts: DataFrame) -> DataFrame:
                     held.append((doc[i], tag[i], at, part))
                     size += len(part)
                     if size >= CHUNK // 2:
-                        yield cut(held)
+                        yield cut(held, seen)
                         held, size = [], 0
         if held:
-            yield cut(held)
+            yield cut(held, seen)
 
-    def cut(parts: list) -> pa.RecordBatch:
+    def cut(parts: list, seen: dict) -> pa.RecordBatch:
         sizes = np.array([len(p[3]) for p in parts])
         begin = np.cumsum(sizes) - sizes
         starts = np.concatenate([np.arange(b, b + n - LENGTH + 1) for b, n in zip(begin, sizes, strict=True)])
@@ -136,6 +142,17 @@ def all_segments(texts: DataFrame) -> DataFrame:
         which = np.searchsorted(begin, first, side="right") - 1
         doc, tag, at = (np.array([p[c] for p in parts], np.int64)[which] for c in range(3))
         packed = _pack(tag, first - begin[which] + at, low, high)
+        again = np.zeros(len(key), bool)
+        for i, (k, s, place) in enumerate(zip(key.tolist(), seg.tolist(), zip(doc.tolist(), packed.tolist(), strict=True), strict=True)):
+            known = seen.get(s)
+            if known and known[0] == k and known[1] < place:
+                again[i] = True
+            else:
+                seen[s] = (k, place)
+        if len(seen) > SEEN:
+            seen.clear()
+        key, seg = np.where(again, _join(doc.view(np.uint64), packed.view(np.uint64)), key), np.where(again, np.uint64(0), seg)
+        packed = np.where(again, packed | AGAIN, packed)
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(packed)], ["key", "seg", "doc", "packed"])
 
     return texts.mapInArrow(run, "key long, seg long, doc long, packed long")
@@ -148,11 +165,20 @@ def sifted(found: DataFrame) -> DataFrame:
         last, held = None, None
         for batch in batches:
             rows = np.stack([c.to_numpy() for c in batch.columns])
-            same = np.empty(rows.shape[1], bool)
-            same[1:] = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
-            same[0] = last is not None and (rows[:2, 0] == last).all()
-            last = rows[:2, -1].copy()
-            yield out(rows[:, same], False)
+            marked = rows[3] < 0
+            if marked.any():
+                repeats = rows[:, marked]
+                repeats[3] &= ~AGAIN
+                yield out(repeats, False)
+                rows = rows[:, ~marked]
+            if not rows.shape[1]:
+                continue
+            before = np.concatenate([rows[:, :1] - 1 if last is None else last, rows[:, :-1]], axis=1)
+            equal = rows == before
+            last = rows[:, -1:].copy()
+            # The same place twice is a row that repeats a document.
+            same, twice = equal[:2].all(axis=0), equal.all(axis=0)
+            yield out(rows[:, same & ~twice], False)
             news = rows[:, ~same]
             news = news if held is None else np.concatenate([held, news], axis=1)
             edge = np.searchsorted(news[0], news[0, -1]) if news.shape[1] else 0
