@@ -171,5 +171,5 @@ def masked(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(F.transform(spans, piece), ""), between(parts, F.element_at(reach, -1), F.length(text)))
 
     # One entry, so that blocks and reach are made once for all spans.
-    held = F.array(F.struct(blocks.alias("parts"), running(ends, F.greatest).alias("reach")))
+    held = F.array(F.struct(blocks.alias("parts"), running(ends, lambda a, b: F.greatest(a, b)).alias("reach")))
     return F.when(F.size(spans) > 0, F.element_at(F.transform(held, whole), 1)).otherwise(text)

@@ -37,7 +37,7 @@ DATE = "2024-01-01T00:00:00Z"
 # Fixed value: profile of a revisit by equal payload, as in the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
-_PLACE = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+_PLACE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 LEVEL = 4
 SCHEMA = ("archive string, kind string, start long, end long, reason string, page_id long, url string, record_type string, "
           "refers_to long, payload_bytes long, payload_digest string, payload binary")
@@ -111,7 +111,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         key, colon, value = line.partition(b":")
         if not colon:
             return None, at, "header line without colon"
-        fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = key.strip().lower().decode("latin-1")
+        if key in fields and key != "warc-concurrent-to":
+            return None, at, "header field stands twice"
+        fields[key] = value.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdigit():
         return None, at, "no content length"
     begin = head + 4
