@@ -196,7 +196,7 @@ fc AS (SELECT url, arg_min(html, (length(html), md5(html))) AS content FROM fe G
 un AS (SELECT site, url, text, 'navigation' AS method, 0 AS ch, pos FROM nav UNION ALL SELECT site, url, text, 'search_index', 1, pos FROM sr
  UNION ALL SELECT DISTINCT site, site || p, m, 'url_pattern', 2, o FROM ip, (VALUES ('/investor-relations', '/investor-relations', 2), ('/investor-relations', '/investor-relations/', 3), ('/shareholder', '/shareholder', 14)) v(p, m, o)),
 uq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY ch, pos, text) AS d FROM un) WHERE d = 1 AND regexp_extract(url, '^https?://[^/?#]*?([^./]+\\.[^./?#]+)(/|$|\\?)', 1) = regexp_extract(site, '([^./]+\\.[^./]+)$', 1)),
-c8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ch, pos, url) AS n FROM uq) WHERE n <= 8),
+c8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ch, pos, url) AS n FROM uq)),
 sc AS (SELECT site, CAST(n AS INTEGER) AS n, c8.url, text, method, CAST({_first_sql('lower(c8.url)', D.URL_WEIGHTS)} + {_first_sql('lower(text)', D.ANCHOR_WEIGHTS)} + {_signals_sql("lower(coalesce(content, ''))")}
  + CASE method WHEN 'navigation' THEN 5 WHEN 'search_index' THEN 3 ELSE 0 END AS INTEGER) AS score FROM c8 LEFT JOIN fc ON fc.url = c8.url)"""
 CONF = "CASE WHEN score >= 70 THEN 'very_high' WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END"
@@ -279,26 +279,26 @@ sb AS (SELECT site, url, max(pr) AS pr, arg_min(pos, (-pr, pos)) AS pos FROM sa
 sv AS (SELECT site, url, CAST(row_number() OVER (PARTITION BY site ORDER BY pr DESC, pos) AS INTEGER) AS visit FROM sb)"""
 
 
-@query("subpages", f"WITH {SUBPAGE_SQL} SELECT site, url, visit FROM sv WHERE visit <= 100")
+@query("subpages", f"WITH {SUBPAGE_SQL} SELECT site, url, visit FROM sv")
 def subpages(spark, folder):
     first, a = crawl(spark, folder)
     return D.subpages(a.join(first.select("site", F.col("url").alias("page")), "page")).select("site", "url", "visit")
 
 
-FOUND_SQL = f"""{SUBPAGE_SQL}, vi AS (SELECT site, page, 0 AS visit FROM fp UNION ALL SELECT site, url, visit FROM sv WHERE visit <= 100),
+FOUND_SQL = f"""{SUBPAGE_SQL}, vi AS (SELECT site, page, 0 AS visit FROM fp UNION ALL SELECT site, url, visit FROM sv),
 dv AS (SELECT vi.site, visit, pos, {canon('dc.url')} AS url, doc_type, year FROM dc JOIN vi ON {canon('dc.page')} = vi.page),
 du AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY visit, pos) AS d FROM dv) WHERE d = 1),
 dd AS (SELECT site, url, doc_type, year, CAST(row_number() OVER (PARTITION BY site ORDER BY CASE doc_type WHEN 'annual_report' THEN 0 WHEN 'quarterly_result' THEN 1 WHEN 'financial_statement' THEN 2 WHEN 'investor_presentation' THEN 3 WHEN 'earnings_call_transcript' THEN 4 ELSE 9 END,
  -coalesce(year, 0), visit, pos, url) AS INTEGER) AS rank FROM du)"""
 
 
-@query("discover_documents", f"WITH {FOUND_SQL} SELECT site, url, doc_type, year, rank FROM dd WHERE rank <= 50")
+@query("discover_documents", f"WITH {FOUND_SQL} SELECT site, url, doc_type, year, rank FROM dd")
 def discover_documents(spark, folder):
     first, a = crawl(spark, folder)
     return D.discover_documents(first, a).select("site", "url", "doc_type", "year", "rank")
 
 
-@query("discover_and_collect", f"""WITH {FOUND_SQL} SELECT site, url, doc_type, year FROM dd WHERE rank <= 50
+@query("discover_and_collect", f"""WITH {FOUND_SQL} SELECT site, url, doc_type, year FROM dd
 UNION ALL SELECT DISTINCT site, site || '/docs/annual-report-' || (2015 + page_id % 10) || '.pdf', 'annual_report', CAST(CASE WHEN 2015 + page_id % 10 >= 2018 THEN 2015 + page_id % 10 END AS INTEGER) FROM ip WHERE site NOT IN (SELECT site FROM dd)""")
 def discover_and_collect(spark, folder):
     first, a = crawl(spark, folder)

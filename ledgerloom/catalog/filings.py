@@ -159,24 +159,24 @@ sk AS (SELECT *, CAST(row_number() OVER (PARTITION BY cik, form ORDER BY o_order
 SUB_COLUMNS = "cik, form, form_rank, filing_date, report_date, accession, primary_doc, primary_doc_description, doc_url, doc_type"
 
 
-@query("flatten_submissions", f"WITH {SUB_SQL} SELECT {SUB_COLUMNS} FROM sk WHERE form_rank <= 2")
+@query("flatten_submissions", f"WITH {SUB_SQL} SELECT {SUB_COLUMNS} FROM sk")
 def flatten_submissions(spark, folder):
-    return S.flatten_submissions(submissions(spark, folder), limit=2)
+    return S.flatten_submissions(submissions(spark, folder))
 
 
-@query("get_annual_filings", f"WITH {SUB_SQL} SELECT {SUB_COLUMNS} FROM sk WHERE form_rank <= 5 AND doc_type = 'annual_report'")
+@query("get_annual_filings", f"WITH {SUB_SQL} SELECT {SUB_COLUMNS} FROM sk WHERE doc_type = 'annual_report'")
 def get_annual_filings(spark, folder):
     return S.annual_filings(submissions(spark, folder))
 
 
-@query("get_quarterly_filings", f"WITH {SUB_SQL} SELECT {SUB_COLUMNS} FROM sk WHERE form_rank <= 8 AND doc_type = 'quarterly_report'")
+@query("get_quarterly_filings", f"WITH {SUB_SQL} SELECT {SUB_COLUMNS} FROM sk WHERE doc_type = 'quarterly_report'")
 def get_quarterly_filings(spark, folder):
     return S.quarterly_filings(submissions(spark, folder))
 
 
 @query("sec_stored_files", f"""WITH {SUB_SQL} SELECT cik, CASE doc_type WHEN 'annual_report' THEN 'annual_reports' ELSE 'quarterly_reports' END AS kind, primary_doc AS file_name,
  coalesce(nullif(primary_doc_description, ''), form) AS headline, form AS category, accession AS news_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey + 900 ELSE 0 END AS bytes, o_orderkey % 4 <> 0 AS saved
- FROM sk WHERE (doc_type = 'annual_report' AND form_rank <= 5) OR (doc_type = 'quarterly_report' AND form_rank <= 8)""")
+ FROM sk WHERE doc_type IN ('annual_report', 'quarterly_report')""")
 def sec_stored_files(spark, folder):
     sub = submissions(spark, folder)
     filings = S.annual_filings(sub).unionByName(S.quarterly_filings(sub))
@@ -202,7 +202,7 @@ def xbrl_company_facts(spark, folder):
     return S.xbrl_company_facts(raw)
 
 
-@query("load_announcements", """WITH pg AS (SELECT l_orderkey, l_linenumber AS page, count(*) AS n FROM lineitem WHERE l_linenumber <= 6 GROUP BY ALL),
+@query("load_announcements", """WITH pg AS (SELECT l_orderkey, l_linenumber AS page, count(*) AS n FROM lineitem GROUP BY ALL),
 s AS (SELECT *, sum(n) OVER w AS so_far FROM pg WINDOW w AS (PARTITION BY l_orderkey ORDER BY page)),
 t AS (SELECT *, coalesce(max(CASE WHEN so_far >= l_orderkey % 5 + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM s)
 SELECT l_orderkey AS scrip, page, n FROM t WHERE stopped = 0""")
@@ -220,7 +220,7 @@ def load_announcements(spark, folder):
 f AS (SELECT q, code, min(pos) AS pos, min_by(s_suppkey, pos) AS sk FROM h GROUP BY q, code),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY pos) AS INTEGER) AS rank FROM f)
 SELECT 'q' || q AS query, rank, CAST(code AS VARCHAR) AS code, 'Name ' || sk AS name, CASE WHEN q % 3 = 2 OR sk % 4 = 0 THEN CAST(code AS VARCHAR) ELSE 'SY' || sk END AS symbol,
- CASE WHEN q % 3 = 2 THEN '' ELSE 'IN' || sk END AS isin FROM r WHERE rank <= 12""")
+ CASE WHEN q % 3 = 2 THEN '' ELSE 'IN' || sk END AS isin FROM r""")
 def parse_company_search(spark, folder):
     """Search answers listing twenty companies each; every third lacks the full markup."""
     s = table(spark, folder, "supplier").selectExpr(

@@ -217,13 +217,16 @@ def financial_health_score(spark, folder):
 
 
 @query("formula_registry", f"""WITH {FIN_SQL}, {LONG_SQL} SELECT category, metric, unit,
- count(*) FILTER (status = 'computed') AS computed, count(*) AS total FROM long GROUP BY ALL""")
+ count(*) FILTER (status = 'computed') AS computed, count(*) AS total FROM long GROUP BY ALL
+UNION ALL SELECT c, m, u, 0, 0 FROM (VALUES ('growth', 'revenue_growth', '%'), ('growth', 'net_income_growth', '%'), ('growth', 'eps_growth', '%'),
+ ('growth', 'ebitda_growth', '%'), ('growth', 'cagr', '%'), ('valuation', 'peg_ratio', 'x')) v(c, m, u)""")
 def formula_registry(spark, folder):
     long = ratios.compute_all(financials(spark, folder), KEYS)
     counts = long.groupBy("metric").agg(F.count_if(F.col("status") == "computed").alias("computed"),
                                         F.count(F.lit(1)).alias("total"))
-    return (counts.join(ratios.formula_registry(spark), "metric")
-            .select("category", "metric", "unit", "computed", "total"))
+    # Growth, CAGR and PEG need more than one year; their rows have no counts here.
+    return (ratios.formula_registry(spark).join(counts, "metric", "left")
+            .select("category", "metric", "unit", F.coalesce("computed", F.lit(0)).alias("computed"), F.coalesce("total", F.lit(0)).alias("total")))
 
 
 # Whole hundredths, so that a total does not depend on the order of its terms.
@@ -275,12 +278,10 @@ def market_comparison(spark, folder):
     return wide.unpivot(KEYS, ["price", "market_cap", "pe_ratio", "price_to_book", "dividend_yield"], "metric", "value")
 
 
-YEARS = list(range(1995, 2002))
-
-
-@query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL} SELECT company, metric, {', '.join(f'max(value) FILTER (year = {y}) AS "{y}"' for y in YEARS)}
- FROM long GROUP BY company, metric""")
+@query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL}, cells AS (SELECT company, metric, year, value FROM long)
+PIVOT cells ON year USING max(value) GROUP BY company, metric""")
 def peer_matrix(spark, folder):
     """The matrix form with fiscal years as the compared columns, for every company."""
     long = ratios.compute_all(financials(spark, folder), KEYS)
-    return peers.peer_matrix(long, ["company", "metric"], "year", YEARS)
+    years = sorted(r["year"] for r in long.select("year").distinct().collect())
+    return peers.peer_matrix(long, ["company", "metric"], "year", years)

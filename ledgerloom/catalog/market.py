@@ -124,7 +124,6 @@ def price_history(spark, folder):
     return M.price_history(M.day_bars(ticks(spark, folder)), "1mo")
 
 
-PERIODS = [str(y) for y in range(1995, 2002)]
 # Line item of the statement and the column it comes from.
 ITEMS = {"Total Revenue ": "revenue", " Net Income": "net_income", "EBITDA": "ebitda", "Operating Cash Flow": "operating_cash_flow"}
 
@@ -134,8 +133,10 @@ def statement_records(spark, folder):
     fin = financials(spark, folder)
     rows = fin.select(F.concat(F.lit("T"), "company").alias("ticker"), F.col("year").cast("string").alias("year"), F.inline(F.array(*[
         F.struct(F.lit(item).alias("line_item"), F.coalesce(cents(c), F.lit(float("nan"))).alias("value")) for item, c in ITEMS.items()])))
-    wide = rows.groupBy("ticker", "line_item").pivot("year", PERIODS).agg(F.first("value"))
-    return M.statement_records(wide, PERIODS, ["total_revenue", "net_income", "ebitda", "operating_cash_flow"])
+    # The fiscal years there are: a handful, whatever the number of rows.
+    periods = sorted(r["year"] for r in fin.select(F.col("year").cast("string").alias("year")).distinct().collect())
+    wide = rows.groupBy("ticker", "line_item").pivot("year", periods).agg(F.first("value"))
+    return M.statement_records(wide, periods, ["total_revenue", "net_income", "ebitda", "operating_cash_flow"])
 
 
 # --- quotes ----------------------------------------------------------------------

@@ -49,7 +49,7 @@ def relevant_sql(t="ticker", n="name"):
 
 def merge_sql(source, key, out):
     return f"""{out}_u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, {title_sql('title')} ORDER BY grp, pos) AS dup FROM {source} WHERE {title_sql('title')} <> '') WHERE dup = 1),
-{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY published_at DESC NULLS LAST, grp, pos) AS rank FROM {out}_u) WHERE rank <= 40)"""
+{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY published_at DESC NULLS LAST, grp, pos) AS rank FROM {out}_u))"""
 
 
 @query("normalize_title", f"WITH {ITEM_SQL} SELECT pos, {title_sql('title')} AS title_key FROM it")

@@ -131,7 +131,7 @@ NEWS_SQL = f"nw AS (SELECT {TICKER_SQL.format('doc_id % 100')} AS ticker, doc_id
 
 @query("gather_news", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw)
 SELECT request_id, CAST(pos AS INTEGER) AS pos, ticker, CAST(news_pos AS INTEGER) AS news_pos, md5(title) AS digest
-FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5""")
+FROM pc JOIN nr USING (ticker)""")
 def gather_news(spark, folder):
     return P.gather_news(plans(spark, folder), company_news(spark, folder)).select(
         "request_id", "pos", "ticker", "news_pos", F.md5("title").alias("digest"))
@@ -145,7 +145,7 @@ def multi_query_retrieve(spark, folder):
 
 
 @query("assemble_evidence", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw),
-nn AS (SELECT request_id, count(*) AS news FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5 GROUP BY 1),
+nn AS (SELECT request_id, count(*) AS news FROM pc JOIN nr USING (ticker) GROUP BY 1),
 ev AS (SELECT CAST(doc_id // 7 AS VARCHAR) AS k, doc_id FROM documents),
 base AS (SELECT request_id, request_type, coalesce(companies[1], 'UNKNOWN') AS ticker FROM pl)
 SELECT b.request_id, b.request_type, b.ticker, coalesce(s.s_name, b.ticker) AS name, coalesce('N' || CAST(s.s_nationkey AS VARCHAR), 'Unknown') AS sector,
@@ -181,15 +181,15 @@ SECTION_SQL = ("rs AS (SELECT doc_id // 7 AS report_id, [" + ", ".join(f"'{k}'"
 
 
 def evidence_chunks(spark, folder):
-    """Evidence of report r: the documents of report r + 1 that are long enough to be cited."""
+    """Evidence of report r: the documents of report r + 1; those of report 0 come after them in report 1."""
     return table(spark, folder, "documents").selectExpr(
-        "doc_id div 7 - 1 AS report_id", "cast(doc_id % 7 as int) AS pos", "text", "lang AS section",
+        "if(doc_id < 7, 1, doc_id div 7 - 1) AS report_id", "cast(if(doc_id < 7, doc_id + 7, doc_id % 7) as int) AS pos", "text", "lang AS section",
         "cast(doc_id % 4 as int) AS page_start", "cast(doc_id % 4 + doc_id % 2 as int) AS page_end",
-        "(doc_id % 100) / 100D AS score", "source AS company").where("report_id >= 0")
+        "(doc_id % 100) / 100D AS score", "source AS company")
 
 
-EVIDENCE_SQL = """ec AS (SELECT doc_id // 7 - 1 AS report_id, doc_id % 7 AS pos, text, lang AS section, CAST(doc_id % 4 AS INTEGER) AS page_start,
- CAST(doc_id % 4 + doc_id % 2 AS INTEGER) AS page_end, (doc_id % 100) / 100::DOUBLE AS score FROM documents WHERE doc_id >= 7)"""
+EVIDENCE_SQL = """ec AS (SELECT CASE WHEN doc_id < 7 THEN 1 ELSE doc_id // 7 - 1 END AS report_id, CASE WHEN doc_id < 7 THEN doc_id + 7 ELSE doc_id % 7 END AS pos, text, lang AS section, CAST(doc_id % 4 AS INTEGER) AS page_start,
+ CAST(doc_id % 4 + doc_id % 2 AS INTEGER) AS page_end, (doc_id % 100) / 100::DOUBLE AS score FROM documents)"""
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 # A boundary is marked first, because the SQL side has no look-around.
 SENTENCE_SQL = rf"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(content, '\*\*([^*]+)\*\*', '\1', 'g'),
@@ -328,14 +328,14 @@ def report_rollup(spark, folder):
 
 @query("format_evidence", f"""WITH {EVIDENCE_SQL}, t AS (SELECT report_id, pos, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS i,
  coalesce(nullif(concat_ws(', ', nullif(section, ''), CASE WHEN page_start <> 0 THEN CASE WHEN page_end <> page_start AND page_end <> 0 THEN 'Pages ' || page_start || '–' || page_end ELSE 'Page ' || page_start END END), ''), 'Unknown source') AS src,
- score, left(trim(text, {WS}), 500) AS body FROM ec)
+ score, trim(text, {WS}) AS body FROM ec)
 SELECT report_id, md5(string_agg('  [' || i || '] (' || src || ', relevance: ' || printf('%.2f', score) || ')' || chr(10) || '      ' || body || chr(10), chr(10) ORDER BY pos)) AS digest FROM t GROUP BY report_id""")
 def format_evidence(spark, folder):
     return E.format_evidence(evidence_chunks(spark, folder), "report_id").select("report_id", F.md5("text").alias("digest"))
 
 
 @query("format_news", f"""WITH {NEWS_SQL}, t AS (SELECT ticker, doc_id, row_number() OVER (PARTITION BY ticker ORDER BY doc_id) AS i, title FROM nw)
-SELECT ticker, md5(string_agg('  - ' || title || ' (day ' || doc_id || ')' || CASE WHEN title <> '' THEN chr(10) || '    ' || left(title, 200) ELSE '' END, chr(10) ORDER BY i)) AS digest FROM t WHERE i <= 10 GROUP BY ticker""")
+SELECT ticker, md5(string_agg('  - ' || title || ' (day ' || doc_id || ')' || CASE WHEN title <> '' THEN chr(10) || '    ' || title ELSE '' END, chr(10) ORDER BY i)) AS digest FROM t GROUP BY ticker""")
 def format_news(spark, folder):
     n = company_news(spark, folder).withColumn("summary", F.col("title")).withColumn("date", F.concat(F.lit("day "), "pos"))
     return E.format_news(n, "ticker").select("ticker", F.md5("text").alias("digest"))

@@ -297,14 +297,19 @@ CACHE_SQL = """ca AS (SELECT content_hash, embedding_model, max_by(doc_id, doc_i
 CACHED = "source NOT IN ('src1', 'src5', 'src9', 'src13', 'src17')"
 
 
+FULL_CACHE_SQL = CACHE_SQL.replace(" WHERE " + CACHED, "")
+
+
 def _cache(spark, folder):
+    """What the cache holds before a look-up."""
     rows = cache_rows(spark, folder, CACHED)
     return E.cache_put(rows.limit(0), rows)
 
 
-@query("embedding_cache_put", f"WITH {CACHE_SQL} SELECT content_hash, embedding_model, doc_id FROM ca")
+@query("embedding_cache_put", f"WITH {FULL_CACHE_SQL} SELECT content_hash, embedding_model, doc_id FROM ca")
 def embedding_cache_put(spark, folder):
-    return _cache(spark, folder).select(
+    """Every document put on top of what the cache held."""
+    return E.cache_put(_cache(spark, folder), cache_rows(spark, folder, "true")).select(
         "content_hash", "embedding_model", F.element_at("embedding", 1).cast("long").alias("doc_id"))
 
 
@@ -317,9 +322,9 @@ def embedding_cache_lookup(spark, folder):
                         F.element_at("cached_embedding", 1).cast("long").alias("cached_from"))
 
 
-@query("cache_stats", f"WITH {CACHE_SQL} SELECT count(*) AS total_entries, string_agg(DISTINCT embedding_model, ',' ORDER BY embedding_model) AS models FROM ca")
+@query("cache_stats", f"WITH {FULL_CACHE_SQL} SELECT count(*) AS total_entries, string_agg(DISTINCT embedding_model, ',' ORDER BY embedding_model) AS models FROM ca")
 def cache_stats(spark, folder):
-    return E.cache_stats(_cache(spark, folder))
+    return E.cache_stats(E.cache_put(_cache(spark, folder), cache_rows(spark, folder, "true")))
 
 
 @query("embed_chunks", f"""WITH {CACHE_SQL} SELECT d.source, count(*) AS total,

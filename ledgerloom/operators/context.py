@@ -150,7 +150,7 @@ def prompt_text(questions: DataFrame, templates: DataFrame) -> DataFrame:
 
     ``templates`` has one row per class (``question_type, template_used, template``).
     """
-    joined = questions.join(F.broadcast(templates), "question_type", "left")
+    joined = questions.join(templates, "question_type", "left")
     filled = F.replace(F.replace("template", F.lit("{question}"), F.col("question")),
                        F.lit("{context}"), F.coalesce("context_text", F.lit("")))
     return joined.withColumn("prompt", filled)

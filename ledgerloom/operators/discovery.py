@@ -48,7 +48,6 @@ DOCUMENT_RULES = (
 )
 TYPE_PRIORITY = (("annual_report", 0), ("quarterly_result", 1), ("financial_statement", 2), ("investor_presentation", 3),
                  ("earnings_call_transcript", 4))
-MAX_SUBPAGES, MAX_DOCUMENTS, MAX_SCORED = 100, 50, 8
 
 
 class _Anchors(HTMLParser):
@@ -207,8 +206,8 @@ def confidence_class(score) -> Column:
     return F.when(s >= 70, "very_high").when(s >= 50, "high").when(s >= 30, "medium").otherwise("low")
 
 
-def ranked_candidates(channels: list[DataFrame], fetched: DataFrame) -> DataFrame:
-    """Scored candidates of every site: unique URLs in channel order, own domain if any, first eight."""
+def ranked_candidates(channels: list[DataFrame], fetched: DataFrame, limit: int | None = None) -> DataFrame:
+    """Scored candidates of every site: unique URLs in channel order, own domain if any, the first ``limit`` or all."""
     union = None
     for i, c in enumerate(channels):
         c = c.select(*CANDIDATE, F.lit(i).alias("channel"))
@@ -217,8 +216,10 @@ def ranked_candidates(channels: list[DataFrame], fetched: DataFrame) -> DataFram
     unique = materialize(unique.withColumn("own", same_domain("url", "site")), "candidates")
     has_own = unique.groupBy("site").agg(F.max("own").alias("_any"))
     usable = unique.join(has_own, "site").where(F.col("own") | ~F.col("_any"))
-    first = top_per_key(usable, ["site"], [F.col("channel"), F.col("pos"), F.col("url")], MAX_SCORED, "n")
-    content = first_per_key(fetched.select(canonicalize_url("url").alias("url"), F.col("html").alias("content")), ["url"], [F.length("content"), F.md5("content")])
+    first = top_per_key(usable, ["site"], [F.col("channel"), F.col("pos"), F.col("url")], limit, "n")
+    # Only pages that are candidates are folded.
+    pages = fetched.select(canonicalize_url("url").alias("url"), F.col("html").alias("content")).join(unique.select("url").distinct(), "url", "left_semi")
+    content = first_per_key(pages, ["url"], [F.length("content"), F.md5("content")])
     scored = first.join(content, "url", "left").withColumn("s", score_ir_candidate())
     return scored.select("site", "n", "url", "text", "method", "s.score", "s.evidence", confidence_class("s.score").alias("confidence"))
 
@@ -279,7 +280,7 @@ def subpage_priority(text="text", href="href") -> Column:
     return F.greatest(F.lit(0), *[F.when(F.contains(hay, F.lit(k)), n) for k, n in SUBPAGE_PRIORITIES])
 
 
-def subpages(ir_anchors: DataFrame) -> DataFrame:
+def subpages(ir_anchors: DataFrame, limit: int | None = None) -> DataFrame:
     """Pages to read after the IR page of a site, best first: ``site, url, visit``.
 
     ``ir_anchors`` are the links of the IR pages with ``site`` and ``page_url``.
@@ -288,31 +289,32 @@ def subpages(ir_anchors: DataFrame) -> DataFrame:
     a = a.where((F.col("priority") > 0) & ~F.endswith(F.lower("href"), F.lit(".pdf")) & (F.col("url") != canonicalize_url("page_url"))
                 & same_domain("page_url", "absolute_url"))
     best = first_per_key(a.select("site", "url", "priority", "pos"), ["site", "url"], [-F.col("priority"), F.col("pos")])
-    return top_per_key(best, ["site"], [F.desc("priority"), F.col("pos")], MAX_SUBPAGES, "visit").select("site", "url", "visit")
+    return top_per_key(best, ["site"], [F.desc("priority"), F.col("pos")], limit, "visit").select("site", "url", "visit")
 
 
-def discover_documents(ir_pages: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Documents of every site: IR page first, then its subpages; unique URLs, best 50.
+def discover_documents(ir_pages: DataFrame, anchors: DataFrame, subpage_limit: int | None = None,
+                       limit: int | None = None) -> DataFrame:
+    """Documents of every site: IR page first, then its subpages; unique URLs, best first, all without limits.
 
     ``ir_pages``: site, url (canonical); ``anchors``: links of all crawled pages with
     ``page`` (canonical URL of the page).  The links are read twice: hand in a written table.
     """
     first = ir_pages.select("site", F.col("url").alias("page"), F.lit(0).alias("visit"))
     ir_anchors = anchors.join(first.select("site", "page"), "page")
-    more = subpages(ir_anchors).select("site", F.col("url").alias("page"), "visit")
+    more = subpages(ir_anchors, subpage_limit).select("site", F.col("url").alias("page"), "visit")
     visits = first.unionByName(more)
     docs = scan_documents_on_page(anchors.join(visits, "page"), ["site", "visit"])
     docs = docs.withColumn("url", canonicalize_url("url"))
     unique = first_per_key(docs, ["site", "url"], [F.col("visit"), F.col("pos")])
-    return _best_documents(unique)
+    return _best_documents(unique, limit)
 
 
-def _best_documents(unique: DataFrame) -> DataFrame:
+def _best_documents(unique: DataFrame, limit: int | None) -> DataFrame:
     priority = F.lit(9)
     for name, n in TYPE_PRIORITY:
         priority = F.when(F.col("doc_type") == name, n).otherwise(priority)
     order = [priority, -F.coalesce("year", F.lit(0)), F.col("visit"), F.col("pos"), F.col("url")]
-    return top_per_key(unique, ["site"], order, MAX_DOCUMENTS, "rank").drop("visit", "pos")
+    return top_per_key(unique, ["site"], order, limit, "rank").drop("visit", "pos")
 
 
 def documents_from_search(sites: DataFrame, results: DataFrame) -> DataFrame:

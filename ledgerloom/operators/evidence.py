@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.context import source_string
@@ -44,11 +44,15 @@ def section_confidence(has_metrics: Column, evidence_count: Column, has_news: Co
     return F.least(F.lit(1.0), F.round(score, 2))
 
 
-def format_evidence(chunks: DataFrame, key: str = "request_id", order: str = "pos") -> DataFrame:
-    """Numbered references of each request's chunks (a retrieval result, so few) as one text."""
+def format_evidence(chunks: DataFrame, key: str = "request_id", order: str = "pos", width: int | None = None) -> DataFrame:
+    """Numbered references of each request's chunks (a retrieval result, so few) as one text.
+
+    ``width`` cuts each chunk to so many characters; without it chunks stay whole.
+    """
+    body = T.strip("text")
     source = source_string(fields=("section",))
     row = F.struct(F.col(order).alias("at"), source.alias("source"), F.coalesce("score", F.lit(0.0)).alias("score"),
-                   F.substring(T.strip("text"), 1, 500).alias("body"))
+                   (body if width is None else F.substring(body, 1, width)).alias("body"))
     g = chunks.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     lines = F.transform("rows", lambda x, i: F.concat(
         F.format_string("  [%d] (", i + 1), x["source"], F.lit(", relevance: "), F.format_string("%.2f", x["score"]),
@@ -56,11 +60,13 @@ def format_evidence(chunks: DataFrame, key: str = "request_id", order: str = "po
     return g.select(key, F.array_join(lines, "\n").alias("text"))
 
 
-def format_news(news: DataFrame, key: str = "request_id", order: str = "pos") -> DataFrame:
-    """First ten news items of each key as a list."""
+def format_news(news: DataFrame, key: str = "request_id", order: str = "pos", limit: int | None = None,
+                width: int | None = None) -> DataFrame:
+    """News items of each key as a list: the first ``limit`` with summaries of ``width`` characters, or all and whole."""
     from ledgerloom.operators.ordered import top_per_key
-    first = top_per_key(news, [key], [F.col(order)], 10, "_rn")
-    summary = F.substring(F.coalesce("summary", F.lit("")), 1, 200)
+    first = top_per_key(news, [key], [F.col(order)], limit, "_rn")
+    summary = F.coalesce("summary", F.lit(""))
+    summary = summary if width is None else F.substring(summary, 1, width)
     line = F.concat(F.lit("  - "), F.coalesce("title", F.lit("Untitled")), F.lit(" ("), F.coalesce("date", F.lit("")), F.lit(")"),
                     F.when(summary != "", F.concat(F.lit("\n    "), summary)).otherwise(""))
     g = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_rn"), line.alias("line")))).alias("l"))
@@ -166,8 +172,11 @@ def revise_report(sections: DataFrame, verified: DataFrame) -> DataFrame:
     """Sections with a disclaimer and lower confidence where claims stayed unverified."""
     bad = (verified.where(F.col("verification") == "unverified")
            .groupBy("report_id", F.col("section").alias("section_key")).agg(F.count(F.lit(1)).alias("n_unverified")))
-    notes = bad.groupBy("report_id").agg(F.sum("n_unverified").alias("_claims"), F.count(F.lit(1)).alias("_sections"))
-    out = sections.join(bad, ["report_id", "section_key"], "left").join(notes, "report_id", "left")
+    # One row per report and section: the totals of a report are a window over few rows, so the verdicts are taken once.
+    whole = Window.partitionBy("report_id")
+    bad = bad.withColumns({"_claims": F.sum("n_unverified").over(whole), "_sections": F.count(F.lit(1)).over(whole)})
+    totals = sections.join(bad, ["report_id", "section_key"], "left")
+    out = totals.withColumns({c: F.max(c).over(whole) for c in ("_claims", "_sections")})
     # Fixed value: the wording of the disclaimer.
     disclaimer = F.concat(
         F.lit("\n\n*Note: "), "n_unverified",

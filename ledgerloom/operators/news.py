@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators.ordered import first_per_key, top_per_key
 
-NEWS_LIMIT = 40
 MIN_FOCUSED = 4
 # Name words that say nothing about a company; group order of the origins.
 NAME_SKIP = ("class", "group", "inc", "corp", "ltd", "limited", "the", "and", "company")
@@ -22,8 +21,8 @@ def group_no(origin="origin") -> Column:
     return F.array_position(F.array(*[F.lit(g) for g in GROUP_ORDER]), T.col(origin)).cast("int")
 
 
-def merge_news(items: DataFrame, keys: list[str], pos: str = "pos", limit: int = NEWS_LIMIT) -> DataFrame:
-    """First of each normalised title in (origin, position) order, newest first, at most ``limit``.
+def merge_news(items: DataFrame, keys: list[str], pos: str = "pos", limit: int | None = None) -> DataFrame:
+    """First of each normalised title in (origin, position) order, newest first, the first ``limit`` or all.
 
     The first occurrence is an aggregate and the limit a top-k, so one company or title
     with very many items is reduced before the shuffle.
@@ -59,22 +58,22 @@ def company_query(companies: DataFrame) -> DataFrame:
                     market.alias("market"))
 
 
-def collect_company_news(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def collect_company_news(items: DataFrame, keys: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """News per company: relevant ones only, when there are at least four of them.
 
     Items carry ``ticker`` and ``name``.  The search origin is filtered before merging.
     """
     keys = keys or ["ticker", "name"]
     wanted = items.where((F.col("origin") != "yahoo") | is_relevant())
-    merged = merge_news(wanted, keys).withColumn("relevant", is_relevant())
+    merged = merge_news(wanted, keys, limit=limit).withColumn("relevant", is_relevant())
     n = F.count_if("relevant").over(Window.partitionBy(*keys))
     focused = merged.withColumn("_n", n).where((F.col("_n") < MIN_FOCUSED) | F.col("relevant")).drop("_n")
     return focused.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
 
 
-def collect_market_news(items: DataFrame) -> DataFrame:
+def collect_market_news(items: DataFrame, limit: int | None = None) -> DataFrame:
     """News per market; the search origin counts for the US only."""
-    return merge_news(items.where((F.col("origin") != "yahoo") | (F.col("market") == "US")), ["market"])
+    return merge_news(items.where((F.col("origin") != "yahoo") | (F.col("market") == "US")), ["market"], limit=limit)
 
 
 def news_sources(news: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,15 +29,16 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
             .select(*keys, "_row.*"))
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | None,
                 out: str = "rn") -> DataFrame:
-    """First ``k`` rows of each key.
+    """First ``k`` rows of each key, or all of them, numbered, if ``k`` is None.
 
     The filter on row_number lets Spark cut each input partition to ``k`` rows
     per key before the shuffle, so a hot key never travels whole.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    ranked = df.withColumn(out, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(out) <= k)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank",

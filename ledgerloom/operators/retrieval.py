@@ -290,11 +290,11 @@ def filters_applied(queries: DataFrame) -> Column:
     return F.concat_ws(";", *pairs)
 
 
-def multi_query_retrieve(plans: DataFrame, vectors: DataFrame, embed, max_queries: int = 6,
+def multi_query_retrieve(plans: DataFrame, vectors: DataFrame, embed, max_queries: int | None = None,
                          top_k: int = 5) -> DataFrame:
-    """Hits for the first planned queries of each request, first occurrence of a chunk wins."""
+    """The ``top_k`` hits of each planned query (the first ``max_queries`` or all) of each request, first occurrence of a chunk wins."""
     q = (plans.select("request_id", F.try_element_at("companies", F.lit(1)).alias("company"),
-                      F.posexplode(F.slice("retrieval_queries", 1, max_queries)).alias("pos", "query"))
+                      F.posexplode("retrieval_queries" if max_queries is None else F.slice("retrieval_queries", 1, max_queries)).alias("pos", "query"))
          .select(F.concat_ws("#", "request_id", F.format_string("%02d", "pos")).alias("query_id"), "company",
                  embed(F.col("query")).alias("query_vector")))
     hits = retrieve(q.where(F.size("query_vector") > 0), vectors, top_k)

@@ -36,9 +36,9 @@ SUBMISSIONS = """filings struct<recent:struct<form:array<string>,filingDate:arra
   accessionNumber:array<string>,primaryDocument:array<string>,primaryDocDescription:array<string>>>"""
 
 
-def flatten_submissions(raw: DataFrame, forms: tuple[str, ...] = tuple(FORM_TYPES), limit: int = 10,
+def flatten_submissions(raw: DataFrame, forms: tuple[str, ...] = tuple(FORM_TYPES), limit: int | None = None,
                         order: tuple[str, ...] = ("file_no",), c: str = "json") -> DataFrame:
-    """Filing rows from column arrays: the first ``limit`` of each form per CIK in source order."""
+    """Filing rows from column arrays: the first ``limit``, or all, of each form per CIK in source order."""
     r = raw.select("cik", *order, F.from_json(c, SUBMISSIONS)["filings"]["recent"].alias("r"))
     zipped = F.arrays_zip(*[F.col(f"r.{n}").alias(n) for n in (
         "form", "filingDate", "reportDate", "accessionNumber", "primaryDocument", "primaryDocDescription")])
@@ -53,11 +53,11 @@ def flatten_submissions(raw: DataFrame, forms: tuple[str, ...] = tuple(FORM_TYPE
         F.coalesce(F.try_element_at(mapping, "form"), F.lit("announcement")).alias("doc_type"))
 
 
-def annual_filings(raw: DataFrame, limit: int = 5, **kw) -> DataFrame:
+def annual_filings(raw: DataFrame, limit: int | None = None, **kw) -> DataFrame:
     return flatten_submissions(raw, ANNUAL_FORMS, limit, **kw)
 
 
-def quarterly_filings(raw: DataFrame, limit: int = 8, **kw) -> DataFrame:
+def quarterly_filings(raw: DataFrame, limit: int | None = None, **kw) -> DataFrame:
     return flatten_submissions(raw, QUARTERLY_FORMS, limit, **kw)
 
 
@@ -76,14 +76,14 @@ ANNOUNCEMENTS = """Table array<struct<NEWSID:string,HEADLINE:string,NEWSSUB:stri
   PDFFLAG:string,DissemDT:string,DT_TM:string,NEWS_DT:string>>, Table1 array<struct<ROWCNT:bigint>>"""
 
 
-def load_announcements(raw: DataFrame, max_pages: int = 6, c: str = "json") -> DataFrame:
+def load_announcements(raw: DataFrame, max_pages: int | None = None, c: str = "json") -> DataFrame:
     """Rows of the announcement pages a reader would ask for.
 
     A page is read while every page before it had rows and their total stayed below
-    the row count that page stated.  Only ``max_pages`` page rows per company matter.
+    the row count that page stated; with ``max_pages`` only so many are asked for.
     """
     from pyspark.sql import Window
-    p = (raw.where(F.col("page") <= max_pages)
+    p = ((raw if max_pages is None else raw.where(F.col("page") <= max_pages))
          .select("scrip", "page", F.from_json(c, ANNOUNCEMENTS).alias("j"))
          .select("scrip", "page", F.coalesce("j.Table", F.array()).alias("rows"), F.try_element_at("j.Table1", F.lit(1))["ROWCNT"].alias("stated")))
     p = p.withColumn("n", F.size("rows"))
@@ -99,7 +99,7 @@ _HIT = (r"(?is)liclick\('(\d+)','([^']+)'\).*?<strong>([^<]*)</strong>&nbsp;&nbs
 _HIT_SHORT = r"(?is)liclick\('(\d+)','([^']+)'\)"
 
 
-def parse_company_search(raw: DataFrame, limit: int = 12, c: str = "html") -> DataFrame:
+def parse_company_search(raw: DataFrame, limit: int | None = None, c: str = "html") -> DataFrame:
     """Companies in search answers: ``query, rank, code, name, symbol, isin``."""
     def found(pattern, groups):
         return F.arrays_zip(*[F.regexp_extract_all(T.col(c), F.lit(pattern), F.lit(g)).alias(n) for g, n in groups])
