@@ -125,13 +125,13 @@ def load_cik_reference(spark, folder):
 
 @query("resolve_cik", f"WITH {CIK_SQL}, t AS (SELECT c_custkey, 'S' || (c_custkey % 300) AS ticker FROM customer) SELECT c_custkey, t.ticker, cik, name, cik IS NOT NULL AS found FROM t LEFT JOIN ck USING (ticker)")
 def resolve_cik(spark, folder):
-    asked = table(spark, folder, "customer").selectExpr("c_custkey", "concat(' s', c_custkey % 300) AS ticker")
+    asked = table(spark, folder, "customer").selectExpr("c_custkey", "if(c_custkey % 11 = 0, ' ', concat(' s', c_custkey % 300)) AS ticker")
     return S.resolve_cik(asked, S.load_cik_reference(cik_reference(spark, folder))).select("c_custkey", "ticker", "cik", "name", "found")
 
 
-@query("exchange_route", f"WITH {CIK_SQL}, t AS (SELECT c_custkey, 'S' || (c_custkey % 300) AS ticker FROM customer) SELECT c_custkey, CASE WHEN cik IS NOT NULL THEN 'us' ELSE 'in' END AS exchange_group FROM t LEFT JOIN ck USING (ticker)")
+@query("exchange_route", f"WITH {CIK_SQL}, t AS (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN 'S' || (c_custkey % 300) END AS ticker FROM customer) SELECT c_custkey, CASE WHEN ticker IS NULL THEN 'unknown' WHEN cik IS NOT NULL THEN 'us' ELSE 'in' END AS exchange_group FROM t LEFT JOIN ck USING (ticker)")
 def exchange_route(spark, folder):
-    asked = table(spark, folder, "customer").selectExpr("c_custkey", "concat(' s', c_custkey % 300) AS ticker")
+    asked = table(spark, folder, "customer").selectExpr("c_custkey", "if(c_custkey % 11 = 0, ' ', concat(' s', c_custkey % 300)) AS ticker")
     return U.exchange_route(asked, S.load_cik_reference(cik_reference(spark, folder))).select("c_custkey", "exchange_group")
 
 

@@ -145,22 +145,29 @@ def multi_query_retrieve(spark, folder):
 
 
 @query("assemble_evidence", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw),
-nn AS (SELECT request_id, count(*) AS news FROM pc JOIN nr USING (ticker) GROUP BY 1),
-ev AS (SELECT CAST(doc_id // 7 AS VARCHAR) AS k, doc_id FROM documents),
+nn AS (SELECT request_id, count(*) AS news, md5(string_agg(pos || ':' || news_pos || ':' || md5(title), ',' ORDER BY pos, news_pos)) AS news_digest FROM pc JOIN nr USING (ticker) GROUP BY 1),
+ch AS (SELECT request_id, count(*) AS retrieved, md5(string_agg(doc_id % 2 || ':' || md5(text), ',' ORDER BY doc_id % 2)) AS chunk_digest
+ FROM pl JOIN documents ON doc_id // 2 = CAST(regexp_extract(request_id, '^R(\\d+)', 1) AS BIGINT) GROUP BY 1),
 base AS (SELECT request_id, request_type, coalesce(companies[1], 'UNKNOWN') AS ticker FROM pl)
 SELECT b.request_id, b.request_type, b.ticker, coalesce(s.s_name, b.ticker) AS name, coalesce('N' || CAST(s.s_nationkey AS VARCHAR), 'Unknown') AS sector,
- c.computed, round(c.share_price, 4) AS current_price, coalesce(nn.news, 0) AS news
+ c.computed, round(c.share_price, 4) AS current_price, coalesce(nn.news, 0) AS news, nn.news_digest,
+ coalesce(ch.retrieved, 0) AS retrieved, ch.chunk_digest
 FROM base b LEFT JOIN (SELECT *, {TICKER_SQL.format('s_suppkey')} AS tk FROM supplier) s ON s.tk = b.ticker
-LEFT JOIN cnt c ON c.ticker = b.ticker LEFT JOIN nn ON nn.request_id = b.request_id""")
+LEFT JOIN cnt c ON c.ticker = b.ticker LEFT JOIN nn ON nn.request_id = b.request_id LEFT JOIN ch ON ch.request_id = b.request_id""")
 def assemble_evidence(spark, folder):
     made = plans(spark, folder)
     info = table(spark, folder, "supplier").select(
         F.expr(TICKER.format("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("sector"))
-    chunks = E.evidence_buckets(evidence_chunks(spark, folder)).withColumnRenamed("report_id", "request_id")
+    # Retrieved for a request: the two documents numbered by its conversation.
+    found = table(spark, folder, "documents").selectExpr("doc_id div 2 AS conv", "cast(doc_id % 2 as int) AS pos", "text", "lang AS section", "(doc_id % 100) / 100D AS score")
+    asked = made.select("request_id", F.regexp_extract("request_id", r"^R(\d+)", 1).cast("long").alias("conv"))
+    chunks = asked.join(found, "conv").drop("conv")
     out = P.assemble_evidence(made, info, engine(spark, folder), P.gather_market(made, snapshots(spark, folder)), chunks,
                               P.gather_news(made, company_news(spark, folder)))
     return out.select("request_id", "request_type", "ticker", "name", "sector", "computed",
-                      F.round("current_price", 4).alias("current_price"), "news")
+                      F.round("current_price", 4).alias("current_price"), "news",
+                      F.md5(F.array_join(F.transform("news_items", lambda n: F.concat_ws(":", n["pos"], n["news_pos"], F.md5(n["title"]))), ",")).alias("news_digest"),
+                      "retrieved", F.md5(F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["pos"], F.md5(c["text"]))), ",")).alias("chunk_digest"))
 
 
 # --- reports --------------------------------------------------------------------

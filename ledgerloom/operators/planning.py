@@ -120,11 +120,17 @@ def assemble_evidence(plans: DataFrame, companies: DataFrame, engine: DataFrame,
     """Evidence package per request around its first company.
 
     ``companies`` has ticker, name, sector; ``engine`` and ``market`` one row per
-    planned company; ``chunks`` and ``news`` one row per item.
+    planned company; ``chunks`` (request_id, pos, ...) and ``news`` (request_id, pos,
+    news_pos, ...) one row per item.  The package holds the items themselves, as arrays of
+    structs in their order: what was retrieved for one request, so bounded by its top-k.
     """
     base = plans.select("request_id", "request_type", F.coalesce(F.try_element_at("companies", F.lit(1)), F.lit("UNKNOWN")).alias("ticker"))
-    n_chunks = chunks.groupBy("request_id").agg(F.count(F.lit(1)).alias("retrieved"))
-    n_news = news.groupBy("request_id").agg(F.count(F.lit(1)).alias("news"))
+    def items(rows, order, name):
+        rest = [c for c in rows.columns if c not in ("request_id", *order)]
+        return rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
+
+    n_chunks = items(chunks, ["pos"], "chunks").withColumn("retrieved", F.size("chunks").cast("long"))
+    n_news = items(news, ["pos", "news_pos"], "news_items").withColumn("news", F.size("news_items").cast("long"))
     main = engine.where("pos = 0").drop("pos", "ticker", "error")
     price = market.where("pos = 0").select("request_id", "current_price", "market_cap")
     info = companies.select("ticker", "name", "sector")

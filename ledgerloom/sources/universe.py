@@ -89,7 +89,7 @@ def resolve_ticker(rows: DataFrame, known: DataFrame, ticker: str = "ticker") ->
 
 
 def exchange_route(rows: DataFrame, cik: DataFrame, ticker: str = "ticker") -> DataFrame:
-    """Adds ``exchange_group``: us when in the CIK reference, else in."""
+    """Adds ``exchange_group``: us when in the CIK reference, else in; unknown without a ticker to look up."""
     ref = cik.select(F.upper("ticker").alias("_t"), F.lit(True).alias("_us")).distinct()
     r = rows.withColumn("_t", F.upper(T.strip(ticker))).join(ref, "_t", "left")
-    return r.withColumn("exchange_group", F.when(F.col("_us"), "us").otherwise("in")).drop("_t", "_us")
+    return r.withColumn("exchange_group", F.when(F.coalesce(F.col("_t"), F.lit("")) == "", "unknown").when(F.col("_us"), "us").otherwise("in")).drop("_t", "_us")
