@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.components import components
 from ledgerloom.session import materialize
@@ -69,17 +70,18 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and the columns to carry."""
+    own = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(len(own))
             prints = np.array([fingerprint(texts[i].as_py(), width) for i in range(len(texts))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*own, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("fp", T.LongType())])
+    return docs.select(*own, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _mask(bits: set[int]) -> int:
@@ -173,12 +175,12 @@ def links(prints: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     return _links(short, ["block", "key"]).unionByName(_links(long, ["tag", "key"]))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIST_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable through links of at most DISTANCE bits)."""
-    stored = materialize(fingerprints(docs, width), "fingerprints")
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, limit: int = LIST_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable through links of at most DISTANCE bits), root (a fingerprint that names the component), carry."""
+    stored = materialize(fingerprints(docs, width, carry), "fingerprints")
     first = stored.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(first.select("fp"), limit))
     named = first.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
-    return stored.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(smallest, "root").select("fp", "component_id", "root")
+    return stored.join(classes, "fp").select("doc_id", "fp", "component_id", "root", *carry)
