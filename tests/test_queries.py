@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from ledgerloom import catalog
 from ledgerloom.tables import NAMES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
