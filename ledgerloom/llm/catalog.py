@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, chat, decontam, packing, pii, quality, repeats, sharding, simhash, warc
+from ledgerloom.llm import ann, chat, decontam, packing, pii, quality, repeats, sharding, simhash, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": sql.CHAT, "op4_decontamination": sql.DECONTAMINATION, "op8_nearest": sql.NEAREST}
