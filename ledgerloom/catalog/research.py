@@ -192,11 +192,11 @@ def evidence_chunks(spark, folder):
     return table(spark, folder, "documents").selectExpr(
         "if(doc_id < 7, 1, doc_id div 7 - 1) AS report_id", "cast(if(doc_id < 7, doc_id + 7, doc_id % 7) as int) AS pos", "text", "lang AS section",
         "cast(doc_id % 4 as int) AS page_start", "cast(doc_id % 4 + doc_id % 2 as int) AS page_end",
-        "(doc_id % 100) / 100D AS score", "source AS company")
+        "(doc_id % 100) / 100D AS score", "source AS company", "concat('C', doc_id) AS chunk_id")
 
 
 EVIDENCE_SQL = """ec AS (SELECT CASE WHEN doc_id < 7 THEN 1 ELSE doc_id // 7 - 1 END AS report_id, CASE WHEN doc_id < 7 THEN doc_id + 7 ELSE doc_id % 7 END AS pos, text, lang AS section, CAST(doc_id % 4 AS INTEGER) AS page_start,
- CAST(doc_id % 4 + doc_id % 2 AS INTEGER) AS page_end, (doc_id % 100) / 100::DOUBLE AS score FROM documents)"""
+ CAST(doc_id % 4 + doc_id % 2 AS INTEGER) AS page_end, (doc_id % 100) / 100::DOUBLE AS score, 'C' || doc_id AS chunk_id FROM documents)"""
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
 # A boundary is marked first, because the SQL side has no look-around.
 SENTENCE_SQL = rf"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(content, '\*\*([^*]+)\*\*', '\1', 'g'),
@@ -313,6 +313,10 @@ sr AS (SELECT rs.report_id, rs.section_key, coalesce(nullif(n, 0), retrieved, 0)
  FROM rs LEFT JOIN bc USING (report_id, section_key) LEFT JOIN fc USING (report_id))"""
 
 
+SOURCE_SQL = """coalesce(nullif(concat_ws(', ', nullif(section, ''), CASE WHEN page_start <> 0 THEN CASE WHEN page_end <> page_start AND page_end <> 0
+ THEN 'Pages ' || page_start || '–' || page_end ELSE 'Page ' || page_start END END), ''), 'Unknown source')"""
+
+
 def section_rows(spark, folder):
     chunks = evidence_chunks(spark, folder)
     counts = E.evidence_buckets(chunks).groupBy("report_id", F.col("bucket").alias("section_key")).agg(F.count(F.lit(1)).alias("n"))
@@ -327,10 +331,12 @@ def section_confidence(spark, folder):
     return section_rows(spark, folder).select("report_id", "section_key", "evidence_count", "confidence")
 
 
-@query("report_rollup", f"""WITH {FACTS_SQL} SELECT report_id, count(*) AS sections_generated, CAST(0 AS BIGINT) AS sections_failed,
- CAST(sum(evidence_count) AS BIGINT) AS evidence_total, round(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100, 2) AS overall_confidence FROM sr GROUP BY report_id""")
+@query("report_rollup", f"""WITH {FACTS_SQL}, ci AS (SELECT report_id, md5(string_agg(pos || ':' || {SOURCE_SQL} || ':' || chunk_id, ',' ORDER BY pos)) AS citations FROM ec GROUP BY report_id) SELECT report_id, count(*) AS sections_generated, CAST(0 AS BIGINT) AS sections_failed,
+ CAST(sum(evidence_count) AS BIGINT) AS evidence_total, round(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100, 2) AS overall_confidence, any_value(citations) AS citations FROM sr LEFT JOIN ci USING (report_id) GROUP BY report_id""")
 def report_rollup(spark, folder):
-    return R.report_rollup(section_rows(spark, folder))
+    out = R.report_rollup(section_rows(spark, folder), evidence_chunks(spark, folder))
+    cited = F.transform("citations", lambda c: F.concat_ws(":", c["pos"], c["source"], c["chunk_id"]))
+    return out.withColumn("citations", F.md5(F.array_join(cited, ",")))
 
 
 @query("format_evidence", f"""WITH {EVIDENCE_SQL}, t AS (SELECT report_id, pos, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS i,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.operators.context import source_string
 from ledgerloom.operators.evidence import section_confidence
 from ledgerloom.operators.ordered import last_per_key, rank_within
 
@@ -40,15 +41,23 @@ def section_rows(sections: DataFrame, bucket_counts: DataFrame, report_facts: Da
         ok.alias("generated"))
 
 
-def report_rollup(rows: DataFrame) -> DataFrame:
-    """Per report: sections generated and failed, and the mean confidence of the generated ones."""
+def report_rollup(rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """Per report: sections generated and failed, and the mean confidence of the generated ones.
+
+    With ``chunks`` (report_id, pos, chunk_id and the fields of a source) also ``citations``: position,
+    source string and chunk of everything retrieved for the report, in order.
+    """
     # Confidences have two decimals; whole hundredths make the mean independent of row order.
     hundredths = F.when(F.col("generated"), F.round(F.col("confidence") * 100).cast("long"))
     mean = F.try_divide(F.sum(hundredths), F.count(hundredths)) / 100
-    return rows.groupBy("report_id").agg(
+    out = rows.groupBy("report_id").agg(
         F.count_if("generated").alias("sections_generated"), F.count_if(~F.col("generated")).alias("sections_failed"),
         F.sum("evidence_count").alias("evidence_total"),
         F.coalesce(F.round(mean, 2), F.lit(0.0)).alias("overall_confidence"))
+    if chunks is None:
+        return out
+    cited = F.struct("pos", source_string(fields=("section",)).alias("source"), "chunk_id")
+    return out.join(chunks.groupBy("report_id").agg(F.array_sort(F.collect_list(cited)).alias("citations")), "report_id", "left")
 
 
 def layout(spark) -> DataFrame:

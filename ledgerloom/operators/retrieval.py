@@ -180,17 +180,15 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
     slim = pool.select("chunk_id", "embedding", *FILTERS)
     id_type = q.schema["query_id"].dataType.simpleString()
     blocks = max(1, math.ceil(size["n"] * (size["dim"] * 8 + 256) / block_bytes))
-    found, pending, searched = None, 0, set()
+    found, pending = None, 0
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         block = part.toPandas()
         if block.empty:
             continue
         rows = slim
-        companies = block["company"].dropna().unique().tolist()
-        if not size["open"] and len(companies) <= 500:
-            rows = rows.where(F.col("company").isin(companies))
-            searched.update(companies)
+        if not size["open"]:
+            rows = rows.join(part.select("company").distinct(), "company", "left_semi").select(slim.columns)
         hits = rows.mapInArrow(_score_batches(block, top_k), f"query_id {id_type}, chunk_id string, raw double")
         if pending == BLOCKS_PER_JOB:
             # Keeps the plan small when the query table is very large.
@@ -204,8 +202,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
     if min_score > 0:
         scored = scored.where(F.col("score") >= min_score)
     payload = vectors.select(*HIT_COLUMNS)
-    if not size["open"] and 0 < len(searched) <= 500:
-        payload = payload.where(F.col("company").isin(sorted(searched)))
+    if not size["open"]:
+        payload = payload.join(q.select("company").distinct(), "company", "left_semi")
     return scored.join(payload, "chunk_id").select("query_id", "rank", "score", *HIT_COLUMNS)
 
 
