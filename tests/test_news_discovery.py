@@ -62,10 +62,12 @@ def test_company_news(spark):
     assert got == {"INFY.NS": [("Infosys item 3", "bing"), ("Infosys item 2", "bing"), ("INFOSYS item 1!", "google-news"), ("Infosys item 0", "bing")], "X": [("only one", "bing")]}
 
 
-def test_merge_keeps_forty(spark):
+def test_merge_keeps_all_without_a_limit(spark):
     rows = [("A", "", f"title {i}", "", "bing", "US", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i) for i in range(100)]
-    got = N.merge_news(spark.createDataFrame(rows, ITEM), ["ticker"]).orderBy("rank").collect()
-    assert [r.pos for r in got] == list(range(99, 59, -1))
+    items = spark.createDataFrame(rows, ITEM)
+    for limit, last in ((None, -1), (40, 59)):
+        got = N.merge_news(items, ["ticker"], limit=limit).orderBy("rank").collect()
+        assert [r.pos for r in got] == list(range(99, last, -1))
 
 
 def test_urls(spark):

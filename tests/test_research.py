@@ -86,8 +86,9 @@ def test_formats(spark):
     assert E.format_evidence(chunks).first().text == (
         "  [1] (Risk, Pages 4–6, relevance: 0.88)\n      First\n\n  [2] (Unknown source, relevance: 0.50)\n      Second\n")
     news = spark.createDataFrame([("r", i, f"T{i}", "d", "s" * 300 if i == 0 else "") for i in range(12)], "request_id string, pos int, title string, date string, summary string")
-    lines = E.format_news(news).first().text.split("\n")
-    assert lines[0] == "  - T0 (d)" and lines[1] == "    " + "s" * 200 and len(lines) == 11
+    for limit, width in ((None, None), (10, 200)):
+        lines = E.format_news(news, limit=limit, width=width).first().text.split("\n")
+        assert lines[0] == "  - T0 (d)" and lines[1] == "    " + "s" * (width or 300) and len(lines) == (limit or 12) + 1
 
 
 def test_plain_numbers(spark):
