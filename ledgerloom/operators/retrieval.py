@@ -22,6 +22,7 @@ from ledgerloom.operators.ordered import top_per_key
 from ledgerloom.session import materialize
 
 QUERY_BLOCK_BYTES = 32 << 20
+QUERY_SLICE = 512
 BLOCKS_PER_JOB = 16
 FILTERS = ("company", "year", "doc_type", "section", "document_id")
 HIT_COLUMNS = ("chunk_id", "document_id", "company", "year", "doc_type", "section", "subsection",
@@ -116,7 +117,8 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 def _score_batches(block: pd.DataFrame, k: int):
     """mapInArrow function: best k rows per query of one task.
 
-    Queries with the same filters share one mask and one matrix product per batch.
+    Queries with the same filters share one mask per batch; scores are held for QUERY_SLICE
+    queries and one batch of vectors at a time.
     """
     groups = []
     wanted = block[list(FILTERS)].astype(object).where(block[list(FILTERS)].notna(), None)
@@ -147,11 +149,13 @@ def _score_batches(block: pd.DataFrame, k: int):
                     rows = np.flatnonzero(mask)
                     if not len(rows):
                         continue
-                scores = matrix @ v[rows].T
-                names, tops = chunk_ids[rows], scores.max(axis=1)
-                for i, q in enumerate(index):
-                    if tops[i] >= best[q].floor():
-                        best[q].offer(scores[i], names)
+                names = chunk_ids[rows]
+                for first in range(0, len(index), QUERY_SLICE):
+                    scores = matrix[first:first + QUERY_SLICE] @ v[rows].T
+                    tops = scores.max(axis=1)
+                    for i, q in enumerate(index[first:first + QUERY_SLICE]):
+                        if tops[i] >= best[q].floor():
+                            best[q].offer(scores[i], names)
         found = [(ids[q], c, s) for q, held in enumerate(best) for c, s in zip(held.ids.tolist(), held.scores.tolist())]
         if found:
             query_ids, names, raw = zip(*found)
@@ -170,6 +174,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
     spark = vectors.sparkSession
     q = normalized_filters(queries).select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"),
                                            *FILTERS)
+    # Read for their number, for every block and for the companies asked for: computed once.
+    q = materialize(q, "queries")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("dim"),
                  F.count_if(F.col("company").isNull()).alias("open")).first()
     if not size["n"]:
