@@ -13,14 +13,11 @@ from ledgerloom.functions import text as T
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 # Query parameters that only track the visit.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "ref")
-# Two-label public suffixes; others end in one label.
-TWO_LABEL_SUFFIXES = (
-    "co.in", "net.in", "org.in", "gov.in", "ac.in", "firm.in", "gen.in", "ind.in", "co.uk", "org.uk", "gov.uk", "ac.uk", "ltd.uk",
-    "plc.uk", "me.uk", "com.au", "net.au", "org.au", "gov.au", "edu.au", "co.nz", "org.nz", "net.nz", "govt.nz", "co.jp", "ne.jp",
-    "or.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "com.cn", "net.cn", "org.cn", "gov.cn", "com.hk", "org.hk", "com.sg", "org.sg",
-    "com.br", "net.br", "org.br", "gov.br", "com.mx", "org.mx", "com.ar", "com.tr", "com.tw", "org.tw", "co.za", "org.za", "co.il",
-    "com.my", "com.ph", "com.pk", "com.bd", "com.np", "com.lk", "co.th", "or.th", "co.id", "or.id", "com.vn", "com.ua", "com.sa", "com.eg",
-)
+# A country label behind one of these general labels is a public suffix of two labels everywhere.
+_GENERAL = "com|co|net|ne|org|or|gov|govt|gob|gouv|go|edu|ac|mil"
+_COUNTRY_SUFFIX = rf"^(?:{_GENERAL})\.[a-z]{{2}}$"
+# Further two-label public suffixes; others end in one label.
+TWO_LABEL_SUFFIXES = ("firm.in", "gen.in", "ind.in", "ltd.uk", "plc.uk", "me.uk")
 
 
 def part(url, i: int) -> Column:
@@ -67,7 +64,7 @@ def registrable_domain(url) -> Column:
     """Public suffix and the label before it."""
     h = F.regexp_replace(F.when(part(url, 2) != "", host(url)).otherwise(F.lower(F.regexp_extract(T.col(url), "^([^/?#:]*)", 1))), r"\.$", "")
     two = F.substring_index(h, ".", -2)
-    wide = two.isin(*TWO_LABEL_SUFFIXES) & (h != two)
+    wide = (two.isin(*TWO_LABEL_SUFFIXES) | two.rlike(_COUNTRY_SUFFIX)) & (h != two)
     return F.when(~F.contains(h, F.lit(".")), F.concat(h, F.lit("."))).when(wide, F.substring_index(h, ".", -3)).otherwise(two)
 
 

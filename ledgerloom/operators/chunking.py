@@ -89,30 +89,25 @@ def _page_blocks(c) -> Column:
                 .when(_looks_tabular(x["s"]), "table").otherwise("paragraph"))
         return F.struct(kind.alias("kind"), _of_rule(x["rule"], 0, 0).alias("level"), x["s"].alias("s"))
 
-    lines = F.transform(ruled, classify)
-    block = "struct<kind:string,level:int,text:string>"
-    start = F.struct(
-        F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast("string").alias("kind"),
-        F.lit(0).alias("level"), F.array().cast("array<string>").alias("lines"),
-        F.lit(None).cast("string").alias("head"), F.lit(None).cast("string").alias("tail"))
-
-    def closed(acc):
-        made = F.struct(acc["kind"].alias("kind"), acc["level"].alias("level"),
-                        F.array_join(acc["lines"], "\n").alias("text"))
-        return F.when(F.size(acc["lines"]) > 0, F.concat(acc["done"], F.array(made))).otherwise(acc["done"])
-
-    def step(acc, x):
-        grows = (x["kind"] == acc["kind"]) & x["kind"].isin("table", "paragraph")
-        grows = F.coalesce(grows, F.lit(False))
-        fresh = F.when(x["kind"] == "blank", F.array().cast("array<string>")).otherwise(F.array(x["s"]))
-        return F.struct(
-            F.when(grows, acc["done"]).otherwise(closed(acc)).alias("done"),
-            x["kind"].alias("kind"), F.when(x["kind"] == "heading", x["level"]).otherwise(F.lit(0)).alias("level"),
-            F.when(grows, F.concat(acc["lines"], F.array(x["s"]))).otherwise(fresh).alias("lines"),
-            F.coalesce(acc["head"], x["kind"]).alias("head"), x["kind"].alias("tail"))
-
-    return F.aggregate(lines, start, step, lambda acc: F.struct(
-        closed(acc).alias("blocks"), acc["head"].alias("head"), acc["tail"].alias("tail")))
+    def begins(b, i):
+        """Whether a block begins at line i: everything but a run of table rows or of paragraph lines."""
+        same = F.get(b["l"], i)["kind"] == F.get(b["l"], i - 1)["kind"]
+        return (i == 0) | ~same | ~F.get(b["l"], i)["kind"].isin("table", "paragraph")
+
+    def block(b, start, n):
+        end = F.coalesce(F.get(b["starts"], n + 1), F.size(b["l"]))
+        first = F.get(b["l"], start)
+        texts = F.transform(F.slice(b["l"], start + 1, end - start), lambda x: x["s"])
+        return F.struct(first["kind"].alias("kind"), F.when(first["kind"] == "heading", first["level"]).otherwise(F.lit(0)).alias("level"),
+                        F.array_join(texts, "\n").alias("text"))
+
+    # Bound in an array of one element: the lines are worked out once, and each is copied once into its block.
+    bound = F.transform(F.array(F.transform(ruled, classify)), lambda ls: F.struct(ls.alias("l")))
+    bound = F.transform(bound, lambda b: F.struct(b["l"].alias("l"), F.filter(
+        F.sequence(F.lit(0), F.size(b["l"]) - 1), lambda i: begins(b, i)).alias("starts")))
+    return F.transform(bound, lambda b: F.struct(
+        F.filter(F.transform(b["starts"], lambda start, n: block(b, start, n)), lambda x: x["kind"] != "blank").alias("blocks"),
+        F.get(b["l"], F.lit(0))["kind"].alias("head"), F.get(b["l"], F.size(b["l"]) - 1)["kind"].alias("tail")))[0]
 
 
 def page_blocks(pages: DataFrame, text: str = "clean_text") -> DataFrame:
@@ -510,5 +505,6 @@ def chunk_summary(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
              .groupBy("document_id", "text").agg(F.min("block_no").alias("at")))
     return totals.join(
         heads.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_sections"),
-                                         F.min_by("text", "at").alias("first_section")),
+                                         F.min_by("text", "at").alias("first_section"),
+                                         F.array_sort(F.collect_list(F.struct("at", "text")))["text"].alias("sections")),
         "document_id", "left")

@@ -18,6 +18,7 @@ CLEANING_VERSION = "v1"
 EDGE_LINES = 3
 REPEAT_SHARE = 0.4
 MIN_PAGES = 5
+FOLD_PIECE = 512
 
 # Line patterns of the cleaning rules.
 ARTIFACT_LINE = (r"(?U)^(?:https?://\S+|http://fasb\.org/.*|http://xbrl\.org/.*|\d{10}|P\d+[YMWD]"
@@ -114,36 +115,65 @@ def fix_broken_lines(c) -> Column:
 
 
 def _join_broken(lines: Column) -> Column:
-    """Fold over the lines (struct of line and trimmed line) of one page.
+    """Lines (struct of line and trimmed line) of one page as one text, cut lines joined.
 
-    The number groups of a joined line add up, because a continuation starts with a
-    letter; so the fold carries a count instead of searching the joined text again.
+    Whether a line continues the one before depends on both lines, and on how many number
+    groups the joined line holds so far (they add up, because a continuation starts with a
+    letter).  Only that last part needs a fold; it carries one digit per line, in pieces of
+    FOLD_PIECE lines, so that the time does not grow with the square of the page.  What a
+    line adds to the text then follows from its own digit and the next one's.
     """
-    counted = F.transform(lines, lambda x: F.struct(
-        x["line"].alias("line"), x["s"].alias("s"), F.regexp_count(x["s"], F.lit(NUMBER_GROUP)).alias("groups"),
-        F.contains(x["s"], F.lit("|")).alias("pipe")))
-
-    def continues(x):
-        return (x["s"].rlike(r"^\p{IsLowercase}") & (x["groups"] < 3) & ~x["pipe"]
-                & ~x["s"].rlike(HEADING_LINE) & ~x["s"].rlike(BULLET_LINE))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"),
-                     F.lit(0).alias("groups"), F.lit(False).alias("pipe"))
+    def facts(x):
+        end = T.rstrip(x["line"])
+        local = (x["s"].rlike(r"^\p{IsLowercase}") & ~F.contains(x["s"], F.lit("|"))
+                 & ~x["s"].rlike(HEADING_LINE) & ~x["s"].rlike(BULLET_LINE))
+        return F.struct(
+            x["line"].alias("line"), x["s"].alias("s"), F.regexp_count(x["s"], F.lit(NUMBER_GROUP)).alias("groups"),
+            local.alias("local"), (~end.rlike(r"[.!?;:]$")).alias("open"),
+            (~F.contains(x["s"], F.lit("|")) & (F.length(x["s"]) >= 20)).alias("base"))
+
+    def flags(b):
+        def flag(x, i):
+            # A line joined before has at least 20 characters and no pipe, whatever its last piece.
+            before = F.get(b["l"], i - 1)
+            return F.struct(F.coalesce(x["local"] & before["open"], F.lit(False)).alias("may"),
+                            F.coalesce(before["base"], F.lit(False)).alias("base"), x["groups"].alias("groups"))
+
+        return F.transform(b["l"], flag)
+
+    start = F.struct(F.lit("").alias("digits"), F.lit(0).alias("groups"), F.lit(False).alias("joined"))
 
     def step(acc, x):
-        cur = T.rstrip(acc["cur"])
-        merge = F.coalesce(
-            ~acc["pipe"] & (acc["groups"] < 3) & continues(x) & (F.length(T.strip(acc["cur"])) >= 20)
-            & ~cur.rlike(r"[.!?;:]$"), F.lit(False))
-        glued = F.when(F.endswith(cur, F.lit("-")), F.concat(F.substring(cur, F.lit(1), F.length(cur) - 1), x["s"])
-                       ).otherwise(F.concat(cur, F.lit(" "), x["s"]))
-        merged = F.struct(acc["done"].alias("done"), glued.alias("cur"), (acc["groups"] + x["groups"]).alias("groups"), acc["pipe"].alias("pipe"))
-        done = F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
-        fresh = F.struct(done.alias("done"), x["line"].alias("cur"), x["groups"].alias("groups"), x["pipe"].alias("pipe"))
-        return F.when(merge, merged).otherwise(fresh)
-
-    return F.aggregate(counted, start, step,
-                       lambda acc: F.array_join(F.concat(acc["done"], F.array(acc["cur"])), "\n"))
+        joins = x["may"] & (acc["joined"] | x["base"]) & (acc["groups"] < 3) & (x["groups"] < 3)
+        return F.struct(F.concat(acc["digits"], F.when(joins, "1").otherwise("0")).alias("digits"),
+                        F.when(joins, acc["groups"] + x["groups"]).otherwise(x["groups"]).alias("groups"), joins.alias("joined"))
+
+    def piece(acc, f):
+        own = F.struct(F.lit("").alias("digits"), acc["groups"].alias("groups"), acc["joined"].alias("joined"))
+        return F.transform(F.array(F.aggregate(f, own, step)), lambda r: F.struct(
+            F.concat(acc["digits"], r["digits"]).alias("digits"), r["groups"].alias("groups"), r["joined"].alias("joined")))[0]
+
+    def pieces(b):
+        at = F.sequence(F.lit(0), ((F.size(b["f"]) - 1) / FOLD_PIECE).cast("int"))
+        return F.transform(at, lambda i: F.slice(b["f"], i * FOLD_PIECE + 1, F.lit(FOLD_PIECE)))
+
+    def added(b):
+        follows = F.concat(F.slice(b["d"], 2, F.size(b["d"])), F.array(F.lit("0")))
+        own = F.zip_with(b["l"], b["d"], lambda x, d: F.when(d == "1", x["s"]).otherwise(x["line"]))
+
+        def cut(text, more):
+            end = T.rstrip(text)
+            glue = F.when(F.endswith(end, F.lit("-")), F.substring(end, F.lit(1), F.length(end) - 1)).otherwise(F.concat(end, F.lit(" ")))
+            return F.when(more == "1", glue).otherwise(F.concat(text, F.lit("\n")))
+
+        return F.zip_with(own, follows, cut)
+
+    # Each step is bound in an array of one element, so that no later one works it out again per line.
+    bound = F.transform(F.array(F.transform(lines, facts)), lambda ls: F.struct(ls.alias("l")))
+    bound = F.transform(bound, lambda b: F.struct(b["l"].alias("l"), flags(b).alias("f")))
+    bound = F.transform(bound, lambda b: F.struct(b["l"].alias("l"), F.split(F.aggregate(pieces(b), start, piece)["digits"], "").alias("d")))
+    text = F.transform(bound, lambda b: F.array_join(added(b), ""))[0]
+    return F.substring(text, F.lit(1), F.length(text) - 1)
 
 
 def normalize_paragraphs(c) -> Column:

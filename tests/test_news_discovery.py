@@ -73,8 +73,9 @@ def test_merge_keeps_all_without_a_limit(spark):
 def test_urls(spark):
     assert each(spark, U.canonicalize_url, ["HTTPS://A.Example/P/?b=2&utm_source=x&a=1&b=3&c=#f", "http://x/", "http://x/a//", "http://x", "/rel/?ref=1", "http://x/p;v=1?q=a%20b"]) == [
         "https://a.example/P?a=1&b=2", "http://x/", "http://x/a", "http://x", "/rel", "http://x/p?q=a b"]
-    assert each(spark, U.registrable_domain, ["https://www.a.co.in/x", "http://b.c.example.com:80", "co.uk", "localhost", "http://U@shop.example.org./"]) == [
-        "a.co.in", "example.com", "co.uk", "localhost.", "example.org"]
+    assert each(spark, U.registrable_domain, ["https://www.a.co.in/x", "http://b.c.example.com:80", "co.uk", "localhost", "http://U@shop.example.org./",
+                                             "https://ir.acme.com.co/a", "x.firm.in", "www.b.co.ke", "com.example.de"]) == [
+        "a.co.in", "example.com", "co.uk", "localhost.", "example.org", "acme.com.co", "x.firm.in", "b.co.ke", "example.de"]
     assert each(spark, D.unwrap_search_url, ["//d/l/?uddg=https%3A%2F%2Fx&target=y", "http://p/?target=z", "http://p"]) == ["https://x", "z", "http://p"]
 
 
