@@ -1,14 +1,14 @@
 """Filtered exact vector retrieval for a whole table of questions.
 
-Scores are matrix products of Arrow batches with a block of query vectors.  A task
-keeps the best ``k`` per query of everything it has seen, so pairs are never emitted;
-the tasks' candidates meet in one top-k per query.  A query block is broadcast only
-up to ``QUERY_BLOCK_BYTES``; a larger query table is cut into blocks of that size.
+Questions and vectors are dealt out by company (questions without one: all vectors) into
+blocks of about ``BLOCK_BYTES``; each block of questions meets each block of vectors of its
+company once, in one task, as matrix products of ``QUERY_SLICE`` questions with a batch of
+vectors.  Such a task keeps the best ``k`` per question, so pairs are never emitted; the
+candidates meet in one top-k per question.  Neither side passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +21,8 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators.ordered import top_per_key
 from ledgerloom.session import materialize
 
-QUERY_BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 32 << 20
 QUERY_SLICE = 512
-BLOCKS_PER_JOB = 16
 FILTERS = ("company", "year", "doc_type", "section", "document_id")
 HIT_COLUMNS = ("chunk_id", "document_id", "company", "year", "doc_type", "section", "subsection",
                "page_start", "page_end", "text", "token_count", "has_heading", "contains_table", "quality_score")
@@ -115,7 +114,7 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _score_batches(block: pd.DataFrame, k: int):
-    """mapInArrow function: best k rows per query of one task.
+    """Function of the vectors' batches: best k rows per query of the block.
 
     Queries with the same filters share one mask per batch; scores are held for QUERY_SLICE
     queries and one batch of vectors at a time.
@@ -164,17 +163,49 @@ def _score_batches(block: pd.DataFrame, k: int):
     return run
 
 
+def _blocked_hits(queries: DataFrame, vectors: DataFrame, top_k: int, block_bytes: int, dim: int, any_open: bool) -> DataFrame:
+    """Best rows per query of every meeting of a block of queries with a block of vectors."""
+    own = F.concat(F.lit("="), "company")
+    sides = vectors.withColumn("_side", F.explode(F.array(own, F.lit("*"))) if any_open else own)
+    q = queries.withColumn("_side", F.coalesce(own, F.lit("*")))
+    rows = max(1, block_bytes // (8 * max(1, dim) + 256))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("_side").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    # One row per company asked for; written, so that the joins below know its size.
+    sizes = materialize(blocks(sides, "_nv").join(blocks(q, "_nq"), "_side"), "block-numbers")
+
+    def dealt(df: DataFrame, key: str, mine: str, others: str) -> DataFrame:
+        own_block = F.pmod(F.xxhash64(key), F.col("_n" + mine)).cast("int")
+        return (df.join(sizes, "_side").withColumn("_" + mine, own_block)
+                .withColumn("_" + others, F.explode(F.sequence(F.lit(0), F.col("_n" + others) - 1))).drop("_nv", "_nq"))
+
+    keys = ["_side", "_v", "_q"]
+    id_type = queries.schema["query_id"].dataType.simpleString()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([right.schema.field("query_id"), pa.field("chunk_id", pa.string()), pa.field("raw", pa.float64())])
+        found = []
+        if left.num_rows and right.num_rows:
+            found = list(_score_batches(right.to_pandas(), top_k)(left.to_batches(max_chunksize=2000)))
+        return pa.concat_tables([pa.Table.from_batches([b]).cast(schema) for b in found]) if found else schema.empty_table()
+
+    return (dealt(sides, "chunk_id", "v", "q").groupBy(*keys).cogroup(dealt(q, "query_id", "q", "v").groupBy(*keys))
+            .applyInArrow(meet, f"query_id {id_type}, chunk_id string, raw double"))
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score: float = 0.0,
-                  min_tokens: int | None = None, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+                  min_tokens: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best ``top_k`` chunks per query by cosine: ``query_id, rank, score`` and the chunk columns.
 
     ``queries`` has ``query_id``, ``query_vector`` and any of the filter columns;
-    ``chunk_id`` is unique in ``vectors``.
+    ``chunk_id`` is unique in ``vectors``.  A task holds one block of each side and
+    ``QUERY_SLICE`` x 2,000 scores.
     """
-    spark = vectors.sparkSession
     q = normalized_filters(queries).select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"),
                                            *FILTERS)
-    # Read for their number, for every block and for the companies asked for: computed once.
+    # Read for their number, for the blocks and for the companies asked for: computed once.
     q = materialize(q, "queries")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vector")).alias("dim"),
                  F.count_if(F.col("company").isNull()).alias("open")).first()
@@ -184,23 +215,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
         return none
     pool = vectors.where(F.col("token_count") >= min_tokens) if min_tokens else vectors
     slim = pool.select("chunk_id", "embedding", *FILTERS)
-    id_type = q.schema["query_id"].dataType.simpleString()
-    blocks = max(1, math.ceil(size["n"] * (size["dim"] * 8 + 256) / block_bytes))
-    found, pending = None, 0
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        block = part.toPandas()
-        if block.empty:
-            continue
-        rows = slim
-        if not size["open"]:
-            rows = rows.join(part.select("company").distinct(), "company", "left_semi").select(slim.columns)
-        hits = rows.mapInArrow(_score_batches(block, top_k), f"query_id {id_type}, chunk_id string, raw double")
-        if pending == BLOCKS_PER_JOB:
-            # Keeps the plan small when the query table is very large.
-            found, pending = materialize(found, "hits"), 0
-        found = hits if found is None else found.unionByName(hits)
-        pending += 1
+    found = _blocked_hits(q, slim, top_k, block_bytes, size["dim"], size["open"] > 0)
     ranked = top_per_key(found, ["query_id"], [F.desc("raw"), F.asc("chunk_id")], top_k, "rank")
     # At most top_k narrow rows per query: written once, so that no later step searches again
     # and the join below knows their real size.

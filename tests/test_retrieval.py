@@ -34,7 +34,7 @@ def brute(rows, q, k, keep):
     return [(c, round(-s, 4) + 0.0) for s, c in sorted(scored, key=lambda x: (round(x[0], 9), x[1]))[:k]]
 
 
-@pytest.mark.parametrize("block_bytes", [R.QUERY_BLOCK_BYTES, 700])
+@pytest.mark.parametrize("block_bytes", [R.BLOCK_BYTES, 700])
 def test_search_equals_brute_force(spark, store, block_bytes):
     rows, vectors = store
     rng = np.random.default_rng(9)

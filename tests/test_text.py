@@ -61,6 +61,22 @@ def test_a_digit_line_counts_each_time(spark):
     assert got == {"Item #": 10, "plain": 5}
 
 
+def test_long_page_folds(spark):
+    """Pieces of the fold meet without a seam, and a block keeps all its lines."""
+    lines = [("and this text goes on with the words of the com-" if i % 7 else "Total revenue of the whole group in the year 12,") for i in range(3 * C.FOLD_PIECE + 5)]
+    done, groups = [lines[0]], 1
+    for line in lines[1:]:
+        if line[0] == "a" and groups < 3:
+            done[-1] = done[-1][:-1] + line if done[-1].endswith("-") else done[-1] + " " + line
+        else:
+            done.append(line)
+            groups = 1 if line[0] == "T" else 0
+    assert one(spark, C.fix_broken_lines, "\n".join(lines)) == ["\n".join(done)]
+    text = "\n".join(["x | y | z"] * 2000 + ["", "plain words here"] + ["more words here"] * 2000)
+    blocks = one(spark, lambda c: K._page_blocks(c)["blocks"], text)[0]
+    assert [(b.kind, b.text.count("\n") + 1) for b in blocks] == [("table", 2000), ("paragraph", 2001)]
+
+
 @pytest.mark.parametrize("line, level", [
     ("PART II", 1), ("Item 1A. Risk Factors", 2), ("SECTION 4", 2), ("Schedule III", 2), ("Exhibit 21", 2), ("RISK FACTORS", 2),
     ("Note 12 Leases", 3), ("2.1 Revenue", 3), ("Plain text line", 0), ("", 0), ("X" * 81, 0), ("ITEM 7. " + "a" * 90, 2), ("ITEM 7. " + "a" * 120, 0)])
