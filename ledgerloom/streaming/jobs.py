@@ -7,20 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.plans.ingestion import VECTOR_COLUMNS, Ingested, embed_documents_job
+from ledgerloom.plans.ingestion import VECTOR_COLUMNS, Ingested, apply_outcomes, embed_documents_job
 
 QUOTE_TTL_SECONDS = 30
 NEWS_TTL_SECONDS = 240
 
 
 def ingest_batch(out: str, cache: DataFrame, register: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Handler of one micro-batch of files: vectors and progress are written under its number.
+    """Handler of one micro-batch of files: vectors, progress and the registry rows with their new status are written under its number.
 
     Writing replaces the folder of the batch, so a batch that is run again after a
-    failure leaves the same files.
+    failure leaves the same files.  ``read_vectors`` and ``read_registry`` give the current rows.
     """
     def handle(files: DataFrame, batch: int) -> None:
-        done: Ingested = embed_documents_job(register(files), files, cache)
+        known = register(files)
+        done: Ingested = embed_documents_job(known, files, cache)
+        apply_outcomes(known, done.outcomes).write.mode("overwrite").parquet(f"{out}/registry/batch={batch}")
         done.embedded.select(*VECTOR_COLUMNS).write.mode("overwrite").parquet(f"{out}/vectors/batch={batch}")
         done.progress().write.mode("overwrite").parquet(f"{out}/progress/batch={batch}")
     return handle
@@ -35,6 +37,22 @@ def ingest_stream(files: DataFrame, out: str, cache: DataFrame, register: Callab
     return writer.start()
 
 
+def _last_batch(rows: DataFrame) -> DataFrame:
+    """Rows of the last batch that wrote a document; only id and number are grouped."""
+    last = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["document_id", "batch"], "left_semi").drop("batch")
+
+
+def read_vectors(spark: SparkSession, out: str) -> DataFrame:
+    """One generation of chunks per document: those of the last landing that gave any."""
+    return _last_batch(spark.read.parquet(f"{out}/vectors"))
+
+
+def read_registry(spark: SparkSession, out: str) -> DataFrame:
+    """One row per document, with the status after its last landing."""
+    return _last_batch(spark.read.parquet(f"{out}/registry"))
+
+
 def read_files_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     return (spark.readStream.format("binaryFile").schema(schema)
             .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(path))

@@ -50,6 +50,29 @@ def test_ingest_stream_equals_batch_and_restarts(spark, tmp_path):
     assert {("f0", "extract"), ("f0", "chunk"), ("f0", "embedded"), ("f3", "skipped"), ("f9", "failed")} <= progress
 
 
+def test_relanded_file_leaves_one_generation(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, cache = str(tmp_path / "out"), spark.createDataFrame([], CACHE)
+
+    def known(files):
+        return files.selectExpr("regexp_extract(path, '(f[0-9])[.0-9]*html$', 1) AS document_id", "'TCS' AS ticker", "2024 AS year",
+                                "'annual_report' AS doc_type", "path AS file_path", "'verified' AS processing_status")
+
+    def land(name, word, n):
+        body = "".join(f"<p>{word} of the segment grew in year {y} by a good margin.</p>" for y in range(n))
+        (tmp_path / "in" / name).write_text(f"<html><body>{body}</body></html>")
+        schema = spark.read.format("binaryFile").load(str(tmp_path / "in")).schema
+        jobs.ingest_stream(jobs.read_files_stream(spark, str(tmp_path / "in"), schema, 1), out, cache, known).awaitTermination()
+
+    land("f0.html", "Revenue", 120)
+    land("f1.html", "Profit", 60)
+    land("f0.2.html", "Margin", 60)
+    rows = jobs.read_vectors(spark, out).collect()
+    assert {r.document_id for r in rows} == {"f0", "f1"} and len({r.chunk_id for r in rows}) == len(rows)
+    assert not any("Revenue" in r.text for r in rows) and any("Margin" in r.text for r in rows)
+    assert sorted((r.document_id, r.processing_status) for r in jobs.read_registry(spark, out).collect()) == [("f0", "embedded"), ("f1", "embedded")]
+
+
 def test_quote_stream_equals_batch(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     for part in range(3):
