@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, chat, decontam, packing, pii, quality, repeats, sharding, simhash, sql, warc
+from ledgerloom.llm import ann, chat, collocations, decontam, packing, pii, quality, repeats, sharding, simhash, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,13 +76,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     own = {f.__name__: f for f in (op1_chat_formatting, op2_simhash, op3_pii, op4_decontamination, op5_suffix_dedup, op6_sharding,
-                                   op7_quality, op8_nearest, op9_warc, op10_packing)}
+                                   op7_quality, op8_nearest, op9_warc, op10_packing, op11_collocations)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": sql.CHAT, "op4_decontamination": sql.DECONTAMINATION, "op8_nearest": sql.NEAREST}
+    return {"op1_chat_formatting": sql.CHAT, "op4_decontamination": sql.DECONTAMINATION, "op8_nearest": sql.NEAREST,
+            "op11_collocations": sql.COLLOCATIONS}
