@@ -49,9 +49,9 @@ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
 n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
 f AS (SELECT lang, k, ws[i:i + k - 1] AS said, count(*) AS a FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(ws) >= k) GROUP BY ALL),
 c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
-cut AS (SELECT c.lang, c.said, c.a, x.l, y.r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.l AS HUGEINT) * y.r) AS BIGINT) AS score, c.at FROM (SELECT *, unnest(range(1, k)) AS at FROM c) c
- JOIN (SELECT lang, said, a AS l FROM f) x ON x.lang = c.lang AND x.said = c.said[1:c.at] JOIN (SELECT lang, said, a AS r FROM f) y ON y.lang = c.lang AND y.said = c.said[c.at + 1:c.k]),
-best AS (SELECT lang, said, a, min((score, at, l, r)) AS m FROM cut GROUP BY ALL),
+cut AS (SELECT c.lang, c.said, c.a, x.l, y.r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.l AS HUGEINT) * y.r) AS BIGINT) AS score, c.place FROM (SELECT *, unnest(range(1, k)) AS place FROM c) c
+ JOIN (SELECT lang, said, a AS l FROM f) x ON x.lang = c.lang AND x.said = c.said[1:c.place] JOIN (SELECT lang, said, a AS r FROM f) y ON y.lang = c.lang AND y.said = c.said[c.place + 1:c.k]),
+best AS (SELECT lang, said, a, min((score, place, l, r)) AS m FROM cut GROUP BY ALL),
 held AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([said[1:2], said[2:3]]) AS part FROM c WHERE k = 3) GROUP BY ALL),
 left_over AS (SELECT best.* FROM best LEFT JOIN held ON held.lang = best.lang AND held.part = best.said WHERE longer IS NULL OR 100 * longer < 50 * a),
 r AS (SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY m[1] DESC, a DESC, array_to_string(said, ' ')) AS rank, array_to_string(said, ' ') AS phrase, a, m[3] AS l, m[4] AS r, n, m[1] AS score FROM left_over o JOIN n USING (lang))
