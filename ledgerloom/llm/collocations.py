@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialize
 
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 RANGE = 1 << 22
 FILTER_BITS = 28
 BATCH = 1 << 16
@@ -87,7 +87,7 @@ class Words:
         kept = data[inside]
         found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
         self.id, self.word = found.indices.to_numpy().astype(np.int64), found.dictionary
-        piece = np.cumsum(kind == 2, dtype=np.int32)[first]
+        piece = np.searchsorted(np.flatnonzero(kind == 2), first)
         self.next = np.flatnonzero(piece[1:] == piece[:-1])  # places whose word is followed by another one
         self.lang_name, of_text = np.unique(np.array(langs, object), return_inverse=True)
         begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
