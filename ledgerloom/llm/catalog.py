@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import ann, chat, collocations, decontam, packing, pii, quality, repeats, sharding, simhash, sql, warc
+from ledgerloom.llm import ann, chat, collocations, decontam, negatives, packing, pii, quality, repeats, sharding, simhash, sql, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,14 +80,24 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return negatives.hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
     own = {f.__name__: f for f in (op1_chat_formatting, op2_simhash, op3_pii, op4_decontamination, op5_suffix_dedup, op6_sharding,
-                                   op7_quality, op8_nearest, op9_warc, op10_packing, op11_collocations)}
+                                   op7_quality, op8_nearest, op9_warc, op10_packing, op11_collocations,
+                                   op12_topk, op13_hard_negatives)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat_formatting": sql.CHAT, "op4_decontamination": sql.DECONTAMINATION, "op8_nearest": sql.NEAREST,
-            "op11_collocations": sql.COLLOCATIONS}
+            "op11_collocations": sql.COLLOCATIONS, "op12_topk": sql.TOP_K, "op13_hard_negatives": sql.HARD_NEGATIVES}

@@ -56,3 +56,22 @@ held AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([said[
 left_over AS (SELECT best.* FROM best LEFT JOIN held ON held.lang = best.lang AND held.part = best.said WHERE longer IS NULL OR 100 * longer < 50 * a),
 r AS (SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY m[1] DESC, a DESC, array_to_string(said, ' ')) AS rank, array_to_string(said, ' ') AS phrase, a, m[3] AS l, m[4] AS r, n, m[1] AS score FROM left_over o JOIN n USING (lang))
 SELECT * FROM r WHERE rank <= 2000"""
+
+
+def _whole(scale: int) -> str:
+    """Rows that take part, numbered, with their components as whole numbers."""
+    return f"""SELECT row_number() OVER () AS rn, vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM t
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+TOP_K = f"""WITH t AS (SELECT vec_id, label, embedding FROM embeddings), v AS ({_whole(64)}),
+p AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+HARD_NEGATIVES = f"""WITH t AS (SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings WHERE label IS NOT NULL), v AS ({_whole(256)}),
+p AS (SELECT a.rn, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.e) = len(a.e) WHERE a.vec_id % 50 = 0),
+pos AS (SELECT rn, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS place FROM p WHERE same),
+neg AS (SELECT o.*, p.vec_id AS negative_id, p.score AS negative_score, CAST(row_number() OVER (PARTITION BY o.rn, o.place ORDER BY p.score DESC, p.vec_id) AS INTEGER) AS rank
+ FROM pos o JOIN p ON p.rn = o.rn AND NOT p.same AND 50 * positive_score <= 100 * p.score AND 100 * p.score <= 95 * positive_score WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3"""

@@ -48,10 +48,10 @@ def numbered(vectors: DataFrame, scale: int, *more: str) -> DataFrame:
 
 
 class Block:
-    """Consecutive rows of one dim: long columns by name, norm, and x as a matrix."""
+    """Consecutive rows of one dim: the table, its long columns by name, norm, and x as a matrix."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
+        self.table = table = table.combine_chunks()
         self.dim = table.column("dim")[0].as_py()
         self.norm = table.column("norm").to_numpy()
         self.longs = {f.name: table.column(f.name).to_numpy() for f in table.schema if pa.types.is_int64(f.type)}
