@@ -66,4 +66,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stage_folder = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete the folders of tables made by ``materialize`` that nothing reads any more.
+
+    What was computed from them must be written by then; a frame from elsewhere is left alone.
+    """
+    for df in stored:
+        if path := getattr(df, "stage_folder", None):
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            df.stage_folder = None
