@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,8 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u > v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialize(star.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = _state(links)
+        new = materialize(star.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(links)
+        links, after = new, _state(new)
         if after == before:
             break
         before = after
