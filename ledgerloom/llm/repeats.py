@@ -21,9 +21,12 @@ linear grouping (`suffixes`), and neighbours' common bytes are counted.  For a w
 left of its anchor, runs of right neighbours that agree in what the window has at the right, and of
 left neighbours that agree in r bytes, number its content; the smallest (document, place) of each
 number is the first occurrence, all others are removed.  No pairs are formed: the work for an anchor
-with n contents is n log n.
+with n contents is n log n.  An anchor with more than LIST contents, as a passage of 32 to 99 bytes in many documents
+has, is not sorted in one task: its windows are dealt out by the hash of their bytes, and the first of each
+stays; windows that a task knows from its own texts are marked before the shuffle.
 
 Anchor and segment hashes have 64 bits each, and the windows compared byte by byte share the first.
+Texts of one id are told apart by 63 bits of a hash.
 
 Defined results: null text is empty; a text shorter than LENGTH stays; rows with the same id and
 text are the same document and get the same result; rows with the same id and different texts are
@@ -38,11 +41,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.suffixes import suffix_array
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, release
 
 LENGTH = 100
 GRAM = 32
@@ -50,8 +54,8 @@ SIDE = LENGTH - GRAM  # bytes of a window outside its anchor
 WINDOW = SIDE + 1  # anchors a window can have
 BLOCKS = -(-SIDE // 8)
 CHUNK = 1 << 18
-TAG_BITS = 17
 SORTED_TOGETHER = 2048
+LIST = 4096
 NO_ID = -(1 << 63)
 AGAIN = np.int64(-(1 << 63))
 SEEN = 1 << 18
@@ -100,20 +104,26 @@ def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return g32[anchor], whole, first, anchor - last, anchor - first
 
 
-def _pack(tag: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Text tag, first window start, least and largest number of bytes left of the anchor in one long that sorts by tag and start."""
-    return (tag << 46) | (start << 14) | (high << 7) | low
+def _pack(start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """First window start, least and largest number of bytes left of the anchor in one long that sorts by start."""
+    return (start << 14) | (high << 7) | low
+
+
+def _anchor(packed: np.ndarray) -> np.ndarray:
+    return (packed >> 14) + ((packed >> 7) & 127)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc, tag, text: id without null, a short hash that tells texts of one id apart, and the bytes."""
+    """doc, tag, text: the id, a hash that tells texts of one id apart and is negative for a null id, and the bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    tag = F.xxhash64(text)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                       F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"), text.cast("binary").alias("text"))
+                       F.when(F.col("doc_id").isNull(), tag.bitwiseOR(F.lit(NO_ID))).otherwise(tag.bitwiseAND(F.lit((1 << 63) - 1))).alias("tag"),
+                       text.cast("binary").alias("text"))
 
 
 def all_segments(texts: DataFrame) -> DataFrame:
-    """key, seg, doc, packed of every segment of every text; long texts are worked through in chunks.
+    """key, seg, doc, tag, packed of every segment of every text; long texts are worked through in chunks.
 
     A negative packed is a segment that the task has met at an earlier place; its key is only there to deal it out.
     """
@@ -141,9 +151,9 @@ def all_segments(texts: DataFrame) -> DataFrame:
         key, seg, first, low, high = segments(np.concatenate([p[3] for p in parts]), starts)
         which = np.searchsorted(begin, first, side="right") - 1
         doc, tag, at = (np.array([p[c] for p in parts], np.int64)[which] for c in range(3))
-        packed = _pack(tag, first - begin[which] + at, low, high)
+        packed = _pack(first - begin[which] + at, low, high)
         again = np.zeros(len(key), bool)
-        for i, (k, s, place) in enumerate(zip(key.tolist(), seg.tolist(), zip(doc.tolist(), packed.tolist(), strict=True), strict=True)):
+        for i, (k, s, place) in enumerate(zip(key.tolist(), seg.tolist(), zip(doc.tolist(), tag.tolist(), packed.tolist(), strict=True), strict=True)):
             known = seen.get(s)
             if known and known[0] == k and known[1] < place:
                 again[i] = True
@@ -151,11 +161,12 @@ def all_segments(texts: DataFrame) -> DataFrame:
                 seen[s] = (k, place)
         if len(seen) > SEEN:
             seen.clear()
-        key, seg = np.where(again, _join(doc.view(np.uint64), packed.view(np.uint64)), key), np.where(again, np.uint64(0), seg)
+        key, seg = np.where(again, _join(tag.view(np.uint64), packed.view(np.uint64)), key), np.where(again, np.uint64(0), seg)
         packed = np.where(again, packed | AGAIN, packed)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(packed)], ["key", "seg", "doc", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(packed)],
+                                          ["key", "seg", "doc", "tag", "packed"])
 
-    return texts.mapInArrow(run, "key long, seg long, doc long, packed long")
+    return texts.mapInArrow(run, "key long, seg long, doc long, tag long, packed long")
 
 
 def sifted(found: DataFrame) -> DataFrame:
@@ -165,10 +176,10 @@ def sifted(found: DataFrame) -> DataFrame:
         last, held = None, None
         for batch in batches:
             rows = np.stack([c.to_numpy() for c in batch.columns])
-            marked = rows[3] < 0
+            marked = rows[4] < 0
             if marked.any():
                 repeats = rows[:, marked]
-                repeats[3] &= ~AGAIN
+                repeats[4] &= ~AGAIN
                 yield out(repeats, False)
                 rows = rows[:, ~marked]
             if not rows.shape[1]:
@@ -193,38 +204,67 @@ def sifted(found: DataFrame) -> DataFrame:
             yield out(news[:, np.concatenate(([False], alike)) | np.concatenate((alike, [False]))], True)
 
     def out(rows: np.ndarray, variant: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[2]), pa.array(rows[3]), pa.array(np.full(rows.shape[1], variant))],
-                                          ["key", "doc", "packed", "variant"])
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[i]) for i in (0, 2, 3, 4)), pa.array(np.full(rows.shape[1], variant))], ["key", "doc", "tag", "packed", "variant"])
 
-    dealt = found.repartition("key").sortWithinPartitions("key", "seg", "doc", "packed")
-    return dealt.mapInArrow(run, "key long, doc long, packed long, variant boolean")
+    dealt = found.repartition("key").sortWithinPartitions("key", "seg", "doc", "tag", "packed")
+    return dealt.mapInArrow(run, "key long, doc long, tag long, packed long, variant boolean")
 
 
-def contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, doc, packed, context: SIDE bytes right of the anchor, then left of it backwards, each filled up with zeros."""
-    asked = wanted.groupBy("doc", F.shiftright("packed", 46).alias("tag")).agg(F.collect_list(F.struct("key", "packed")).alias("asked"))
+def contexts(wanted: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """key, r, h, doc, tag, packed, context.
+
+    For an anchor of at most limit contents, one row for each: r is -1, context has SIDE bytes right of the anchor, then
+    left of it backwards, each filled up with zeros.  For any other, one row for each window: r of its bytes stand left
+    of the anchor, h is their hash, context is null; a negative packed is a window that the task has met at an earlier place.
+    """
+    long = wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key", F.lit(True).alias("long"))
+    asked = wanted.join(long, "key", "left").groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "packed", F.coalesce("long", F.lit(False)).alias("long"))).alias("asked"))
+    names = ["key", "r", "h", "doc", "tag", "packed", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = np.arange(8 * BLOCKS)
+        ahead, seen = np.arange(8 * BLOCKS), {}
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, text, asked = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].values
+                doc, tag, text, asked = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].values
                 key, packed = (asked.field(c).to_numpy() for c in range(2))
+                long = asked.field(2).to_numpy(zero_copy_only=False)
+                if long.any():
+                    yield from windows(doc, tag, text, key[long], packed[long], seen)
+                    key, packed = key[~long], packed[~long]
                 room = np.zeros(8 * BLOCKS, np.uint8)
                 data = np.concatenate([room, np.frombuffer(text, np.uint8), room])
                 for at in range(0, len(key), 4096):
                     k, p = key[at:at + 4096], packed[at:at + 4096]
-                    anchor = ((p >> 14) & 0xFFFFFFFF) + ((p >> 7) & 127) + 8 * BLOCKS
+                    anchor = _anchor(p) + 8 * BLOCKS
                     right, back = data[anchor[:, None] + GRAM + ahead], data[anchor[:, None] - 1 - ahead]
                     right[:, SIDE:], back[:, SIDE:] = 0, 0
                     both = np.concatenate([right, back], axis=1).tobytes()
                     step = 16 * BLOCKS
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k), pa.array(np.full(len(k), doc)), pa.array(p), pa.array([both[x:x + step] for x in range(0, len(both), step)], pa.binary())],
-                        ["key", "doc", "packed", "context"])
+                    yield rows(k, np.full(len(k), -1), np.zeros(len(k), np.int64), doc, tag, p, pa.array([both[x:x + step] for x in range(0, len(both), step)], pa.binary()))
+
+    def windows(doc: int, tag: int, text: bytes, key: np.ndarray, packed: np.ndarray, seen: dict) -> Iterator[pa.RecordBatch]:
+        for k, p in zip(key.tolist(), packed.tolist(), strict=True):
+            first, low, high = p >> 14, p & 127, (p >> 7) & 127
+            r = np.arange(high, low - 1, -1)
+            start = first + np.arange(len(r))
+            h = np.array([xxhash.xxh64_intdigest(text[s:s + LENGTH]) for s in start.tolist()], np.uint64).view(np.int64)
+            one = _pack(start, r, r)
+            again = np.zeros(len(r), bool)
+            for i, (at, content, place) in enumerate(zip(r.tolist(), h.tolist(), one.tolist(), strict=True)):
+                if (before := seen.get((k, at, content))) and before < (doc, tag, place):
+                    again[i] = True
+                else:
+                    seen[k, at, content] = (doc, tag, place)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield rows(np.full(len(r), k), r, np.where(again, one, h), doc, tag, np.where(again, one | AGAIN, one), pa.nulls(len(r), pa.binary()))
+
+    def rows(key: np.ndarray, r: np.ndarray, h: np.ndarray, doc: int, tag: int, packed: np.ndarray, context: pa.Array) -> pa.RecordBatch:
+        same = [np.full(len(key), v) for v in (doc, tag)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(r, pa.int64()), pa.array(h), *map(pa.array, same), pa.array(packed), context], names)
 
     first = texts.dropDuplicates(["doc", "tag"])
-    return asked.join(first, ["doc", "tag"]).select("doc", "text", "asked").mapInArrow(run, "key long, doc long, packed long, context binary")
+    return asked.join(first, ["doc", "tag"]).select("doc", "tag", "text", "asked").mapInArrow(run, "key long, r long, h long, doc long, tag long, packed long, context binary")
 
 
 def ordered(keys: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +283,7 @@ def ordered(keys: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, np.concatenate(([-1], common))
 
 
-def repeated_windows(keys: np.ndarray, doc: np.ndarray, packed: np.ndarray, context: np.ndarray) -> np.ndarray:
+def repeated_windows(keys: np.ndarray, packed: np.ndarray, context: np.ndarray) -> np.ndarray:
     """rows x WINDOW: whether the window with r bytes left of the row's anchor starts earlier somewhere; rows are in document order."""
     n = len(keys)
     low, high = packed & 127, (packed >> 7) & 127
@@ -267,11 +307,22 @@ def repeated_windows(keys: np.ndarray, doc: np.ndarray, packed: np.ndarray, cont
 
 def variant_ranges(known: DataFrame) -> DataFrame:
     """doc, tag, start, end: repeated bytes of the segments whose anchor has several contents."""
+    places = ["key", "r", "h", "doc", "tag", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, last = None, None
         for batch in batches:
-            table = pa.table(batch)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(6)])
+            single = rows[1] >= 0
+            if single.any():
+                marked = rows[5] < 0
+                own = rows[:, single & ~marked]
+                before = np.concatenate([own[:, :1] - 1 if last is None else last, own[:, :-1]], axis=1)[:, :own.shape[1]]
+                last = own[:, -1:].copy() if own.shape[1] else last
+                repeats = np.concatenate([rows[:, marked], own[:, (own[:3] == before[:3]).all(axis=0) & ~(own == before).all(axis=0)]], axis=1)
+                start = (repeats[5] & ~AGAIN) >> 14
+                yield ranges(repeats[3], repeats[4], start, start + LENGTH)
+            table = pa.table(batch.filter(pa.array(~single)))
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows >= SORTED_TOGETHER:
                 key = held.column("key").to_numpy()
@@ -288,30 +339,32 @@ def variant_ranges(known: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield work(held)
 
+    def ranges(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tag, start, end)], ["doc", "tag", "start", "end"])
+
     def work(rows: pa.Table) -> pa.RecordBatch:
-        key, doc, packed = (rows.column(c).to_numpy() for c in ("key", "doc", "packed"))
+        key, doc, tag, packed = (rows.column(c).to_numpy() for c in ("key", "doc", "tag", "packed"))
         context = np.frombuffer(b"".join(rows.column("context").to_pylist()), np.uint8).reshape(len(key), -1)
-        order = np.lexsort((packed, doc))
-        key, doc, packed, context = key[order], doc[order], packed[order], context[order]
-        gone = np.pad(repeated_windows(key, doc, packed, context), ((0, 0), (1, 1)))
+        order = np.lexsort((packed, tag, doc))
+        key, doc, tag, packed, context = key[order], doc[order], tag[order], packed[order], context[order]
+        gone = np.pad(repeated_windows(key, packed, context), ((0, 0), (1, 1)))
         row, from_r = np.nonzero(gone[:, 1:] & ~gone[:, :-1])
         to_r = np.nonzero(gone[:, 1:] & ~np.pad(gone[:, 2:], ((0, 0), (0, 1))))[1]
-        anchor = ((packed >> 14) & 0xFFFFFFFF) + ((packed >> 7) & 127)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(packed[row] >> 46), pa.array(anchor[row] - to_r), pa.array(anchor[row] - from_r + LENGTH)],
-                                          ["doc", "tag", "start", "end"])
+        anchor = _anchor(packed)
+        return ranges(doc[row], tag[row], anchor[row] - to_r, anchor[row] - from_r + LENGTH)
 
-    return known.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, tag long, start long, end long")
+    return known.select(*places, "context").repartition("key", "r", "h").sortWithinPartitions(*places).mapInArrow(run, "doc long, tag long, start long, end long")
 
 
 def kept(texts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    """doc, tag, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     per = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for i in range(batch.num_rows):
-                doc, text, gone = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i]
+                doc, tag, text, gone = *(batch.column(c)[i].as_py() for c in range(3)), batch.column(3)[i]
                 spans, left = [], text
                 if gone.is_valid:
                     start, end = (gone.values.field(c).to_numpy() for c in range(2))
@@ -324,7 +377,7 @@ def kept(texts: DataFrame, ranges: DataFrame) -> DataFrame:
                         parts.append(text[at:a])
                         at = b
                     left = b"".join([*parts, text[at:]])
-                rows.append((doc, len(text), len(text) - len(left), len(spans), left))
+                rows.append((doc, tag, len(text), len(text) - len(left), len(spans), left))
                 size += len(left)
                 if size > 16 << 20:
                     yield out(rows)
@@ -333,24 +386,26 @@ def kept(texts: DataFrame, ranges: DataFrame) -> DataFrame:
                 yield out(rows)
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        doc, size, gone, spans, left = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()),
+        doc, tag, size, gone, spans, left = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()),
                                            pa.array(left, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in left])],
-                                          ["doc", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                                          ["doc", "tag", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return texts.join(per, ["doc", "tag"], "left").select("doc", "text", "gone").mapInArrow(
-        run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return texts.join(per, ["doc", "tag"], "left").select("doc", "tag", "text", "gone").mapInArrow(
+        run, "doc long, tag long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, limit: int = LIST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256 of every document."""
     texts = _texts(docs)
     repeats = materialize(sifted(all_segments(texts)), "repeats")
     packed = F.col("packed")
-    start = F.shiftright(packed, 14).bitwiseAND(F.lit(0xFFFFFFFF))
+    start = F.shiftright(packed, 14)
     whole = repeats.filter(~F.col("variant")).select(
-        "doc", F.shiftright(packed, 46).alias("tag"), start.alias("start"),
+        "doc", "tag", start.alias("start"),
         (start + F.shiftright(packed, 7).bitwiseAND(F.lit(127)) - packed.bitwiseAND(F.lit(127)) + LENGTH).alias("end"))
-    parts = variant_ranges(contexts(repeats.filter("variant").select("key", "doc", "packed"), texts))
-    done = kept(texts, materialize(whole.unionByName(parts), "ranges"))
-    return done.withColumn("doc_id", F.when(F.col("doc") != NO_ID, F.col("doc"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    parts = variant_ranges(contexts(repeats.filter("variant").select("key", "doc", "tag", "packed"), texts, limit))
+    ranges = materialize(whole.unionByName(parts), "ranges")
+    release(repeats)
+    done = kept(texts, ranges)
+    return done.withColumn("doc_id", F.when(F.col("tag") >= 0, F.col("doc"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")

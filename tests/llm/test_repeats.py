@@ -69,6 +69,49 @@ def test_repeated_rows_and_ids(docs_of):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
 
 
+def _ordered_brute(docs):
+    """As _brute, for (id, text) with repeated ids: texts of one id in the order that the operator states, null ids first."""
+    out, seen = [], set()
+    for d, t, _ in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[2])):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if (w := b[i:i + 100]) in seen:
+                gone[i:i + 100] = b"\1" * 100
+            seen.add(w)
+        out.append((d, len(b), sum(gone)))
+    return sorted(out, key=str)
+
+
+def test_texts_of_one_id_whose_hashes_agree_in_17_bits(spark, docs_of):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(314)) for _ in range(1500)]
+    hashed = [r.h for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").selectExpr("xxhash64(t) AS h").collect()]
+    by = {}
+    for i, h in enumerate(hashed):
+        by.setdefault(h % (1 << 17), []).append(i)
+    pair = next(v for v in by.values() if len(v) > 1)
+    a, b = (texts[i] for i in pair[:2])
+    other = "x" * 50 + a[20:200] + "y" * 50
+    for ids in ((None, None, None, None), (7, 7, 7, None), (-(1 << 63), None, -(1 << 63), None)):
+        docs = list(zip(ids, (a, b, other, other[:180]), strict=True))
+        tags = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "i int, t string").orderBy("i").selectExpr("xxhash64(t) AS h").collect()
+        keyed = [(d, t, (r.h | -(1 << 63)) if d is None else r.h & ((1 << 63) - 1)) for (d, t), r in zip(docs, tags, strict=True)]
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs_of(docs)).collect()), key=str)
+        assert got == _ordered_brute(keyed)
+
+
+def test_anchors_with_many_contents(docs_of):
+    """A phrase of 40 and one of 130 bytes in many documents: their windows are dealt out instead of sorted."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    short, long, near = some(40), some(130), some(70)
+    docs = [(i, some(rng.randrange(150)) + short + some(rng.randrange(120)) + long + (near if i % 3 else some(9)) + some(rng.randrange(150))) for i in range(120)]
+    for limit in (1, 10, 60, 4096):
+        assert _got(repeats.remove_repeats(docs_of(docs), limit)) == _brute(docs)
+    assert _got(repeats.remove_repeats(docs_of(_texts()), 1)) == _brute(_texts())
+
+
 def test_empty(docs_of):
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
