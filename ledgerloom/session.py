@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "ledgerloom", master: str | None = None,
                   shuffle_partitions: int | None = None,
@@ -56,16 +60,32 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Frames made and run inside leave no shuffle files once they are done; run again, they shuffle again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result no longer depends on the plan above it, so values that are not
     repeatable (partition numbers, sampled range bounds) stay fixed, and a lost
-    executor re-reads files instead of recomputing.
+    executor re-reads files instead of recomputing.  The shuffle files of that plan go
+    when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_cleaned(spark):
+        df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stage_folder = path
     return stored
