@@ -16,8 +16,9 @@ The best packing of a cell is kept.  Bins that are not filled to OPEN are opened
 go to cells of the next round, whole bins together, and the packing they come with is one of the
 starts, so no round can add a sequence.  Rounds end when one cell is left or nothing was gained.
 
-Tokens of words are remembered, as the tokenizer cuts texts at words first; texts with anything but
-common Latin characters go through the tokenizer as a whole.
+The tokenizer cuts texts at words first.  So the words of some documents are found at once in their bytes
+and numbered as a column, each different one is tokenized (or remembered), and the ids are put together
+by those numbers; texts with anything but common Latin characters go through the tokenizer as a whole.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are documents of their
 own; an empty table gives no rows; further columns are not looked at.
@@ -45,11 +46,38 @@ EPOCHS = 2
 GENERATIONS = 3
 POPULATION = 4
 OPEN = 0.999
-# What the tokenizer splits at, for texts of the characters in _PLAIN once they are in lower case.
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
-_SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+CHUNK = 1 << 22
+_SPECIAL = re.compile(rb"<\|(?:start|end)oftext\|>")
 _REMEMBERED = 1 << 20
+# Bytes of texts that are cut here: ASCII that is printed or space, and the letters from A with grave to y with diaeresis.
+_LETTERS = [*range(65, 91), *range(97, 123), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))]
+_KIND = np.full(256, 3, np.uint8)  # 0: space, 1: of a word, 2: digit, 3: other
+_KIND[[*range(9, 14), 32]], _KIND[_LETTERS], _KIND[48:58] = 0, 1, 2
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(9, 14), *range(32, 127), *_LETTERS]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[[*range(65, 91), *(b for b in range(0x80, 0x9F) if b != 0x97)]] += 32
+_ENDINGS = [b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"]  # of one token with an apostrophe before them
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word that the tokenizer cuts off: letters, single digits, other characters, 's and the like."""
+    kind = _KIND[data]
+    before = np.concatenate([[0], kind[:-1]])
+    start = (kind > 0) & ((kind != before) | (kind == 2))
+    padded = np.concatenate([data, np.zeros(2, np.uint8)])
+    quote = np.flatnonzero(start & (data == 39))
+    for ending in _ENDINGS:
+        hit = quote
+        for i, c in enumerate(ending, 1):
+            hit = hit[padded[hit + i] == c]
+        start[hit + 1] = False
+        rest = hit + 1 + len(ending)
+        rest = rest[rest < len(data)]
+        start[rest[kind[rest] == 1]] = True
+    first = np.flatnonzero(start)
+    stop = np.flatnonzero(start[1:] | (kind[1:] == 0)) + 1
+    return first, np.append(stop, len(data))[np.searchsorted(stop, first, "right")]
 
 
 class Tokens(dict):
@@ -70,10 +98,48 @@ class Tokens(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and not ("<|" in text and _SPECIAL.search(text)):
-            return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
-        return self.whole(text)
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        parts, place, out = [], [], [[] for _ in texts]
+        for i, text in enumerate(texts):
+            data = np.frombuffer(text, np.uint8)
+            if not _PLAIN[data].all() or (b"<|" in text and _SPECIAL.search(text)):
+                out[i].append(self.whole(text.decode()))
+                continue
+            while len(data):
+                end = len(data)
+                if end > CHUNK and len(space := np.flatnonzero(_KIND[data[:CHUNK]] == 0)):
+                    end = space[-1] + 1
+                parts.append(data[:end])
+                place.append(i)
+                data = data[end:]
+        at = 0
+        while at < len(parts):
+            to, size = at + 1, len(parts[at])
+            while to < len(parts) and size + len(parts[to]) <= CHUNK:
+                size += len(parts[to])
+                to += 1
+            for i, ids in zip(place[at:to], self._together(parts[at:to]), strict=True):
+                out[i].append(ids)
+            at = to
+        return [b"".join(x) for x in out]
+
+    def _together(self, parts: list[np.ndarray]) -> list[bytes]:
+        data = _LOWER[np.concatenate([x for part in parts for x in (part, np.array([32], np.uint8))])]
+        first, stop = words_of(data)
+        offsets = np.zeros(len(first) + 1, np.int32)
+        np.cumsum(stop - first, out=offsets[1:])
+        kept = data[_KIND[data] > 0]
+        found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
+        spelled = [self[w] for w in found.dictionary.to_pylist()]
+        length = np.array([len(x) // 4 for x in spelled], np.int64)
+        begin, which = np.cumsum(length) - length, found.indices.to_numpy()
+        n = length[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(spelled), "<u4")[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.searchsorted(first, np.cumsum([len(p) + 1 for p in parts]))
+        cut = np.append(0, np.concatenate([[0], ends])[cut])
+        return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -84,9 +150,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         tokens = Tokens(tokenizer)
         for batch in batches:
             which, piece, start, length, sums = [], [], [], [], []
-            texts = batch.column(1)
-            for i in range(len(texts)):
-                data = tokens.ids(texts[i].as_py() or "") + b"\0\0\0\0"
+            for i, ids in enumerate(tokens.of([t or b"" for t in batch.column(1).to_pylist()])):
+                data = ids + b"\0\0\0\0"
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at:at + 4 * capacity]
                     which.append(i)
@@ -98,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(sums, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+    found = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     return materialize(found.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
