@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, shuffles_cleaned
 
 CHUNK = 1 << 23
 RANGE = 1 << 22
@@ -176,9 +176,10 @@ def frequent_windows(texts: DataFrame, words: int, min_count: int, filter_bits:
         return pa.table({"range": table.column("range")[:1], "bits": pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())})
 
     for sizes in [(1, 2), *((m,) for m in range(3, words + 1))]:
-        counted = texts.mapInArrow(lambda batches, sizes=sizes: count(batches, sizes), "range long, value binary, n binary")
-        for row in counted.groupBy("range").applyInArrow(decide, "range long, bits binary").collect():
-            whole[row["range"]] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        with shuffles_cleaned(texts.sparkSession):
+            counted = texts.mapInArrow(lambda batches, sizes=sizes: count(batches, sizes), "range long, value binary, n binary")
+            for row in counted.groupBy("range").applyInArrow(decide, "range long, bits binary").collect():
+                whole[row["range"]] |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
         shared = texts.sparkSession.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
     return shared.value
 
