@@ -278,10 +278,12 @@ def market_comparison(spark, folder):
     return wide.unpivot(KEYS, ["price", "market_cap", "pe_ratio", "price_to_book", "dividend_yield"], "metric", "value")
 
 
-@query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL}, cells AS (SELECT company, metric, year, value FROM long)
-PIVOT cells ON year USING max(value) GROUP BY company, metric""")
+@query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL}, named AS (SELECT DISTINCT company, metric FROM long), compared AS (SELECT DISTINCT year FROM long)
+SELECT n.company, n.metric, CAST(c.year AS VARCHAR) AS compared, max(l.value) AS value FROM named n CROSS JOIN compared c
+LEFT JOIN long l ON l.company = n.company AND l.metric = n.metric AND l.year = c.year GROUP BY n.company, n.metric, c.year""")
 def peer_matrix(spark, folder):
-    """The matrix form with fiscal years as the compared columns, for every company."""
+    """The matrix form with fiscal years as the compared columns, for every company; its cells as rows, so that SQL needs no list of years."""
     long = ratios.compute_all(financials(spark, folder), KEYS)
     years = sorted(r["year"] for r in long.select("year").distinct().collect())
-    return peers.peer_matrix(long, ["company", "metric"], "year", years)
+    wide = peers.peer_matrix(long, ["company", "metric"], "year", years)
+    return wide.unpivot(["company", "metric"], [str(y) for y in years], "compared", "value")
