@@ -18,6 +18,7 @@ from ledgerloom.session import shared_dir
 from ledgerloom.sources import documents as D
 from ledgerloom.sources import filings as S
 from ledgerloom.sources import universe as U
+from ledgerloom.sources.snapshots import SnapshotTable
 from ledgerloom.tables import table
 
 AS_OF = datetime.date(2000, 6, 30)
@@ -349,6 +350,17 @@ def registry_upsert(spark, folder):
     return r.withColumns({"file_path": F.coalesce("file_path", F.lit("~")), "file_size": F.coalesce("file_size", F.lit(-1)), "checksum_sha256": F.coalesce("checksum_sha256", F.lit("~"))})
 
 
+@query("stored_registry_upsert", f"WITH {REG_SQL} SELECT document_id, ticker, company_name, doc_type, year, coalesce(file_path, '~') AS file_path, processing_status, updated_at FROM rg")
+def stored_registry_upsert(spark, folder):
+    """The same two batches folded into a registry kept in versions."""
+    first, second = updates(spark, folder, "o_orderdate < '1999-01-01'"), updates(spark, folder, "o_orderdate >= '1999-01-01'")
+    schema = first.drop("pos").withColumn("download_date", F.col("updated_at")).select(*G.REGISTRY_COLUMNS).schema
+    kept = SnapshotTable(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}", schema, ["document_id"], 16)
+    for rows in (first, second):
+        G.store_updates(kept, rows)
+    return kept.read().select("document_id", "ticker", "company_name", "doc_type", "year", F.coalesce("file_path", F.lit("~")).alias("file_path"), "processing_status", "updated_at")
+
+
 @query("list_documents", f"""WITH {REG_SQL} SELECT document_id, ticker, doc_type, year,
  coalesce(first_value(company_name) OVER (PARTITION BY ticker ORDER BY year DESC, doc_type, document_id), ticker) AS company, count(*) OVER (PARTITION BY ticker) AS total_documents FROM rg""")
 def list_documents(spark, folder):

@@ -7,6 +7,8 @@ search are the centre of each section, asked for each company it occurs in.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.registry import query
@@ -16,7 +18,8 @@ from ledgerloom.operators import context as X
 from ledgerloom.operators import embedding as E
 from ledgerloom.operators import retrieval as R
 from ledgerloom.operators.chunking import estimate_tokens
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, shared_dir
+from ledgerloom.sources.snapshots import SnapshotTable
 from ledgerloom.tables import table
 
 TOP_K = 5
@@ -313,6 +316,16 @@ def embedding_cache_put(spark, folder):
         "content_hash", "embedding_model", F.element_at("embedding", 1).cast("long").alias("doc_id"))
 
 
+@query("stored_embedding_cache_put", f"WITH {FULL_CACHE_SQL} SELECT content_hash, embedding_model, doc_id FROM ca")
+def stored_embedding_cache_put(spark, folder):
+    """The same in a cache kept in versions: what it held, then every document."""
+    rows = cache_rows(spark, folder, "true")
+    kept = SnapshotTable(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", rows.schema, E.CACHE_KEY, 16)
+    E.store_cache(kept, cache_rows(spark, folder, CACHED))
+    E.store_cache(kept, rows)
+    return kept.read().select("content_hash", "embedding_model", F.element_at("embedding", 1).cast("long").alias("doc_id"))
+
+
 @query("embedding_cache_lookup", f"""WITH {CACHE_SQL} SELECT d.doc_id, ca.doc_id IS NOT NULL AS hit, ca.doc_id AS cached_from
  FROM documents d LEFT JOIN ca ON ca.content_hash = sha256(d.text) AND ca.embedding_model = 'hashing-64'""")
 def embedding_cache_lookup(spark, folder):
@@ -361,6 +374,16 @@ def vector_upsert(spark, folder):
     return E.vector_upsert(_store(spark, folder), _updates(spark, folder), "pos").select("chunk_id", "document_id", "pos")
 
 
+@query("stored_vector_upsert", f"WITH {UPSERT_SQL} SELECT chunk_id, document_id, pos FROM st")
+def stored_vector_upsert(spark, folder):
+    """The same in a table kept in versions; the second batch is sent twice, as after a failure."""
+    store = _store(spark, folder)
+    kept = SnapshotTable(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", store.schema, ["chunk_id"], 16)
+    for batch, rows in enumerate([store, _updates(spark, folder), _updates(spark, folder)]):
+        E.store_vectors(kept, rows, "pos", "queries", min(batch, 1))
+    return kept.read().select("chunk_id", "document_id", "pos")
+
+
 @query("vector_upsert_counts", """SELECT count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 9 <> 0) AS uploaded,
  count(*) FILTER (vec_id % 7 = 0 OR vec_id % 9 = 0) AS skipped, CAST(0 AS BIGINT) AS failed FROM embeddings""")
 def vector_upsert_counts(spark, folder):

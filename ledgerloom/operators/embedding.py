@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.text import col, truthy
 from ledgerloom.functions.vectors import EMBED_MODEL, embed_fn
 from ledgerloom.operators.ordered import last_per_key
+from ledgerloom.sources.snapshots import SnapshotTable
 
 CACHE_KEY = ["content_hash", "embedding_model", "embedding_version"]
 
@@ -31,6 +32,11 @@ def cache_put(cache: DataFrame, rows: DataFrame, order: str = "created_at") -> D
     return last_per_key(both, CACHE_KEY, [F.col("_new"), F.col(order)]).drop("_new").select(*cache.columns)
 
 
+def store_cache(table: SnapshotTable, rows: DataFrame, order: str = "created_at") -> int:
+    """Put rows into a stored cache, of which only the buckets of their keys are rewritten; gives the new version."""
+    return table.upsert(rows, lambda cache, new: cache_put(cache, new, order))
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count(F.lit(1)).alias("total_entries"),
                      F.array_join(F.array_sort(F.collect_set("embedding_model")), ",").alias("models"))
@@ -73,6 +79,12 @@ def vector_upsert(vectors: DataFrame, rows: DataFrame, order: str) -> DataFrame:
     return vectors.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(fresh)
 
 
+def store_vectors(table: SnapshotTable, rows: DataFrame, order: str, source: str | None = None, batch: int = 0) -> int:
+    """Upsert into a stored vector table, of which only the buckets of the rows' ids are rewritten; gives the new version."""
+    usable = rows.where(truthy("chunk_id").isNotNull())
+    return table.upsert(usable, lambda old, new: vector_upsert(old, new, order), source, batch)
+
+
 def upsert_counts(rows: DataFrame) -> DataFrame:
     usable = truthy("chunk_id").isNotNull() & (F.coalesce(F.size("embedding"), F.lit(0)) > 0)
     return rows.agg(F.count_if(usable).alias("uploaded"), F.count_if(~usable).alias("skipped"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.text import strip, truthy
+from ledgerloom.sources.snapshots import SnapshotTable
 
 REGISTRY_COLUMNS = ("document_id", "ticker", "company_name", "doc_type", "title", "year", "quarter", "file_path",
                     "file_size", "source", "source_url", "checksum_sha256", "processing_status", "download_date", "updated_at")
@@ -37,6 +38,11 @@ def registry_upsert(registry: DataFrame, updates: DataFrame, order: str = "pos")
     return j.select("document_id", *[out[c].alias(c) for c in REGISTRY_COLUMNS[1:]])
 
 
+def store_updates(table: SnapshotTable, updates: DataFrame, order: str = "pos") -> int:
+    """Fold updates into a stored registry, of which only the buckets of their documents are rewritten; gives the new version."""
+    return table.upsert(updates, lambda old, new: registry_upsert(old, new, order))
+
+
 def list_documents(registry: DataFrame, ticker: str | None = None, doc_type: str | None = None,
                    year: int | None = None) -> DataFrame:
     """Documents with the name of their company and the number listed with them.
