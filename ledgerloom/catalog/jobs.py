@@ -13,7 +13,7 @@ from ledgerloom.operators import embedding as E
 from ledgerloom.plans import answering, ingestion
 from ledgerloom.plans import research as reporting
 from ledgerloom.session import shared_dir
-from ledgerloom.streaming import jobs
+from ledgerloom.streaming import jobs, ttl
 from ledgerloom.tables import table
 
 
@@ -105,3 +105,34 @@ def quote_cache_stream(spark, folder):
     ticks = stream_of(spark, folder, "events").selectExpr("concat('U', user_id) AS ticker", "ts", "if(event_type = 'error', null, value) AS price")
     jobs.quote_cache_stream(ticks, out).awaitTermination()
     return jobs.freshness(jobs.read_quotes(spark, out), "2024-01-31 12:00:00", 86400)
+
+
+# An hour of the events is a second here, so that requests of one ticker come as often as pages ask for it.
+def _ttl_sql(seconds):
+    return f"""WITH RECURSIVE e AS (SELECT 'U' || user_id AS ticker, event_id, epoch_us(ts) // 3600 AS us, CASE WHEN event_type <> 'error' THEN value END AS price,
+ row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 3600, event_id) AS n FROM events),
+ok AS (SELECT ticker, us, min(n) AS n FROM e WHERE price IS NOT NULL GROUP BY ticker, us),
+later AS (SELECT a.ticker, a.n, min(b.n) AS next_n FROM ok a JOIN ok b ON a.ticker = b.ticker AND a.us + {seconds} * 1000000 <= b.us GROUP BY ALL),
+f AS (SELECT ticker, min(n) AS n FROM ok GROUP BY ticker UNION ALL SELECT f.ticker, later.next_n FROM f JOIN later ON later.ticker = f.ticker AND later.n = f.n),
+known AS (SELECT f.ticker, f.n, e.us, e.price FROM f JOIN e ON e.ticker = f.ticker AND e.n = f.n)
+SELECT e.ticker, e.event_id, CASE WHEN k.n IS NULL THEN 'failed' WHEN k.n = e.n THEN 'fetch' WHEN e.us < k.us + {seconds} * 1000000 THEN 'served' ELSE 'stale' END AS answer,
+ k.price AS value, make_timestamp(k.us) AS as_of FROM e ASOF LEFT JOIN known k ON k.ticker = e.ticker AND e.n >= k.n"""
+
+
+def _ttl(spark, folder, seconds):
+    out = _out(spark)
+    requests = stream_of(spark, folder, "events").selectExpr("concat('U', user_id) AS ticker", "event_id", "timestamp_micros(unix_micros(cast(ts as timestamp)) div 3600) AS ts", "if(event_type = 'error', null, value) AS value")
+    ttl.ttl_stream(requests, out, "ticker", "ts", "event_id", "value", seconds).awaitTermination()
+    return spark.read.parquet(f"{out}/answers").select("ticker", "event_id", "answer", "value", "as_of")
+
+
+@query("quote_ttl_stream", _ttl_sql(30))
+def quote_ttl_stream(spark, folder):
+    """Every event asks for its ticker's quote; an error event is a request whose fetch fails."""
+    return _ttl(spark, folder, jobs.QUOTE_TTL_SECONDS)
+
+
+@query("news_ttl_stream", _ttl_sql(240))
+def news_ttl_stream(spark, folder):
+    """The same requests with the time to live of news."""
+    return _ttl(spark, folder, jobs.NEWS_TTL_SECONDS)
