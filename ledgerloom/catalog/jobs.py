@@ -10,9 +10,9 @@ from ledgerloom.catalog import research, retrieval
 from ledgerloom.catalog.registry import query
 from ledgerloom.operators import context as X
 from ledgerloom.operators import embedding as E
-from ledgerloom.plans import answering, ingestion
+from ledgerloom.plans import answering, ingestion, journal
 from ledgerloom.plans import research as reporting
-from ledgerloom.session import shared_dir
+from ledgerloom.session import materialize, shared_dir
 from ledgerloom.streaming import jobs, ttl
 from ledgerloom.tables import table
 
@@ -40,6 +40,23 @@ def embed_documents_job(spark, folder):
     return done.outcomes.select("document_id", "outcome")
 
 
+@query("ingest_journal", """SELECT 'P' || page_id AS document_id, CASE WHEN page_id % 10 = 0 THEN 'skipped' WHEN page_id % 10 IN (1, 2) THEN 'failed' ELSE 'embedded' END AS outcome,
+ CASE WHEN page_id % 10 IN (0, 1, 2) THEN '' ELSE 'extract,chunk,embed,upsert' END AS stages, CASE WHEN page_id % 10 IN (0, 1, 2) THEN 0 WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS call,
+ page_id % 10 NOT IN (0, 1, 2) AS stored FROM pages""")
+def ingest_journal(spark, folder):
+    """Files land in two calls, the second with all of them: what each document finished, and in which call."""
+    out, pages = _out(spark), table(spark, folder, "pages")
+    cache, vectors, stages = journal.cache_table(spark, f"{out}/cache", 8), journal.vector_table(spark, f"{out}/vectors", 8), journal.StageJournal(spark, f"{out}/stages")
+    journal.resume_documents_job(register(pages.where("page_id % 2 = 0")), html_files(pages.where("page_id % 2 = 0")), cache, vectors, stages)
+    early = materialize(stages.entries().select("run").distinct().withColumn("call", F.lit(1)), "calls")
+    outcomes = journal.resume_documents_job(register(pages), html_files(pages), cache, vectors, stages)
+    finished = stages.entries().join(early, "run", "left").groupBy("document_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("finished_at", "stage"))), lambda e: e["stage"]), ",").alias("stages"), F.min(F.coalesce("call", F.lit(2))).alias("call"))
+    stored = vectors.read().select("document_id", F.lit(True).alias("stored")).distinct()
+    return (outcomes.join(finished, "document_id", "left").join(stored, "document_id", "left")
+            .select("document_id", "outcome", F.coalesce("stages", F.lit("")).alias("stages"), F.coalesce("call", F.lit(0)).alias("call"), F.coalesce("stored", F.lit(False)).alias("stored")))
+
+
 @query("embed_stats")
 def embed_stats(spark, folder):
     pages = table(spark, folder, "pages")
