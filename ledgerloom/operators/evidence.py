@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.context import source_string
+from ledgerloom.session import materialize
 
 # Topic buckets and the substrings that put a chunk in them.
 BUCKET_KEYWORDS = {
@@ -25,7 +26,6 @@ SECTION_ORDER = ("executive_summary", "business_overview", "financial_analysis",
 METRIC_KEYWORDS = ("revenue", "margin", "profit", "income", "growth", "ratio", "yield", "earnings", "ebitda", "debt",
                    "equity", "assets", "cash", "dividend", "roe", "roa", "roic", "p/e", "pe", "ev", "market cap",
                    "turnover", "billion", "million", "trillion", "crore", "lakh")
-EVIDENCE_BLOCK = 32
 
 
 def evidence_buckets(chunks: DataFrame) -> DataFrame:
@@ -106,28 +106,34 @@ CLAIM_KEY = ["report_id", "section_no", "pos"]
 
 
 def claim_evidence_join(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """First chunk in order that shares a number or three longer words with a claim.
+    """First chunk in order (``pos``, unique in a report) that shares a number or three longer words with a claim.
 
-    Chunks of a report are packed by 32, so a claim meets each pack once and no claim
-    and chunk pair becomes a row; a report's evidence is a retrieval result and fits
-    one pack.  Adds ``chunk_snippet`` (null without support).
+    Tokens meet by an equality join on report and token, so a report with very many chunks is spread by its
+    tokens.  Of a number only the first chunk counts.  A chunk that shares three of the claim's w words has one of the
+    w - 2 that are rarest in the report's evidence, so only these are looked up; what they find before the
+    first number is checked on all words.  Adds ``chunk_snippet`` (null without support).
     """
-    packs = evidence.groupBy("report_id", F.expr(f"pos div {EVIDENCE_BLOCK}").alias("pack")).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("pos").alias("at"), number_tokens("text").alias("numbers"), long_words("text").alias("words"),
-            F.substring("text", 1, 200).alias("snippet")))).alias("chunks"))
-    met = claims.withColumns({"_numbers": number_tokens("text"), "_words": long_words("text")}).join(packs, "report_id", "left")
-
-    def supports(chunk):
-        return (F.arrays_overlap(F.col("_numbers"), chunk["numbers"])
-                | (F.size(F.array_intersect(F.col("_words"), chunk["words"])) >= 3))
-
-    hit = F.try_element_at(F.filter("chunks", supports), F.lit(1))
-    rest = [c for c in claims.columns if c not in CLAIM_KEY]
-    # Rows of a report are together after the join, so this grouping moves nothing.
-    first = met.withColumn("hit", hit).groupBy(*CLAIM_KEY).agg(
-        F.first(F.struct(*rest)).alias("r"), F.min_by("hit.snippet", "hit.at").alias("chunk_snippet"))
-    return first.select(*CLAIM_KEY, "r.*", "chunk_snippet").select(*claims.columns, "chunk_snippet")
+    said = materialize(claims.select(*CLAIM_KEY, number_tokens("text").alias("numbers"), long_words("text").alias("words")), "claims")
+    chunks = materialize(evidence.select("report_id", F.col("pos").alias("at"), number_tokens("text").alias("numbers"), long_words("text").alias("words")), "tokens")
+    token = ["report_id", "token"]
+
+    first = chunks.select("report_id", "at", F.explode("numbers").alias("token")).groupBy(*token).agg(F.min("at").alias("at"))
+    by_number = said.select(*CLAIM_KEY, F.explode("numbers").alias("token")).join(first, token).groupBy(*CLAIM_KEY).agg(F.min("at").alias("before"))
+
+    postings = chunks.select("report_id", "at", F.explode("words").alias("token"))
+    spread = postings.groupBy(*token).agg(F.count(F.lit(1)).alias("n"))
+    known = (said.select(*CLAIM_KEY, F.explode("words").alias("token")).join(spread, token).groupBy(*CLAIM_KEY)
+             .agg(F.array_sort(F.collect_list(F.struct("n", "token")))["token"].alias("known")).where(F.size("known") >= 3))
+    asked = known.join(by_number, CLAIM_KEY, "left").select("*", F.explode(F.slice("known", F.lit(1), F.size("known") - 2)).alias("token"))
+    tried = (asked.join(postings, token).where(F.col("before").isNull() | (F.col("at") < F.col("before")))
+             .groupBy(*CLAIM_KEY, "at").agg(F.first("known").alias("known")))
+    met = tried.join(chunks.select("report_id", "at", "words"), ["report_id", "at"]).where(F.size(F.array_intersect("known", "words")) >= 3)
+
+    best = (met.select(*CLAIM_KEY, "at").unionByName(by_number.withColumnRenamed("before", "at"))
+            .groupBy(*CLAIM_KEY).agg(F.min("at").alias("at")))
+    snippets = evidence.select("report_id", F.col("pos").alias("at"), F.substring("text", 1, 200).alias("chunk_snippet"))
+    supported = best.join(snippets, ["report_id", "at"]).drop("at")
+    return claims.join(supported, CLAIM_KEY, "left").select(*claims.columns, "chunk_snippet")
 
 
 def claim_metric_match(claims: DataFrame, values: DataFrame) -> DataFrame:

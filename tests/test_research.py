@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import pytest
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numeric import plain_number
@@ -117,3 +119,40 @@ def test_versions(spark):
     assert {r.report_id: r.version for r in v.collect()} == {"w": 3, "z": 4, "v": 1}
     assert {(r.user, r.report_id) for r in R.latest_report(v).collect()} == {(1, "z"), (2, "v")}
     assert [r.version for r in R.report_versions(v, 1, "a").collect()] == [4, 3]
+
+
+def test_support_equals_a_search_through_all_chunks(spark):
+    import random
+    import re
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(12)] + ["of", "the", "Über", "PROFIT", "profit"]
+    text = lambda n: " ".join(rng.choice(words) if rng.random() < 0.97 else str(rng.randrange(40) / 2) for _ in range(n))
+    claims = [(r, s, p, text(rng.randrange(1, 9))) for r in range(4) for s in range(2) for p in range(12)] + [(9, 0, 0, "word1 word2 word3"), (0, 5, 5, "")]
+    chunks = [(r, 2 * p, text(rng.randrange(1, 12))) for r in range(3) for p in range(40)] + [(1, 1000, None)]
+
+    def tokens(t):
+        return set(re.findall(r"\d+\.?\d*", t)), {w for w in t.lower().split() if len(w) > 3}
+
+    want = {}
+    for r, s, p, t in claims:
+        n, w = tokens(t)
+        hits = [(at, c) for q, at, c in sorted(chunks, key=lambda x: x[1]) if q == r and c and (n & tokens(c)[0] or len(w & tokens(c)[1]) >= 3)]
+        want[r, s, p] = hits[0][1][:200] if hits else None
+    got = E.claim_evidence_join(spark.createDataFrame(claims, "report_id int, section_no int, pos int, text string"), spark.createDataFrame(chunks, "report_id int, pos int, text string"))
+    assert {(r.report_id, r.section_no, r.pos): r.chunk_snippet for r in got.collect()} == want
+    assert len({v for v in want.values() if v}) > 5
+
+
+def test_a_report_with_many_chunks_is_spread_by_its_tokens(spark):
+    claims = spark.range(40).selectExpr("1 AS report_id", "cast(id as int) AS section_no", "0 AS pos", "concat('alpha', id % 9, ' beta', id % 7, ' gamma', id, ' delta') AS text")
+    chunks = spark.range(20000).selectExpr("1 AS report_id", "cast(id as int) AS pos", "concat('delta beta', id % 7, ' gamma', id % 50, ' other words alpha', id % 9) AS text")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = E.claim_evidence_join(claims, chunks)
+        assert found.where("chunk_snippet IS NOT NULL").count() == 40
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(report_id" in plan and "hashpartitioning(report_id#" not in re.sub(r"hashpartitioning\(report_id#\d+L?, (token|at|section_no|pos)", "", plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
