@@ -1,7 +1,7 @@
 """Queries over news.
 
-A source of the documents is a company; the first line of a document is a headline and
-its id decides origin, date and link.  Feeds and search answers are written by Spark from
+A source of the documents is a company; the first line of a document is a headline, the other lines are
+the text below it, and its id decides origin, date and link.  Feeds and search answers are written by Spark from
 at most fifty documents each.
 """
 
@@ -21,17 +21,22 @@ TICKER = "element_at(array(" + ", ".join(f"'{t}'" for t, _ in NAMES) + "), cast(
 NAME = "element_at(array(" + ", ".join(f"'{n}'" for _, n in NAMES) + "), cast(pmod(hash_no, 5) + 1 as int))"
 
 
+# The text below the first line.
+REST = "coalesce(substring(text, length(element_at(split(text, '\\n'), 1)) + 2), '')"
+REST_SQL = "coalesce(substr(text, length(string_split(text, chr(10))[1]) + 2), '')"
+
+
 def items(spark, folder):
-    d = table(spark, folder, "documents").selectExpr("*", "cast(substring(source, 4) as int) AS hash_no", "element_at(split(text, '\\n'), 1) AS line")
+    d = table(spark, folder, "documents").selectExpr("*", "cast(substring(source, 4) as int) AS hash_no", "element_at(split(text, '\\n'), 1) AS line").withColumn("rest", F.expr(REST))
     return d.selectExpr(
-        "doc_id AS pos", "source AS company_id", f"{TICKER} AS ticker", f"{NAME} AS name", "line AS title", "if(doc_id % 4 = 0, concat('Report on ', lang, ' Deutsche'), '') AS snippet",
+        "doc_id AS pos", "source AS company_id", f"{TICKER} AS ticker", f"{NAME} AS name", "line AS title", "concat(if(doc_id % 4 = 0, concat('Report on ', lang, ' Deutsche '), ''), rest) AS snippet",
         "case doc_id % 3 when 0 then 'google-news' when 1 then 'bing' else 'yahoo' end AS origin", "if(doc_id % 2 = 0, 'US', 'IN') AS market",
         "if(doc_id % 10 = 0, null, timestamp_seconds(1700000000 + (doc_id * 7919) % 500000)) AS published_at", "concat('https://news.example.com/', doc_id) AS link", "lang")
 
 
 ITEM_SQL = f"""it AS (SELECT doc_id AS pos, source AS company_id, [{', '.join(f"'{t}'" for t, _ in NAMES)}][CAST(substr(source, 4) AS INTEGER) % 5 + 1] AS ticker,
  [{', '.join(f"'{n}'" for _, n in NAMES)}][CAST(substr(source, 4) AS INTEGER) % 5 + 1] AS name, string_split(text, chr(10))[1] AS title,
- CASE WHEN doc_id % 4 = 0 THEN 'Report on ' || lang || ' Deutsche' ELSE '' END AS snippet, CASE doc_id % 3 WHEN 0 THEN 'google-news' WHEN 1 THEN 'bing' ELSE 'yahoo' END AS origin,
+ CASE WHEN doc_id % 4 = 0 THEN 'Report on ' || lang || ' Deutsche ' ELSE '' END || {REST_SQL} AS snippet, CASE doc_id % 3 WHEN 0 THEN 'google-news' WHEN 1 THEN 'bing' ELSE 'yahoo' END AS origin,
  doc_id % 3 + 1 AS grp, CASE WHEN doc_id % 2 = 0 THEN 'US' ELSE 'IN' END AS market, CASE WHEN doc_id % 10 <> 0 THEN make_timestamp((1700000000 + (doc_id * 7919) % 500000) * 1000000) END AS published_at FROM documents)"""
 
 
@@ -160,11 +165,12 @@ def origin_host(spark, folder):
 
 def feeds(spark, folder):
     """RSS documents of a source, fifty ids each; every seventh feed breaks off."""
-    d = table(spark, folder, "documents").selectExpr("doc_id", "source", "doc_id div 50 AS feed_no", "regexp_replace(element_at(split(text, '\\n'), 1), '[\\\\p{Cc}<]', ' ') AS line")
+    d = table(spark, folder, "documents").selectExpr("doc_id", "source", "doc_id div 50 AS feed_no", "regexp_replace(element_at(split(text, '\\n'), 1), '[\\\\p{Cc}<]', ' ') AS line",
+                                                       f"regexp_replace({REST}, '[\\\\p{{Cc}}<>&]', ' ') AS rest")
     item = d.selectExpr("source", "feed_no", "doc_id", """concat('<item><title><![CDATA[', line, ' &amp;amp; Co - Reuters ', doc_id, ']]></title>',
       if(doc_id % 3 = 0, '<guid>', '<link>'), if(doc_id % 2 = 0, concat('https://www.bing.com/n?url=https%3A%2F%2Fa.example%2F', doc_id, '&amp;x=1'), concat('https://b.example/', doc_id)), if(doc_id % 3 = 0, '</guid>', '</link>'),
       '<pubDate>', date_format(timestamp_seconds(1700000000 + doc_id * 60), 'dd MMM yyyy HH:mm:ss'), ' GMT</pubDate>',
-      if(doc_id % 5 = 0, concat('<dc:creator>Writer ', doc_id, '</dc:creator>'), ''), '<description>&lt;p&gt;Some &lt;b&gt;news&lt;/b&gt; ', doc_id, '&lt;/p&gt;</description></item>') AS x""")
+      if(doc_id % 5 = 0, concat('<dc:creator>Writer ', doc_id, '</dc:creator>'), ''), '<description>&lt;p&gt;Some &lt;b&gt;news&lt;/b&gt; ', doc_id, ' ', rest, '&lt;/p&gt;</description></item>') AS x""")
     g = item.groupBy("source", "feed_no").agg(F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("l"))
     return g.select("source", "feed_no", F.concat(F.lit('<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Feed</title>'), F.array_join("l.x", ""),
                                                   F.when(F.col("feed_no") % 7 == 3, "</channel>").otherwise("</channel></rss>")).alias("xml"))
@@ -172,7 +178,7 @@ def feeds(spark, folder):
 
 FEED_SQL = f"""fd0 AS (SELECT doc_id, source AS company_id, doc_id // 50 AS feed_no, trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[\\x00-\\x1f\\x7f-\\x9f<]', ' ', 'g') || ' & Co', '\\s+', ' ', 'g')) AS head,
  CASE WHEN doc_id % 2 = 0 THEN 'https://a.example/' || doc_id ELSE 'https://b.example/' || doc_id END AS link, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS published_at,
- 'Some news ' || doc_id AS snippet FROM documents WHERE (doc_id // 50) % 7 <> 3),
+ left(trim(regexp_replace('Some news ' || doc_id || ' ' || regexp_replace({REST_SQL}, '[\\x00-\\x1f\\x7f-\\x9f<>&]', ' ', 'g'), '\\s+', ' ', 'g')), 280) AS snippet FROM documents WHERE (doc_id // 50) % 7 <> 3),
 fd AS (SELECT *, CASE WHEN length(head) > 12 THEN head ELSE head || ' - Reuters ' || doc_id END AS title,
  CASE WHEN doc_id % 5 = 0 THEN 'Writer ' || doc_id WHEN length(head) > 12 THEN 'Reuters ' || doc_id ELSE 'News' END AS source FROM fd0)"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog.bindings import FIN_SQL, financials
 from ledgerloom.catalog.finance import metric_status_sql, metric_value_sql
+from ledgerloom.catalog.news import REST, REST_SQL
 from ledgerloom.catalog.registry import query
 from ledgerloom.catalog.retrieval import class_sql, document_chunks
 from ledgerloom.functions import vectors as V
@@ -119,22 +120,25 @@ def gather_market(spark, folder):
         "request_id", "pos", "ticker", F.round("current_price", 4).alias("current_price"), "error")
 
 
+NEWS_PER_COMPANY = 5
+
+
 def company_news(spark, folder):
-    """News of a company: the first line of each document, filed under one of a hundred tickers."""
+    """News of a company: the first line of each document and the text below it, filed under one of a hundred tickers."""
     return table(spark, folder, "documents").select(
         F.expr(TICKER.format("doc_id % 100")).alias("ticker"), F.col("doc_id").alias("pos"),
-        F.element_at(F.split("text", "\n"), 1).alias("title"))
+        F.element_at(F.split("text", "\n"), 1).alias("title"), F.expr(REST).alias("summary"))
 
 
-NEWS_SQL = f"nw AS (SELECT {TICKER_SQL.format('doc_id % 100')} AS ticker, doc_id, string_split(text, chr(10))[1] AS title FROM documents)"
+NEWS_SQL = f"nw AS (SELECT {TICKER_SQL.format('doc_id % 100')} AS ticker, doc_id, string_split(text, chr(10))[1] AS title, {REST_SQL} AS summary FROM documents)"
 
 
 @query("gather_news", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw)
-SELECT request_id, CAST(pos AS INTEGER) AS pos, ticker, CAST(news_pos AS INTEGER) AS news_pos, md5(title) AS digest
-FROM pc JOIN nr USING (ticker)""")
+SELECT request_id, CAST(pos AS INTEGER) AS pos, ticker, CAST(news_pos AS INTEGER) AS news_pos, md5(title || chr(10) || summary) AS digest
+FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5""")
 def gather_news(spark, folder):
-    return P.gather_news(plans(spark, folder), company_news(spark, folder)).select(
-        "request_id", "pos", "ticker", "news_pos", F.md5("title").alias("digest"))
+    return P.gather_news(plans(spark, folder), company_news(spark, folder), NEWS_PER_COMPANY).select(
+        "request_id", "pos", "ticker", "news_pos", F.md5(F.concat("title", F.lit("\n"), "summary")).alias("digest"))
 
 
 @query("multi_query_retrieve")
@@ -145,7 +149,7 @@ def multi_query_retrieve(spark, folder):
 
 
 @query("assemble_evidence", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw),
-nn AS (SELECT request_id, count(*) AS news, md5(string_agg(pos || ':' || news_pos || ':' || md5(title), ',' ORDER BY pos, news_pos)) AS news_digest FROM pc JOIN nr USING (ticker) GROUP BY 1),
+nn AS (SELECT request_id, count(*) AS news, md5(string_agg(pos || ':' || news_pos || ':' || md5(title || summary), ',' ORDER BY pos, news_pos)) AS news_digest FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5 GROUP BY 1),
 ch AS (SELECT request_id, count(*) AS retrieved, md5(string_agg(doc_id % 2 || ':' || md5(text), ',' ORDER BY doc_id % 2)) AS chunk_digest
  FROM pl JOIN documents ON doc_id // 2 = CAST(regexp_extract(request_id, '^R(\\d+)', 1) AS BIGINT) GROUP BY 1),
 base AS (SELECT request_id, request_type, coalesce(companies[1], 'UNKNOWN') AS ticker FROM pl)
@@ -163,10 +167,10 @@ def assemble_evidence(spark, folder):
     asked = made.select("request_id", F.regexp_extract("request_id", r"^R(\d+)", 1).cast("long").alias("conv"))
     chunks = asked.join(found, "conv").drop("conv")
     out = P.assemble_evidence(made, info, engine(spark, folder), P.gather_market(made, snapshots(spark, folder)), chunks,
-                              P.gather_news(made, company_news(spark, folder)))
+                              P.gather_news(made, company_news(spark, folder), NEWS_PER_COMPANY))
     return out.select("request_id", "request_type", "ticker", "name", "sector", "computed",
                       F.round("current_price", 4).alias("current_price"), "news",
-                      F.md5(F.array_join(F.transform("news_items", lambda n: F.concat_ws(":", n["pos"], n["news_pos"], F.md5(n["title"]))), ",")).alias("news_digest"),
+                      F.md5(F.array_join(F.transform("news_items", lambda n: F.concat_ws(":", n["pos"], n["news_pos"], F.md5(F.concat(n["title"], n["summary"])))), ",")).alias("news_digest"),
                       "retrieved", F.md5(F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["pos"], F.md5(c["text"]))), ",")).alias("chunk_digest"))
 
 
@@ -347,10 +351,10 @@ def format_evidence(spark, folder):
     return E.format_evidence(evidence_chunks(spark, folder), "report_id").select("report_id", F.md5("text").alias("digest"))
 
 
-@query("format_news", f"""WITH {NEWS_SQL}, t AS (SELECT ticker, doc_id, row_number() OVER (PARTITION BY ticker ORDER BY doc_id) AS i, title FROM nw)
-SELECT ticker, md5(string_agg('  - ' || title || ' (day ' || doc_id || ')' || CASE WHEN title <> '' THEN chr(10) || '    ' || title ELSE '' END, chr(10) ORDER BY i)) AS digest FROM t GROUP BY ticker""")
+@query("format_news", f"""WITH {NEWS_SQL}, t AS (SELECT ticker, doc_id, row_number() OVER (PARTITION BY ticker ORDER BY doc_id) AS i, title, summary FROM nw)
+SELECT ticker, md5(string_agg('  - ' || title || ' (day ' || doc_id || ')' || CASE WHEN summary <> '' THEN chr(10) || '    ' || summary ELSE '' END, chr(10) ORDER BY i)) AS digest FROM t GROUP BY ticker""")
 def format_news(spark, folder):
-    n = company_news(spark, folder).withColumn("summary", F.col("title")).withColumn("date", F.concat(F.lit("day "), "pos"))
+    n = company_news(spark, folder).withColumn("date", F.concat(F.lit("day "), "pos"))
     return E.format_news(n, "ticker").select("ticker", F.md5("text").alias("digest"))
 
 

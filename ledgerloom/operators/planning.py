@@ -99,8 +99,8 @@ def gather_market(plans: DataFrame, snapshots: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.when(F.col("_known").isNull(), "no market data")).drop("_known")
 
 
-def gather_news(plans: DataFrame, news: DataFrame, per_company: int | None = None) -> DataFrame:
-    """News (the first ``per_company`` or all) of every planned company: ``request_id, pos, news_pos, title, ...``."""
+def gather_news(plans: DataFrame, news: DataFrame, per_company: int) -> DataFrame:
+    """The first ``per_company`` news of every planned company: ``request_id, pos, news_pos, title, ...``."""
     from ledgerloom.operators.ordered import top_per_key
     first = top_per_key(news, ["ticker"], [F.col("pos"), F.col("title")], per_company, "news_pos").drop("pos")
     return planned_companies(plans).join(first, "ticker")
