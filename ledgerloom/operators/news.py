@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators.ordered import first_per_key, top_per_key
+from ledgerloom.operators.ordered import first_per_key, rank_within, top_per_key
 
 MIN_FOCUSED = 4
 # Name words that say nothing about a company; group order of the origins.
@@ -21,17 +21,26 @@ def group_no(origin="origin") -> Column:
     return F.array_position(F.array(*[F.lit(g) for g in GROUP_ORDER]), T.col(origin)).cast("int")
 
 
-def merge_news(items: DataFrame, keys: list[str], pos: str = "pos", limit: int | None = None) -> DataFrame:
-    """First of each normalised title in (origin, position) order, newest first, the first ``limit`` or all.
+def unique_news(items: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """First of each normalised title in (origin, position) order, by aggregation; adds ``_group``, the origin's number."""
+    titled = items.withColumn("title_key", normalize_title("title")).where(F.col("title_key") != "")
+    return first_per_key(titled.withColumn("_group", group_no()), [*keys, "title_key"], [F.col("_group"), F.col(pos)]).drop("title_key")
+
+
+def newest_first(news: DataFrame, keys: list[str], pos: str = "pos", limit: int | None = None) -> DataFrame:
+    """Ranked by date, origin and position.
 
-    The first occurrence is an aggregate and the limit a top-k, so one company or title
-    with very many items is reduced before the shuffle.
+    The first ``limit`` are a top-k.  All of them are ranked over a range shuffle, so a company or market that has
+    most of the news is spread over many tasks.
     """
-    titled = items.withColumn("title_key", normalize_title("title")).where(F.col("title_key") != "")
-    titled = titled.withColumn("_group", group_no())
-    unique = first_per_key(titled, [*keys, "title_key"], [F.col("_group"), F.col(pos)])
     order = [F.desc_nulls_last("published_at"), F.col("_group"), F.col(pos)]
-    return top_per_key(unique, keys, order, limit, "rank").drop("_group", "title_key")
+    ranked = top_per_key(news, keys, order, limit, "rank") if limit is not None else rank_within(news, keys, order, "rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_group")
+
+
+def merge_news(items: DataFrame, keys: list[str], pos: str = "pos", limit: int | None = None) -> DataFrame:
+    """First of each normalised title in (origin, position) order, newest first, the first ``limit`` or all."""
+    return newest_first(unique_news(items, keys, pos), keys, pos, limit)
 
 
 def company_symbol(ticker) -> Column:
@@ -65,10 +74,17 @@ def collect_company_news(items: DataFrame, keys: list[str] | None = None, limit:
     """
     keys = keys or ["ticker", "name"]
     wanted = items.where((F.col("origin") != "yahoo") | is_relevant())
-    merged = merge_news(wanted, keys, limit=limit).withColumn("relevant", is_relevant())
-    n = F.count_if("relevant").over(Window.partitionBy(*keys))
-    focused = merged.withColumn("_n", n).where((F.col("_n") < MIN_FOCUSED) | F.col("relevant")).drop("_n")
-    return focused.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
+    if limit is None:
+        news = unique_news(wanted, keys)
+    else:
+        news = merge_news(wanted, keys, limit=limit).withColumn("_group", group_no())
+    news = news.withColumn("relevant", is_relevant())
+    many = news.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count_if("relevant").alias("_n")).where(F.col("_n") >= MIN_FOCUSED)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    focused = news.join(many, same, "left").where(F.col("_n").isNull() | F.col("relevant")).select(*news.columns)
+    return newest_first(focused.drop("rank"), keys, limit=limit)
 
 
 def collect_market_news(items: DataFrame, limit: int | None = None) -> DataFrame:
