@@ -48,7 +48,8 @@ POPULATION = 4
 OPEN = 0.999
 CHUNK = 1 << 22
 _SPECIAL = re.compile(rb"<\|(?:start|end)oftext\|>")
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 19
+_ASKED = 1000
 # Bytes of texts that are cut here: ASCII that is printed or space, and the letters from A with grave to y with diaeresis.
 _LETTERS = [*range(65, 91), *range(97, 123), 0xC3, *(b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7))]
 _KIND = np.full(256, 3, np.uint8)  # 0: space, 1: of a word, 2: digit, 3: other
@@ -81,7 +82,7 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens(dict):
-    """Ids of a word as little-endian 32-bit numbers, remembered."""
+    """Ids of words as little-endian 32-bit numbers, remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,15 +90,26 @@ class Tokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = found = self.whole(word)
-        return found
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Look up words, each as the tokenizer cuts it off, many in a call."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > _REMEMBERED:
+            self.clear()
+            new = words
+        for i in range(0, len(new), _ASKED):
+            part = new[i:i + _ASKED]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            which = found.word_ids
+            if None not in which and len(set(which)) == len(part):
+                cut = np.searchsorted(np.array(which), np.arange(len(part) + 1)) * 4
+                raw = np.array(found.ids, "<u4").tobytes()
+                self.update((w, raw[a:b]) for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            else:
+                self.update((w, self.whole(w)) for w in part)
+
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
         parts, place, out = [], [], [[] for _ in texts]
@@ -131,7 +143,9 @@ class Tokens(dict):
         np.cumsum(stop - first, out=offsets[1:])
         kept = data[_KIND[data] > 0]
         found = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
-        spelled = [self[w] for w in found.dictionary.to_pylist()]
+        words = found.dictionary.to_pylist()
+        self.learn(words)
+        spelled = [self[w] for w in words]
         length = np.array([len(x) // 4 for x in spelled], np.int64)
         begin, which = np.cumsum(length) - length, found.indices.to_numpy()
         n = length[which]
@@ -142,12 +156,23 @@ class Tokens(dict):
         return [ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+_OF_PROCESS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The tokens that this process remembers; Spark gives its Python workers many tasks one after the other."""
+    if path not in _OF_PROCESS:
+        _OF_PROCESS.clear()
+        _OF_PROCESS[path] = Tokens(path)
+    return _OF_PROCESS[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """uid, doc_id, piece, start, length, ids_crc32: every document's ids and a closing 0, cut at the capacity."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for batch in batches:
             which, piece, start, length, sums = [], [], [], [], []
             for i, ids in enumerate(tokens.of([t or b"" for t in batch.column(1).to_pylist()])):
