@@ -6,6 +6,8 @@ its evidence.  Sentences a report would have (figures, citations) are added by r
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom.catalog.bindings import FIN_SQL, financials
@@ -20,6 +22,8 @@ from ledgerloom.operators import peers, planning as P, ratios
 from ledgerloom.operators import reports as R
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.ordered import last_per_key
+from ledgerloom.session import shared_dir
+from ledgerloom.sources.report_files import read_report_files, write_report_files
 from ledgerloom.tables import table
 
 TICKER = "concat('T', translate(cast({} as string), '0123456789', 'ABCDEFGHIJ'))"
@@ -396,6 +400,21 @@ def report_json(spark, folder):
         F.aggregate("r.sections", F.lit(0).cast("long"), lambda a, s: a + F.length(s["content"])).alias("characters"))
 
 
+JSON_SQL = """js AS (SELECT report_id, '{"metadata":{"company":"Company ' || report_id || '","ticker":"' || TICKER || '","generated_at":"2024-01-01T00:00:' || printf('%02d', report_id % 60) || '"},"sections":['
+ || string_agg('{"id":' || id || ',"title":' || to_json(title) || ',"content":' || to_json(content) || CASE WHEN confidence IS NOT NULL THEN ',"confidence":' || confidence ELSE '' END || '}', ',' ORDER BY id) || ']}' AS j
+ FROM tw GROUP BY report_id)""".replace("TICKER", TICKER_SQL.format("report_id"))
+
+
+@query("report_files", f"WITH {TWELVE_SQL}, {JSON_SQL} SELECT CAST(report_id AS VARCHAR) AS report_id, j AS report_json, length(j) AS characters FROM js")
+def report_files(spark, folder):
+    """The JSON of every report as a file of its own, read back as text; the files are written twice, the second time in place of the first."""
+    made = R.report_json(R.build_12_sections(report_sections(spark, folder)), report_heads(spark, folder))
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    write_report_files(made.withColumn("report_json", F.upper("report_json")), path, "report_json")
+    write_report_files(made, path, "report_json", mode="overwrite")
+    return read_report_files(spark, path, "report_json").withColumn("characters", F.length("report_json").cast("long"))
+
+
 # --- versions -------------------------------------------------------------------
 
 def _stored(spark, folder):
