@@ -11,7 +11,7 @@ from tests.llm.conftest import SF
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{n}" for n in range(1, 14)] + ["pipeline"]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
