@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.catalog.registry import query
 from ledgerloom.functions import urls as U
 from ledgerloom.operators import discovery as D
+from ledgerloom.operators.domains import registrable_domains
 from ledgerloom.session import materialize
 from ledgerloom.tables import table
 
@@ -96,6 +97,23 @@ def registrable_domain(spark, folder):
     return p.select("page_id", U.registrable_domain("url").alias("domain"))
 
 
+# Rules of each kind.
+SUFFIX_RULES = ("com", "uk", "co.uk", "jp", "kyoto.jp", "ide.kyoto.jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck")
+_TAILS = ("com", "co.uk", "ide.kyoto.jp", "c.kobe.jp", "city.kobe.jp", "www.ck", "x.ck", "other.test")
+
+
+@query("registrable_domain_rules", """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^./:?#]*)', 1)) AS a,
+ ['com', 'co.uk', 'ide.kyoto.jp', 'c.kobe.jp', 'city.kobe.jp', 'www.ck', 'x.ck', 'other.test'][page_id % 8 + 1] AS t, page_id % 8 AS k, (page_id // 8) % 3 AS n FROM pages)
+SELECT page_id, CASE WHEN k IN (4, 5) THEN t WHEN k = 7 THEN 'other.test' WHEN n = 0 THEN NULL ELSE a || '.' || t END AS domain FROM p""")
+def registrable_domain_rules(spark, folder):
+    """Hosts made of a page's first label, none to two times, and a suffix of each kind."""
+    tails = ", ".join(f"'{t}'" for t in _TAILS)
+    urls = table(spark, folder, "pages").selectExpr("page_id", f"""concat('https://', repeat(concat(regexp_extract(url, '^https?://([^./:?#]*)', 1), '.'), cast((page_id div 8) % 3 as int)),
+      element_at(array({tails}), cast(page_id % 8 + 1 as int)), '/a') AS url""")
+    rules = spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string")
+    return registrable_domains(urls, "url", rules).select("page_id", "domain")
+
+
 @query("same_domain", f"WITH {ANCHOR_SQL} SELECT page_id, pos, href NOT LIKE 'https://cdn.other.org%' AS same FROM ab")
 def same_domain(spark, folder):
     return anchors(spark, folder).select("page_id", "pos", U.same_domain("page_url", "absolute_url").alias("same"))
