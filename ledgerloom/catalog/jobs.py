@@ -68,13 +68,27 @@ def _answered(spark, folder):
     return answering.answer_questions(q, retrieval.document_chunks(spark, folder))
 
 
-@query("answer_record")
+ANSWER_SQL = retrieval.confidence_sql(retrieval.context_sql(retrieval.found_in_documents_sql(
+    retrieval.ASKED_SQL + ", qs AS (SELECT query_id, company, v FROM qe)", 10), 6000))
+
+
+@query("answer_record", f"""WITH {ANSWER_SQL}, fh AS (SELECT query_id, count(*) AS chunks_retrieved FROM fin_hits GROUP BY query_id),
+ar AS (SELECT qe.query_id, question_type, query_used, CASE WHEN trim(coalesce(context_text, '')) = '' THEN 'insufficient' ELSE 'answer' END AS route,
+ coalesce(confidence, 0) AS confidence, {retrieval.TIER_SQL} AS tier,
+ coalesce(chunks_retrieved, 0) AS chunks_retrieved, coalesce(cx.chunks_used, 0) AS chunks_used, coalesce(confidence >= 0.4, false) AS evidence_sufficient
+ FROM qe LEFT JOIN cx ON cx.query_id = qe.query_id LEFT JOIN cf ON cf.query_id = qe.query_id LEFT JOIN fh ON fh.query_id = qe.query_id)
+SELECT *, CASE WHEN route = 'insufficient' THEN 'The available documents do not contain sufficient information to answer this question. Please ensure relevant documents have been indexed for this company.' END AS answer FROM ar""")
 def answer_record(spark, folder):
     return _answered(spark, folder).records().select(
         "query_id", "question_type", "query_used", "route", "answer", "confidence", "tier", "chunks_retrieved", "chunks_used", "evidence_sufficient")
 
 
-@query("prompt_text")
+@query("prompt_text", f"""WITH {ANSWER_SQL}, pt AS (SELECT qe.query_id, CASE question_type WHEN 'summarization' THEN 'summarize.txt' WHEN 'comparative' THEN 'compare.txt' ELSE 'rag_answer.txt' END AS template_used,
+ CASE question_type WHEN 'summarization' THEN 'Summarise the numbered context for the question and cite the numbers used.'
+  WHEN 'comparative' THEN 'Compare what the question names, from the numbered context only, and cite the numbers used.'
+  ELSE 'Answer the question from the numbered context only and cite the numbers used.' END
+ || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || coalesce(context_text, '') || chr(10) AS prompt
+ FROM qe LEFT JOIN cx ON cx.query_id = qe.query_id) SELECT query_id, template_used, CAST(length(prompt) AS INTEGER) AS size, md5(prompt) AS digest FROM pt""")
 def prompt_text(spark, folder):
     return _answered(spark, folder).prompts(X.templates(spark)).select(
         "query_id", "template_used", F.length("prompt").alias("size"), F.md5("prompt").alias("digest"))

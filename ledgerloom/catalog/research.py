@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerloom.catalog import retrieval as retrieval_sql
 from ledgerloom.catalog.bindings import FIN_SQL, financials
 from ledgerloom.catalog.finance import metric_status_sql, metric_value_sql
 from ledgerloom.catalog.news import REST, REST_SQL
@@ -145,9 +146,19 @@ def gather_news(spark, folder):
         "request_id", "pos", "ticker", "news_pos", F.md5(F.concat("title", F.lit("\n"), "summary")).alias("digest"))
 
 
-@query("multi_query_retrieve")
+MULTI_SQL = retrieval_sql.found_in_documents_sql(retrieval_sql.embed_sql(f"""{GENQ_SQL}, mq AS (SELECT request_id, companies[1] AS first_company, unnest(qs) AS query,
+ generate_subscripts(qs, 1) - 1 AS query_no FROM gq)""", "mq", "query", "me") + """, qs AS (SELECT request_id || '#' || CAST(query_no AS VARCHAR) AS query_id,
+ 'SRC' || CAST(CAST('0x' || left(md5(first_company), 4) AS INTEGER) % 20 AS VARCHAR) AS company, v, request_id, query_no FROM me)""", 5)
+
+
+@query("multi_query_retrieve", f"""WITH {MULTI_SQL}, mf AS (SELECT f.*, qs.request_id, qs.query_no FROM fin_hits f JOIN qs USING (query_id)),
+mo AS (SELECT *, row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY query_no, position) AS nth FROM mf)
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY query_no, position) AS INTEGER) AS pos, chunk_id, score,
+ CAST(query_no AS INTEGER) AS query_no FROM mo WHERE nth = 1""")
 def multi_query_retrieve(spark, folder):
-    made = plans(spark, folder).withColumn("companies", F.transform("companies", lambda c: F.concat(F.lit("SRC"), F.pmod(F.hash(c), F.lit(20)))))
+    """Each company of a plan stands for one of the twenty sources of the documents."""
+    source = lambda c: F.concat(F.lit("SRC"), F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int") % 20)
+    made = plans(spark, folder).withColumn("companies", F.transform("companies", source))
     return retrieval.multi_query_retrieve(made, document_chunks(spark, folder), V.embed_fn).select(
         "request_id", "pos", "chunk_id", "score", "query_no")
 

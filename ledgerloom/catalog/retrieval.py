@@ -84,7 +84,10 @@ hit AS (SELECT *, round(raw, 4) AS score FROM (SELECT *, row_number() OVER (PART
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
-KEEP_SQL = f"""short AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM hit
+
+
+def keep_sql(top_k: int) -> str:
+    return f"""short AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM hit
  WHERE length(trim(text, {BLANKS})) >= 40),
 rr AS (SELECT *, round(least(1::DOUBLE, score + CASE WHEN has_heading THEN 0.02::DOUBLE ELSE 0 END
  + CASE WHEN quality_score > 0.8 THEN 0.01::DOUBLE ELSE 0 END - CASE WHEN contains_table THEN 0.01::DOUBLE ELSE 0 END
@@ -93,8 +96,11 @@ ro AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER B
 dd AS (SELECT * FROM ro a WHERE NOT EXISTS (SELECT 1 FROM ro b WHERE b.query_id = a.query_id AND b.rank < a.rank
   AND left(b.text, 200) = left(a.text, 200))),
 tk AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM dd),
-tt AS (SELECT *, min(rank) OVER (PARTITION BY query_id, document_id) AS doc_first FROM tk WHERE rank <= {TOP_K}),
+tt AS (SELECT *, min(rank) OVER (PARTITION BY query_id, document_id) AS doc_first FROM tk WHERE rank <= {top_k}),
 fin_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_first, coalesce(page_start, 0), rank) AS position FROM tt)"""
+
+
+KEEP_SQL = keep_sql(TOP_K)
 RETRIEVE_SQL = f"{search_sql(40, 'token_count >= 20')}, {KEEP_SQL}"
 
 
@@ -172,16 +178,22 @@ def source_string(spark, folder):
 
 
 BUDGET = 900
-CONTEXT_SQL = f"""{RETRIEVE_SQL},
+
+
+def context_sql(found: str, budget: int) -> str:
+    return f"""{found},
 cn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id, coalesce(page_start, 0), position) AS ref FROM fin_hits),
 cb AS (SELECT *, '[' || ref || '] ' || trim(text, {BLANKS}) AS block FROM cn WHERE trim(text, {BLANKS}) <> ''),
 cs AS (SELECT *, greatest(1, length(block) // 4) AS bt FROM cb),
 cr AS (SELECT *, sum(bt) OVER (PARTITION BY query_id ORDER BY ref ROWS UNBOUNDED PRECEDING) AS total FROM cs),
-cu AS (SELECT * FROM cr WHERE total <= {BUDGET}),
+cu AS (SELECT * FROM cr WHERE total <= {budget}),
 cx AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY ref) AS context_text, count(*) AS chunks_used,
  CAST(sum(bt) AS BIGINT) AS total_tokens FROM cu GROUP BY query_id)"""
 
 
+CONTEXT_SQL = context_sql(RETRIEVE_SQL, BUDGET)
+
+
 def _blocks(spark, folder):
     return X.context_blocks(_retrieved(spark, folder), BUDGET)
 
@@ -198,10 +210,14 @@ def build_context(spark, folder):
         "query_id", F.md5("context_text").alias("digest"), "chunks_used", "total_tokens")
 
 
-CONF_SQL = f"""{CONTEXT_SQL},
+def confidence_sql(packed: str) -> str:
+    return f"""{packed},
 cf0 AS (SELECT f.query_id, CAST(sum(CAST(round(score * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000 AS m, max(score) AS b, max(chunks_used) AS chunks_used
   FROM fin_hits f JOIN cx USING (query_id) WHERE position <= chunks_used GROUP BY f.query_id),
 cf AS (SELECT *, round(least(1, 0.5::DOUBLE * m + 0.3::DOUBLE * least(1, chunks_used / {REQUESTED}) + 0.2::DOUBLE * CASE WHEN b >= 0.5 THEN least(1, b) ELSE b / 0.5::DOUBLE * 0.5::DOUBLE END), 2) AS confidence FROM cf0)"""
+
+
+CONF_SQL = confidence_sql(CONTEXT_SQL)
 TIER_SQL = "CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' WHEN confidence >= 0.4 THEN 'low' ELSE 'insufficient' END"
 
 
@@ -251,10 +267,25 @@ def expand_query(spark, folder):
     return questions(spark, folder).select("question_id", X.expand_query("question").alias("query_used"))
 
 
-@query("embed_query")
+def embed_sql(ctes: str, source: str, text: str, name: str) -> str:
+    """CTE `name`: the columns of `source` and `v`, the vector of `text`: signed counts of words in 64 slots, seven bits of each word's MD5."""
+    return f"""{ctes}, {name}_w AS (SELECT *, list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'),
+  lambda w: CAST('0x' || left(md5(w), 2) AS INTEGER) % 128) AS marks FROM {source}),
+{name}_c AS (SELECT *, list_transform(range(64), lambda i: len(list_filter(marks, lambda m: m = i)) - len(list_filter(marks, lambda m: m = i + 64))) AS c FROM {name}_w),
+{name}_n AS (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM {name}_c),
+{name} AS (SELECT * EXCLUDE (marks, c, n), CASE WHEN {text} IS NULL THEN NULL WHEN n > 0 THEN list_transform(c, lambda x: CAST(x / n AS FLOAT)) ELSE [] END AS v FROM {name}_n)"""
+
+
+ASKED_SQL = embed_sql(f"""{QUESTION_SQL}, qt AS (SELECT question_id AS query_id, question, {QCLASS_SQL} AS question_type, {expand_sql('question')} AS query_used,
+ 'SRC' || CAST(conv_id % 20 AS VARCHAR) AS company FROM qn)""", "qt", "query_used", "qe")
+
+
+@query("embed_query", f"""WITH {ASKED_SQL} SELECT query_id AS question_id, CAST(len(v) AS INTEGER) AS dim,
+ md5(array_to_string(list_transform(v, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',')) AS digest FROM qe""")
 def embed_query(spark, folder):
     q = questions(spark, folder).select("question_id", V.embed_fn(X.expand_query("question")).alias("v"))
-    return q.select("question_id", F.size("v").alias("dim"), F.round(V.dot("v", "v"), 4).alias("squared_length"))
+    millionths = F.transform("v", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return q.select("question_id", F.size("v").alias("dim"), F.md5(F.array_join(millionths, ",")).alias("digest"))
 
 
 @query("route_evidence", f"""WITH {CONTEXT_SQL}, all_q AS (SELECT query_id FROM qs)
@@ -274,7 +305,20 @@ def document_chunks(spark, folder):
         F.col("lang").alias("section"), F.lit(None).cast("string").alias("subsection"), F.lit(1).alias("page_start"),
         F.lit(1).alias("page_end"), "text", estimate_tokens("text").alias("token_count"), F.lit(False).alias("has_heading"),
         F.lit(False).alias("contains_table"), F.lit(0.85).alias("quality_score"), V.embed_fn("text").alias("embedding")
-    ).where(F.size("embedding") > 0), "chunks")
+    ), "chunks").where(F.size("embedding") > 0)
+
+
+def found_in_documents_sql(asked: str, top_k: int) -> str:
+    """CTEs up to `fin_hits` over the documents of a query's company; `asked` ends in `qs` (query_id, company, v)."""
+    docs = embed_sql(asked, "documents", "text", "dv")
+    return f"""{docs},
+vec AS (SELECT printf('doc%08d', doc_id) AS chunk_id, 'D' || CAST(doc_id AS VARCHAR) AS document_id, upper(source) AS company, 2024 AS year,
+ 'annual_report' AS doc_type, lang AS section, 1 AS page_start, 1 AS page_end, text, CAST(greatest(1, length(text) // 4) AS INTEGER) AS token_count,
+ false AS has_heading, false AS contains_table, 0.85::DOUBLE AS quality_score, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS e FROM dv WHERE len(v) > 0),
+sc AS (SELECT query_id, vec.*, round(list_dot_product(q, e) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(e, e)), 10) AS raw
+  FROM (SELECT query_id, company, list_transform(v, lambda x: CAST(x AS DOUBLE)) AS q FROM qs WHERE len(v) > 0) q JOIN vec USING (company) WHERE token_count >= 20),
+hit AS (SELECT *, round(raw, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_id) AS rank FROM sc) WHERE rank <= {max(top_k * 4, 40)}),
+{keep_sql(top_k)}"""
 
 
 # --- embedding table ----------------------------------------------------------

@@ -23,6 +23,8 @@ from ledgerloom.session import materialize
 
 BLOCK_BYTES = 32 << 20
 QUERY_SLICE = 512
+# Scores that agree so far are equal: a product's last bits depend on its place in a block.
+SAME_DIGITS = 10
 FILTERS = ("company", "year", "doc_type", "section", "document_id")
 HIT_COLUMNS = ("chunk_id", "document_id", "company", "year", "doc_type", "section", "subsection",
                "page_start", "page_end", "text", "token_count", "has_heading", "contains_table", "quality_score")
@@ -150,7 +152,7 @@ def _score_batches(block: pd.DataFrame, k: int):
                         continue
                 names = chunk_ids[rows]
                 for first in range(0, len(index), QUERY_SLICE):
-                    scores = matrix[first:first + QUERY_SLICE] @ v[rows].T
+                    scores = np.round(matrix[first:first + QUERY_SLICE] @ v[rows].T, SAME_DIGITS)
                     tops = scores.max(axis=1)
                     for i, q in enumerate(index[first:first + QUERY_SLICE]):
                         if tops[i] >= best[q].floor():
@@ -197,7 +199,7 @@ def _blocked_hits(queries: DataFrame, vectors: DataFrame, top_k: int, block_byte
 
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score: float = 0.0,
                   min_tokens: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Best ``top_k`` chunks per query by cosine: ``query_id, rank, score`` and the chunk columns.
+    """Best ``top_k`` chunks per query by cosine, ties to smaller ids: ``query_id, rank, score`` and the chunk columns.
 
     ``queries`` has ``query_id``, ``query_vector`` and any of the filter columns;
     ``chunk_id`` is unique in ``vectors``.  A task holds one block of each side and
