@@ -265,7 +265,7 @@ def chunk_text(spark, folder):
     """The chunker as a table function called from SQL."""
     K.register(spark)
     K.page_blocks(C.clean_document(document_pages(spark, folder))).createOrReplaceTempView("page_blocks")
-    return spark.sql("SELECT document_id, chunk_no, section, token_count, md5(text) AS digest FROM chunk_text(TABLE(page_blocks) PARTITION BY document_id ORDER BY page)")
+    return spark.sql("SELECT document_id, chunk_no, section, token_count, md5(text) AS digest FROM chunk_text(TABLE(page_blocks))")
 
 
 @query("chunk_huge_document")

@@ -17,6 +17,8 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.ordered import scan_within
@@ -372,67 +374,76 @@ class _Block:
         self.section = self.subsection = ""
 
 
-def _blocks_of(rows):
-    """Blocks with sections from the page rows of one document, in page order."""
-    held, tail, section, subsection = None, None, "", ""
+class _Document:
+    """Blocks, sections, chunks and merges of one document, fed page by page; holds a block, a chunk in the making and one to merge."""
 
-    def placed(b):
-        nonlocal section, subsection
+    def __init__(self):
+        self.block, self.tail = None, None
+        self.section = self.subsection = ""
+        self.builder, self.held, self.done = _Builder(), None, 0
+
+    def _placed(self):
+        """The finished block with its section, through the builder."""
+        b, self.block = self.block, None
+        if b is None:
+            return
         if b.block_type == "heading":
-            section, subsection = (b.text, "") if b.heading_level <= 2 else (section, b.text)
-        b.section, b.subsection = section, subsection
+            self.section, self.subsection = (b.text, "") if b.heading_level <= 2 else (self.section, b.text)
+        b.section, b.subsection = self.section, self.subsection
         b.text = b.text.strip()
-        return b
+        yield from self._merged(self.builder.add(b))
 
-    for r in rows:
+    def _merged(self, chunks):
+        for chunk in _pieces(chunks, True):
+            self.done += 1
+            if self.held is not None and self.held["token_count"] < MIN_TOKENS:
+                self.held = _absorb(self.held, chunk)
+                continue
+            before, self.held = self.held, chunk
+            if before is not None:
+                yield from self._kept(before, 2)
+
+    def _kept(self, chunk, n):
+        if n == 1 or chunk["token_count"] >= 30 or len(chunk["text"].strip()) >= 100:
+            yield chunk
+
+    def page(self, r):
         for i, raw in enumerate(r["blocks"]):
-            if i == 0 and held is not None and tail == r["head"] and tail in ("table", "paragraph"):
-                held.text += "\n" + raw["text"]
-                held.pages.append(r["page"])
+            runs_on = i == 0 and self.tail == r["head"] and self.tail in ("table", "paragraph")
+            if runs_on and self.block is not None:
+                self.block.text += "\n" + raw["text"]
+                self.block.pages.append(r["page"])
                 continue
-            if held is not None:
-                yield placed(held)
-            held = _Block(raw["kind"], raw["level"], raw["text"], r["page"])
-        tail = r["tail"]
-    if held is not None:
-        yield placed(held)
+            yield from self._placed()
+            self.block = _Block(raw["kind"], raw["level"], raw["text"], r["page"])
+        self.tail = r["tail"]
+
+    def close(self):
+        yield from self._placed()
+        yield from self._merged(self.builder.close())
+        if self.held is not None:
+            yield from self._kept(self.held, self.done)
 
 
 def _document_chunks(rows):
-    """All passes for one document; yields chunks, knows when there is only one."""
-    builder, done, held = _Builder(), 0, None
-
-    def raw():
-        for b in _blocks_of(rows):
-            yield from _pieces(builder.add(b), True)
-        yield from _pieces(builder.close(), True)
-
-    for chunk in raw():
-        done += 1
-        if held is not None and held["token_count"] < MIN_TOKENS:
-            held = _absorb(held, chunk)
-            continue
-        if held is not None:
-            yield {**held, "n_chunks": 2}
-        held = chunk
-    if held is not None:
-        yield {**held, "n_chunks": done}
+    """Chunks of one document from its page rows in order."""
+    document = _Document()
+    for r in rows:
+        yield from document.page(r)
+    yield from document.close()
 
 
 def _document_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["document_id", "chunk_no", "n_chunks", *_CHUNK_COLUMNS]
+    columns = ["document_id", "chunk_no", *_CHUNK_COLUMNS]
 
     def page_rows():
         for batch in batches:
             yield from batch.to_dict("records")
 
-    out, number = [], 0
+    out = []
     for document, rows in groupby(page_rows(), key=lambda r: r["document_id"]):
-        number = 0
-        for chunk in _document_chunks(rows):
-            if chunk["n_chunks"] == 1 or chunk["token_count"] >= 30 or len(chunk["text"].strip()) >= 100:
-                number += 1
-                out.append({"document_id": document, "chunk_no": number, **chunk})
+        for number, chunk in enumerate(_document_chunks(rows), 1):
+            out.append({"document_id": document, "chunk_no": number, **chunk})
             if len(out) >= 500:
                 yield _frame(out, columns)
                 out = []
@@ -442,7 +453,7 @@ def _document_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _chunk_whole(paged: DataFrame) -> DataFrame:
     ordered = paged.repartition("document_id").sortWithinPartitions("document_id", "page")
     return ordered.mapInPandas(
-        _document_stream, f"document_id string, chunk_no long, n_chunks long, {_CHUNK_FIELDS}").drop("n_chunks")
+        _document_stream, f"document_id string, chunk_no long, {_CHUNK_FIELDS}")
 
 
 def _chunk_in_pieces(paged: DataFrame) -> DataFrame:
@@ -474,26 +485,39 @@ def chunk_document(pages: DataFrame, text: str = "clean_text", whole_document_pa
         *_CHUNK_COLUMNS, quality_score().alias("quality_score"))
 
 
+_TYPES = {"string": StringType(), "int": IntegerType(), "boolean": BooleanType()}
+
+
 class _ChunkText:
-    """Table function: page rows of one document in, chunks out."""
+    """Table function: page rows in, chunks out as soon as they are complete; asks for its partitioning and order itself."""
 
     def __init__(self):
-        self.rows: list[dict] = []
+        self.document, self.name, self.number = _Document(), None, 0
+
+    @staticmethod
+    def analyze(pages: AnalyzeArgument) -> AnalyzeResult:
+        if not pages.isTable or not {"document_id", "page", "blocks", "head", "tail"} <= set(pages.dataType.names):
+            raise ValueError("chunk_text needs a table with document_id, page, blocks, head and tail, as page_blocks makes it")
+        fields = [StructField("document_id", StringType()), StructField("chunk_no", LongType()),
+                  *[StructField(n, _TYPES[t]) for n, t in (f.split() for f in _CHUNK_FIELDS.split(", "))]]
+        return AnalyzeResult(schema=StructType(fields), partitionBy=[PartitioningColumn("document_id")], orderBy=[OrderingColumn("page")])
+
+    def _rows(self, chunks):
+        for chunk in chunks:
+            self.number += 1
+            yield (self.name, self.number, *[chunk[c] for c in _CHUNK_COLUMNS])
 
     def eval(self, row):
-        self.rows.append(row.asDict(recursive=True))
+        self.name = row["document_id"]
+        yield from self._rows(self.document.page(row.asDict(recursive=True)))
 
     def terminate(self):
-        number = 0
-        for chunk in _document_chunks(self.rows):
-            if chunk["n_chunks"] == 1 or chunk["token_count"] >= 30 or len(chunk["text"].strip()) >= 100:
-                number += 1
-                yield (self.rows[0]["document_id"], number, *[chunk[c] for c in _CHUNK_COLUMNS])
+        yield from self._rows(self.document.close())
 
 
 def register(spark) -> None:
-    """``chunk_text`` for SQL: ``SELECT * FROM chunk_text(TABLE(page_blocks) PARTITION BY document_id ORDER BY page)``."""
-    spark.udtf.register("chunk_text", F.udtf(_ChunkText, returnType=f"document_id string, chunk_no long, {_CHUNK_FIELDS}"))
+    """``chunk_text`` for SQL: ``SELECT * FROM chunk_text(TABLE(page_blocks))``."""
+    spark.udtf.register("chunk_text", F.udtf(_ChunkText))
 
 
 def chunk_summary(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
