@@ -192,20 +192,25 @@ def is_table_row(spark, folder):
                                    F.count(F.lit(1)).alias("lines"))
 
 
-BLOCKS_SQL = f"""{LINES_SQL}, k AS (SELECT *, {HEADING_CASE_SQL} AS h, {TABLE_CASE_SQL} AS tb FROM sc),
+def blocks_sql(lines: str) -> str:
+    """CTEs `bl` and `bs`: blocks and their sections from `sc`, the trimmed lines."""
+    return f"""{lines}, k AS (SELECT *, {HEADING_CASE_SQL} AS h, {TABLE_CASE_SQL} AS tb FROM sc),
 kk AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN h > 0 THEN 'heading' WHEN tb THEN 'table' ELSE 'paragraph' END AS kind FROM k),
 kp AS (SELECT *, lag(kind) OVER (PARTITION BY document_id ORDER BY page, line_no) AS pk FROM kk),
 kb AS (SELECT *, sum(CASE WHEN kind <> 'blank' AND (kind = 'heading' OR pk IS NULL OR pk <> kind) THEN 1 ELSE 0 END)
  OVER (PARTITION BY document_id ORDER BY page, line_no) AS b FROM kp),
 bl AS (SELECT document_id, CAST(b - 1 AS BIGINT) AS block_no, {trim_sql("string_agg(s, chr(10) ORDER BY page, line_no)")} AS text,
  string_agg(DISTINCT page, ',' ORDER BY page) AS pages, any_value(kind) AS block_type,
- CAST(max(h // 100) AS INTEGER) AS heading_level FROM kb WHERE kind <> 'blank' GROUP BY document_id, b),
+ CAST(max(h // 100) AS INTEGER) AS heading_level, min(page) AS first_page, max(page) AS last_page FROM kb WHERE kind <> 'blank' GROUP BY document_id, b),
 bs AS (SELECT *, last_value(CASE WHEN heading_level IN (1, 2) THEN text END IGNORE NULLS) OVER w AS section,
  max(CASE WHEN heading_level IN (1, 2) THEN block_no END) OVER w AS sec_no, max(CASE WHEN heading_level = 3 THEN block_no END) OVER w AS sub_no,
  last_value(CASE WHEN heading_level = 3 THEN text END IGNORE NULLS) OVER w AS sub
  FROM bl WINDOW w AS (PARTITION BY document_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
+BLOCKS_SQL = blocks_sql(LINES_SQL)
+
+
 @query("parse_blocks", f"WITH {BLOCKS_SQL} SELECT document_id, block_no, md5(text) AS digest, pages, block_type, heading_level FROM bl")
 def parse_blocks(spark, folder):
     return K.parse_blocks(document_pages(spark, folder), "text").select(
@@ -224,22 +229,97 @@ def _blocks(spark, folder):
     return K.assign_sections(K.parse_blocks(C.clean_document(document_pages(spark, folder))))
 
 
-@query("build_chunks")
+def tokens_sql(e: str) -> str:
+    return f"CAST(greatest(1, length({e}) // 4) AS INTEGER)"
+
+
+# The builder is a fold over three events for each block (may seal, add, may seal) and a last one that seals.
+SEAL_SQL = """(len(a.parts) > 0 AND CASE x.ev WHEN 1 THEN CASE WHEN x.major THEN true WHEN x.kind = 'paragraph' THEN a.tokens + x.size > 1200 AND a.tokens >= 300 ELSE a.tokens >= 300 END
+ WHEN 3 THEN x.kind <> 'heading' AND a.tokens >= 800 WHEN 4 THEN true ELSE false END)"""
+CARRY_SQL = f"(CASE x.ev WHEN 1 THEN NOT x.major WHEN 3 THEN x.kind = 'paragraph' ELSE false END AND {tokens_sql('a.parts[-1]')} <= 150)"
+CHUNK_TYPE = "STRUCT(section VARCHAR, subsection VARCHAR, page_start INTEGER, page_end INTEGER, text VARCHAR, token_count INTEGER, has_heading BOOLEAN, contains_table BOOLEAN)"
+STATE_TYPE = f"STRUCT(done {CHUNK_TYPE}[], parts VARCHAR[], tokens INTEGER, p0 INTEGER, p1 INTEGER, heading BOOLEAN, tbl BOOLEAN, sec VARCHAR, sub VARCHAR)"
+
+
+def _of_event(add: str, sealed: str, same: str) -> str:
+    return f"CASE WHEN x.ev = 2 THEN {add} WHEN {SEAL_SQL} THEN {sealed} ELSE {same} END"
+
+
+STEP_SQL = f"""CAST({{
+ 'done': CASE WHEN {SEAL_SQL} THEN list_append(a.done, CAST({{'section': a.sec, 'subsection': a.sub, 'page_start': a.p0, 'page_end': a.p1, 'text': array_to_string(a.parts, chr(10) || chr(10)),
+   'token_count': {tokens_sql("array_to_string(a.parts, chr(10) || chr(10))")}, 'has_heading': a.heading, 'contains_table': a.tbl}} AS {CHUNK_TYPE})) ELSE a.done END,
+ 'parts': {_of_event("list_append(a.parts, x.text)", f"CASE WHEN {CARRY_SQL} THEN a.parts[-1:] ELSE [] END", "a.parts")},
+ 'tokens': {_of_event("a.tokens + x.size", f"CASE WHEN {CARRY_SQL} THEN {tokens_sql('a.parts[-1]')} ELSE 0 END", "a.tokens")},
+ 'p0': {_of_event("least(a.p0, x.p0)", "NULL", "a.p0")}, 'p1': {_of_event("greatest(a.p1, x.p1)", "NULL", "a.p1")},
+ 'heading': {_of_event("a.heading OR x.kind = 'heading'", "false", "a.heading")}, 'tbl': {_of_event("a.tbl OR x.kind = 'table'", "false", "a.tbl")},
+ 'sec': CASE WHEN x.ev = 2 AND (x.kind <> 'table' OR a.sec IS NULL) THEN x.section ELSE a.sec END,
+ 'sub': CASE WHEN x.ev = 2 AND (x.kind <> 'table' OR a.sec IS NULL) THEN x.subsection ELSE a.sub END}} AS {STATE_TYPE})"""
+BUILD_SQL = blocks_sql(f"""{CLEAN_SQL}, ln AS (SELECT document_id, page, unnest({lines_sql('clean_text')}) AS l, generate_subscripts({lines_sql('clean_text')}, 1) AS line_no FROM cl),
+sc AS (SELECT document_id, page, line_no, {trim_sql('l')} AS s FROM ln)""") + f""",
+b0 AS (SELECT document_id, block_no, block_type AS kind, text, {tokens_sql('text')} AS size, first_page AS p0, last_page AS p1, heading_level IN (1, 2) AS major,
+ coalesce(section, '') AS section, CASE WHEN sub_no > coalesce(sec_no, -1) THEN sub ELSE '' END AS subsection FROM bs),
+b1 AS (SELECT *, CASE WHEN kind <> 'heading' AND size >= 800 THEN 1 ELSE 0 END AS heavy FROM b0),
+b2 AS (SELECT *, CAST(sum(CASE WHEN major THEN 1 ELSE 0 END + heavy) OVER (PARTITION BY document_id ORDER BY block_no) - heavy AS BIGINT) AS segment FROM b1),
+ev AS (SELECT document_id, segment, block_no, unnest([1, 2, 3]) AS ev, kind, text, size, p0, p1, major, section, subsection FROM b2
+ UNION ALL SELECT DISTINCT document_id, segment, 9223372036854775807, 4, '', '', 0, 0, 0, false, '', '' FROM b2),
+el AS (SELECT document_id, segment, list({{'ev': ev, 'kind': kind, 'text': text, 'size': size, 'p0': p0, 'p1': p1, 'major': major, 'section': section, 'subsection': subsection}} ORDER BY block_no, ev) AS xs
+ FROM ev GROUP BY document_id, segment),
+bu AS (SELECT document_id, segment, list_reduce(xs, lambda a, x: {STEP_SQL},
+ CAST({{'done': [], 'parts': [], 'tokens': 0, 'p0': NULL, 'p1': NULL, 'heading': false, 'tbl': false, 'sec': NULL, 'sub': NULL}} AS {STATE_TYPE})) AS st FROM el),
+bc AS (SELECT document_id, segment, unnest(st.done) AS c, generate_subscripts(st.done, 1) AS nth FROM bu)"""
+FIELDS_SQL = "c.section AS section, c.subsection AS subsection, c.page_start AS page_start, c.page_end AS page_end, c.text AS text, c.token_count AS token_count, c.has_heading AS has_heading, c.contains_table AS contains_table"
+
+# Sentences of a chunk that is too long, filled up greedily.
+FILL_TYPE = "STRUCT(done VARCHAR[], held VARCHAR[], size INTEGER)"
+SPLIT_SQL = f"""{BUILD_SQL},
+se AS (SELECT *, CASE WHEN c.token_count > 1200 THEN string_split(regexp_replace(c.text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS sentences FROM bc),
+fi AS (SELECT document_id, segment, nth, c, list_reduce(sentences, lambda a, s: CASE WHEN len(a.held) > 0 AND a.size + {tokens_sql('s')} > 1200
+  THEN CAST({{'done': list_append(a.done, array_to_string(a.held, ' ')), 'held': [s], 'size': {tokens_sql('s')}}} AS {FILL_TYPE})
+  ELSE CAST({{'done': a.done, 'held': list_append(a.held, s), 'size': a.size + {tokens_sql('s')}}} AS {FILL_TYPE}) END,
+ CAST({{'done': [], 'held': [], 'size': 0}} AS {FILL_TYPE})) AS f FROM se),
+pc AS (SELECT document_id, segment, nth, c, unnest(CASE WHEN f IS NULL THEN [c.text] ELSE list_append(f.done, array_to_string(f.held, ' ')) END) AS piece,
+ generate_subscripts(CASE WHEN f IS NULL THEN [c.text] ELSE list_append(f.done, array_to_string(f.held, ' ')) END, 1) AS part FROM fi),
+sp AS (SELECT document_id, segment, row_number() OVER (PARTITION BY document_id, segment ORDER BY nth, part) - 1 AS idx,
+ CAST({{'section': c.section, 'subsection': c.subsection, 'page_start': c.page_start, 'page_end': c.page_end, 'text': piece, 'token_count': {tokens_sql('piece')},
+  'has_heading': c.has_heading, 'contains_table': c.contains_table}} AS {CHUNK_TYPE}) AS c FROM pc)"""
+
+# A chunk below the minimum takes in the next one.
+HELD_TYPE = f"STRUCT(segment BIGINT, idx BIGINT, c {CHUNK_TYPE})"
+MERGE_TYPE = f"STRUCT(done {HELD_TYPE}[], held {HELD_TYPE})"
+BOTH_SQL = "a.held.c.text || chr(10) || chr(10) || x.c.text"
+MERGE_SQL = f"""{SPLIT_SQL},
+ml AS (SELECT document_id, count(*) AS n_chunks, list(CAST({{'segment': segment, 'idx': idx, 'c': c}} AS {HELD_TYPE}) ORDER BY segment, idx) AS xs FROM sp GROUP BY document_id),
+mr AS (SELECT document_id, n_chunks, list_reduce(xs, lambda a, x: CASE WHEN a.held IS NOT NULL AND a.held.c.token_count < 300
+  THEN CAST({{'done': a.done, 'held': {{'segment': a.held.segment, 'idx': a.held.idx, 'c': {{'section': coalesce(nullif(a.held.c.section, ''), x.c.section),
+   'subsection': coalesce(nullif(x.c.subsection, ''), a.held.c.subsection), 'page_start': a.held.c.page_start, 'page_end': coalesce(x.c.page_end, a.held.c.page_end),
+   'text': {BOTH_SQL}, 'token_count': {tokens_sql(BOTH_SQL)}, 'has_heading': a.held.c.has_heading OR x.c.has_heading, 'contains_table': a.held.c.contains_table OR x.c.contains_table}}}}}} AS {MERGE_TYPE})
+  ELSE CAST({{'done': CASE WHEN a.held IS NULL THEN a.done ELSE list_append(a.done, a.held) END, 'held': x}} AS {MERGE_TYPE}) END,
+ CAST({{'done': [], 'held': NULL}} AS {MERGE_TYPE})) AS m FROM ml),
+mu AS (SELECT document_id, n_chunks, unnest(list_append(m.done, m.held)) AS k FROM mr),
+mg AS (SELECT document_id, k.segment AS segment, k.idx AS idx, k.c AS c FROM mu WHERE n_chunks = 1 OR k.c.token_count >= 30 OR length({trim_sql('k.c.text')}) >= 100),
+fn AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY segment, idx) AS chunk_no, {FIELDS_SQL} FROM mg)"""
+CHUNKED_SQL = f"""WITH {MERGE_SQL} SELECT printf('%s_chunk_%03d', document_id, chunk_no) AS chunk_id, *, round(least(1::DOUBLE, greatest(0::DOUBLE, 0.7::DOUBLE
+ + CASE WHEN token_count BETWEEN 300 AND 1200 THEN 0.15::DOUBLE WHEN token_count < 100 THEN -0.3::DOUBLE WHEN token_count < 300 THEN -0.1::DOUBLE ELSE -0.15::DOUBLE END
+ + CASE WHEN section <> '' THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN has_heading THEN 0.05::DOUBLE ELSE 0 END
+ + CASE WHEN page_start IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END)), 2) AS quality_score FROM fn"""
+
+
+@query("build_chunks", f"WITH {BUILD_SQL} SELECT document_id, segment, nth - 1 AS idx, {FIELDS_SQL} FROM bc")
 def build_chunks(spark, folder):
     return K.build_chunks(_blocks(spark, folder), split=False)
 
 
-@query("split_oversized")
+@query("split_oversized", f"WITH {SPLIT_SQL} SELECT document_id, segment, idx, {FIELDS_SQL} FROM sp")
 def split_oversized(spark, folder):
     return K.build_chunks(_blocks(spark, folder))
 
 
-@query("merge_undersized")
+@query("merge_undersized", f"WITH {MERGE_SQL} SELECT document_id, segment, idx, {FIELDS_SQL} FROM mg")
 def merge_undersized(spark, folder):
     return K.merge_undersized(K.build_chunks(_blocks(spark, folder)))
 
 
-@query("chunk_document")
+@query("chunk_document", CHUNKED_SQL)
 def chunk_document(spark, folder):
     pages = document_pages(spark, folder)
     return K.chunk_document(C.clean_document(pages), page_rows=pages)
@@ -260,7 +340,7 @@ def quality_score(spark, folder):
     return d.select("doc_id", K.quality_score().alias("quality_score"))
 
 
-@query("chunk_text")
+@query("chunk_text", f"WITH {MERGE_SQL} SELECT document_id, chunk_no, section, token_count, md5(text) AS digest FROM fn")
 def chunk_text(spark, folder):
     """The chunker as a table function called from SQL."""
     K.register(spark)
@@ -268,7 +348,7 @@ def chunk_text(spark, folder):
     return spark.sql("SELECT document_id, chunk_no, section, token_count, md5(text) AS digest FROM chunk_text(TABLE(page_blocks))")
 
 
-@query("chunk_huge_document")
+@query("chunk_huge_document", CHUNKED_SQL)
 def chunk_huge_document(spark, folder):
     """The way for documents too long for one task, taken here for every document."""
     return K.chunk_document(C.clean_document(document_pages(spark, folder)), whole_document_pages=0)
