@@ -11,8 +11,8 @@ from tests.llm.conftest import SF
 KIND = "vec_id long, embedding array<float>, label int, dim int, block long"
 
 
-def _brute(rows, k=20, every=20):
-    good = [(i, np.array(v, np.float32)) for i, v in rows
+def _brute(rows, k=20, every=20, kind=np.float32):
+    good = [(i, np.array(v, kind)) for i, v in rows
             if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = []
     for q, v in good:
@@ -44,6 +44,24 @@ def test_odd_vectors_in_small_tiles(spark):
     assert _got(ann.nearest(df, k=500, rows=32)) == _brute(rows, k=500)
 
 
+def test_repeated_queries(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(90)]
+    rows += [rows[20], rows[20], (40, [rng.gauss(0, 1) for _ in range(5)])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], KIND).repartition(3)
+    got = _got(ann.nearest(df, rows=32, queries=2))
+    assert got == _brute(rows) and len([r for r in got if r[0] == 20]) == 60 and len([r for r in got if r[0] == 40]) == 40
+
+
+def test_long_vectors_and_doubles(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice((-1.0, 1.0)) * (1 + rng.random() * 1e-9) for _ in range(2500)]) for i in range(45)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, dim int")
+    assert _got(ann.nearest(df, k=5, rows=16)) == _brute(rows, k=5, kind=np.float64)
+    a, b = np.full((2, 4000), 127, np.int8), np.full((3, 4000), -127, np.int8)
+    assert (ann.steps_product(a, b) == -127 * 127 * 4000).all()
+
+
 def test_empty(spark):
     assert ann.nearest(spark.createDataFrame([], KIND)).count() == 0
 
