@@ -269,13 +269,10 @@ UNION ALL SELECT company, year, 'price_to_book', {metric_value_sql('price_to_boo
 UNION ALL SELECT company, year, 'dividend_yield', nullif({metric_value_sql('dividend_yield')}, 0) FROM latest WHERE rn = 1""")
 def market_comparison(spark, folder):
     latest = last_per_key(financials(spark, folder), ["company"], [F.col("year")])
-    wide = latest.select(
-        "company", "year", F.round(F.nullif("share_price", F.lit(0.0)), 4).alias("price"),
-        F.round(F.nullif("market_cap", F.lit(0.0)), 4).alias("market_cap"),
-        ratios.metric_col("pe_ratio")["value"].alias("pe_ratio"),
-        ratios.metric_col("price_to_book")["value"].alias("price_to_book"),
-        F.nullif(ratios.metric_col("dividend_yield")["value"], F.lit(0.0)).alias("dividend_yield"))
-    return wide.unpivot(KEYS, ["price", "market_cap", "pe_ratio", "price_to_book", "dividend_yield"], "metric", "value")
+    market = latest.select(
+        "company", "year", F.round("share_price", 4).alias("price"), F.round("market_cap", 4).alias("market_cap"),
+        *[ratios.metric_col(n)["value"].alias(n) for n in ("pe_ratio", "price_to_book", "dividend_yield")])
+    return peers.market_comparison(market, KEYS)
 
 
 @query("peer_matrix", f"""WITH {FIN_SQL}, {LONG_SQL}, named AS (SELECT DISTINCT company, metric FROM long), compared AS (SELECT DISTINCT year FROM long)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog.bindings import FIN_SQL, cents, cents_sql, financials
 from ledgerloom.catalog.registry import query
-from ledgerloom.operators import ratios
+from ledgerloom.operators import peers, ratios
 from ledgerloom.sources import market as M
 from ledgerloom.sources import universe as U
 from ledgerloom.tables import table
@@ -93,6 +93,18 @@ def market_snapshot(spark, folder):
     return M.market_snapshot(info(spark, folder)).select("ticker", "currency", "price.*", "valuation.*", "multiples.*", "trading.*")
 
 
+@query("listing_comparison", f"""WITH {INFO_SQL}, m AS (SELECT ticker, {PRICE_SQL['current']} AS price, "marketCap" AS market_cap, "trailingPE" AS pe_ratio, "forwardPE" AS forward_pe,
+ "priceToBook" AS price_to_book, "dividendYield" AS dividend_yield FROM info)
+SELECT ticker, 'price' AS metric, CAST(nullif(price, 0) AS DOUBLE) AS value FROM m UNION ALL SELECT ticker, 'market_cap', CAST(nullif(market_cap, 0) AS DOUBLE) FROM m
+UNION ALL SELECT ticker, 'pe_ratio', CAST(pe_ratio AS DOUBLE) FROM m UNION ALL SELECT ticker, 'forward_pe', CAST(forward_pe AS DOUBLE) FROM m
+UNION ALL SELECT ticker, 'price_to_book', CAST(price_to_book AS DOUBLE) FROM m UNION ALL SELECT ticker, 'dividend_yield', CAST(nullif(dividend_yield, 0) AS DOUBLE) FROM m""")
+def listing_comparison(spark, folder):
+    """The market comparison of all listings, forward P/E included."""
+    snap = M.market_snapshot(info(spark, folder)).select("ticker", F.col("price.current").alias("price"), "valuation.market_cap", "multiples.pe_ratio",
+                                                         "multiples.forward_pe", "multiples.price_to_book", "trading.dividend_yield")
+    return peers.market_comparison(snap, ["ticker"])
+
+
 @query("company_overview", f"""WITH {INFO_SQL} SELECT ticker, coalesce("longName", "shortName", 'Unknown') AS company_name, {PRICE_SQL['current']} AS current_price, "trailingPE" AS pe_ratio FROM info""")
 def company_overview(spark, folder):
     i = info(spark, folder)

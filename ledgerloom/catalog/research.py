@@ -163,27 +163,65 @@ def multi_query_retrieve(spark, folder):
         "request_id", "pos", "chunk_id", "score", "query_no")
 
 
-@query("assemble_evidence", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw),
+LATEST_LONG_SQL = "ll AS (" + " UNION ALL ".join(f"SELECT ticker, '{m.name}' AS metric, {metric_value_sql(m.name)} AS value FROM lat" for m in ratios.METRICS) + ")"
+PEERS_SQL = f"""{LATEST_LONG_SQL}, rp AS (SELECT request_id, metric, ticker, value, CAST(row_number() OVER (PARTITION BY request_id, metric
+ ORDER BY CASE WHEN metric IN ('debt_to_equity', 'debt_to_assets', 'pe_ratio', 'ev_to_ebitda') THEN value ELSE -value END, pos) AS INTEGER) AS rank
+ FROM pc JOIN ll USING (ticker) JOIN (SELECT request_id, len(companies) AS named FROM pl) USING (request_id) WHERE value IS NOT NULL AND named > 1)"""
+
+
+def ranked_peers(spark, folder):
+    return P.request_peers(plans(spark, folder), ratios.compute_all(latest(spark, folder), ["ticker"]))
+
+
+@query("request_peers", f"WITH {PC_SQL}, {PEERS_SQL} SELECT request_id, metric, rank, ticker, value FROM rp")
+def request_peers(spark, folder):
+    return ranked_peers(spark, folder)
+
+
+@query("execution_trace", f"""WITH {PC_SQL}, {PEERS_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw),
+got AS (SELECT request_id, 'financial_engine' AS tool, computed IS NULL AS failed FROM pc LEFT JOIN cnt USING (ticker)
+ UNION ALL SELECT request_id, 'market_service', computed IS NULL FROM pc LEFT JOIN cnt USING (ticker)
+ UNION ALL SELECT request_id, 'retriever', false FROM pl JOIN documents ON doc_id // 2 = CAST(regexp_extract(request_id, '^R(\\d+)', 1) AS BIGINT)
+ UNION ALL SELECT request_id, 'news_service', false FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5
+ UNION ALL SELECT request_id, 'peer_comparison', false FROM rp),
+n AS (SELECT request_id, tool, count(*) FILTER (NOT failed) AS items, count(*) FILTER (failed) AS errors FROM got GROUP BY ALL),
+steps AS (SELECT request_id, companies, unnest(['financial_engine', 'market_service', 'retriever', 'news_service', 'peer_comparison']) AS tool, unnest([0, 1, 2, 3, 4]) AS step FROM pl)
+SELECT s.request_id, CAST(step AS INTEGER) AS step, s.tool, CASE WHEN s.tool = 'retriever' AND len(companies) = 0 THEN 'skipped' WHEN s.tool = 'peer_comparison' AND len(companies) < 2 THEN 'skipped' ELSE 'success' END AS status,
+ coalesce(items, 0) AS items, coalesce(errors, 0) AS errors FROM steps s LEFT JOIN n ON n.request_id = s.request_id AND n.tool = s.tool""")
+def execution_trace(spark, folder):
+    made = plans(spark, folder)
+    return P.execution_trace(made, {
+        "financial_engine": engine(spark, folder), "market_service": P.gather_market(made, snapshots(spark, folder)),
+        "retriever": retrieved_for(spark, folder, made), "news_service": P.gather_news(made, company_news(spark, folder), NEWS_PER_COMPANY),
+        "peer_comparison": ranked_peers(spark, folder)})
+
+
+def retrieved_for(spark, folder, made):
+    """What was retrieved for a request: the two documents numbered by its conversation."""
+    found = table(spark, folder, "documents").selectExpr("doc_id div 2 AS conv", "cast(doc_id % 2 as int) AS pos", "text", "lang AS section", "(doc_id % 100) / 100D AS score")
+    asked = made.select("request_id", F.regexp_extract("request_id", r"^R(\d+)", 1).cast("long").alias("conv"))
+    return asked.join(found, "conv").drop("conv")
+
+
+@query("assemble_evidence", f"""WITH {PC_SQL}, {PEERS_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw),
 nn AS (SELECT request_id, count(*) AS news, md5(string_agg(pos || ':' || news_pos || ':' || md5(title || summary), ',' ORDER BY pos, news_pos)) AS news_digest FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5 GROUP BY 1),
 ch AS (SELECT request_id, count(*) AS retrieved, md5(string_agg(doc_id % 2 || ':' || md5(text), ',' ORDER BY doc_id % 2)) AS chunk_digest
  FROM pl JOIN documents ON doc_id // 2 = CAST(regexp_extract(request_id, '^R(\\d+)', 1) AS BIGINT) GROUP BY 1),
+pr AS (SELECT request_id, string_agg(metric || ':' || rank || ':' || ticker, ',' ORDER BY metric, rank) AS ranked FROM rp GROUP BY 1),
 base AS (SELECT request_id, request_type, coalesce(companies[1], 'UNKNOWN') AS ticker FROM pl)
-SELECT b.request_id, b.request_type, b.ticker, coalesce(s.s_name, b.ticker) AS name, coalesce('N' || CAST(s.s_nationkey AS VARCHAR), 'Unknown') AS sector,
+SELECT coalesce(pr.ranked, '') AS peer_comparison, b.request_id, b.request_type, b.ticker, coalesce(s.s_name, b.ticker) AS name, coalesce('N' || CAST(s.s_nationkey AS VARCHAR), 'Unknown') AS sector,
  c.computed, round(c.share_price, 4) AS current_price, coalesce(nn.news, 0) AS news, nn.news_digest,
  coalesce(ch.retrieved, 0) AS retrieved, ch.chunk_digest
 FROM base b LEFT JOIN (SELECT *, {TICKER_SQL.format('s_suppkey')} AS tk FROM supplier) s ON s.tk = b.ticker
-LEFT JOIN cnt c ON c.ticker = b.ticker LEFT JOIN nn ON nn.request_id = b.request_id LEFT JOIN ch ON ch.request_id = b.request_id""")
+LEFT JOIN cnt c ON c.ticker = b.ticker LEFT JOIN nn ON nn.request_id = b.request_id LEFT JOIN ch ON ch.request_id = b.request_id LEFT JOIN pr ON pr.request_id = b.request_id""")
 def assemble_evidence(spark, folder):
     made = plans(spark, folder)
     info = table(spark, folder, "supplier").select(
         F.expr(TICKER.format("s_suppkey")).alias("ticker"), F.col("s_name").alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("sector"))
-    # Retrieved for a request: the two documents numbered by its conversation.
-    found = table(spark, folder, "documents").selectExpr("doc_id div 2 AS conv", "cast(doc_id % 2 as int) AS pos", "text", "lang AS section", "(doc_id % 100) / 100D AS score")
-    asked = made.select("request_id", F.regexp_extract("request_id", r"^R(\d+)", 1).cast("long").alias("conv"))
-    chunks = asked.join(found, "conv").drop("conv")
-    out = P.assemble_evidence(made, info, engine(spark, folder), P.gather_market(made, snapshots(spark, folder)), chunks,
-                              P.gather_news(made, company_news(spark, folder), NEWS_PER_COMPANY))
-    return out.select("request_id", "request_type", "ticker", "name", "sector", "computed",
+    out = P.assemble_evidence(made, info, engine(spark, folder), P.gather_market(made, snapshots(spark, folder)), retrieved_for(spark, folder, made),
+                              P.gather_news(made, company_news(spark, folder), NEWS_PER_COMPANY), ranked_peers(spark, folder))
+    ranked = F.array_join(F.transform("peer_comparison", lambda p: F.concat_ws(":", p["metric"], p["rank"], p["ticker"])), ",")
+    return out.select(ranked.alias("peer_comparison"), "request_id", "request_type", "ticker", "name", "sector", "computed",
                       F.round("current_price", 4).alias("current_price"), "news",
                       F.md5(F.array_join(F.transform("news_items", lambda n: F.concat_ws(":", n["pos"], n["news_pos"], F.md5(F.concat(n["title"], n["summary"])))), ",")).alias("news_digest"),
                       "retrieved", F.md5(F.array_join(F.transform("chunks", lambda c: F.concat_ws(":", c["pos"], F.md5(c["text"]))), ",")).alias("chunk_digest"))

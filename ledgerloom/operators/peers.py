@@ -29,6 +29,19 @@ def peer_matrix(long: DataFrame, rows: list[str], company: str, companies: list)
     return long.groupBy(*rows).pivot(company, companies).agg(F.first("value"))
 
 
+# The rows of the market comparison, in order.
+COMPARED = ("price", "market_cap", "pe_ratio", "forward_pe", "price_to_book", "dividend_yield")
+
+
+def market_comparison(market: DataFrame, keys: list[str]) -> DataFrame:
+    """``metric, value`` of every row of a market table, one row per compared metric; price, value and yield of zero count as missing."""
+    def c(name):
+        return F.nullif(F.col(name).cast("double"), F.lit(0.0)) if name in ("price", "market_cap", "dividend_yield") else F.col(name).cast("double")
+
+    have = [n for n in COMPARED if n in market.columns]
+    return market.select(*keys, *[c(n).alias(n) for n in have]).unpivot(keys, have, "metric", "value")
+
+
 def _clip(c: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
 

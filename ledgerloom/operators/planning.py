@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators.context import classify_by_patterns
@@ -115,14 +115,50 @@ def run_engine(plans: DataFrame, metrics: DataFrame, health: DataFrame) -> DataF
     return joined.withColumn("error", F.when(F.col("computed").isNull(), "no financial data"))
 
 
+def request_peers(plans: DataFrame, long: DataFrame) -> DataFrame:
+    """``request_id, metric, rank, ticker, value``: the companies of each request with two or more of them, ranked per metric.
+
+    ``long`` has one row per ``ticker`` and metric; a company without a value has no rank.  A group is the
+    companies named in one request, so a window over it is small.
+    """
+    from ledgerloom.operators.peers import LOWER_IS_BETTER
+    asked = planned_companies(plans.where(F.size("companies") > 1)).withColumnRenamed("pos", "named")
+    valued = asked.join(long.where(F.col("value").isNotNull()).select("ticker", "metric", "value"), "ticker")
+    signed = F.when(F.col("metric").isin(*LOWER_IS_BETTER), F.col("value")).otherwise(-F.col("value"))
+    place = F.row_number().over(Window.partitionBy("request_id", "metric").orderBy(signed, "named"))
+    return valued.select("request_id", "metric", place.alias("rank"), "ticker", "value")
+
+
+def execution_trace(plans: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
+    """``request_id, step, tool, status, items, errors``: what each source gave each request.
+
+    ``results`` names the rows of every source (``request_id`` and, where a row can fail, ``error``).  Retrieval
+    without queries and a comparison of fewer than two companies are skipped; a request without rows has zero items.
+    """
+    tools = list(results)
+    counted = None
+    for tool, rows in results.items():
+        failed = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+        part = rows.select("request_id", F.lit(tool).alias("tool"), failed.alias("failed"))
+        counted = part if counted is None else counted.unionByName(part)
+    counted = counted.groupBy("request_id", "tool").agg(F.count_if(~F.col("failed")).alias("items"), F.count_if("failed").alias("errors"))
+    asked = plans.select("request_id", F.size("companies").alias("_companies"), F.size("retrieval_queries").alias("_queries"),
+                         F.posexplode(F.array(*[F.lit(t) for t in tools])).alias("step", "tool"))
+    skipped = ((F.col("tool") == "retriever") & (F.col("_queries") == 0)) | ((F.col("tool") == "peer_comparison") & (F.col("_companies") < 2))
+    return asked.join(counted, ["request_id", "tool"], "left").select(
+        "request_id", "step", "tool", F.when(skipped, "skipped").otherwise("success").alias("status"),
+        F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("errors", F.lit(0)).alias("errors"))
+
+
 def assemble_evidence(plans: DataFrame, companies: DataFrame, engine: DataFrame, market: DataFrame,
-                      chunks: DataFrame, news: DataFrame) -> DataFrame:
+                      chunks: DataFrame, news: DataFrame, peers: DataFrame | None = None) -> DataFrame:
     """Evidence package per request around its first company.
 
     ``companies`` has ticker, name, sector; ``engine`` and ``market`` one row per
     planned company; ``chunks`` (request_id, pos, ...) and ``news`` (request_id, pos,
     news_pos, ...) one row per item.  The package holds the items themselves, as arrays of
-    structs in their order: what was retrieved for one request, so bounded by its top-k.
+    structs in their order: what was retrieved for one request, so bounded by its top-k.  ``peers``,
+    the rows of ``request_peers``, give ``peer_comparison``, an empty array where there is none.
     """
     base = plans.select("request_id", "request_type", F.coalesce(F.try_element_at("companies", F.lit(1)), F.lit("UNKNOWN")).alias("ticker"))
     def items(rows, order, name):
@@ -136,6 +172,9 @@ def assemble_evidence(plans: DataFrame, companies: DataFrame, engine: DataFrame,
     info = companies.select("ticker", "name", "sector")
     out = (base.join(info, "ticker", "left").join(main, "request_id", "left").join(price, "request_id", "left")
            .join(n_chunks, "request_id", "left").join(n_news, "request_id", "left"))
+    if peers is not None:
+        ranked = items(peers.select("request_id", "metric", "rank", "ticker", "value"), ["metric", "rank"], "peer_comparison")
+        out = out.join(ranked, "request_id", "left").withColumn("peer_comparison", F.coalesce("peer_comparison", F.array()))
     return out.withColumns({
         "name": F.coalesce(T.truthy("name"), "ticker"), "sector": F.coalesce(T.truthy("sector"), F.lit("Unknown")),
         "retrieved": F.coalesce("retrieved", F.lit(0)), "news": F.coalesce("news", F.lit(0))})

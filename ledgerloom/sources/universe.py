@@ -88,8 +88,13 @@ def resolve_ticker(rows: DataFrame, known: DataFrame, ticker: str = "ticker") ->
     return r.withColumn("resolved", resolved).drop("_t", "_ns", "_own", "_in_ns")
 
 
-def exchange_route(rows: DataFrame, cik: DataFrame, ticker: str = "ticker") -> DataFrame:
-    """Adds ``exchange_group``: us when in the CIK reference, else in; unknown without a ticker to look up."""
+def exchange_route(rows: DataFrame, cik: DataFrame, ticker: str = "ticker", failed: str | None = None) -> DataFrame:
+    """Adds ``exchange_group``: us when in the CIK reference, else in; unknown without a ticker or where the look-up failed.
+
+    ``failed`` names a boolean column of the rows whose look-up did not go through (null: it did); both
+    exchanges are asked for those.
+    """
     ref = cik.select(F.upper("ticker").alias("_t"), F.lit(True).alias("_us")).distinct()
     r = rows.withColumn("_t", F.upper(T.strip(ticker))).join(ref, "_t", "left")
-    return r.withColumn("exchange_group", F.when(F.coalesce(F.col("_t"), F.lit("")) == "", "unknown").when(F.col("_us"), "us").otherwise("in")).drop("_t", "_us")
+    lost = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
+    return r.withColumn("exchange_group", F.when(lost | (F.coalesce(F.col("_t"), F.lit("")) == ""), "unknown").when(F.col("_us"), "us").otherwise("in")).drop("_t", "_us")
