@@ -136,6 +136,15 @@ def price_history(spark, folder):
     return M.price_history(M.day_bars(ticks(spark, folder)), "1mo")
 
 
+@query("price_windows", f"""WITH {BAR_SQL}, p(period, months) AS (VALUES ('1mo', 1), ('3mo', 3), ('6mo', 6), ('1y', 12), ('5y', 60), ('max', 12000)),
+w AS (SELECT bars.*, period FROM bars JOIN p ON date >= (SELECT max(date) FROM bars) - to_months(months))
+SELECT ticker, period, count(*) AS count, min(date) AS first_date, round(min(low), 2) AS low, round(max(high), 2) AS high,
+ round(arg_min(open, date), 2) AS first_open, round(arg_max(close, date), 2) AS last_close FROM w GROUP BY ticker, period""")
+def price_windows(spark, folder):
+    """All look-backs of all tickers."""
+    return M.price_windows(M.day_bars(ticks(spark, folder)))
+
+
 # Line item of the statement and the column it comes from.
 ITEMS = {"Total Revenue ": "revenue", " Net Income": "net_income", "EBITDA": "ebitda", "Operating Cash Flow": "operating_cash_flow"}
 

@@ -134,18 +134,41 @@ def day_bars(ticks: DataFrame) -> DataFrame:
         F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("volume"))
 
 
+def _rounded(bars: DataFrame, *more: str) -> DataFrame:
+    rounded = [F.round(c, 2).alias(c) for c in ("open", "high", "low", "close")]
+    return bars.select("ticker", "date", *more, *rounded, F.round("close", 2).alias("adjusted_close"), F.col("volume").cast("long").alias("volume"))
+
+
+def _last_day(bars: DataFrame, as_of) -> Column:
+    """The day that look-backs count from: as given, else the last one of all bars, found when the query runs."""
+    return F.lit(as_of) if as_of is not None else bars.agg(F.max("date")).scalar()
+
+
 def price_history(bars: DataFrame, period: str = "1y", as_of=None) -> DataFrame:
     """Bars inside the look-back, rounded, with the number of bars per ticker."""
     if period != "max":
-        months = PERIOD_MONTHS[period]
-        as_of = as_of or bars.agg(F.max("date")).first()[0]
-        bars = bars.where(F.col("date") >= F.add_months(F.lit(as_of), -months))
-    rounded = [F.round(c, 2).alias(c) for c in ("open", "high", "low", "close")]
-    out = bars.select("ticker", "date", *rounded, F.round("close", 2).alias("adjusted_close"), F.col("volume").cast("long").alias("volume"))
+        bars = bars.where(F.col("date") >= F.add_months(_last_day(bars, as_of), -PERIOD_MONTHS[period]))
+    out = _rounded(bars)
     counts = out.groupBy("ticker").agg(F.count(F.lit(1)).alias("count"))
     return out.join(counts, "ticker").withColumn("period", F.lit(period))
 
 
+def price_windows(bars: DataFrame, as_of=None) -> DataFrame:
+    """Every look-back at once: ``ticker, period, count, first_date, low, high, first_open, last_close`` from one pass over the bars.
+
+    A bar goes to the look-backs that hold its day, at most one row for each of them; they meet in
+    partial aggregates, so what is shuffled is one row per ticker and look-back from every task.
+    """
+    months = F.array(*[F.struct(F.lit(p).alias("period"), F.lit(m).alias("months")) for p, m in PERIOD_MONTHS.items()])
+    dated = bars.withColumn("_last", _last_day(bars, as_of))
+    held = F.filter(months, lambda w: F.col("date") >= F.add_months("_last", -w["months"]))
+    periods = F.concat(F.transform(held, lambda w: w["period"]), F.array(F.lit("max")))
+    rows = _rounded(dated.withColumn("period", F.explode(periods)), "period")
+    return rows.groupBy("ticker", "period").agg(
+        F.count(F.lit(1)).alias("count"), F.min("date").alias("first_date"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min_by("open", "date").alias("first_open"), F.max_by("close", "date").alias("last_close"))
+
+
 CHART_SCHEMA = """chart struct<result:array<struct<
   meta:struct<symbol:string,shortName:string,longName:string,currency:string,exchangeName:string,fullExchangeName:string,
     regularMarketPrice:double,chartPreviousClose:double,regularMarketChangePercent:double,regularMarketDayHigh:double,

@@ -148,3 +148,15 @@ def test_registry(spark):
     assert sorted(r.document_id for r in G.registry_exists(ids, two, files, False).collect()) == ["b", "c"]
     listed = G.list_documents(two, " tcs", year=0).collect()
     assert {(x.company, x.total_documents) for x in listed} == {("Tata", 2)}
+
+
+def test_every_look_back_at_once(spark):
+    days = ["2024-06-30", "2024-05-31", "2024-05-30", "2024-03-30", "2023-12-29", "2019-06-30", "2010-01-01"]
+    bars = spark.createDataFrame([("A", dt.date.fromisoformat(d), 1.0 * i, 2.0 * i, 0.5 * i, 1.5 * i, i) for i, d in enumerate(days, 1)]
+                                 + [("B", dt.date(2015, 1, 1), 1.0, 1.0, 1.0, 1.0, 1)], "ticker string, date date, open double, high double, low double, close double, volume long")
+    got = {(r.ticker, r.period): (r["count"], str(r.first_date), r.first_open, r.last_close) for r in M.price_windows(bars).collect()}
+    assert got == {("A", "1mo"): (3, "2024-05-30", 3.0, 1.5), ("A", "3mo"): (4, "2024-03-30", 4.0, 1.5), ("A", "6mo"): (4, "2024-03-30", 4.0, 1.5),
+                   ("A", "1y"): (5, "2023-12-29", 5.0, 1.5), ("A", "5y"): (6, "2019-06-30", 6.0, 1.5), ("A", "max"): (7, "2010-01-01", 7.0, 1.5), ("B", "max"): (1, "2015-01-01", 1.0, 1.0)}
+    for period in ("1mo", "5y", "max"):
+        assert {(r.ticker, r.period): r["count"] for r in M.price_history(bars, period).collect()} == {k: v[0] for k, v in got.items() if k[1] == period}
+    assert M.price_windows(bars.limit(0)).count() == 0 and M.price_history(bars, "1mo", dt.date(2010, 1, 15)).where("date < '2010-01-02'").count() == 1
