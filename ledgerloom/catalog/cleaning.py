@@ -354,7 +354,10 @@ def chunk_huge_document(spark, folder):
     return K.chunk_document(C.clean_document(document_pages(spark, folder)), whole_document_pages=0)
 
 
-@query("chunk_summary")
+@query("chunk_summary", f"""WITH {MERGE_SQL}, tt AS (SELECT document_id, count(*) AS total_chunks, CAST(sum(token_count) AS BIGINT) AS total_tokens, round(avg(token_count), 1) AS avg_chunk_tokens FROM fn GROUP BY 1),
+hd AS (SELECT document_id, text, min(block_no) AS first_no FROM bl WHERE heading_level IN (1, 2) GROUP BY 1, 2),
+hs AS (SELECT document_id, count(*) AS n_sections, min_by(text, first_no) AS first_section, list(text ORDER BY first_no) AS sections FROM hd GROUP BY 1)
+SELECT tt.*, n_sections, first_section, sections FROM tt LEFT JOIN hs ON hs.document_id = tt.document_id""")
 def chunk_summary(spark, folder):
     pages = C.clean_document(document_pages(spark, folder))
     return K.chunk_summary(K.chunk_document(pages), K.parse_blocks(pages))
