@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -58,20 +58,20 @@ def read_files_stream(spark: SparkSession, path: str, schema, files_per_batch: i
             .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(path))
 
 
-def latest_values(stream: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+def latest_values(stream: DataFrame, key: str, ts: str, value: str, order: Sequence[str] = ()) -> DataFrame:
     """Latest known value per key; a failed fetch (null) leaves the value before it.
 
-    The state is one row per key and partial maxima meet before the shuffle, so a key
+    Of values of one time that with the largest ``order`` columns counts, then the largest.  The state is one row per key and partial maxima meet before the shuffle, so a key
     with very many updates is no hot task.
     """
     good = stream.where(F.col(value).isNotNull())
-    return good.groupBy(key).agg(F.max_by(value, ts).alias("value"), F.max(ts).alias("as_of"), F.count(F.lit(1)).alias("updates"))
+    return good.groupBy(key).agg(F.max_by(value, F.struct(ts, *order, value)).alias("value"), F.max(ts).alias("as_of"), F.count(F.lit(1)).alias("updates"))
 
 
 def freshness(latest: DataFrame, now, ttl_seconds: int = QUOTE_TTL_SECONDS) -> DataFrame:
     """Whether the value of a key may still be served without a new fetch."""
-    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("as_of")
-    return latest.withColumn("fresh", age < ttl_seconds)
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("as_of").cast("timestamp"))
+    return latest.withColumn("fresh", age < ttl_seconds * 1_000_000)
 
 
 def throttled(stream: DataFrame, key: str, ts: str, ttl_seconds: int = QUOTE_TTL_SECONDS) -> DataFrame:
@@ -79,12 +79,13 @@ def throttled(stream: DataFrame, key: str, ts: str, ttl_seconds: int = QUOTE_TTL
     return stream.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
 
 
-def quote_cache_stream(ticks: DataFrame, out: str, key: str = "ticker", ts: str = "ts", value: str = "price") -> StreamingQuery:
+def quote_cache_stream(ticks: DataFrame, out: str, key: str = "ticker", ts: str = "ts", value: str = "price",
+                       order: Sequence[str] = ()) -> StreamingQuery:
     """Changed keys of every batch under its number; ``read_quotes`` gives the current table."""
     def handle(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/quotes/batch={batch}")
 
-    return (latest_values(ticks, key, ts, value).writeStream.outputMode("update").foreachBatch(handle)
+    return (latest_values(ticks, key, ts, value, order).writeStream.outputMode("update").foreachBatch(handle)
             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
 
 
