@@ -90,7 +90,7 @@ def resume_documents_job(registry: DataFrame, files: DataFrame, cache: SnapshotT
     """
     run = uuid.uuid4().hex
     todo = registry.where((F.coalesce("processing_status", F.lit("")) != "embedded") & truthy("file_path").isNotNull())
-    landed = files.join(todo.select(F.col("file_path").alias("path"), "document_id"), "path").withColumn("content_hash", F.sha2("content", 256))
+    landed = files.join(todo.select(F.col("file_path").alias("path"), "document_id"), "path").withColumn("content_hash", F.sha2(F.coalesce("content", F.lit(b"")), 256))
     documents = materialize(landed.select(*DOCUMENT).distinct(), "documents")
 
     wanted = journal.missing(documents, "extract")

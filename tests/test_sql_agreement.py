@@ -74,3 +74,14 @@ def test_embed_chunks_texts_without_a_vector(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     got, want = both(spark, tmp_path, "embed_chunks", documents=docs)
     assert got == want == [("src1", 7, 3, 0, 4)]
+
+
+@pytest.mark.parametrize("name", ["embed_documents_job", "ingest_journal"])
+def test_files_without_a_vector(spark, tmp_path, name):
+    body = "<html><body><p>{}</p></body></html>".format
+    texts = [body(cancelling()), body("plain words here"), body("— …"), "", None, body("äé"), body("\n".join(f"Revenue of segment {i} grew by a margin." for i in range(60)))]
+    rows = [(i * 10 + last, "u", t) for i, t in enumerate(texts) for last in (0, 1, 4, 7)]
+    docs = spark.createDataFrame([(1, "t", "en", "src1", 1)], "doc_id long, text string, lang string, source string, n_chars int")
+    got, want = both(spark, tmp_path, name, pages=spark.createDataFrame(rows, "page_id long, url string, html string"), documents=docs)
+    outcome = {r[0]: r[1] for r in got}
+    assert got == want and [outcome[f"P{i * 10 + 4}"] for i in range(len(texts))] == ["failed", "embedded", "failed", "failed", "failed", "embedded", "embedded"]
