@@ -139,11 +139,12 @@ NEWS_SQL = f"nw AS (SELECT {TICKER_SQL.format('doc_id % 100')} AS ticker, doc_id
 
 
 @query("gather_news", f"""WITH {PC_SQL}, {NEWS_SQL}, nr AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY doc_id, title) AS news_pos FROM nw)
-SELECT request_id, CAST(pos AS INTEGER) AS pos, ticker, CAST(news_pos AS INTEGER) AS news_pos, md5(title || chr(10) || summary) AS digest
-FROM pc JOIN nr USING (ticker) WHERE news_pos <= 5""")
+SELECT request_id, CAST(pos AS INTEGER) AS pos, ticker, CAST(NULL AS BIGINT) AS news_pos, CAST(NULL AS VARCHAR) AS digest FROM pc WHERE ticker IN (SELECT ticker FROM nw)
+UNION ALL SELECT NULL, NULL, ticker, news_pos, md5(title || chr(10) || summary) FROM nr WHERE ticker IN (SELECT ticker FROM pc)""")
 def gather_news(spark, folder):
-    return P.gather_news(plans(spark, folder), company_news(spark, folder), NEWS_PER_COMPANY).select(
-        "request_id", "pos", "ticker", "news_pos", F.md5(F.concat("title", F.lit("\n"), "summary")).alias("digest"))
+    """All news of every planned company: which requests ask for it, and each of its news once."""
+    news = company_news(spark, folder).select("ticker", "pos", "title", F.md5(F.concat("title", F.lit("\n"), "summary")).alias("digest"))
+    return P.gather_all_news(plans(spark, folder), news).select("request_id", "pos", "ticker", "news_pos", "digest")
 
 
 MULTI_SQL = retrieval_sql.found_in_documents_sql(retrieval_sql.embed_sql(f"""{GENQ_SQL}, mq AS (SELECT request_id, companies[1] AS first_company, unnest(qs) AS query,

@@ -106,6 +106,20 @@ def gather_news(plans: DataFrame, news: DataFrame, per_company: int) -> DataFram
     return planned_companies(plans).join(first, "ticker")
 
 
+def gather_all_news(plans: DataFrame, news: DataFrame) -> DataFrame:
+    """All news of the planned companies, each news once: ``request_id, pos, ticker, news_pos, ...``.
+
+    A row with a request says that it asks for the news of a company; a row without one is a news of that company.
+    Their join by ``ticker`` has a row for each request and news and grows with the square, so it is left to the reader.
+    """
+    from ledgerloom.operators.ordered import rank_within
+    asked = planned_companies(plans)
+    wanted = news.join(asked.select("ticker").distinct(), "ticker", "left_semi")
+    ranked = rank_within(wanted, ["ticker"], [F.col("pos"), F.col("title")], "news_pos").drop("pos")
+    return (asked.join(news.select("ticker").distinct(), "ticker", "left_semi")
+            .unionByName(ranked.withColumns({"request_id": F.lit(None).cast("string"), "pos": F.lit(None).cast("int")}), allowMissingColumns=True))
+
+
 def run_engine(plans: DataFrame, metrics: DataFrame, health: DataFrame) -> DataFrame:
     """Metric counts and health of every planned company, an error row where unknown.
 

@@ -52,3 +52,12 @@ def test_market_comparison(spark):
     got = [(r.ticker, r.metric, r.value) for r in peers.market_comparison(market, ["ticker"]).orderBy("ticker", "metric").collect()]
     assert got == [("A", "dividend_yield", None), ("A", "forward_pe", 3.5), ("A", "market_cap", None), ("A", "price", None),
                    ("B", "dividend_yield", None), ("B", "forward_pe", None), ("B", "market_cap", 7.0), ("B", "price", 2.5)]
+
+
+def test_all_news_of_the_planned_companies(spark):
+    plans = spark.createDataFrame(PLANS, PLAN)
+    news = spark.createDataFrame([(t, i, f"{t}{i}") for t in ("X", "Y", "OTHER") for i in range(8)], "ticker string, pos int, title string")
+    rows = P.gather_all_news(plans, news).collect()
+    asked = {(r.request_id, r.pos, r.ticker) for r in rows if r.request_id is not None}
+    assert asked == {("a", 0, "X"), ("a", 1, "Y"), ("b", 0, "Y"), ("d", 0, "Y")}
+    assert sorted((r.ticker, r.news_pos, r.title) for r in rows if r.request_id is None) == [(t, i + 1, f"{t}{i}") for t in "XY" for i in range(8)]
