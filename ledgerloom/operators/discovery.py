@@ -5,7 +5,6 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -104,9 +103,10 @@ def _anchors(url: str, html: str) -> list[dict]:
 _ANCHOR = ArrayType(StructType([StructField(n, StringType()) for n in ("text", "href", "absolute_url")]))
 
 
-@F.pandas_udf(_ANCHOR)
-def _page_anchors(urls: pd.Series, html: pd.Series) -> pd.Series:
-    return pd.Series([_anchors(u or "", h) if h else [] for u, h in zip(urls, html)])
+# Pages of any length go to Python row by row: a batch of ten thousand of them would be held several times over.
+@F.udf(_ANCHOR, useArrow=False)
+def _page_anchors(url: str | None, html: str | None) -> list[dict]:
+    return _anchors(url or "", html) if html else []
 
 
 def looks_blocked(c="html") -> Column:
