@@ -160,3 +160,12 @@ def test_every_look_back_at_once(spark):
     for period in ("1mo", "5y", "max"):
         assert {(r.ticker, r.period): r["count"] for r in M.price_history(bars, period).collect()} == {k: v[0] for k, v in got.items() if k[1] == period}
     assert M.price_windows(bars.limit(0)).count() == 0 and M.price_history(bars, "1mo", dt.date(2010, 1, 15)).where("date < '2010-01-02'").count() == 1
+
+
+def test_long_texts_go_to_python_row_by_row():
+    from pyspark.util import PythonEvalType
+
+    from ledgerloom.operators import discovery
+    from ledgerloom.sources import documents, feeds
+    for f in (feeds._decode, feeds._items, documents._html_pages, discovery._page_anchors):
+        assert f.evalType == PythonEvalType.SQL_BATCHED_UDF
