@@ -23,7 +23,7 @@ from ledgerloom.operators import peers, planning as P, ratios
 from ledgerloom.operators import reports as R
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.ordered import last_per_key
-from ledgerloom.session import shared_dir
+from ledgerloom.session import materialize, release, shared_dir
 from ledgerloom.sources.report_files import read_report_files, write_report_files
 from ledgerloom.tables import table
 
@@ -458,10 +458,12 @@ JSON_SQL = """js AS (SELECT report_id, '{"metadata":{"company":"Company ' || rep
 @query("report_files", f"WITH {TWELVE_SQL}, {JSON_SQL} SELECT CAST(report_id AS VARCHAR) AS report_id, j AS report_json, length(j) AS characters FROM js")
 def report_files(spark, folder):
     """The JSON of every report as a file of its own, read back as text; the files are written twice, the second time in place of the first."""
-    made = R.report_json(R.build_12_sections(report_sections(spark, folder)), report_heads(spark, folder))
+    # Written once, so that the second round of files does not make the reports again.
+    made = materialize(R.report_json(R.build_12_sections(report_sections(spark, folder)), report_heads(spark, folder)), "report-rows")
     path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
     write_report_files(made.withColumn("report_json", F.upper("report_json")), path, "report_json")
     write_report_files(made, path, "report_json", mode="overwrite")
+    release(made)
     return read_report_files(spark, path, "report_json").withColumn("characters", F.length("report_json").cast("long"))
 
 

@@ -35,3 +35,18 @@ def test_a_failed_task_leaves_nothing_behind(spark, tmp_path):
     assert len(list(path.rglob("*.txt"))) == 3 and read_report_files(spark, str(path), "markdown").count() == 3
     write_report_files(some, str(path), "markdown", mode="overwrite")
     assert read_report_files(spark, str(path), "markdown").count() == 52
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    path = tmp_path / "out"
+    write_report_files(frame(spark, [(str(i), f"report {i}") for i in range(100)]), str(path), "markdown")
+    context, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name, None)
+    context.setJobGroup("listing", "listing")
+    found = read_report_files(spark, str(path), "markdown")
+    context.setJobGroup("none", "none")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("listing") for i in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * context.defaultParallelism
+    assert spark.conf.get(name, None) == before
+    assert dict(map(tuple, found.collect())) == {str(i): f"report {i}" for i in range(100)}
