@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,3 +228,36 @@ def test_blocks_run_over_pages(spark):
     got = [(r.block_type, r.text, r.pages) for r in K.parse_blocks(pages).orderBy("block_no").collect()]
     assert got == [("paragraph", "Intro text\nmore\ngoes on", [1, 2]), ("heading", "PART I", [2]), ("table", "| a | b |\n| c | d |\n| e | f |", [3, 4]),
                    ("paragraph", "Text", [4]), ("paragraph", "Text", [6])]
+
+
+ODD_LINES = ["", "$ 1 2 3", "₹ 5,000.25 € 7", "1,2,,3..4.5", "a\t\t\tb   c   d", "   x   y   ", "٣٤ ५६ . 7", "x  y    z     w", "€€ ,", "12.  .5"]
+
+
+def test_cheaper_patterns_count_the_same(spark):
+    d = spark.createDataFrame([(x,) for x in ODD_LINES], "t string")
+    pairs = [(C.NUMBER_GROUP, r"(?U)[$₹]?\s*[\d,]+\.?\d*"), (K.NUMBER_GROUP, r"(?U)[$₹€¥]?\s*[\d,]+\.?\d*"), (K.WIDE_GAP, r"(?U)\S+\s{3,}")]
+    for row in d.select("t", *[F.array(F.regexp_count("t", F.lit(a)), F.regexp_count("t", F.lit(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).collect():
+        assert all(a == b for a, b in row[1:]), row
+
+
+def test_time_of_a_line_does_not_grow_with_the_square_of_a_word(spark):
+    d = spark.range(1).select(F.concat(F.repeat(F.lit("ab"), 100_000), F.lit("   c   d")).alias("t"))
+    started = time.monotonic()
+    assert d.select(K.is_table_row(F.col("t"))).first()[0]
+    assert time.monotonic() - started < 20
+
+
+def test_composed_texts_skip_python(spark):
+    texts = ["plain", "Müller – 漢字かな 한글 €", "é", "が", "각ᆨ", "Å", "x\U0001d15e", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(F.col("t").rlike(C.COMPOSED)).collect()] == [True, True, False, False, False, False, False, None]
+    assert [r[0] for r in d.select(C.normalize_unicode("t")).collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_lines_join_over_group_counts_and_pages_without_continuations(spark):
+    texts = ["A first line of words here\ngoes on 1 and 2\nand ends 3 here\nnot joined any more", "One\nTwo\n", "", None,
+             "Costs of 1, 2 and 3 were met then\nso this stays", "Costs of one were met then\nso this joins-\nand this"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in d.select(C.fix_broken_lines("t")).collect()] == [
+        "A first line of words here goes on 1 and 2 and ends 3 here\nnot joined any more", "One\nTwo\n", "", None,
+        "Costs of 1, 2 and 3 were met then\nso this stays", "Costs of one were met then so this joinsand this"]
