@@ -261,3 +261,14 @@ def test_lines_join_over_group_counts_and_pages_without_continuations(spark):
     assert [r[0] for r in d.select(C.fix_broken_lines("t")).collect()] == [
         "A first line of words here goes on 1 and 2 and ends 3 here\nnot joined any more", "One\nTwo\n", "", None,
         "Costs of 1, 2 and 3 were met then\nso this stays", "Costs of one were met then so this joinsand this"]
+
+
+def test_summary_from_headings_equals_that_from_blocks(spark):
+    text = "ITEM 1. Business\nsome words here\n\nNotes 3 on it\nPART II\nmore words\n| a | b |"
+    rows = [("d1", 1, text), ("d1", 2, "tail | of | it\nITEM 1. Business\nPART III\nend"), ("d2", 1, "no heading"), ("d3", 1, "")]
+    pages = spark.createDataFrame(rows, "document_id string, page int, clean_text string")
+    chunks, paged = K.chunk_document(pages), K.page_blocks(pages)
+    old, new = (sorted(map(tuple, K.chunk_summary(chunks, b).collect())) for b in (K.parse_blocks(pages), K.headings(paged)))
+    assert old == new and [r[-1] for r in new] == [["ITEM 1. Business", "PART II", "PART III"], None]
+    for most in (0, 2000):
+        assert sorted(map(tuple, K.chunk_paged(paged, pages, most).collect())) == sorted(map(tuple, chunks.collect()))
