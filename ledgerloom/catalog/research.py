@@ -160,7 +160,7 @@ def multi_query_retrieve(spark, folder):
     """Each company of a plan stands for one of the twenty sources of the documents."""
     source = lambda c: F.concat(F.lit("SRC"), F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int") % 20)
     made = plans(spark, folder).withColumn("companies", F.transform("companies", source))
-    return retrieval.multi_query_retrieve(made, document_chunks(spark, folder), V.embed_fn).select(
+    return retrieval.multi_query_retrieve(made, document_chunks(spark, folder), V.embed_fn, texts=False).select(
         "request_id", "pos", "chunk_id", "score", "query_no")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators.chunking import estimate_tokens
 
 MAX_CONTEXT_TOKENS = 6000
 
@@ -89,13 +88,16 @@ def context_blocks(hits: DataFrame, max_tokens: int = MAX_CONTEXT_TOKENS, order:
     keys = keys or ["query_id"]
     cid = T.truthy("chunk_id")
     first = Window.partitionBy(*keys, "chunk_id").orderBy(order)
+    # One shuffle serves all windows; sizes are taken before it, so that who asks for no text shuffles none.
+    body = T.strip("text")
+    hits = hits.withColumns({"_body": body, "_size": F.length(body)}).repartition(*keys)
     unique = hits.withColumn("_n", F.row_number().over(first)).where((F.col("_n") == 1) | cid.isNull()).drop("_n")
     w = Window.partitionBy(*keys).orderBy(F.coalesce("document_id", F.lit("")), F.coalesce("page_start", F.lit(0)), order)
-    body = T.strip("text")
-    b = (unique.withColumn("ref", F.row_number().over(w)).withColumn("_body", body)
-         .where(F.coalesce(F.col("_body"), F.lit("")) != "")
-         .withColumn("block", F.concat(F.lit("["), "ref", F.lit("] "), "_body"))
-         .withColumn("block_tokens", estimate_tokens("block")))
+    head = F.concat(F.lit("["), "ref", F.lit("] "))
+    b = (unique.withColumn("ref", F.row_number().over(w))
+         .where(F.coalesce("_size", F.lit(0)) > 0)
+         .withColumn("block", F.concat(head, "_body"))
+         .withColumn("block_tokens", F.greatest(F.lit(1), F.floor((F.length(head) + F.col("_size")) / 4).cast("int"))))
     running = Window.partitionBy(*keys).orderBy("ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = b.withColumn("_total", F.sum("block_tokens").over(running))
     return b.where(F.col("_total") <= max_tokens).select(
@@ -176,7 +178,8 @@ def answer_record(questions: DataFrame, hits: DataFrame, blocks: DataFrame, requ
     conf = confidence(hits, ctx, requested, order).drop("chunks_used")
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_retrieved"))
     joined = questions.join(ctx, "query_id", "left").join(conf, "query_id", "left").join(n, "query_id", "left")
-    route = route_evidence()
+    # A context has at least one block, and no block is blank.
+    route = F.when(F.coalesce("chunks_used", F.lit(0)) == 0, "insufficient").otherwise("answer")
     return joined.withColumns({
         "route": route,
         "answer": F.when(route == "insufficient", INSUFFICIENT),

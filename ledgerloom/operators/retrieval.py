@@ -198,7 +198,7 @@ def _blocked_hits(queries: DataFrame, vectors: DataFrame, top_k: int, block_byte
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score: float = 0.0,
-                  min_tokens: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  min_tokens: int | None = None, block_bytes: int = BLOCK_BYTES, columns: tuple[str, ...] = HIT_COLUMNS) -> DataFrame:
     """Best ``top_k`` chunks per query by cosine, ties to smaller ids: ``query_id, rank, score`` and the chunk columns.
 
     ``queries`` has ``query_id``, ``query_vector`` and any of the filter columns;
@@ -213,7 +213,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
                  F.count_if(F.col("company").isNull()).alias("open")).first()
     if not size["n"]:
         none = vectors.limit(0).select(F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"),
-                                       F.lit(1).alias("rank"), F.lit(0.0).alias("score"), *HIT_COLUMNS)
+                                       F.lit(1).alias("rank"), F.lit(0.0).alias("score"), *columns)
         return none
     pool = vectors.where(F.col("token_count") >= min_tokens) if min_tokens else vectors
     slim = pool.select("chunk_id", "embedding", *FILTERS)
@@ -224,10 +224,10 @@ def vector_search(queries: DataFrame, vectors: DataFrame, top_k: int, min_score:
     scored = materialize(ranked.select("query_id", "rank", F.round("raw", 4).alias("score"), "chunk_id"), "hits")
     if min_score > 0:
         scored = scored.where(F.col("score") >= min_score)
-    payload = vectors.select(*HIT_COLUMNS)
+    payload = vectors.select(*columns)
     if not size["open"]:
         payload = payload.join(q.select("company").distinct(), "company", "left_semi")
-    return scored.join(payload, "chunk_id").select("query_id", "rank", "score", *HIT_COLUMNS)
+    return scored.join(payload, "chunk_id").select("query_id", "rank", "score", *columns)
 
 
 def relevance_tier(score) -> Column:
@@ -286,22 +286,30 @@ def assemble_context(hits: DataFrame, keys: list[str] | None = None) -> DataFram
     return (hits.withColumn("_first", first).withColumn("position", F.row_number().over(order)).drop("_first"))
 
 
+def with_text(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Hits of ``retrieve`` without text, with the text of their chunk."""
+    return hits.join(vectors.select("chunk_id", "text"), "chunk_id").select(*hits.columns, "text")
+
+
 def retrieve(queries: DataFrame, vectors: DataFrame, top_k: int = 10, min_score: float = 0.0,
-             do_rerank: bool = True, do_deduplicate: bool = True) -> DataFrame:
+             do_rerank: bool = True, do_deduplicate: bool = True, texts: bool = True) -> DataFrame:
     """Search, drop short texts, re-rank, de-duplicate, trim and put in reading order.
 
-    The texts of all candidates are written once; ordering works on their openings and
-    only the kept hits get their text back.
+    A chunk says once whether its text is long enough and has a digest of its opening; the candidates
+    carry these, and only the kept hits get their text, or none do (``texts=False``).
     """
-    found = materialize(min_text_filter(vector_search(queries, vectors, search_depth(top_k), min_score, MIN_TOKENS)), "found")
-    hits = renumber(found.withColumn("text", F.substring("text", 1, 200)))
+    opening = F.md5(F.substring(F.coalesce("text", F.lit("")), 1, 200))
+    slim = vectors.withColumns({"_long": F.length(T.strip("text")) >= MIN_TEXT, "text": opening})
+    found = vector_search(queries, slim, search_depth(top_k), min_score, MIN_TOKENS, columns=(*HIT_COLUMNS, "_long"))
+    hits = renumber(found.where("_long").drop("_long"))
     if do_rerank:
         hits = rerank(hits)
     if do_deduplicate:
         hits = deduplicate_hits(hits)
     hits = assemble_context(renumber(hits).where(F.col("rank") <= top_k)).withColumn("relevance", relevance_tier("score"))
     columns = hits.columns
-    return hits.drop("text").join(found.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"]).select(*columns)
+    hits = hits.drop("text")
+    return with_text(hits, vectors).select(*columns) if texts else hits
 
 
 def filters_applied(queries: DataFrame) -> Column:
@@ -312,16 +320,22 @@ def filters_applied(queries: DataFrame) -> Column:
 
 
 def multi_query_retrieve(plans: DataFrame, vectors: DataFrame, embed, max_queries: int | None = None,
-                         top_k: int = 5) -> DataFrame:
-    """The ``top_k`` hits of each planned query (the first ``max_queries`` or all) of each request, first occurrence of a chunk wins."""
-    q = (plans.select("request_id", F.try_element_at("companies", F.lit(1)).alias("company"),
-                      F.posexplode("retrieval_queries" if max_queries is None else F.slice("retrieval_queries", 1, max_queries)).alias("pos", "query"))
-         .select(F.concat_ws("#", "request_id", F.format_string("%02d", "pos")).alias("query_id"), "company",
-                 embed(F.col("query")).alias("query_vector")))
-    hits = retrieve(q.where(F.size("query_vector") > 0), vectors, top_k)
-    hits = hits.select(F.regexp_extract("query_id", "^(.*)#(\\d+)$", 1).alias("request_id"),
-                       F.regexp_extract("query_id", "^(.*)#(\\d+)$", 2).cast("int").alias("query_no"), "*")
+                         top_k: int = 5, texts: bool = True) -> DataFrame:
+    """The ``top_k`` hits of each planned query (the first ``max_queries`` or all) of each request, first occurrence of a chunk wins.
+
+    Requests ask the same queries of a company, so each of these is searched once.
+    """
+    q = plans.select("request_id", F.try_element_at("companies", F.lit(1)).alias("company"),
+                     F.posexplode("retrieval_queries" if max_queries is None else F.slice("retrieval_queries", 1, max_queries)).alias("query_no", "query"))
+    q = q.withColumn("asked", F.md5(F.to_json(F.struct("company", "query"))))
+    asked = q.select(F.col("asked").alias("query_id"), "company", "query").distinct()
+    asked = asked.select("query_id", "company", embed(F.col("query")).alias("query_vector")).where(F.size("query_vector") > 0)
+    # Written, so that the search is done once and the join below knows its size.
+    found = materialize(retrieve(asked, vectors, top_k, texts=False), "answers").withColumnRenamed("query_id", "asked")
+    hits = q.select("request_id", "query_no", "asked").join(found, "asked").drop("asked")
     first = Window.partitionBy("request_id", "chunk_id").orderBy("query_no", "position")
     order = Window.partitionBy("request_id").orderBy("query_no", "position")
-    return (hits.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
+    # One shuffle serves both windows.
+    hits = (hits.repartition("request_id").withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
             .withColumn("pos", F.row_number().over(order)))
+    return with_text(hits, vectors) if texts else hits

@@ -34,7 +34,7 @@ def answer_questions(questions: DataFrame, vectors: DataFrame, top_k: int = 10,
     """
     q = questions.withColumns({"question_type": X.classify_question("question"), "query_used": X.expand_query("question")})
     asked = q.withColumn("query_vector", embed(F.col("query_used")))
-    # Read by citations, counts and confidence, hence written once; at most top_k rows per question.
-    hits = materialize(R.retrieve(asked.where(F.size("query_vector") > 0), vectors, top_k, min_score), "answers")
-    citations = X.context_blocks(hits)
+    # Read by citations, counts and confidence, hence written once; at most top_k rows per question, without their texts.
+    hits = materialize(R.retrieve(asked.where(F.size("query_vector") > 0), vectors, top_k, min_score, texts=False), "answers")
+    citations = X.context_blocks(R.with_text(hits, vectors))
     return Answered(q, hits, citations, X.build_context(citations), top_k)

@@ -176,3 +176,24 @@ def test_upsert_and_delete(spark):
     assert E.upsert_counts(new).first().asDict() == {"uploaded": 3, "skipped": 2, "failed": 0}
     left = E.vector_delete_by_document(once, spark.createDataFrame([("d2",)], "document_id string"))
     assert [r.chunk_id for r in left.collect()] == ["a"]
+
+
+def test_candidates_carry_no_text_and_equal_queries_are_searched_once(spark, store, monkeypatch):
+    _, vectors = store
+    vector = F.array(*[F.lit(float(x)) for x in (1, -2, 3, 0, 1, 1, -1, 2)])
+    plans = spark.createDataFrame([(f"R{i}", ["co1"], ["a", "b"]) for i in range(6)] + [("R9", [], ["a"])],
+                                  "request_id string, companies array<string>, retrieval_queries array<string>")
+    asked, searched = [], R.vector_search
+
+    def counted(queries, vectors, *args, **kwargs):
+        asked.append(queries.count())
+        found = searched(queries, vectors, *args, **kwargs)
+        assert found.select(F.max(F.length("text"))).first()[0] == 32
+        return found
+
+    monkeypatch.setattr(R, "vector_search", counted)
+    got = R.multi_query_retrieve(plans, vectors, lambda c: F.when(c.isNotNull(), vector), top_k=4).collect()
+    assert asked == [3]
+    per = {r: [(x.pos, x.chunk_id, x.score) for x in sorted(got, key=lambda x: x.pos) if x.request_id == r] for r in ("R0", "R5", "R9")}
+    assert per["R0"] == per["R5"] and [p for p, _, _ in per["R0"]] == [1, 2, 3, 4] and len(per["R9"]) == 4
+    assert all(x.text == f"text of chunk number {int(x.chunk_id[1:])} with some words in it" and x.query_no == 0 for x in got)
