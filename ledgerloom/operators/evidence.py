@@ -99,7 +99,7 @@ def number_tokens(c) -> Column:
 
 
 def long_words(c) -> Column:
-    return F.array_distinct(F.filter(F.split(T.squeeze(F.lower(T.col(c))), " "), lambda w: F.length(w) > 3))
+    return F.array_distinct(F.filter(F.split(T.strip(F.lower(T.col(c))), r"(?U)\s+"), lambda w: F.length(w) > 3))
 
 
 CLAIM_KEY = ["report_id", "section_no", "pos"]
@@ -113,7 +113,9 @@ def claim_evidence_join(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     w - 2 that are rarest in the report's evidence, so only these are looked up; what they find before the
     first number is checked on all words.  Adds ``chunk_snippet`` (null without support).
     """
-    said = materialize(claims.select(*CLAIM_KEY, number_tokens("text").alias("numbers"), long_words("text").alias("words")), "claims")
+    # Written with all columns, so that the sentences are not split again for the last join.
+    said = materialize(claims.select("*", number_tokens("text").alias("_numbers"), long_words("text").alias("_words")), "claims")
+    columns, said = claims.columns, said.withColumnsRenamed({"_numbers": "numbers", "_words": "words"})
     chunks = materialize(evidence.select("report_id", F.col("pos").alias("at"), number_tokens("text").alias("numbers"), long_words("text").alias("words")), "tokens")
     token = ["report_id", "token"]
 
@@ -133,7 +135,7 @@ def claim_evidence_join(claims: DataFrame, evidence: DataFrame) -> DataFrame:
             .groupBy(*CLAIM_KEY).agg(F.min("at").alias("at")))
     snippets = evidence.select("report_id", F.col("pos").alias("at"), F.substring("text", 1, 200).alias("chunk_snippet"))
     supported = best.join(snippets, ["report_id", "at"]).drop("at")
-    return claims.join(supported, CLAIM_KEY, "left").select(*claims.columns, "chunk_snippet")
+    return said.select(*columns).join(supported, CLAIM_KEY, "left").select(*columns, "chunk_snippet")
 
 
 def claim_metric_match(claims: DataFrame, values: DataFrame) -> DataFrame:

@@ -156,3 +156,12 @@ def test_a_report_with_many_chunks_is_spread_by_its_tokens(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_claims_are_made_once(spark, tmp_path):
+    path = str(tmp_path / "given_claims")
+    spark.createDataFrame([(1, 1, 0, "alpha beta gamma 12 delta")], "report_id int, section_no int, pos int, text string").write.parquet(path)
+    chunks = spark.createDataFrame([(1, 0, "\x1cAlpha  gamma DELTA\x1f")], "report_id int, pos int, text string")
+    found = E.claim_evidence_join(spark.read.parquet(path), chunks)
+    assert not any("given_claims" in f for f in found.inputFiles())
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 0, "alpha beta gamma 12 delta", "\x1cAlpha  gamma DELTA\x1f")]
