@@ -1,21 +1,29 @@
-"""Near-duplicates by the true similarity of their word shingles, found by a byte-position inverted index.
-
-Two texts are linked if their sets of WIDTH-word shingles have a Jaccard similarity of 0.8 or more.  A
-64-bit fingerprint is too short to tell that from less, so a set's fingerprint here has POSITIONS
-bytes: position i stands for the shingle that comes first in the i-th of POSITIONS fixed orders of all
-shingles, its byte is one of that shingle's hash.  Two sets agree in a position with a probability of their similarity.
-The index has one posting for every TOGETHER positions, keyed by the shingles that stand there: POSITIONS / TOGETHER
-postings a text, whatever its length.  A pair that meets under a key has its shared positional bytes tallied;
-pairs that share fewer than LEAST, or whose sizes allow no 0.8, cannot be links but for a probability of about one
-in 100,000; all others are verified on their whole sets, so no link is wrong.  A pair of 0.8 is missed
-with a probability of (1 - 0.8^4)^16 = 0.0002, a closer one with less; copies are never missed.
-
-Only different sets are posted, so copies cost nothing.  First every member of a list is compared with
-two of its members, so a large group of near copies becomes one component by a number of pairs in
-proportion to its postings.  Lists that still hold several components are dealt out in blocks of about BLOCK
+"""Near-duplicates by the true similarity of their word shingles, found by SimHash and a byte-position inverted index.
+
+Two texts are linked if their sets of WIDTH-word shingles have a Jaccard similarity of 0.8 or more.  The steps are
+those of `simhash`, with numbers for that similarity: 64 bits and three differing ones cannot tell 0.8 from
+less, so a fingerprint has POSITIONS bytes.  A bit is set if it is set in over half of the shingles' hashes; a tie falls
+to the bit of the smallest hash, or small even sets would crowd the lists of low bytes.
+
+Two sets of a similarity of 0.8 differ in a bit with a probability of 0.152 at most, so they share a positional
+byte with one of 0.269.  The index has one posting for every two of three neighbouring positions, keyed by the
+positions and their two bytes: 135 postings a text, whatever its length.  A pair of 0.8 has no key in common with a
+probability of (0.731^3 + 3 * 0.269 * 0.731^2)^45 = 0.00015, a closer one with less.  Only four shingles against five differ
+in more bits, 0.1875; so few have a posting for every two of nine positions.  Sets of less than four are linked to their copies only,
+which are never missed.
+
+A posting carries CHECKED bytes that are in no key.  Inside a key's list the members that differ in at most NEAR of their
+bits are put together, all others are dropped: pairs never become rows, and lists of members that met by chance
+end there.  What is left are lists of texts that may be similar.  In a pair of those the shared positional bytes are tallied and the
+differing bits counted; pairs that share fewer than LEAST bytes, differ in more than DISTANCE bits or whose sizes allow no 0.8
+cannot be links but for a probability of about one in 100,000; all others are verified on their whole sets, so no link is wrong.
+
+Only different sets are posted, so copies cost nothing.  First every set is compared with TRIES others at most, of the first and last
+members of its lists those that it meets most often, so a large group of near copies becomes one component by a number of pairs in
+proportion to its members.  Lists that still hold several components are dealt out in blocks of about BLOCK
 members, and each pair of blocks of a list is one tile.  A tile counts the shingles that its members share by postings
 of its own and gives only the links that join components, at most one for each member; pairs never
-become rows.  No list is cut off.
+become rows.  No list is cut off.  The members of a key's list are in one task, 32 bytes each.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -27,11 +35,12 @@ copies; an empty table gives no rows; further columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +49,23 @@ from ledgerloom.llm.simhash import _LOWER, SEED
 from ledgerloom.session import materialize, release
 
 WIDTH = 5
-POSITIONS = 64
-TOGETHER = 4
-LEAST = 36
+WORDS = 19
+POSITIONS = 8 * WORDS
+CHECKED = 16
+FEW = 15
+NEAR = 40
+LEAST = 9
+DISTANCE = 290
+LONG = 512
+TRIES = 8
 HELD = 64
 BLOCK = 1024
 _STEP = 1 << 14
-_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, POSITIONS), dtype=np.uint64) | np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
+_OWN = np.random.default_rng(SEED).integers(0, 1 << 63, (WORDS, 1), dtype=np.uint64)
+#: Two positions for each key; WIDE marks those that all sets have, the others are for sets of FEW shingles.
+KEYS = np.array([(9 * g + a, 9 * g + b) for g in range(15) for a, b in combinations(range(9), 2)])
+WIDE = KEYS[:, 0] // 3 == KEYS[:, 1] // 3
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -62,48 +81,145 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
                                      for i in range(0, len(starts), _STEP)]))
 
 
-def firsts(found: np.ndarray) -> np.ndarray:
-    """For each position the hash, in its order, of the set's first shingle."""
-    least = np.full(POSITIONS, np.iinfo(np.uint64).max)
-    for i in range(0, len(found), 4096):
-        least = np.minimum(least, ((found[None, i:i + 4096] ^ _ORDERS[0][:, None]) * _ORDERS[1][:, None]).min(axis=1))
-    return least
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Each number's 64 bits stirred."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The POSITIONS bytes of the SimHash of a set of hashes; each hash gives WORDS words of its own."""
+    ones, first = np.zeros((WORDS, 8, 8), np.int64), np.full(WORDS, np.iinfo(np.uint64).max)
+    for i in range(0, len(found), 255):
+        words = _mixed(found[None, i:i + 255] + _OWN)
+        first = np.minimum(first, words.min(axis=1))
+        for bit in range(8):  # eight counts of at most 255 in a word
+            ones[:, :, bit] += ((words >> np.uint64(bit)) & _LANES).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(WORDS, 8)
+    # The smallest word's top bits are always unset, so what settles ties is that word stirred once more.
+    tie = np.unpackbits(_mixed(first).view(np.uint8), bitorder="little").reshape(WORDS, 8, 8)
+    return np.packbits(2 * ones + tie > max(len(found), 1), axis=2, bitorder="little").reshape(-1)
 
 
 def described(docs: DataFrame, key: str) -> DataFrame:
-    """doc_id, key, node (hash of the set), size, print (its positional bytes), keys (of its postings)."""
+    """doc_id, key, node (hash of the set), size, print (its positional bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, least = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), np.zeros((batch.num_rows, POSITIONS), np.uint64)
+            node, size, prints = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), []
             for i, text in enumerate(batch.column(2)):
                 found = shingles(text.as_py())
-                node[i], size[i], least[i] = xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found), firsts(found)
-            keys = np.zeros((batch.num_rows, POSITIONS // TOGETHER), np.uint64) + np.arange(POSITIONS // TOGETHER, dtype=np.uint64)
-            for j in range(TOGETHER):
-                keys = (keys ^ (keys >> np.uint64(29))) * _ORDERS[1][j] + least[:, j::TOGETHER]
-            prints = (least & np.uint64(255)).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size), pa.array([prints[i:i + POSITIONS] for i in range(0, len(prints), POSITIONS)], pa.binary()),
-                 pa.array([k if n else k[:0] for k, n in zip(keys.view(np.int64), size, strict=True)], pa.list_(pa.int64()))], ["doc_id", key, "node", "size", "print", "keys"])
+                node[i], size[i] = xxhash.xxh64_intdigest(found.tobytes(), SEED), len(found)
+                prints.append(fingerprint(found).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size), pa.array(prints, pa.binary())],
+                                             ["doc_id", key, "node", "size", "print"])
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema[key], T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
-                           T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+                           T.StructField("print", T.BinaryType())])
     return docs.select("doc_id", key, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    u, v = F.col("a.node"), F.col("b.node")
-    return joined.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct()
+def postings(prints: DataFrame) -> DataFrame:
+    """h, node, x, y: one posting for each key of a set's print; h is the key's number and two bytes, x and y are the checked bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                node, few = part.column(0).to_numpy(), part.column(1).to_numpy() <= FEW
+                found = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, POSITIONS)
+                checked = found[:, -CHECKED:].copy().view(np.int64)
+                for rows, own in ((~few, np.flatnonzero(WIDE)), (few, np.arange(len(KEYS)))):
+                    if rows.any():
+                        h = (own << 16) + (found[rows][:, KEYS[own, 0]].astype(np.int64) << 8) + found[rows][:, KEYS[own, 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), *(pa.array(np.repeat(c[rows], len(own))) for c in (node, *checked.T))], ["h", "node", "x", "y"])
+
+    return prints.select("node", "size", "print").filter("size >= 4").mapInArrow(run, "h long, node long, x long, y long")
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x[0] ^ y[0]) + np.bitwise_count(x[1] ^ y[1])
+
+
+def _met(checked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (u, v) of a spanning forest of the members of one list that differ in at most NEAR checked bits."""
+    left = np.arange(checked.shape[1])
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            grown, i = [], 0
+            while i < len(front) and len(left):
+                some = front[i:i + max(1, (1 << 20) // len(left))]
+                i += len(some)
+                near = _differing(checked[:, some, None], checked[:, None, left]) <= NEAR
+                hit = near.any(axis=0)
+                yield some[near[:, hit].argmax(axis=0)], left[hit]
+                grown.append(left[hit])
+                left = left[~hit]
+            front = np.concatenate(grown)
+
+
+def together(h: np.ndarray, node: np.ndarray, checked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """list, node: the members of each list h (equal ones adjoin) that differ little, directly or over others; the same members have the same list."""
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    length = np.diff(np.append(start, len(h)))
+    behind = np.repeat(start + length, length) - np.arange(len(h)) - 1
+    left, d, pairs = np.flatnonzero(np.repeat(length <= LONG, length)), 1, []
+    while len(left := left[behind[left] >= d]):
+        hit = left[_differing(checked[:, left], checked[:, left + d]) <= NEAR]
+        pairs.append((hit, hit + d))
+        d += 1
+    for i in np.flatnonzero(length > LONG):
+        pairs += [(u + start[i], v + start[i]) for u, v in _met(checked[:, start[i]:start[i] + length[i]])]
+    u, v = (np.concatenate([p[i] for p in pairs] or [start[:0]]) for i in (0, 1))
+    at, before = np.arange(len(h)), None
+    while before is None or (at != before).any():
+        before = at.copy()
+        least = np.minimum(at[u], at[v])
+        np.minimum.at(at, u, least)
+        np.minimum.at(at, v, least)
+        at = at[at]
+    found = np.unique(np.concatenate([u, v]))
+    name = np.zeros(len(h), np.uint64)
+    np.add.at(name, at[found], _mixed(node[found].view(np.uint64)))
+    return name[at[found]].view(np.int64), node[found]
+
+
+def met(posted: DataFrame) -> DataFrame:
+    """h, node: lists of sets that share a key of the index and differ little in their checked bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            block = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            cut = np.searchsorted(block[0], block[0, -1]) if block.shape[1] else 0
+            rest = block[:, cut:]
+            yield from emit(block[:, :cut])
+        yield from emit(rest)
+
+    def emit(block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if block.shape[1] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in together(block[0], block[1], block[2:].view(np.uint64))], ["h", "node"])
+
+    return posted.repartition("h").sortWithinPartitions("h").select("h", "node", "x", "y").mapInArrow(run, "h long, node long").distinct()
+
+
+def _tries(lists: DataFrame) -> DataFrame:
+    """Pairs (u, v): each set with those TRIES of its lists' first and last members (in the order of a hash) that stand beside it most often."""
+    by = F.struct(F.xxhash64("node").alias("z"), "node")
+    leaders = lists.groupBy("h").agg(F.array(F.min(by), F.max(by)).alias("two")).select("h", F.explode("two").alias("b")).select("h", F.col("b.node").alias("other"))
+    beside = lists.join(leaders, "h").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("n"))
+    best = beside.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "other"))).filter(F.col("rank") <= TRIES)
+    return best.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
 def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (u, v) that share LEAST positional bytes and have sizes that allow a similarity of 0.8."""
+    """The pairs (u, v) that share LEAST positional bytes, differ in at most DISTANCE bits and have sizes that allow a similarity of 0.8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST))
+            near = ((x == y).sum(axis=1) >= LEAST) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32) <= DISTANCE)
+            yield batch.select([0, 1]).filter(pa.array(near))
 
     named = lambda n: prints.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size"), F.col("print").alias(f"{n}_print"))
     both = pairs.join(named("u"), "u").join(named("v"), "v").filter(5 * F.least("u_size", "v_size") >= 4 * F.greatest("u_size", "v_size"))
@@ -138,15 +254,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, key, root: rows with the same root are connected by links; key tells rows apart that differ in id or text."""
     stored = materialize(described(docs, key), "shingled")
-    posted = stored.select("node", F.explode("keys").alias("h")).distinct()
-    shared = posted.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    lists = materialize(posted.join(shared, "h").select("h", "node"), "lists")
+    lists = materialize(met(postings(stored.select("node", "size", "print").dropDuplicates(["node"]))), "lists")
     prints = stored.select("node", "size", "print").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
-    by = F.struct(F.xxhash64("node").alias("z"), "node")
-    leaders = lists.groupBy("h").agg(F.array(F.min(by), F.max(by)).alias("two")).select("h", F.explode("two").alias("b")).select("h", "b.node")
-    led = lists.alias("a").join(leaders.alias("b"), F.col("a.h") == F.col("b.h")).filter(F.col("a.node") != F.col("b.node"))
-    tried = materialize(possible(_pairs(led), prints), "pairs")
+    tried = materialize(possible(_tries(lists), prints), "pairs")
     texts = _texts(docs, stored, tried.select(F.explode(F.array("u", "v")).alias("node")), key)
     links = materialize(verified(tried, texts), "similar")
     release(texts)

@@ -131,3 +131,65 @@ def test_stage_on_the_given_documents(spark):
     docs = sorted((r.doc_id, r.text) for r in df.collect())
     smallest = {docs[g][0] for g in _classes([t for _, t in docs])}
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == smallest
+
+
+def test_fingerprint():
+    """A bit is set if over half of the hashes have it; a tie falls to the smallest hash of the word, stirred once more."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 4, 9, 40, 255, 600):
+        found = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        want = []
+        for words in similar._mixed(found[None] + similar._OWN).tolist():
+            tie = int(similar._mixed(np.array([min(words)], np.uint64))[0]) if words else 0
+            want.append(sum(1 << b for b in range(64) if 2 * (ones := sum(w >> b & 1 for w in words)) > n or words and 2 * ones == n and tie >> b & 1))
+        assert similar.fingerprint(found).view(np.uint64).tolist() == want
+
+
+def _lists(df):
+    stored = similar.described(df.withColumn("k", F.col("doc_id")), "k")
+    met = {}
+    for r in similar.met(similar.postings(stored.select("node", "size", "print").dropDuplicates(["node"]))).collect():
+        met.setdefault(r.h, set()).add(r.node)
+    return {r.doc_id: (r.node, r.print) for r in stored.collect()}, met
+
+
+def test_links_meet_in_the_index(docs_of):
+    """Every pair of 0.8 stands in a list of the byte-position index; texts without anything in common stand in none."""
+    docs = _texts()
+    rng = random.Random(8)
+    alone = [(1000 + i, " ".join(f"a{rng.randrange(10 ** 9)}" for _ in range(5 + i % 90))) for i in range(3000)]
+    node, met = _lists(docs_of(docs + alone))
+    sets, links = [_set(t) for _, t in docs], 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and node[i][0] != node[j][0] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                links += 1
+                assert any(node[i][0] in x and node[j][0] in x for x in met.values()), (i, j)
+    chance = {n for i, (n, _) in node.items() if i >= 1000}
+    assert links > 100 and not any(x & chance for x in met.values())
+
+
+def test_long_lists_are_joined_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, (2, 40), dtype=np.uint64)
+    checked = np.repeat(centres, 8, axis=1) ^ (np.uint64(1) << rng.integers(0, 64, (2, 320), dtype=np.uint64))
+    h, node = np.repeat([3, 5], 160), rng.permutation(320)
+    got = []
+    for limit in (512, 4):
+        monkeypatch.setattr(similar, "LONG", limit)
+        groups = {}
+        for name, member in zip(*similar.together(h, node, checked), strict=True):
+            groups.setdefault(int(name), set()).add(int(member))
+        got.append(sorted(map(sorted, groups.values())))
+    assert got[0] == got[1] == sorted(sorted(node[i:i + 8].tolist()) for i in range(0, 320, 8))
+
+
+def test_rows_come_through_the_index(docs_of, monkeypatch):
+    """Without postings only copies have a root in common, so nothing beside the index links texts."""
+    given = similar.postings
+    monkeypatch.setattr(similar, "postings", lambda prints: given(prints).limit(0))
+    docs = _texts()
+    roots = {}
+    for r in _found(docs_of(docs)):
+        roots.setdefault(r.root, []).append(r.doc_id)
+    assert all(len({frozenset(_set(docs[i][1])) for i in x}) == 1 for x in roots.values())
