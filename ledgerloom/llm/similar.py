@@ -20,10 +20,12 @@ cannot be links but for a probability of about one in 100,000; all others are ve
 
 Only different sets are posted, so copies cost nothing.  First every set is compared with TRIES others at most, of the first and last
 members of its lists those that it meets most often, so a large group of near copies becomes one component by a number of pairs in
-proportion to its members.  Lists that still hold several components are dealt out in blocks of about BLOCK
-members, and each pair of blocks of a list is one tile.  A tile counts the shingles that its members share by postings
+proportion to its members.  After that every member of a list is looked at once, however many lists it is in.  A similarity of 0.8 leaves room for one shingle in five without a partner, so two sets of it share one of the rarest
+fifth (and one more) of each; before the first they share, no more than a ninth of both together may be left out.  Sets that this allows a link to
+another component form clusters, dealt out in blocks of about BLOCK members, and each pair of blocks of a cluster is
+one tile.  A tile counts the shingles that its members share by postings
 of its own and gives only the links that join components, at most one for each member; pairs never
-become rows.  No list is cut off.  The members of a key's list are in one task, 32 bytes each.
+become rows.  No list is cut off.  The members of a list are in one task, some 32 bytes each.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -184,30 +186,45 @@ def together(h: np.ndarray, node: np.ndarray, checked: np.ndarray) -> tuple[np.n
     return name[at[found]].view(np.int64), node[found]
 
 
+def _ends(name: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The first and the last member, in the order of a hash, of each row's list."""
+    order = np.lexsort((_mixed(node.view(np.uint64)), name))
+    start = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1]))[:len(name)])
+    length = np.diff(np.append(start, len(name)))
+    ends = np.empty((2, len(name)), np.int64)
+    ends[:, order] = np.repeat(np.stack([node[order[start]], node[order[start + length - 1]]]), length, axis=1)
+    return ends
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The columns of sorted batches of whole numbers, cut where the first column changes."""
+    rest = None
+    for batch in batches:
+        block = np.stack([c.to_numpy() for c in batch.columns])
+        block = block if rest is None else np.concatenate([rest, block], axis=1)
+        cut = np.searchsorted(block[0], block[0, -1]) if block.shape[1] else 0
+        rest = block[:, cut:]
+        yield block[:, :cut]
+    if rest is not None:
+        yield rest
+
+
 def met(posted: DataFrame) -> DataFrame:
-    """h, node: lists of sets that share a key of the index and differ little in their checked bytes."""
+    """h, node, first, last: lists of sets that share a key of the index and differ little in their checked bytes, with two members of each list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((4, 0), np.int64)
-        for batch in batches:
-            block = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            cut = np.searchsorted(block[0], block[0, -1]) if block.shape[1] else 0
-            rest = block[:, cut:]
-            yield from emit(block[:, :cut])
-        yield from emit(rest)
+        for block in _whole_lists(batches):
+            if block.shape[1] > 1:
+                name, node = together(block[0], block[1], block[2:].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, node, *_ends(name, node))], ["h", "node", "first", "last"])
 
-    def emit(block: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if block.shape[1] > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in together(block[0], block[1], block[2:].view(np.uint64))], ["h", "node"])
-
-    return posted.repartition("h").sortWithinPartitions("h").select("h", "node", "x", "y").mapInArrow(run, "h long, node long").distinct()
+    return posted.repartition("h").sortWithinPartitions("h").select("h", "node", "x", "y").mapInArrow(run, "h long, node long, first long, last long").distinct()
 
 
 def _tries(lists: DataFrame) -> DataFrame:
     """Pairs (u, v): each set with those TRIES of its lists' first and last members (in the order of a hash) that stand beside it most often."""
-    by = F.struct(F.xxhash64("node").alias("z"), "node")
-    leaders = lists.groupBy("h").agg(F.array(F.min(by), F.max(by)).alias("two")).select("h", F.explode("two").alias("b")).select("h", F.col("b.node").alias("other"))
-    beside = lists.join(leaders, "h").filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("n"))
+    first, last = (lists.filter(F.col("node") != F.col(c)).select("node", F.col(c).alias("other")) for c in ("first", "last"))
+    beside = first.unionByName(last).groupBy("node", "other").agg(F.count("*").alias("n"))
     best = beside.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "other"))).filter(F.col("rank") <= TRIES)
     return best.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
@@ -255,37 +272,96 @@ def near_duplicates(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, key, root: rows with the same root are connected by links; key tells rows apart that differ in id or text."""
     stored = materialize(described(docs, key), "shingled")
     lists = materialize(met(postings(stored.select("node", "size", "print").dropDuplicates(["node"]))), "lists")
-    prints = stored.select("node", "size", "print").join(lists.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    posted = materialize(lists.select("node").distinct(), "posted")
+    prints = stored.select("node", "size", "print").join(posted, "node", "left_semi").dropDuplicates(["node"])
 
     tried = materialize(possible(_tries(lists), prints), "pairs")
     texts = _texts(docs, stored, tried.select(F.explode(F.array("u", "v")).alias("node")), key)
     links = materialize(verified(tried, texts), "similar")
-    release(texts)
+    release(lists, tried, texts)
 
     roots = components(links).withColumnRenamed("u", "node")
-    placed = materialize(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    several = placed.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last")
-    open_lists = materialize(placed.join(several.select("h", "blocks"), "h"), "open")
-    texts = _texts(docs, stored, open_lists.select("node"), key)
-    more = materialize(_joining(open_lists, texts), "similar")
-    release(lists, tried, placed, open_lists, texts)
+    placed = materialize(posted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    texts = _texts(docs, stored, placed.select("node"), key)
+    sets = materialize(_sets(placed, texts), "sets")
+    edges = materialize(_allowed(sets), "allowed")
+    open_lists = materialize(_clusters(edges, placed), "clusters")
+    more = materialize(_joining(open_lists, sets.select("node", "members")), "similar")
+    release(posted, placed, texts, sets, edges, open_lists)
 
     last = components(links.unionByName(more)).withColumnRenamed("u", "node")
     release(links, more)
     return stored.join(last, "node", "left").select("doc_id", key, F.coalesce("root", "node").alias("root"))
 
 
-def _joining(open_lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v: links between members of different roots, a forest for each tile of each list."""
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root, size, members: the whole sets, eight bytes a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()]), pa.array([shingles(text.as_py()).tobytes()], pa.binary())], ["node", "members"])
+            for i in range(batch.num_rows):
+                found = pa.array(shingles(batch.column(2)[i].as_py()).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:2]), pa.array([len(found)]), pa.ListArray.from_arrays([0, len(found)], found)], ["node", "root", "size", "members"])
+
+    return nodes.join(texts, "node").select("node", "root", "text").mapInArrow(run, "node long, root long, size long, members array<long>")
+
+
+def _allowed(sets: DataFrame) -> DataFrame:
+    """u, v: each set that shares one of its rarest shingles with a set of another root, and may be similar to it, beside one of those."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_lists(batches):
+            kept = may_link(*block[[0, 2, 3, 4]])
+            name, node = block[0, kept], block[1, kept]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_ends(name, node)[0])], ["u", "v"])
+
+    each, own = Window.partitionBy("s"), Window.partitionBy("node")
+    every = sets.select("node", "root", "size", F.explode("members").alias("s"))
+    shared = every.select("*", F.count("*").over(each).alias("n"), (F.min("root").over(each) != F.max("root").over(each)).alias("open")).filter("n > 1")
+    # Shingles that no other set has come first.
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "s"))
+    rare = shared.withColumn("place", place).filter("5 * (place - 1) <= size and open")
+    return rare.repartition("s").sortWithinPartitions("s").select("s", "node", "root", "size", "place").mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+
+
+def may_link(s: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows that may be similar to a row of their list s (equal ones adjoin) and of another root, if s is the first shingle that both have in the order of places."""
+    most = 9 * (size - place + 1) // 4 - size  # the largest set with which what is left suffices for 0.8
+    most = np.minimum(most, 5 * size // 4)
+    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))[:len(s)])
+    length = np.diff(np.append(start, len(s)))
+    kept = np.zeros(len(s), bool)
+    behind = np.repeat(start + length, length) - np.arange(len(s)) - 1
+    left, d = np.flatnonzero(np.repeat(length <= LONG, length)), 1
+    while len(left := left[behind[left] >= d]):
+        hit = left[(root[left] != root[left + d]) & (size[left] <= most[left + d]) & (size[left + d] <= most[left])]
+        kept[hit] = kept[hit + d] = True
+        d += 1
+    for i in np.flatnonzero(length > LONG):  # by sizes and roots alone, so that the work grows with the list
+        rows = np.arange(start[i], start[i] + length[i])
+        while len(rows):
+            order = np.sort(size[rows])
+            some = np.searchsorted(order, most[rows], "right") - np.searchsorted(order, -(-4 * size[rows] // 5)) > (size[rows] <= most[rows])
+            if some.all():
+                break
+            rows = rows[some]
+        kept[rows] = len(np.unique(root[rows])) > 1
+    return kept
+
+
+def _clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """h, node, root, blocks: the sets by connected ones, and the number of blocks of each cluster."""
+    placed = components(edges).select(F.col("root").alias("h"), F.col("u").alias("node")).join(nodes, "node")
+    blocks = placed.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    return placed.join(blocks.select("h", "blocks"), "h")
+
+
+def _joining(open_lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: links between members of different roots, a forest for each tile of each list."""
     block = F.pmod(F.xxhash64("node", "h"), F.col("blocks"))
     dealt = open_lists.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "root")
-    given = dealt.join(texts.mapInArrow(packed, "node long, members binary"), "node").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    given = dealt.join(sets, "node").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
@@ -295,13 +371,13 @@ def _joining(open_lists: DataFrame, texts: DataFrame) -> DataFrame:
                 if (h, x, y) != name:
                     yield from tile(held, name)
                     held, name = [], (h, x, y)
-                held.append((own, node, root, batch.column(6)[i].as_py()))
+                held.append((own, node, root, batch.column(6)[i].values.to_numpy().copy()))
         yield from tile(held, name)
 
     def tile(held: list[tuple], name: tuple | None) -> Iterator[pa.RecordBatch]:
         if held:
             own, node, root, raw = zip(*held, strict=True)
-            links = joining_links([np.frombuffer(r, np.uint64) for r in raw], list(node), list(root), np.array(own) == name[1], np.array(own) == name[2])
+            links = joining_links(list(raw), list(node), list(root), np.array(own) == name[1], np.array(own) == name[2])
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in links], pa.int64()) for i in (0, 1)], ["u", "v"])
 

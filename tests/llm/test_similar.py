@@ -193,3 +193,55 @@ def test_rows_come_through_the_index(docs_of, monkeypatch):
     for r in _found(docs_of(docs)):
         roots.setdefault(r.root, []).append(r.doc_id)
     assert all(len({frozenset(_set(docs[i][1])) for i in x}) == 1 for x in roots.values())
+
+
+def test_members_are_compared_once_however_many_lists_they_share(docs_of, monkeypatch):
+    """Near copies of one text, half of them less similar than 0.8 to all others: no set is taken up once for each of its lists."""
+    given, taken = similar._joining, []
+
+    def counted(open_lists, other):
+        taken.append(open_lists.count())
+        return given(open_lists, other)
+
+    monkeypatch.setattr(similar, "_joining", counted)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    for n in (60, 120):
+        docs = []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(150), i % 9):
+                own[at] = f"x{rng.randrange(10 ** 9)}"
+            docs.append((i, " ".join(own)))
+        want = _check(docs, _found(docs_of(docs)))
+        assert len(want) > n // 4 and max(map(len, want.values())) > n // 4
+        assert taken.pop() <= n
+
+
+def test_links_may_not_be_left_out(monkeypatch):
+    """Rows of the first shingle that a pair of 0.8 of two roots shares are kept, in short and in long lists; most others are not."""
+    rng = random.Random(12)
+    base, sets = range(60), []
+    for i in range(400):
+        own = set(rng.sample(base, rng.randrange(40, 61)))
+        sets.append(own | set(range(1000 + 50 * i, 1000 + 50 * i + rng.randrange(12))))
+    n = {}
+    for x in sets:
+        for s in x:
+            n[s] = n.get(s, 0) + 1
+    root = [i % 150 for i in range(400)]
+    places = [{s: k for k, s in enumerate(sorted(x, key=lambda s: (n[s], s)), 1)} for x in sets]
+    rows = sorted((s, i, k) for i, x in enumerate(places) for s, k in x.items() if 5 * (k - 1) <= len(x) and n[s] > 1)
+    s, i, k = (np.array(c) for c in zip(*rows, strict=True))
+    for limit in (512, 4):
+        monkeypatch.setattr(similar, "LONG", limit)
+        kept = similar.may_link(s, np.array(root)[i], np.array([len(x) for x in sets])[i], k)
+        having, links = {(a, b) for a, b, _ in np.array(rows)[kept].tolist()}, 0
+        for a in range(400):
+            for b in range(a):
+                both = sets[a] & sets[b]
+                if root[a] != root[b] and 5 * len(both) >= 4 * len(sets[a] | sets[b]):
+                    first = min(both, key=lambda s: (n[s], s))
+                    links += 1
+                    assert (first, a) in having and (first, b) in having
+        assert links > 50 and (limit == 4 or len(having) < len(rows))
