@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from ledgerloom.catalog.bindings import financials
 from ledgerloom.catalog.finance import round_sql
 from ledgerloom.streaming import jobs
 
@@ -85,3 +86,16 @@ def test_files_without_a_vector(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, pages=spark.createDataFrame(rows, "page_id long, url string, html string"), documents=docs)
     outcome = {r[0]: r[1] for r in got}
     assert got == want and [outcome[f"P{i * 10 + 4}"] for i in range(len(texts))] == ["failed", "embedded", "failed", "failed", "failed", "embedded", "embedded"]
+
+
+def test_chart_series_gives_every_point_of_all_series(spark):
+    got = {r.company: r for r in contract.queries()["chart_series"](spark, SMALL).collect()}
+    fin = financials(spark, SMALL).collect()
+    assert {c: r.labels for c, r in got.items()} == {c: ",".join(str(f.year) for f in sorted(fin, key=lambda f: f.year) if f.company == c) for c in {f.company for f in fin}}
+    points = {(c, year): i for c, r in got.items() for i, year in enumerate(r.labels.split(","))}
+    for f in fin:
+        r, i = got[f.company], points[f.company, str(f.year)]
+        want = {"op_margin": f.operating_income / f.revenue * 1e4, "operating_cash_flow": f.operating_cash_flow * 100,
+                "free_cash_flow": (f.operating_cash_flow - abs(f.capital_expenditure or 0)) * 100, "revenue": f.revenue * 100}
+        assert all(abs(int(r[name].split(",")[i]) - v) <= 0.51 for name, v in want.items())
+        assert all(sum(map(int, r[name].split(","))) == r[f"{name}_total"] for name in (*want, "net_margin", "roe"))
