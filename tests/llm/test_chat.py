@@ -74,3 +74,19 @@ def test_read_back_takes_examples_with_their_contexts(spark):
     other = df.withColumn("segment", F.replace("segment", F.lit("t0"), F.lit("x0")))
     with pytest.raises(Exception, match="does not follow"):
         chat.read_back(other).collect()
+
+
+def test_every_example_is_written_out_whole(spark):
+    rows = [(c, i, "assistant" if i % 3 else "user", f"t{c}-{i} <|end|>\n<|start|>\\", "", 0) for c in (None, 1, 2) for i in range(40)]
+    rows += [(3, i, "assistant", "long " * 300_000, "", 0) for i in range(4)]
+    df = chat.render(spark.createDataFrame(rows, TURNS))
+    made = chat.written(df)
+    key = lambda r: (r.conv_id or 0, r.example)
+    got = sorted(((r.conv_id or 0, r.example, r.text, r.loss_start, r.loss_end) for r in made.where("is_turn = 0").collect()))
+    assert got == [(*key(r), r.text, r.loss_start, r.loss_end) for r in sorted(chat.example_texts(df).collect(), key=key)] and len(got) == 3 * 26 + 4
+    assert _got(chat.read_back(df)) == _expected(rows)
+
+
+def test_only_a_null_conversation(spark):
+    rows = [(None, 0, "user", "a", "", 0), (None, 1, "assistant", "b", "", 0)]
+    assert _got(chat.read_back(chat.render(spark.createDataFrame(rows, TURNS)))) == _expected(rows)
