@@ -16,8 +16,12 @@ What is left is verified by exact products and enters the query's best k, whose
 bucket to bucket in the task, longest first.  The bests of different tasks are ranked together at the end.
 Nothing that reaches the floor is pruned, so recall is 1.
 
-Queries and buckets meet by an equality join on (dim, level of length, slot); a slot is about SLOT buckets.
-Memory: a task holds one bucket, one block of queries and their products.
+Queries and buckets meet in slots: the buckets of a level of length, longest first, are dealt to slots of at most
+HELD bytes, at least SLOTS slots in all if there are as many buckets.  Blocks of queries are sent to slots, buckets once
+to their own; a task reads a slot's buckets first and then one block of queries after the other, so no pair of block
+and bucket is ever a row.  What is sent grows with the table as long as SLOTS slots hold it, and beyond that with queries times slots.
+Memory: a task holds the buckets of a slot, one block of queries and their products; the driver, and each task as a
+broadcast, the place of each bucket (a few numbers for some ROWS vectors) and the levels, no vector.
 
 Defined results: components become floor(scale * x); vectors that are null or hold null or non-finite
 components (or such as pass a double when scaled) and rows without id take no part; zero and empty vectors do; vectors
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.vectors import cut, first_of, matrix, numbered, products
@@ -44,7 +48,8 @@ ROWS = 4096
 QUERIES = 512
 RATIO = 0.9
 FOCUS = 4
-SLOT = 4
+SLOTS = 12
+HELD = 32 << 20
 SLACK = 1e-9
 _STATE = ("at", "found", "score")  # of each find: place of its query in the block, vec_id, score
 
@@ -68,6 +73,15 @@ def _level(longest: Column) -> Column:
     return F.when(longest > 0, F.floor(F.log(longest) / -float(np.log(RATIO)))).otherwise(F.lit(-(1 << 31))).cast("long")
 
 
+def _places(buckets: DataFrame) -> DataFrame:
+    """dim, level, block, n, longest, slot: buckets of a level, longest first, in slots of at most HELD bytes or one bucket."""
+    rows = buckets.select("dim", "level", "block", "n", "longest").withColumn("bytes", F.col("n").cast("long") * F.greatest("dim", F.lit(1)) * 8)
+    share = F.greatest(F.least(F.lit(HELD), F.sum("bytes") / SLOTS), F.max("bytes")).cast("long").alias("share")
+    rows = rows.join(F.broadcast(rows.groupBy("dim").agg(share)), "dim")
+    upto = F.sum("bytes").over(Window.partitionBy("dim", "level").orderBy(F.col("longest").desc(), "block").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("slot", F.floor((upto - F.col("bytes")) / F.col("share"))).drop("bytes", "share")
+
+
 class Bucket:
     def __init__(self, dim: int, n: int, vec_id: bytes, norm: bytes, x: bytes):
         self.ids, self.norm, self.x = np.frombuffer(vec_id, np.int64), np.frombuffer(norm, np.float64), matrix(x, dim, n)
@@ -158,46 +172,50 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, row
     """query_id, rank, vec_id, score: the k highest scores of each vector whose id is divisible by every."""
     good = materialize(numbered(vectors, scale), "vectors")
     buckets = materialize(_blocks(good, rows, RATIO).withColumn("level", _level(F.col("longest"))), "buckets")
-    levels = buckets.groupBy("dim", "level").agg(F.ceil(F.count("*") / SLOT).alias("slots"), F.max("longest").alias("longest"))
+    places = _places(buckets)
     # One entry for each level of length: a level is a power of RATIO, so the list is bounded by the range of doubles.
-    levels = levels.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct(F.col("level"), "slots", "longest")), False).alias("levels"))
-    slot = F.pmod(F.xxhash64("block"), F.col("slots"))
-    given = buckets.join(levels.select("dim", F.explode("levels").alias("l")).select("dim", "l.level", "l.slots"), ["dim", "level"]).withColumn("slot", slot)
-    given = given.select("dim", "level", "slot", *[F.col(c).alias(f"b_{c}") for c in ("n", "longest", "vec_id", "norm", "x")])
-    asked = _blocks(good.filter(F.col("vec_id") % every == 0), queries, None).drop("longest").join(levels, "dim")
-    asked = asked.withColumn("own_level", F.col("levels")[0]["level"]).withColumn("own_slot", F.pmod(F.xxhash64("block"), F.col("levels")[0]["slots"]))
+    levels = places.groupBy("dim", "level").agg((F.max("slot") + 1).alias("slots"), F.max("longest").alias("longest"), F.sum("n").alias("n"))
+    levels = levels.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("level", "slots", "longest", "n")), False).alias("levels"))
+    # Queries begin where the longest vectors are, in the first level that is not all but empty.
+    levels = F.broadcast(levels.withColumn("own", F.coalesce(F.get(F.filter("levels", lambda x: x["n"] >= rows), F.lit(0)), F.col("levels")[0])))
+    given = buckets.join(F.broadcast(places.select("block", "slot")), "block")
+    asked = _blocks(good.filter(F.col("vec_id") % every == 0), queries, None).join(levels, "dim")
+    asked = asked.withColumn("level", F.col("own.level")).withColumn("slot", F.pmod(F.xxhash64("block"), F.col("own.slots")))
+    key = ["dim", "level", "slot"]
     q_columns = ["dim", "n", "row", "vec_id", "norm", "x"]
-    b_columns = ["b_n", "b_vec_id", "b_norm", "b_x"]
+    b_columns = ["dim", "n", "vec_id", "norm", "x"]
 
-    def met(batches: Iterator[pa.RecordBatch], seeded: bool) -> Iterator[tuple[int, Queries]]:
-        """Each block of queries after the buckets of this task."""
-        current, q = None, None
+    def met(batches: Iterator[pa.RecordBatch], seeded: bool) -> Iterator[tuple[tuple, int, Queries]]:
+        """Slot, number and state of each block of queries after the buckets of that slot."""
+        current, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                own = {c: batch.column(c)[i].as_py() for c in ("block", *b_columns)}
-                if own["block"] != current:
-                    if q:
-                        yield current, q
-                    current = own["block"]
-                    values = [batch.column(c)[i].as_py() for c in q_columns]
-                    q = Queries(*values, k, tuple(batch.column(c)[i].as_py() for c in _STATE) if seeded else None)
-                    dim = values[0]
-                if own["b_n"] is not None:
-                    q.meet(Bucket(dim, *(own[c] for c in b_columns)))
-        if q:
-            yield current, q
+                own = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                slot = tuple(own[c] for c in key)
+                if slot != current:
+                    current, held = slot, []
+                if own["block"] is None:
+                    held.append(Bucket(*(own[c] for c in b_columns)))
+                    continue
+                q = Queries(*(own[c] for c in q_columns), k, tuple(own[c] for c in _STATE) if seeded else None)
+                for bucket in held:
+                    q.meet(bucket)
+                yield slot, own["block"], q
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, q in met(batches, False):
+        for (dim, level, slot), block, q in met(batches, False):
             need = q.needed(q.floor()).min()
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([float(need)]), *[pa.array([v.tobytes()]) for v in (q.at, q.found, q.score)]], ["seeded", "need", *_STATE])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dim], pa.int32()), pa.array([level]), pa.array([slot]), pa.array([block]), pa.array([float(need)]), pa.array([len(q.ids)], pa.int32()),
+                 *[pa.array([v.tobytes()]) for v in (q.row, q.ids, q.norm, q.x, q.at, q.found, q.score)]],
+                ["dim", "own_level", "own_slot", "block", "need", *q_columns[1:], *_STATE])
 
     def finds(q: Queries, which: np.ndarray) -> pa.RecordBatch:
         at = q.at[which]
         return pa.RecordBatch.from_arrays([pa.array(q.row[at]), pa.array(q.ids[at]), pa.array(q.found[which]), pa.array(q.score[which])], ["row", "query_id", "vec_id", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, q in met(batches, True):
+        for _, _, q in met(batches, True):
             yield finds(q, ~q.old)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +224,21 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, row
                 q = Queries(*(batch.column(c)[i].as_py() for c in q_columns), k, tuple(batch.column(c)[i].as_py() for c in _STATE))
                 yield finds(q, q.old)
 
-    def tiles(left: DataFrame, how: str, *more: str) -> DataFrame:
-        both = left.join(given, ["dim", "level", "slot"], how)
-        return both.sortWithinPartitions("block", F.col("b_longest").desc()).select("block", *q_columns, *more, *b_columns)
-
-    first = tiles(asked.withColumn("level", F.col("own_level")).withColumn("slot", F.col("own_slot")), "left")
-    state = first.mapInArrow(seed, "seeded long, need double, at binary, found binary, score binary")
-    begun = materialize(asked.join(state, F.col("block") == F.col("seeded")).drop("seeded"), "begun")
-    alive = begun.withColumn("l", F.explode(F.filter("levels", lambda x: x["longest"] >= F.col("need")))).select("*", "l.level", "l.slots").drop("l", "levels")
-    alive = alive.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).filter("level <> own_level OR slot <> own_slot")
+    def tiles(blocks: DataFrame, theirs: DataFrame, *more: str) -> DataFrame:
+        """Rows of each slot together: its buckets, longest first, then the blocks of queries sent to it."""
+        none = [F.lit(None).cast("binary").alias(c) for c in more]
+        own = theirs.select(*key, F.lit(None).cast("long").alias("block"), "longest", "n", "row", "vec_id", "norm", "x", *none)
+        both = own.unionByName(blocks.select(*key, "block", F.lit(None).cast("double").alias("longest"), *q_columns[1:], *more))
+        return both.repartition(*key).sortWithinPartitions(*key, F.col("block").asc_nulls_first(), F.col("longest").desc())
+
+    binaries = ", ".join(f"{c} binary" for c in (*q_columns[2:], *_STATE))
+    begin = given.join(levels.select("dim", F.col("own.level").alias("own_level")), "dim").filter("level = own_level")
+    state = tiles(asked, begin).mapInArrow(seed, f"dim int, own_level long, own_slot long, block long, need double, n int, {binaries}")
+    begun = materialize(state, "begun")
+    alive = begun.join(levels, "dim").withColumn("l", F.explode(F.filter("levels", lambda x: x["longest"] >= F.col("need"))))
+    alive = alive.select(*begun.columns, "l.level", "l.slots").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
+    alive = alive.filter("level <> own_level OR slot <> own_slot")
     schema = "row long, query_id long, vec_id long, score long"
-    found = tiles(alive, "inner", *_STATE).mapInArrow(search, schema).unionByName(begun.select(*q_columns, *_STATE).mapInArrow(seeds, schema))
+    found = tiles(alive, given, *_STATE).mapInArrow(search, schema).unionByName(begun.select(*q_columns, *_STATE).mapInArrow(seeds, schema))
     ranked = found.selectExpr("query_id", "vec_id", "score", "row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank")
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

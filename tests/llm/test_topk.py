@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import catalog, topk
 from ledgerloom.llm.vectors import MOST
@@ -96,3 +97,26 @@ def test_empty(spark):
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert _got(catalog.op12_topk(spark, SF)) == _brute(rows)
+
+
+def test_queries_and_buckets_are_never_joined(spark):
+    """A join would send whole blocks to the driver when their size is misjudged, and make a row of each pair."""
+    plan = topk.top_k(_frame(spark, odd_rows()), rows=3, queries=1)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "slot" in line]
+
+
+@pytest.mark.parametrize("held", [1, 400, 1 << 20])
+def test_slots_hold_whole_buckets_up_to_a_size(spark, monkeypatch, held):
+    monkeypatch.setattr(topk, "HELD", held)
+    rows = odd_rows()
+    good = topk.numbered(_frame(spark, rows), 64).persist()
+    buckets = topk._blocks(good, 4, topk.RATIO).withColumn("level", topk._level(F.col("longest"))).persist()
+    slots = topk._places(buckets).selectExpr("*", "n * greatest(dim, 1) * 8 AS bytes").groupBy("dim", "level", "slot").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(s.n for s in slots) == buckets.count()
+    assert all(s.n == 1 or s.bytes < 2 * max(held, 4 * 6 * 8) for s in slots)
+    by_level = {}
+    for s in slots:
+        by_level.setdefault((s.dim, s.level), []).append(s.slot)
+    assert all(sorted(found) == list(range(len(found))) for found in by_level.values())
+    assert _got(topk.top_k(_frame(spark, rows), rows=4, queries=2)) == _brute(rows)
