@@ -87,3 +87,13 @@ def test_files_of_another_writer_are_replaced(spark, tmp_path):
     old.selectExpr("report_id", "markdown AS value").write.partitionBy("report_id").text(str(path))
     write_report_files(frame(spark, [(str(i), f"new {i}") for i in range(3)]), str(path), "markdown", mode="overwrite")
     assert dict(map(tuple, read_report_files(spark, str(path), "markdown").collect())) == {str(i): f"{'new' if i < 3 else 'old'} {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_report_of_two_rows_is_an_error(spark, tmp_path, parts):
+    path = tmp_path / "out"
+    write_report_files(frame(spark), str(path), "markdown")
+    twice = spark.createDataFrame([("2", "x"), ("8", "y"), ("2", "z")], "report_id string, markdown string").repartitionByRange(parts, "markdown")
+    with pytest.raises(Exception, match="more than one row"):
+        write_report_files(twice, str(path), "markdown", mode="overwrite")
+    assert dict(map(tuple, read_report_files(spark, str(path), "markdown").collect())) == {r[0]: r[1] for r in ROWS if r[1] is not None}
